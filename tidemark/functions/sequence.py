@@ -34,8 +34,7 @@ def revcomp(seq: Column) -> Column:
 
 def codons(seq: Column) -> Column:
     """The whole codons of a sequence; a last one that isn't full is dropped."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.upper(F.substring(seq, (i * 3 + 1).cast("int"), F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.upper(seq), F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate(seq: Column) -> Column:
