@@ -178,7 +178,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _verify(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+def _verify(frames: Iterator[pd.DataFrame], n: int, similarity: float) -> Iterator[pd.DataFrame]:
     """By class: its links inside this group (a, n), and a forest of the links (a, b)."""
     for pdf in whole_groups(frames, ["root", "i", "j"]):
         starts, sizes = _runs(pdf, ["root", "i", "j"])
@@ -188,10 +188,10 @@ def _verify(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.Da
             at = sorted({keys[r]: r for r in range(s, s + m)}.values())
             if len(at) < 2:
                 continue
-            sets = [np.asarray(pdf["shingles"].iat[r], np.int64).view(np.uint64) for r in at]
-            n = np.array([len(x) for x in sets])
+            sets = [shingles(np.asarray(pdf["words"].iat[r], np.int64), n) for r in at]
+            size = np.array([len(x) for x in sets])
             inter = _overlaps(sets)
-            link = inter / np.maximum(1, n[:, None] + n[None, :] - inter) >= similarity
+            link = inter / np.maximum(1, size[:, None] + size[None, :] - inter) >= similarity
             np.fill_diagonal(link, False)
             if pdf["i"].iat[s] != pdf["j"].iat[s]:  # two blocks: only links between them, those inside are counted elsewhere
                 link &= blocks[at][:, None] != blocks[at][None, :]
@@ -240,18 +240,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     wanted = groups.join(sizes, "root").join(reps.select(F.col("key").alias("a"), ROW), "a").select(ROW, F.col("a").alias("key"), "root", "members")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pdf.drop(columns="words").assign(shingles=[shingles(np.asarray(w, np.int64), n).view(np.int64) for w in pdf["words"]])
-
     texts = rows.select(ROW, "doc_id", "text").join(wanted, ROW)
     placed = _blocked(
         texts.select("key", "root", "members", F.transform(F.filter(F.split(F.lower("text"), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words")),
         "members", block,
     ).select("key", "root", "i", "j", "own", "words")
     dealt = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    sets = dealt.mapInPandas(cut, "key binary, root binary, i int, j int, own int, shingles array<long>")
-    found = staged(sets.mapInPandas(partial(_verify, similarity=similarity), "a binary, b binary, n long"), "links")
+    found = staged(dealt.mapInPandas(partial(_verify, n=n, similarity=similarity), "a binary, b binary, n long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     linked = components(found.filter("b is not null").select("a", "b")).select(F.col("a").alias("key"), "root")
     classes = counts.join(linked, "key", "full")
