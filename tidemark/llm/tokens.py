@@ -28,7 +28,7 @@ class Encoder:
     first (the frequent ones) stay.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,7 +47,7 @@ class Encoder:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Pieces that each start with their space or line feed: encoded as one text, which is cut between them again."""
         ids = np.frombuffer(self._encode(["".join(pieces)])[0], "<u4")
-        sizes = np.fromiter((len(p.encode("utf-8", "surrogatepass")) for p in pieces), np.int64, len(pieces))
+        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces), np.int64, len(pieces))
         ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
         raw, out, a = ids.tobytes(), [], 0
         for b in (4 * ends).tolist():
@@ -60,7 +60,7 @@ class Encoder:
         out: list[bytes | None] = [None] * len(texts)
         whole, later, missing = [], [], set()
         if len(self.known) > self.keep:
-            self.known = dict(islice(self.known.items(), self.keep // 3))
+            self.known = dict(islice(self.known.items(), self.keep // 2))
         get = self.known.get
         for i, t in enumerate(texts):
             if _must_be_whole(t):
