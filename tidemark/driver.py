@@ -19,7 +19,7 @@ select sample_name, contig_name, read_id, qname, flag, pos, mapq,
   cast(case when k = 3 or k = 4 then 2 else 0 end + case when q >= 6 and (o % 7 = 0 or o % 3 = 0) then 1 else 0 end as int) as nm
 from (
   select concat(l_returnflag, l_linestatus) as sample_name, concat('ctg', cast(l_partkey % 20 as string)) as contig_name,
-    ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as read_id, concat('r', cast(l_orderkey as string)) as qname,
+    (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 7919 + l_suppkey * 104729 + cast(l_quantity as bigint) * 15485863) % 1000000 as read_id, concat('r', cast(l_orderkey as string)) as qname,
     cast(1 + case when l_partkey % 97 = 0 then 4 else 0 end + case when l_partkey % 13 = 0 then 8 else 0 end
       + case when l_suppkey % 2 = 1 then 16 else 0 end + case when l_suppkey % 3 = 0 then 32 else 0 end
       + case when l_orderkey % 2 = 0 then 64 else 128 end + case when l_linenumber = 6 then 256 when l_linenumber = 7 then 2048 else 0 end as int) as flag,

@@ -94,11 +94,11 @@ query("mag_weighted_means", f"with {base('members')} select mag_name, round(sum(
 query("mag_coordinates", f"with {base('members')}, {OFFSETS} select mag_name, contig_name, l_orderkey, (l_orderkey % 900 + \"offset\")::bigint as pos from lineitem join supplier on s_suppkey = l_suppkey join placed on contig_name = s_name")(
     lambda spark, d: G.to_mag_coords(t(spark, d, "lineitem").join(t(spark, d, "supplier"), F.expr("s_suppkey = l_suppkey")).select(F.col("s_name").alias("contig_name"), "l_orderkey", (F.col("l_orderkey") % 900).alias("pos")), G.mag_offsets(derived(spark, d, "members")), "pos").select("mag_name", "contig_name", "l_orderkey", "pos"))
 
-POINTS = "points as (select ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey as point_id, concat('ctg', (l_partkey % 20)::varchar) as contig_name, (l_orderkey * 31 + l_linenumber * 7) % 1000 + 1 as pos from lineitem)"
+POINTS = "points as (select (l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 7919 + l_suppkey * 104729 + cast(l_quantity as bigint) * 15485863) % 1000000 as point_id, concat('ctg', (l_partkey % 20)::varchar) as contig_name, (l_orderkey * 31 + l_linenumber * 7) % 1000 + 1 as pos from lineitem)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").select(F.expr("((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey").alias("point_id"), F.concat(F.lit("ctg"), (F.col("l_partkey") % 20).cast("string")).alias("contig_name"),
+    return t(spark, d, "lineitem").select(F.expr("(l_orderkey * 8 + l_linenumber) * 1000000 + (l_partkey * 7919 + l_suppkey * 104729 + cast(l_quantity as bigint) * 15485863) % 1000000").alias("point_id"), F.concat(F.lit("ctg"), (F.col("l_partkey") % 20).cast("string")).alias("contig_name"),
                                           ((F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7) % 1000 + 1).alias("pos"))
 
 
