@@ -27,7 +27,7 @@ def _lines(text: str = "text") -> Column:
 
 def windows_of(docs: DataFrame) -> DataFrame:
     """The windows of each row: __row, doc_id, pos, h1, h2."""
-    trimmed = docs.select(ROW, "doc_id", F.transform(_lines(), F.trim).alias("l")).filter(F.size("l") >= 3)
+    trimmed = docs.select(ROW, "doc_id", F.transform(_lines(), lambda x: F.trim(x)).alias("l")).filter(F.size("l") >= 3)
     window = lambda i: F.struct(
         i.cast("int").alias("pos"),
         F.xxhash64(F.get("l", i), F.get("l", i + 1), F.get("l", i + 2)).alias("h1"),
