@@ -8,7 +8,7 @@ by the scaled forward recursion over all latent state paths, times that of the w
 Training is Baum-Welch: each task runs forward and backward over its texts and sums expected transitions and emissions;
 the sums are added over partitions by class, and only that table (states x classes, of fixed size) reaches the driver,
 which forms the next model. The first updates take growing shares of the training texts (a hash deals them: 1/32 up to
-1/2), so that the states settle early, and the last `full_steps` take all of them.
+1/4), so that the states settle early, and the last `full_steps` take all of them.
 
 Word counts cover all training texts. Words that make up more than `hot_share` of all training tokens (at most 1 /
 hot_share of them) are joined by broadcast, all others by a shuffle, so that no common word gathers in one task.
@@ -29,15 +29,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_batches, staged
+from .common import ascii_lower, new_path, small_batches, staged
 
 ROW = "__row"
 DELTA = 0.1
 #: A word that no text has, as words hold no space.
 END = " "
-SHARDS = 32
-#: Shards of the stepwise updates: each (first, last) of 32.
-STEPS = ((0, 1), (0, 1), (0, 1), (0, 1), (1, 2), (1, 2), (2, 4), (2, 4), (4, 8), (8, 16), (16, 32))
+#: Training texts are dealt to shares of 1/32, 1/32, 1/16, 1/8, 1/4 and 1/2; the stepwise updates take these in turn.
+SHARES = (1, 1, 2, 4, 8, 16)
+STEPS = (0, 0, 0, 0, 1, 1, 2, 2, 3, 4)
 
 
 @dataclass
@@ -48,24 +48,36 @@ class Model:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words with A-Z lowered; those that lower() leaves alone hold none."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.when(F.lower(w) == w, w).otherwise(ascii_lower(w)))
 
 
 def _class(word: Column, classes: int) -> Column:
     return F.when(word == END, F.lit(classes)).otherwise(F.pmod(F.xxhash64(word), F.lit(classes))).cast("int")
 
 
-def _batches(arrays: list[np.ndarray], most: int = 120_000) -> Iterator[list[int]]:
-    """Texts of like length together, longest first."""
-    order = sorted(range(len(arrays)), key=lambda i: -len(arrays[i]))
-    batch: list[int] = []
-    for i in order:
-        if batch and (len(batch) + 1) * len(arrays[batch[0]]) > most:
-            yield batch
-            batch = []
-        batch.append(i)
-    if batch:
-        yield batch
+def _batches(frames: Iterator[pd.DataFrame], end: int, most: int = 1_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Row numbers and sequences of about `most` tokens together, longest first: the steps of a batch are as many as its
+    longest text has tokens, so large batches share them among many texts. One longer text is a batch of its own."""
+    rows: list = []
+    arrays: list[np.ndarray] = []
+    size = 0
+
+    def ordered():
+        order = sorted(range(len(arrays)), key=lambda i: -len(arrays[i]))
+        return [rows[i] for i in order], [arrays[i] for i in order]
+
+    for pdf in frames:
+        for row, classes in zip(pdf[ROW], pdf["classes"]):
+            rows.append(row)
+            arrays.append(np.append(np.asarray(classes, np.int64), end))
+            size += len(arrays[-1])
+            if size >= most:
+                yield ordered()
+                rows, arrays, size = [], [], 0
+    if rows:
+        yield ordered()
 
 
 def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None) -> np.ndarray:
@@ -96,8 +108,7 @@ def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None)
     if counts is None:
         return total
     start, move, emitted = counts
-    beta, gamma = np.ones((live[-1], states)), np.empty_like(alpha)
-    gamma[firsts[-2] :] = alpha[firsts[-2] :]
+    beta = np.ones((live[-1], states))  # alpha becomes alpha * beta on the way back
     moved = np.zeros((states, states))
     for t in range(steps - 2, -1, -1):
         lo, mid, hi = firsts[t], firsts[t + 1], firsts[t + 2]
@@ -105,26 +116,20 @@ def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None)
         moved += alpha[lo : lo + hi - mid].T @ ahead
         beta = np.ones((mid - lo, states))
         beta[: hi - mid] = ahead @ model.move.T
-        gamma[lo:mid] = alpha[lo:mid] * beta
+        alpha[lo : lo + hi - mid] *= beta[: hi - mid]
     move += moved * model.move
-    start += gamma[: live[0]].sum(0)
+    start += alpha[: live[0]].sum(0)
     for k in range(states):
-        emitted[:, k] += np.bincount(flat, gamma[:, k], len(emitted))
+        emitted[:, k] += np.bincount(flat, alpha[:, k], len(emitted))
     return total
 
 
-def _sequences(pdf: pd.DataFrame, end: int) -> list[np.ndarray]:
-    return [np.append(np.asarray(c, np.int64), end) for c in pdf["classes"]]
-
-
 def _expect(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     """Expected counts of a task: a row for each class that occurs, and one for each state's start and moves."""
     end, states = len(model.emit) - 1, len(model.start)
     start, move, emitted = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    for pdf in frames:
-        arrays = _sequences(pdf, end)
-        for batch in _batches(arrays):
-            forward(model, [arrays[i] for i in batch], (start, move, emitted))
+    for _, arrays in _batches(frames, end):
+        forward(model, arrays, (start, move, emitted))
     used = np.flatnonzero(emitted.sum(1))
     ids = np.concatenate([used, [-1], -2 - np.arange(states)])
     values = np.vstack([emitted[used], start[None], move])
@@ -145,15 +150,18 @@ def _updated(sums: DataFrame, states: int, prior: np.ndarray, weight: float) ->
 
 
 def train(rows: DataFrame, prior: np.ndarray, states: int, full_steps: int, seed: int = 7, weight: float = 20.0) -> Model:
-    """rows: shard, classes. Baum-Welch over shares of the rows, then over all."""
+    """rows: __row, share, classes. Baum-Welch over shares of the rows, then over all."""
     rng = np.random.default_rng(seed)
     emit = prior[:, None] * np.exp(rng.normal(0, 1.0, (len(prior), states)))
     model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)), emit / emit.sum(0))
     np.fill_diagonal(model.move, 0.9)
     model.move /= model.move.sum(1, keepdims=True)
     schema = "class int, " + ", ".join(f"s{k} double" for k in range(states))
-    for lo, hi in (*STEPS, *[(0, SHARDS)] * full_steps):
-        part = rows.filter(f"shard >= {lo} and shard < {hi}").select("classes")
+    tasks = rows.rdd.getNumPartitions()
+    for share in (*STEPS, *[None] * full_steps):
+        part = rows.select(ROW, "classes")
+        if share is not None:  # as much for each task as in a full step
+            part = rows.filter(F.col("share") == share).select(ROW, "classes").coalesce(max(1, tasks * SHARES[share] // sum(SHARES)))
         sums = part.mapInPandas(partial(_expect, model=model), schema).groupBy("class").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
         model = _updated(sums, states, prior, weight)
     return model
@@ -161,11 +169,8 @@ def train(rows: DataFrame, prior: np.ndarray, states: int, full_steps: int, seed
 
 def _likelihood(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
     end = len(model.emit) - 1
-    for pdf in frames:
-        arrays, out = _sequences(pdf, end), np.empty(len(pdf))
-        for batch in _batches(arrays):
-            out[batch] = forward(model, [arrays[i] for i in batch])
-        yield pd.DataFrame({ROW: pdf[ROW], "path": out / np.log(10)})
+    for rows, arrays in _batches(frames, end):
+        yield pd.DataFrame({ROW: rows, "path": forward(model, arrays) / np.log(10)})
 
 
 def score(docs: DataFrame, held_out: Column, states: int = 8, classes: int = 8192, full_steps: int = 1, hot_share: float = 1e-6) -> DataFrame:
@@ -174,11 +179,14 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, classes: int = 819
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", held_out.alias("held_out"), words_of(F.col("text")).alias("words"))
-    coded = staged(
-        rows.select(ROW, "doc_id", "held_out", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(SHARDS)).cast("int").alias("shard"),
-                    F.transform("words", lambda w: _class(w, classes)).alias("classes")),
-        "classes", compression="zstd",
-    )
+    dealt = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(sum(SHARES)))
+    share = F.lit(len(SHARES) - 1)
+    for k in range(len(SHARES) - 2, -1, -1):
+        share = F.when(dealt < sum(SHARES[: k + 1]), k).otherwise(share)
+    coded = rows.select(ROW, "doc_id", "held_out", F.transform("words", lambda w: _class(w, classes)).alias("classes"), share.alias("share"))
+    path = new_path(spark, "classes")
+    coded.write.option("compression", "zstd").partitionBy("share").parquet(path)
+    coded = spark.read.schema(coded.schema).parquet(path)
     with_end = F.concat("words", F.array(F.lit(END)))
     words = staged(
         rows.filter("not held_out").select(F.explode(with_end).alias("word")).groupBy("word").agg(F.count("*").alias("c")), "words",
@@ -198,21 +206,22 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, classes: int = 819
     within = F.broadcast(spark.createDataFrame([(k, float(m)) for k, m in enumerate(mass)], "class int, mass double"))
     base_mass = n_all + DELTA * (n_words + 1)
 
-    def logs(joined: DataFrame) -> DataFrame:
-        """Sums by row; joined has __row, word, k (times), c and mass."""
-        c = F.coalesce("c", F.lit(0)) + DELTA
-        return joined.groupBy(ROW).agg(
-            F.sum("k").alias("tokens"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"),
-            F.sum(F.col("k") * F.log10(c / base_mass)).alias("base"), F.sum(F.col("k") * F.log10(c / F.col("mass"))).alias("inside"),
-        )
-
     hot = F.broadcast(words.filter(F.col("c") > n_all * hot_share).join(within, "class").select("word", "c", "mass"))
-    tokens = rows.select(ROW, F.explode(with_end).alias("word"))
-    common = logs(tokens.join(hot, "word").withColumn("k", F.lit(1)))
-    rare = tokens.join(hot, "word", "left_anti").groupBy(ROW, "word").agg(F.count("*").alias("k"))
-    rest = words.filter(F.col("c") <= n_all * hot_share).select("word", "c")
-    rare = rare.join(rest, "word", "left").withColumn("class", _class(F.col("word"), classes)).join(within, "class")
-    sums = common.unionByName(logs(rare)).groupBy(ROW).agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "inside")])
+    rest = words.filter(F.col("c") <= n_all * hot_share).select("word", F.col("c").alias("rare_c"))
+    logs = lambda c, mass: (F.log10((c + DELTA) / base_mass), F.log10((c + DELTA) / mass))
+    base, inside = logs(F.col("c"), F.col("mass"))
+    # a row's common words end in one sum, under a key that no word has and that is spread out for the join that follows
+    key = F.when(F.col("c").isNull(), F.col("word")).otherwise(F.concat(F.lit(END), (F.col(ROW) % 9973).cast("string")))
+    met = rows.select(ROW, F.explode(with_end).alias("word")).join(hot, "word", "left").groupBy(ROW, key.alias("word")).agg(
+        F.count("*").alias("k"), F.count("c").alias("hot"), F.sum(base).alias("hot_base"), F.sum(inside).alias("hot_inside")
+    )
+    met = met.join(rest, "word", "left").withColumn("class", F.when(F.col("hot") == 0, _class(F.col("word"), classes)).otherwise(0)).join(within, "class")
+    base, inside = logs(F.coalesce("rare_c", F.lit(0)), F.col("mass"))
+    rare = F.when(F.col("hot") == 0, F.col("k")).otherwise(0)
+    sums = met.groupBy(ROW).agg(
+        F.sum("k").alias("tokens"), F.sum(F.col("hot") + F.when(F.col("rare_c") > 0, rare).otherwise(0)).alias("known"),
+        F.sum(F.coalesce("hot_base", F.lit(0.0)) + rare * base).alias("base"), F.sum(F.coalesce("hot_inside", F.lit(0.0)) + rare * inside).alias("inside"),
+    )
     return coded.select(ROW, "doc_id", "held_out").join(sums, ROW).join(paths, ROW).select(
         "doc_id", "held_out", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), (F.col("path") + F.col("inside")).alias("score"),
