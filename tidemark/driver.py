@@ -5,8 +5,13 @@ Each text names its inputs in braces: spark.sql() gets DataFrames for them, the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 READS = """
 select sample_name, contig_name, read_id, qname, flag, pos, mapq,
   case k when 1 then concat(q, 'M') when 2 then concat('3S', q, 'M') when 3 then concat(q, 'M2I3M') when 4 then concat(q, 'M2D3M')
@@ -97,3 +102,11 @@ def oracle(name: str) -> str:
     for t in INPUTS:
         text = text.replace(f"{{{t}}}", t)
     return text
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
