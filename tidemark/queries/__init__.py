@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import genome, signals
+from . import files, genome, packaging, signals
 
 
 def queries() -> dict:
-    return signals.QUERIES | genome.QUERIES
+    return signals.QUERIES | genome.QUERIES | files.QUERIES | packaging.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return signals.SQL | genome.SQL
+    return signals.SQL | genome.SQL | files.SQL | packaging.SQL
