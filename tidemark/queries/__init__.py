@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import files, genome, packaging, signals
+from . import dataset, files, genome, packaging, signals
 
 
 def queries() -> dict:
-    return signals.QUERIES | genome.QUERIES | files.QUERIES | packaging.QUERIES
+    return signals.QUERIES | genome.QUERIES | files.QUERIES | packaging.QUERIES | dataset.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return signals.SQL | genome.SQL | files.SQL | packaging.SQL
+    return signals.SQL | genome.SQL | files.SQL | packaging.SQL | dataset.SQL
