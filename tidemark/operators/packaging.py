@@ -52,17 +52,30 @@ def parts(areas: DataFrame, reach: int = 0) -> DataFrame:
     return areas.select(*SIDE, "center", F.explode(pieces).alias("p")).select(*SIDE, "center", "p.start", "p.end").filter("start <= end")
 
 
+def log_factorial(k: Column) -> Column:
+    """ln k!: a sum up to 100, Stirling's series beyond, where it is exact to a double."""
+    k = k.cast("double")
+    plain = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(k, F.lit(100.0)), F.lit(1.0)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    series = k * F.log(k) - k + F.log(2 * F.pi() * k) / 2 + 1 / (12 * k) - 1 / (360 * k * k * k)
+    return F.when(k < 1, 0.0).when(k <= 100, plain).otherwise(series)
+
+
 def poisson_tail(mean: Column, observed: Column) -> Column:
-    """P(X >= observed) for a Poisson variable, in log space so that large means do not vanish; below 1,000 terms of the
-    upper tail or the lower sum, whichever is nearer, as later terms add nothing to a double."""
-    log_fact = lambda k: F.aggregate(F.sequence(F.lit(1), k.cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    first = observed * F.log(mean) - mean - F.when(observed > 0, log_fact(observed)).otherwise(0.0)
-    up = F.aggregate(F.sequence(F.lit(1), F.lit(1000)), F.struct(F.exp(first).alias("t"), F.exp(first).alias("s")),
-                     lambda a, i: F.struct((a.t * mean / (observed + i)).alias("t"), (a.s + a.t * mean / (observed + i)).alias("s"))).s
-    down_start = (observed - 1) * F.log(mean) - mean - F.when(observed > 1, log_fact(observed - 1)).otherwise(0.0)
-    down = F.aggregate(F.sequence(F.lit(1), F.lit(1000)), F.struct(F.exp(down_start).alias("t"), F.exp(down_start).alias("s")),
-                       lambda a, i: F.struct((a.t * F.greatest(observed - i, F.lit(0)) / mean).alias("t"), (a.s + a.t * F.greatest(observed - i, F.lit(0)) / mean).alias("s"))).s
-    return F.when(observed <= 0, 1.0).when(observed > mean, F.least(up, F.lit(1.0))).otherwise(F.greatest(1 - down, F.lit(0.0)))
+    """P(X >= observed) for a Poisson variable, in log space so that large means do not vanish.
+
+    The shorter of the upper tail and the lower sum is added up, over ten standard deviations and 1,000 terms more: what
+    lies beyond adds nothing to a double.
+    """
+    terms = F.sequence(F.lit(1), (F.sqrt(mean) * 10 + 1000).cast("int"))
+
+    def total(first: Column, factor) -> Column:
+        step = lambda a, i: F.struct((a.t * factor(i)).alias("t"), (a.s + a.t * factor(i)).alias("s"))
+        return F.aggregate(terms, F.struct(first.alias("t"), first.alias("s")), step).s
+
+    mass = lambda k: F.exp(k * F.log(mean) - mean - log_factorial(k))
+    upper = total(mass(observed), lambda i: mean / (observed + i))
+    lower = total(mass(observed - 1), lambda i: F.greatest(observed - i, F.lit(0)) / mean)
+    return F.when(observed <= 0, 1.0).when(observed > mean, F.least(upper, F.lit(1.0))).otherwise(F.greatest(1 - lower, F.lit(0.0)))
 
 
 def poisson_test(areas: DataFrame, termini: DataFrame, reduced: DataFrame, alpha: float = 0.05) -> DataFrame:
