@@ -25,20 +25,17 @@ def _trimmed(histogram: DataFrame, lo, hi) -> DataFrame:
     return histogram.groupBy(*PAIR).agg((F.sum(inside * F.col("value")) / F.sum(inside)).alias("coverage_trimmed"))
 
 
-def coverage_metrics(runs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Aligned and expected percent, mean, upper median, 5 % trimmed mean, variation and roughness of the depth, all
-    weighted by run length; bases without a run count as 0. contigs: contig_name, contig_length."""
-    bases = with_gaps(runs, contigs)
+def _depth_metrics(bases: DataFrame, steps: DataFrame, last, parts) -> DataFrame:
+    """Measures of bases (pair, value, len). steps: pair, steps, parts; last: end of the trimmed bases by `all`; parts: what
+    the number of bases is lessened by for the roughness."""
     sums = bases.groupBy(*PAIR).agg(
         F.sum("len").alias("n"), F.sum(F.when(F.col("value") > 0, F.col("len")).otherwise(0)).alias("covered"),
         F.sum(F.col("value") * F.col("len")).alias("s1"), F.sum(F.col("value") * F.col("value") * F.col("len")).alias("s2"),
     )
     order, all_ = Window.partitionBy(*PAIR).orderBy("value"), Window.partitionBy(*PAIR)
     histogram = bases.groupBy(*PAIR, "value").agg(F.sum("len").alias("n")).withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(all_)})
-    cut = F.floor(F.col("all") * 0.05)
-    trimmed = _trimmed(histogram, cut, F.col("all") - cut)
+    trimmed = _trimmed(histogram, F.floor(F.col("all") * 0.05), last)
     median = weighted_upper_median(bases, PAIR, "value", "len", "coverage_median")
-    steps = roughness_sum(runs, contigs)
     out = sums.join(median, PAIR).join(trimmed, PAIR).join(steps, PAIR)
     mean = F.col("s1") / F.col("n")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean))
@@ -46,10 +43,27 @@ def coverage_metrics(runs: DataFrame, contigs: DataFrame) -> DataFrame:
         *PAIR, F.col("n").alias("contig_length"), (100.0 * F.col("covered") / F.col("n")).alias("aligned_fraction"),
         (100 * (1 - F.exp(-0.883 * mean))).alias("expected_fraction"), mean.alias("coverage_mean"), "coverage_median", "coverage_trimmed",
         F.when(mean > 0, spread / mean).otherwise(0.0).alias("coverage_cv"),
-        F.when((mean > 0) & (F.col("n") > 1), F.sqrt(F.col("steps") / (F.col("n") - 1)) / mean).otherwise(0.0).alias("coverage_roughness"),
+        F.when((mean > 0) & (F.col("n") > parts), F.sqrt(F.col("steps") / (F.col("n") - parts)) / mean).otherwise(0.0).alias("coverage_roughness"),
     )
 
 
+def coverage_metrics(runs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Aligned and expected percent, mean, upper median, 5 % trimmed mean, variation and roughness of the depth, all
+    weighted by run length; bases without a run count as 0. contigs: contig_name, contig_length."""
+    return _depth_metrics(with_gaps(runs, contigs), roughness_sum(runs, contigs), F.col("all") - F.floor(F.col("all") * 0.05), F.lit(1))
+
+
+def mag_coverage(runs: DataFrame, members: DataFrame) -> DataFrame:
+    """The same of whole bins: all bases of all members, those without reads too. Steps from one contig to the next are not
+    counted in the roughness. members: mag_name, contig_name, contig_length."""
+    own = members.select("mag_name", "contig_name", "contig_length")
+    whole = own.groupBy("mag_name").agg(F.sum("contig_length").alias("contig_length")).withColumnRenamed("mag_name", "contig_name")
+    moved = runs.join(own.select("mag_name", "contig_name"), "contig_name").drop("contig_name").withColumnRenamed("mag_name", "contig_name")
+    steps = roughness_sum(runs, own).join(own.select("mag_name", "contig_name"), "contig_name").groupBy("sample_name", F.col("mag_name").alias("contig_name")).agg(F.sum("steps").alias("steps"), F.count("*").alias("parts"))
+    out = _depth_metrics(with_gaps(moved, whole), steps, F.ceil(F.col("all") * 0.95), F.col("parts"))
+    return out.withColumnsRenamed({"contig_name": "mag_name", "contig_length": "mag_length"})
+
+
 def roughness_sum(runs: DataFrame, contigs: DataFrame) -> DataFrame:
     """Sum of squared differences of neighbouring bases: they are at run edges only."""
     order = Window.partitionBy(*PAIR).orderBy("start")

@@ -160,4 +160,18 @@ def metrics_wide_report(spark: SparkSession, d: str) -> DataFrame:
     return metrics_wide(r.select("sample_name").distinct(), {"mapped": count("primary"), "unmapped": count("unmapped")}).fillna(0, ["unmapped_n"])
 
 
-QUERIES |= {f.__name__: f for f in (normalize_circular, drop_ghosts, smooth_runs, adaptive_rle, stitch_mag, inspect_window, mag_burden, mag_rpkm_tpm, visible_members, gene_map, check_feature)} | {"metrics_wide": metrics_wide_report}
+SQL["mag_coverage"] = runs_sql(depth_src("klass = 'primary'"), last=f""", {BINS},
+present as (select distinct sample_name, mag_name from depth join bins using (contig_name)), own as (select distinct sample_name, contig_name, true as has from depth),
+every as (select sample_name, mag_name, contig_name, unnest(range(1, contig_length + 1)) as p from present join bins using (mag_name)),
+b as (select e.*, coalesce(value, 0) as v, coalesce(has, false) as has from every e left join depth using (sample_name, contig_name, p) left join own using (sample_name, contig_name)),
+w as (select *, case when has then v - lag(v) over (partition by sample_name, contig_name order by p) end as step from b),
+a as (select sample_name, mag_name, count(*) as n, avg(v) as m, stddev_pop(v) as sd, count(*) filter (v > 0) as covered, list_sort(list(v)) as l, sum(step * step) as steps, count(distinct contig_name) filter (has) as parts from w group by all)
+select sample_name, mag_name, n::bigint as mag_length, round(100.0 * covered / n, 4) as aligned_fraction, round(m, 4) as coverage_mean, l[n // 2 + 1]::bigint as coverage_median, round(list_avg(l[floor(n * 0.05)::bigint + 1:ceil(n * 0.95)::bigint]), 4) as coverage_trimmed, round(sd / m, 4) as coverage_cv, round(sqrt(steps / (n - parts)) / m, 4) as coverage_roughness from a""")
+
+
+def mag_coverage(spark: SparkSession, d: str) -> DataFrame:
+    out = M.mag_coverage(depth_runs(spark, d), bins(spark, d)).drop("expected_fraction")
+    return rounded(out, "aligned_fraction", "coverage_mean", "coverage_trimmed", "coverage_cv", "coverage_roughness", digits=4)
+
+
+QUERIES |= {f.__name__: f for f in (normalize_circular, drop_ghosts, smooth_runs, adaptive_rle, stitch_mag, inspect_window, mag_burden, mag_rpkm_tpm, mag_coverage, visible_members, gene_map, check_feature)} | {"metrics_wide": metrics_wide_report}
