@@ -9,7 +9,8 @@ from tidemark import queries as engine
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["signal_primary_reads", "mean_mapq", "mismatches", "coverage_metrics", "gc_windows", "duplication_pct", "mag_offsets", "covering_cds", "nearest_gene", "filter_pairs", "histogram", "metric_matrix", "zoom_dense",
-         "sam_scan", "gff3_scan", "blast6_scan", "metadata_scan", "peak_areas", "packaging_mechanisms", "normalize_circular", "drop_ghosts", "stitch_mag", "inspect_window", "mag_burden", "gene_map", "check_feature"]
+         "sam_scan", "gff3_scan", "blast6_scan", "metadata_scan", "peak_areas", "packaging_mechanisms", "normalize_circular", "drop_ghosts", "stitch_mag", "inspect_window", "mag_burden", "gene_map", "check_feature",
+         "all_samples", "mag_dots", "summary_report", "slice_with_anchors", "bars_filter", "cds_parents", "add_metadata"]
 
 
 def rows(frame):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import query as Q
 from tidemark.operators import views as V
 
 RULES = [{"key": "product", "mode": "exact", "value": "tail", "color": "#111111"}, {"key": "product", "mode": "has", "value": "a", "color": "#222222"}]
@@ -20,3 +21,13 @@ def test_samples_dots_translations_report(spark):
     report = V.summary_report(members.select("contig_name", "contig_length"), {"depth": runs.groupBy("sample_name", "contig_name").agg(F.sum("value").alias("v"))}, members, "c2")
     assert [r.contig_name for r in report["members"].collect()] == ["c1", "c2"] and report["depth"].count() == 1 and [r.contig_length for r in report["subject"].collect()] == [80]
     assert V.inspect({"depth": runs}, members, ["c1"], ["s1"], 4, 7).orderBy("start").select("start", "end", "value").collect() == [(4, 5, 4.0), (6, 7, 7.0)]
+
+
+def test_slice_with_anchors(spark):
+    rows = [("s", "c", 2, 2.0), ("s", "c", 6, 3.0), ("s", "c", 10, 4.0), ("t", "c", 3, 5.0), ("t", "c", 8, 5.0), ("t", "c", 10, 1.0), ("u", "c", 1, 9.0)]
+    events = spark.createDataFrame(rows, "sample_name string, contig_name string, pos long, value double")
+    got = Q.slice_with_anchors(events, ["sample_name", "contig_name"], 5, 8).orderBy("sample_name", "pos").collect()
+    by = lambda s: [(r.pos, r.value) for r in got if r.sample_name == s]
+    assert by("s") == [(1, 0.0), (2, 2.0), (3, 0.0), (5, 0.0), (6, 3.0), (7, 0.0), (9, 0.0), (10, 4.0), (11, 0.0)]
+    assert by("t") == [(2, 0.0), (3, 5.0), (8, 5.0), (9, 0.0)]  # equal values that stand alone: one plateau
+    assert by("u") == [(1, 9.0), (2, 0.0)]

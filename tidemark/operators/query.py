@@ -155,15 +155,25 @@ def region(runs: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def slice_with_anchors(events: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
-    """Events in the window with one neighbour at each side, and zeros beside each event, where no event is."""
+    """Events from the last one up to start to the first one from end on, with zeros beside gaps and at both ends.
+
+    A gap between two equal values gets no zeros if both stand alone: they are the ends of one plateau. Bounds come from
+    one aggregate; the window sorts only what is left between them.
+    """
+    at, value = F.col("pos"), F.col("value")
+    bounds = events.groupBy(*keys).agg(
+        F.coalesce(F.max(F.when(at <= start, at)), F.min(at)).alias("lo"), F.coalesce(F.min(F.when(at >= end, at)), F.max(at)).alias("hi")
+    )
+    own = events.select(*keys, "pos", value.cast("double").alias("value")).join(bounds, keys).filter(at.between(F.col("lo"), F.col("hi")))
     order = Window.partitionBy(*keys).orderBy("pos")
-    near = events.withColumns({"prev": F.lag("pos").over(order), "next": F.lead("pos").over(order)})
-    own = near.filter(F.col("pos").between(start, end) | F.col("next").between(start, end) | F.col("prev").between(start, end)
-                      | ((F.col("pos") < start) & (F.col("next") > end)) | ((F.col("pos") > end) & (F.col("prev") < start)))
-    points = own.select(*keys, F.explode(F.array(
-        F.struct((F.col("pos") - 1).alias("pos"), F.lit(0.0).alias("value")), F.struct("pos", F.col("value").cast("double").alias("value")), F.struct((F.col("pos") + 1).alias("pos"), F.lit(0.0).alias("value")),
-    )).alias("p")).select(*keys, "p.*")
-    return points.filter("pos >= 1").groupBy(*keys, "pos").agg(F.max("value").alias("value"))
+    near = own.withColumns({"p1": F.lag("pos").over(order), "p2": F.lag("pos", 2).over(order), "v1": F.lag("value").over(order), "n1": F.lead("pos").over(order)})
+    p1, dense = F.col("p1"), lambda a, b: F.coalesce(b == a + 1, F.lit(False))
+    zeros = F.coalesce((at > p1 + 1) & ((value != F.col("v1")) | dense(F.col("p2"), p1) | dense(at, F.col("n1"))), F.lit(False))
+    zero = lambda when, pos: F.when(when, F.struct(pos.alias("pos"), F.lit(0.0).alias("value")))
+    points = F.array(
+        zero(zeros & (at > p1 + 2), p1 + 1), zero(zeros | (p1.isNull() & (at > 1)), at - 1), F.struct("pos", "value"), zero(F.col("n1").isNull(), at + 1),
+    )
+    return near.select(*keys, F.inline(F.array_compact(points)))
 
 
 def bars_filter(runs: DataFrame, coverage: DataFrame, keys: list[str], ratio: float) -> DataFrame:

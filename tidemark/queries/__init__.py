@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import coding, dataset, files, genome, packaging, signals
+from . import coding, dataset, files, genome, packaging, signals, viewer
 
 
 def queries() -> dict:
-    return signals.QUERIES | genome.QUERIES | files.QUERIES | packaging.QUERIES | dataset.QUERIES | coding.QUERIES
+    return signals.QUERIES | genome.QUERIES | files.QUERIES | packaging.QUERIES | dataset.QUERIES | coding.QUERIES | viewer.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return signals.SQL | genome.SQL | files.SQL | packaging.SQL | dataset.SQL | coding.SQL
+    return signals.SQL | genome.SQL | files.SQL | packaging.SQL | dataset.SQL | coding.SQL | viewer.SQL

@@ -155,8 +155,8 @@ FILTER_SQL = f"{PAIR_SQL}, {base('annotations')}, {base('qualifiers')}, tagged a
 query("filter_pairs", f"with {FILTER_SQL} select * from kept")(lambda spark, d: V.combine(_parts(spark, d), ["AND", "OR", "OR"]))
 query("filter_counts", f"with {FILTER_SQL} select count(*)::bigint as n_pairs, count(distinct contig_name)::bigint as n_contigs, count(distinct sample_name)::bigint as n_samples from kept")(lambda spark, d: V.filter_counts(V.combine(_parts(spark, d), ["AND", "OR", "OR"])))
 query("search_names", "select p_name from (select distinct p_name, p_name = (select min(p_name) from part) as f from part where p_name ilike '%a%') order by p_name limit 100")(lambda spark, d: V.search_names(t(spark, d, "part"), "p_name", "a"))
-query("order_samples", f"with {PAIR_SQL}, m as (select contig_name, max(value) as value from metric where sample_name = 'NO' group by all), s as (select distinct contig_name from cov) select contig_name as sample_name, value from s left join m using (contig_name) order by value desc nulls last, sample_name limit 12")(
-    lambda spark, d: (lambda m: V.top_samples(m.select(F.col("contig_name").alias("sample_name")).distinct(), m.filter("sample_name = 'NO'").groupBy("contig_name").agg(F.max("value").alias("value")).withColumnRenamed("contig_name", "sample_name"), "value", 12, False))(metric(spark, d)))
+query("order_samples", f"with {PAIR_SQL}, m as (select contig_name, max(value) as value from metric where sample_name = 'NO' group by all), s as (select distinct contig_name from cov) select contig_name as sample_name, value::double as value from s left join m using (contig_name) order by value desc nulls last, sample_name limit 12")(
+    lambda spark, d: (lambda m: V.top_samples(m.select(F.col("contig_name").alias("sample_name")).distinct(), m.filter("sample_name = 'NO'").groupBy("contig_name").agg(F.max("value").alias("value")).withColumnRenamed("contig_name", "sample_name"), "value", 12, False).withColumn("value", F.col("value").cast("double")))(metric(spark, d)))
 query("histogram", "with s as (select min(o_totalprice) lo, max(o_totalprice) hi, least(50, count(*)) n from orders) select least(floor((o_totalprice - lo) / ((hi - lo) / n)), n - 1)::bigint as bin, count(*)::bigint as n from orders, s group by 1")(lambda spark, d: V.histogram(t(spark, d, "orders"), "o_totalprice"))
 query("histogram_log", "with s as (select min(log10(o_totalprice)) lo, max(log10(o_totalprice)) hi, least(20, count(*)) n from orders) select least(floor((log10(o_totalprice) - lo) / ((hi - lo) / n)), n - 1)::bigint as bin, count(*)::bigint as n from orders, s group by 1")(lambda spark, d: V.histogram(t(spark, d, "orders"), "o_totalprice", 20, True))
 query("value_counts", "select p_brand, count(*)::bigint as n from part group by all")(lambda spark, d: V.value_counts(t(spark, d, "part"), "p_brand"))

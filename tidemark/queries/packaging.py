@@ -11,7 +11,7 @@ from ..driver import derived
 from ..operators import packaging as P
 from ..operators import signals as S
 from .genome import rounded
-from .signals import PRELUDE, SIGNALS, reads
+from .signals import PRELUDE, SIGNALS, longs, reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,11 +65,11 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def terminus_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return candidates(spark, d)[2].select(*P.SIDE, "pos", "n", F.col("depth").cast("long").alias("depth"))
+    return longs(candidates(spark, d)[2].select(*P.SIDE, "pos", "n", "depth"), "pos", "depth")
 
 
 def peak_areas(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.peak_areas(candidates(spark, d)[2], rings(spark, d)), "tau").drop("contig_length", "circular")
+    return longs(rounded(P.peak_areas(candidates(spark, d)[2], rings(spark, d)), "tau").drop("contig_length", "circular"), "start", "end", "center")
 
 
 def tested(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def tested(spark: SparkSession, d: str) -> DataFrame:
 
 
 def poisson_test(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(tested(spark, d).select(*P.SIDE, "center", "expected", "p_value", "significant"), "expected", "p_value")
+    return longs(rounded(tested(spark, d).select(*P.SIDE, "center", "expected", "p_value", "significant"), "expected", "p_value"), "center")
 
 
 def packaging_mechanisms(spark: SparkSession, d: str) -> DataFrame:

@@ -133,34 +133,38 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def depth_of(r: DataFrame) -> DataFrame:
     return S.signal(r, "primary_reads")
 
 
 query("insertions", f"with {PRELUDE} select sample_name, contig_name, ref_start as pos, {STATS} from reads r join ops o using (read_id) where op = 'I' and klass = 'primary' group by all")(
-    lambda spark, d: rounded(S.insertions(reads(spark, d)), "mean_len", "std_len"))
+    lambda spark, d: longs(rounded(S.insertions(reads(spark, d)), "mean_len", "std_len"), "pos", "median_len"))
 query("deletion_lengths", f"with {PRELUDE} select sample_name, contig_name, ref_start + 1 as pos, {STATS} from reads r join ops o using (read_id) where op = 'D' and klass = 'primary' group by all")(
-    lambda spark, d: rounded(S.deletion_lengths(reads(spark, d)), "mean_len", "std_len"))
+    lambda spark, d: longs(rounded(S.deletion_lengths(reads(spark, d)), "mean_len", "std_len"), "pos", "median_len"))
 query("clippings", f"with {PRELUDE}, {CLIPS} select sample_name, contig_name, side, pos, {STATS} from clips group by all")(
-    lambda spark, d: rounded(S.clippings(reads(spark, d)), "mean_len", "std_len"))
-query("mismatches", f"with {PRELUDE}, {MISMATCH} select * from mmc")(lambda spark, d: S.mismatches(reads(spark, d)))
+    lambda spark, d: longs(rounded(S.clippings(reads(spark, d)), "mean_len", "std_len"), "pos", "median_len"))
+query("mismatches", f"with {PRELUDE}, {MISMATCH} select * from mmc")(lambda spark, d: longs(S.mismatches(reads(spark, d)), "pos"))
 query("dominant_base", f"""with {PRELUDE}, {DEPTH}, {MISMATCH},
 best as (select *, list_max([{{'n': n_a, 'base': 'A'}}, {{'n': n_c, 'base': 'C'}}, {{'n': n_g, 'base': 'G'}}, {{'n': n_t, 'base': 'T'}}]) as b from mmc)
 select sample_name, contig_name, pos, b.base as base, b.n as n, round(b.n / depth, 6) as prevalence from best join cov using (sample_name, contig_name, pos) where b.n > 0 and b.n * 100 >= depth * 10.0""")(
-    lambda spark, d: (lambda r: rounded(S.dominant_base(S.mismatches(r), depth_of(r)), "prevalence"))(reads(spark, d)))
+    lambda spark, d: (lambda r: longs(rounded(S.dominant_base(S.mismatches(r), depth_of(r)), "prevalence"), "pos"))(reads(spark, d)))
 query("dominant_clip_sequence", f"""with {PRELUDE}, {DEPTH}, {CLIPS},
 c as (select sample_name, contig_name, side, pos, sequence, count(*)::bigint as k from clips where sequence <> '' group by all),
 b as (select *, row_number() over (partition by sample_name, contig_name, side, pos order by k desc, sequence desc) as r from c)
 select sample_name, contig_name, side, pos, sequence, k as n, round(k / depth, 6) as prevalence from b join cov using (sample_name, contig_name, pos) where r = 1 and k * 100 >= depth * 10.0""")(
-    lambda spark, d: (lambda r: rounded(S.dominant_sequence(S.clip_events(r), depth_of(r), ("side",)), "prevalence"))(reads(spark, d)))
+    lambda spark, d: (lambda r: longs(rounded(S.dominant_sequence(S.clip_events(r), depth_of(r), ("side",)), "prevalence"), "pos"))(reads(spark, d)))
 query("significant_clips", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, c as (select sample_name, contig_name, side, pos, count(*)::bigint as n from clips group by all)
 select sample_name, contig_name, side, pos, n, depth, round(n / depth, 6) as prevalence from c join cov using (sample_name, contig_name, pos) where n >= 2 and n * 100 >= depth * 10.0""")(
-    lambda spark, d: (lambda r: rounded(S.significant_events(S.clippings(r).select(*PAIR, "side", "pos", "n"), depth_of(r)), "prevalence").withColumn("depth", F.col("depth").cast("long")))(reads(spark, d)))
+    lambda spark, d: (lambda r: longs(rounded(S.significant_events(S.clippings(r).select(*PAIR, "side", "pos", "n"), depth_of(r)), "prevalence"), "pos", "depth"))(reads(spark, d)))
 query("read_termini", f"""with {PRELUDE}, t as (
   select sample_name, contig_name, 'reads_starts' as kind, s as pos, begin_event as ev from edges where not reverse and begin_event is not null
   union all select sample_name, contig_name, 'reads_ends', e, finish_event from edges where reverse and finish_event is not null)
 select sample_name, contig_name, kind, pos, count(*)::bigint as n, list_sort(list(ev))[count(*) // 2 + 1]::int as event from t group by all""")(
-    lambda spark, d: S.read_termini(reads(spark, d)))
+    lambda spark, d: longs(S.read_termini(reads(spark, d)), "pos"))
 query("clipped_ratio", f"""with {PRELUDE}, c as (select sample_name, contig_name, count(*)::bigint as n_primary, sum(case when case when reverse then finish_event else begin_event end is not null then 1 else 0 end)::bigint as n_clean from edges where e >= s group by all)
 select *, round(case when n_clean = 0 then 1.0 else greatest(0.0, (n_primary - n_clean) / n_clean) end, 6) as clipped_ratio from c""")(
     lambda spark, d: rounded(S.clipped_ratio(reads(spark, d)), "clipped_ratio"))
@@ -261,6 +265,6 @@ query("side_misassembly", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, {CLIP_PREV},
 c as (select * from cp join short_contigs using (contig_name) where prevalence >= 0.05),
 l as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from c where side = 'left' and median_len > pos - 1) where k = 1),
 r as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from c where side = 'right' and median_len > contig_length - pos) where k = 1)
-select coalesce(l.sample_name, r.sample_name) as sample_name, coalesce(l.contig_name, r.contig_name) as contig_name, l.pos as left_pos, round(l.prevalence, 6) as left_prevalence, r.pos as right_pos, round(r.prevalence, 6) as right_prevalence
+select coalesce(l.sample_name, r.sample_name) as sample_name, coalesce(l.contig_name, r.contig_name) as contig_name, l.pos::double as left_pos, round(l.prevalence, 6) as left_prevalence, r.pos::double as right_pos, round(r.prevalence, 6) as right_prevalence
 from l full join r on l.sample_name = r.sample_name and l.contig_name = r.contig_name""")(
-    lambda spark, d: rounded(M.side_misassembly(clip_prevalence(reads(spark, d)), derived(spark, d, "short_contigs"), 0.05), "left_prevalence", "right_prevalence"))
+    lambda spark, d: rounded(M.side_misassembly(clip_prevalence(reads(spark, d)), derived(spark, d, "short_contigs"), 0.05), "left_prevalence", "right_prevalence").withColumns({c: F.col(c).cast("double") for c in ("left_pos", "right_pos")}))
