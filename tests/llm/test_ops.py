@@ -269,3 +269,10 @@ def test_pipeline_keeps_clean_rows(spark):
         assert after <= before and len(after) > 0.5 * len(before)
         before = after
     assert {r.doc_id for r in p.pack_sequences(spark, docs, sf).select("doc_id").collect()} == before
+
+
+def test_line_dedup_keeps_clashing_columns_and_long_repeats(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc\n" * 20000, 7), (2, "x\ny", 8)], "doc_id long, text string, lines int")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert out[1].text == "a\nb\nc\n" and out[1].n_removed == 59997  # the first copy of each window stays
+    assert out[1].lines == 7 and out[2].text == "x\ny" and out[2].n_removed == 0

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-ROW = "__row"
+ROW, CUT, GONE = "__row", "__cut", "__gone"
 
 
 def _lines(text: str = "text") -> Column:
@@ -39,25 +39,27 @@ def windows_of(docs: DataFrame) -> DataFrame:
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """__row and lines, the positions to remove, for the rows that have any."""
+    """__row and __gone, the positions to remove, for the rows that have any."""
     windows = staged(windows_of(docs), "windows")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), ROW, "pos")).alias("first"))
     again = first.filter("n > 1").select("h1", "h2", "first")
     later = windows.join(again, ["h1", "h2"]).filter(~((F.col(ROW) == F.col(f"first.{ROW}")) & (F.col("pos") == F.col("first.pos"))))
     return later.groupBy(ROW).agg(F.collect_set("pos").alias("starts")).select(
-        ROW, F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(p, p + 1, p + 2)))).alias("lines")
+        ROW, F.array_distinct(F.flatten(F.transform("starts", lambda p: F.array(p, p + 1, p + 2)))).alias(GONE)
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text cleaned, and n_lines and n_removed."""
     rows = docs.drop("n_lines", "n_removed").withColumn(ROW, F.monotonically_increasing_id())
-    joined = rows.join(covered_lines(rows), ROW, "left")
-    lines = _lines()
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("lines"), i))
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    # the lines are cut before the join: above it they are a column, so picking one by its number takes no new cut
+    cut = rows.withColumn(CUT, _lines()).drop("text")
+    joined = cut.join(covered_lines(rows), ROW, "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(CUT) - 1), F.col(GONE))
+    kept = F.transform(left, lambda i: F.get(F.col(CUT), i))
+    text = F.array_join(F.when(F.col(GONE).isNull(), F.col(CUT)).otherwise(kept), "\n")
     return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.when(F.col("text").isNull() | F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long"),
+        "n_lines": F.when(F.col(CUT).isNull(), 0).otherwise(F.size(CUT)).cast("long"),
+        "n_removed": F.when(F.col(GONE).isNull(), 0).otherwise(F.size(GONE)).cast("long"),
         "text": text,
-    }).drop(ROW, "lines")
+    }).select(*[c for c in rows.columns if c != ROW], "n_lines", "n_removed")
