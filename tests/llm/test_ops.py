@@ -211,6 +211,32 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_scattered_edits(spark, docs):
+    rng = np.random.default_rng(12)
+    items = [[f"q{i}x{k}" for k in range(n)] for i, n in enumerate((30, 40, 59, 100, 200))]
+
+    def edit(item, share):
+        return [f"new{k}" if k in set(rng.choice(len(item), int(share * len(item)), replace=False)) else w for k, w in enumerate(item)]
+
+    def six(item):  # one copy alone, six single words edited
+        return [f"new{k}" if k in (4, 9, 14, 19, 24, 28) else w for k, w in enumerate(item)]
+
+    copies = [six(items[0]), items[1], edit(items[1], 0.2), edit(items[2], 0.15), edit(items[2], 0.1), items[3][:60], edit(items[3], 0.1), edit(items[4], 0.05)]
+    # all rare shared n-grams in a short quotation, and the copy elsewhere with n-grams that many documents have
+    copies += [items[4][:20] + ["far"] * 500 + items[4][20:140]] + [items[4][20:60]] * 3 + [items[4][60:100]] * 3 + [items[4][100:140]] * 3
+    rows = docs + ODD + [(500 + i, text(rng, 30) + " " + " ".join(c) + " " + text(rng, 9)) for i, c in enumerate(copies)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    code = {w: i for i, w in enumerate({w for _, t in rows for w in (t or "").split()} | {w for x in items for w in x})}
+    coded = lambda words: np.array([code[w] for w in words], np.int64)
+    want = {}
+    for d, t in rows:
+        for i, x in enumerate(items):
+            if d is not None and d >= 500 and (score := decontam.align(coded(x), coded(t.split()))[0] / (2 * len(x))) >= 0.5:
+                want[d, i] = score
+    assert got == want and set(want) == {(500, 0), (501, 1), (502, 1), (503, 2), (504, 2), (505, 3), (506, 3), (507, 4), (508, 4)}
+
+
 def test_alignment_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(30):

@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits in lower case. A first pass over the documents finds which word n-grams of the test
-items occur where, and counts them; only documents with such an n-gram are kept. Of each item, the `seeds` n-grams that
-are rarest in the corpus (counted over all documents) are its seeds. Around the seeds of an item in a document, the text
-is aligned to the item (match 2, mismatch -1, gap -1); the best score divided by that of the whole item is the passage's
-score. Items are handled in blocks of a fixed number of items, each sent to all tasks.
+items occur where, and counts them; only documents with such an n-gram are kept. Of the n-grams that an item and a
+document share, the `seeds` that are rarest in the corpus (counted over all documents) are the pair's seeds. Around them
+the text is aligned to the item (match 2, mismatch -1, gap -1), then around the other shared n-grams; the best score
+divided by that of the whole item is the passage's score. A passage is left out only if it can't reach the threshold, or
+the best score so far, whatever its order: its score is at most the share of the item's words that it holds. Items are
+handled in blocks of a fixed number of items, each sent to all tasks.
 
 Edge cases: null and empty texts, and items without words, match nothing; items shorter than n words are one seed each;
 repeated items and rows match each; very common passages are found too, as rarity only ranks the n-grams of one item;
@@ -49,15 +51,14 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
 class _Seeds:
     """n-grams of a block of items: hash to the items and places that have it."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], n: int, chosen: dict[int, set] | None = None):
+    def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
         self.items, self.n = items, n
         where: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(items):
             m = min(n, len(words))
             if m:
                 for at, h in enumerate(grams(words, m).tolist()):
-                    if chosen is None or h in chosen[k]:
-                        where.setdefault((m, h), []).append((k, at))
+                    where.setdefault((m, h), []).append((k, at))
         self.where = where
         self.sizes = sorted({m for m, _ in where})
         self.sorted = {m: np.array(sorted(h for s, h in where if s == m), np.uint64) for m in self.sizes}
@@ -65,6 +66,13 @@ class _Seeds:
         for m, hs in self.sorted.items():
             self.bits[m] = np.zeros(1 << 20, bool)
             self.bits[m][(hs >> np.uint64(44)).astype(np.int64)] = True
+        self.vocabulary = np.unique(np.concatenate([words for _, words in items]))
+        self.numbers = [np.searchsorted(self.vocabulary, words) for _, words in items]
+
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """The words' numbers in the items' vocabulary; its size for others."""
+        k = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[k] == words, k, len(self.vocabulary))
 
     def hits(self, words: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the n-grams of size m that items have."""
@@ -107,31 +115,57 @@ def _find(frames: Iterator[pd.DataFrame], seeds: _Seeds) -> Iterator[pd.DataFram
             yield pd.DataFrame(rows, columns=["doc_id", "words", "found"]).astype({"doc_id": "Int64"})
 
 
-def _judge(frames: Iterator[pd.DataFrame], seeds: _Seeds, threshold: float) -> Iterator[pd.DataFrame]:
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _judge(frames: Iterator[pd.DataFrame], every: _Seeds, counts: dict[int, int], seeds: int, threshold: float) -> Iterator[pd.DataFrame]:
+    has = np.zeros(len(every.vocabulary) + 1, bool)
+
+    def most(k: int, own: np.ndarray) -> float:
+        """What an alignment of item k to these words can reach."""
+        has[own] = True
+        has[-1] = False
+        share = float(has[every.numbers[k]].mean())
+        has[own] = False
+        return share
+
     for pdf in frames:
         rows = []
         for doc, words in zip(pdf["doc_id"], pdf["words"]):
             words = np.asarray(words, np.int64)
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for m in seeds.sizes:
-                for at, h in zip(*(x.tolist() for x in seeds.hits(words, m))):
-                    for k, place in seeds.where[m, h]:
-                        n = len(seeds.items[k][1])
-                        spans.setdefault(k, []).append((max(0, at - place - n // 2 - 2), min(len(words), at - place + n + n // 2 + 2)))
+            numbers = every.numbered(words)
+            spans: dict[int, dict[int, list[tuple[int, int]]] | None] = {}
+            for m in every.sizes:
+                for at, h in zip(*(x.tolist() for x in every.hits(words, m))):
+                    for k, place in every.where[m, h]:
+                        if k not in spans:
+                            spans[k] = {} if most(k, numbers) >= threshold else None
+                        if spans[k] is not None:
+                            n = len(every.items[k][1])
+                            spans[k].setdefault(h, []).append((max(0, at - place - n // 2 - 2), min(len(words), at - place + n + n // 2 + 2)))
             for k, own in spans.items():
-                item_id, item = seeds.items[k]
-                best, merged = (0.0, 0, 0), []
-                for a, b in sorted(own):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    for c in range(a, b, 4096):  # a passage that repeats without end: windows that overlap by the item
-                        part = words[c : min(b, c + 4096 + 2 * len(item))]
-                        score, end = align(item, part)
-                        if score / (2 * len(item)) > best[0]:
-                            best = (score / (2 * len(item)), c + end, 0)
+                if own is None:
+                    continue
+                item_id, item = every.items[k]
+                best = (0.0, 0)
+                ranked = sorted(own, key=lambda h: (counts[h], h))
+                for hs in (ranked[:seeds], ranked[seeds:]):
+                    for a, b in _merged([span for h in hs for span in own[h]]):
+                        for c in range(a, b, 4096):  # a passage that repeats without end: windows that overlap by the item
+                            end = min(b, c + 4096 + 2 * len(item))
+                            reach = most(k, numbers[c:end])
+                            if reach < threshold or reach <= best[0]:
+                                continue
+                            score, at = align(item, words[c:end])
+                            if score / (2 * len(item)) > best[0]:
+                                best = (score / (2 * len(item)), c + at)
                 if best[0] >= threshold:
                     rows.append((doc, item_id, best[0], max(0, best[1] - len(item)), min(len(item), best[1])))
         if rows:
@@ -156,8 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int =
         near = staged(corpus.mapInPandas(partial(_find, seeds=every), "doc_id long, words array<long>, found array<long>"), "near")
         # at most a row for each n-gram of the block
         counts = {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in near.select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("n")).collect()}
-        chosen = {k: set(sorted(set(grams(w, min(n, len(w))).tolist()), key=lambda h: (counts.get(h, 0), h))[:seeds]) for k, (_, w) in enumerate(own)}
-        out.append(near.select("doc_id", "words").mapInPandas(partial(_judge, seeds=_Seeds(own, n, chosen), threshold=threshold), OUT))
+        out.append(near.select("doc_id", "words").mapInPandas(partial(_judge, every=every, counts=counts, seeds=seeds, threshold=threshold), OUT))
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], OUT)
 
 
