@@ -64,6 +64,24 @@ def test_spread_equals_power_iteration(spark):
     assert all(abs(got[name(h)] - v) < 1e-9 for h, v in want.items())
 
 
+def test_spread_settles_on_chains_and_cycles(spark):
+    # four blocked sites behind a hub, a chain of 11 hosts before it, and a cycle that links to a blocked site
+    links = {f"c{i}": [f"c{i + 1}"] for i in range(1, 11)} | {"c11": ["hub"], "hub": ["b0", "b1", "b2", "b3"], "r0": ["r1"], "r1": ["r2", "b4"], "r2": ["r0"], "b0": [], "b1": [], "b2": [], "b3": [], "b4": []}
+    url = lambda h: f"http://{h}.com/de/a" if h[0] == "b" else f"http://{h}.net/"
+    site = lambda h: url(h).split("/")[2]
+    pages = spark.createDataFrame([(i, url(h), "".join(f'<a href="//{site(x)}/">' for x in to)) for i, (h, to) in enumerate(links.items())], "page_id long, url string, html string")
+    at = {h: i for i, h in enumerate(links)}
+    back = np.zeros((len(at), len(at)))
+    for h, to in links.items():
+        for x in to:
+            back[at[h], at[x]] = 1 / sum(x in y for y in links.values())
+    want = np.linalg.solve(np.eye(len(at)) - 0.85 * back, np.array([float(h[0] == "b") for h in at]))
+    got = {r.host: r.distrust for r in url_filter.host_scores(pages).collect()}
+    assert all(abs(got.get(site(h), 0.0) - want[i]) < 1e-5 for h, i in at.items())
+    verdicts = {r.host: r.verdict for r in url_filter.filter_urls(pages).collect()}
+    assert {h for h in at if verdicts[site(h)] == "block"} == {h for h, i in at.items() if want[i] > 0.5} and verdicts["c1.net"] == "block"
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><header>site</header><nav><a href=x>menu</a></nav><div class="cookie-notice">Accept</div>
       <article><h1>Head &amp; line</h1><p>First,\n para <b>bold</b>.<p>Second &lt;one&gt;<br>goes on</article>

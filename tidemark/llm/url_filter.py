@@ -11,7 +11,7 @@ Input columns other than page_id, url and html are ignored, whatever they are ca
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +27,9 @@ RULES = (
     ("block", "com/de/"),
 )
 
+#: Rounds between two writes.
+TOGETHER = 5
+
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -70,11 +73,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, max_iter: int = 10, tol: float = 1e-6) -> DataFrame:
+def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, max_iter: int | None = None, tol: float = 1e-6) -> DataFrame:
     """host, trust, distrust: the sums of damping**k times what k links bring, in units of a seed of 1.
 
-    Each round joins the mass that is still moving to the edges (a row for each host pair) and sums it by host; the mass
-    is written to the shared folder after each round. It ends when less than tol moves, or after max_iter rounds.
+    A round joins the scores to the edges (a row for each host pair), sums them by host and adds the seeds; the scores are
+    written to the shared folder every few rounds. It ends when less than tol came in since the last time, which the
+    damping brings about in a number of rounds known from the start (about 95 for a mass of 1), or after max_iter rounds.
     """
     seeds = judged(pages, rules).filter("host <> ''").groupBy("host").agg(
         F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trust"),
@@ -89,25 +93,29 @@ def host_scores(pages: DataFrame, rules=RULES, damping: float = 0.85, max_iter:
         F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), (F.col("n") / F.col("all")).alias("w")
     )
     moving = seeded.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, r)")).filter("r > 0")
-    steps = [moving.select("kind", "host", "r")]
+    mass = moving = moving.select("kind", "host", "r")
     if not edges.isEmpty():
         ways = staged(out.unionByName(back), "host-ways")
-        for _ in range(max_iter):
-            moved = (
-                steps[-1].withColumnRenamed("host", "a").join(ways, ["kind", "a"])
-                .groupBy("kind", F.col("b").alias("host")).agg((damping * F.sum(F.col("r") * F.col("w"))).alias("r"))
-            )
-            steps.append(staged(moved, "host-mass"))
-            if (steps[-1].agg(F.sum("r")).first()[0] or 0.0) < tol:
-                break
-    mass = reduce(DataFrame.unionByName, steps)
+        before = moving.agg(F.sum("r")).first()[0] or 0.0
+        # damping**k of the seeds moves in round k, and all of the rounds from k on bring that / (1 - damping)
+        rounds = max(0, math.ceil(math.log(tol * (1 - damping) / before) / math.log(damping))) + 2 * TOGETHER if before > 0 else 0
+        left, came = rounds if max_iter is None else max_iter, before
+        while left > 0 and came >= tol:
+            for _ in range(min(TOGETHER, left)):
+                brought = mass.withColumnRenamed("host", "a").join(ways, ["kind", "a"]).select("kind", F.col("b").alias("host"), (damping * F.col("r") * F.col("w")).alias("r"))
+                mass = moving.unionByName(brought).groupBy("kind", "host").agg(F.sum("r").alias("r"))
+            mass, left = staged(mass, "host-mass"), left - TOGETHER
+            after = mass.agg(F.sum("r")).first()[0] or 0.0
+            before, came = after, after - before
+        if max_iter is None and came >= tol:
+            raise RuntimeError(f"{came} still moves between hosts after {rounds} rounds")
     return mass.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("r")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("r")).otherwise(0.0)).alias("distrust"),
     )
 
 
-def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, max_iter: int = 10) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, threshold: float = 0.5, damping: float = 0.85, max_iter: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every page: the rule's verdict, else block where the host's distrust is
     more than its trust plus threshold, else allow."""
     blocked = host_scores(pages, rules, damping, max_iter).filter(F.col("distrust") - F.col("trust") > threshold).select("host", F.lit("block").alias("spread"))
