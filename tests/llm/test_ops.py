@@ -287,6 +287,10 @@ def test_forward_and_counts_over_all_paths():
     assert np.allclose(logs, want) and np.allclose(counts[2], emitted)
 
 
+def test_training_steps_take_every_share():
+    assert set(hmm.STEPS) == set(range(len(hmm.SHARES)))  # no part of the training texts is left to the last update alone
+
+
 def test_lm_score(spark, docs):
     rows = docs + ODD
     got = hmm.score(frame(spark, rows), F.coalesce(F.col("doc_id"), F.lit(0)) % 10 == 0, classes=64).collect()

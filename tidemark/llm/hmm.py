@@ -8,7 +8,7 @@ by the scaled forward recursion over all latent state paths, times that of the w
 Training is Baum-Welch: each task runs forward and backward over its texts and sums expected transitions and emissions;
 the sums are added over partitions by class, and only that table (states x classes, of fixed size) reaches the driver,
 which forms the next model. The first updates take growing shares of the training texts (a hash deals them: 1/32 up to
-1/4), so that the states settle early, and the last `full_steps` take all of them.
+1/2), so that the states settle early, and the last `full_steps` take all of them.
 
 Word counts cover all training texts. Words that make up more than `hot_share` of all training tokens (at most 1 /
 hot_share of them) are joined by broadcast, all others by a shuffle, so that no common word gathers in one task.
@@ -37,7 +37,7 @@ DELTA = 0.1
 END = " "
 #: Training texts are dealt to shares of 1/32, 1/32, 1/16, 1/8, 1/4 and 1/2; the stepwise updates take these in turn.
 SHARES = (1, 1, 2, 4, 8, 16)
-STEPS = (0, 0, 0, 0, 1, 1, 2, 2, 3, 4)
+STEPS = (0, 0, 0, 0, 1, 1, 2, 2, 3, 4, 5)
 
 
 @dataclass
