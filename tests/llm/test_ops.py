@@ -255,6 +255,15 @@ def test_decontamination_of_scattered_edits(spark, docs):
     assert got == want and set(want) == {(500, 0), (501, 1), (502, 1), (503, 2), (504, 2), (505, 3), (506, 3), (507, 4), (508, 4)}
 
 
+def test_decontamination_goes_by_rows(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, item), (None, "clean and null"), (7, item), (7, "clean and repeated"), (8, "clean")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontam.decontaminate(frame(spark, rows), bench)
+    assert sorted(r.text for r in left.collect()) == sorted(t for _, t in rows if t != item)
+    assert left.columns == ["doc_id", "text", "extra", "class_id"]
+
+
 def test_alignment_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(30):

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 
+ROW = "__row"
 OUT = "doc_id long, item_id long, score double, start long, n_words long"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,13 +107,13 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1
 def _find(frames: Iterator[pd.DataFrame], seeds: _Seeds) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         rows = []
-        for doc, words in zip(pdf["doc_id"], pdf["words"]):
+        for row, doc, words in zip(pdf[ROW], pdf["doc_id"], pdf["words"]):
             words = np.asarray(words, np.int64)
             found = [h for m in seeds.sizes for h in np.unique(seeds.hits(words, m)[1]).view(np.int64).tolist()]
             if found:
-                rows.append((doc, words, found))
+                rows.append((row, doc, words, found))
         if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "found"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[ROW, "doc_id", "words", "found"]).astype({"doc_id": "Int64"})
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -138,7 +139,7 @@ def _judge(frames: Iterator[pd.DataFrame], every: _Seeds, counts: dict[int, int]
 
     for pdf in frames:
         rows = []
-        for doc, words in zip(pdf["doc_id"], pdf["words"]):
+        for row, doc, words in zip(pdf[ROW], pdf["doc_id"], pdf["words"]):
             words = np.asarray(words, np.int64)
             numbers = every.numbered(words)
             spans: dict[int, dict[int, list[tuple[int, int]]] | None] = {}
@@ -167,19 +168,24 @@ def _judge(frames: Iterator[pd.DataFrame], every: _Seeds, counts: dict[int, int]
                             if score / (2 * len(item)) > best[0]:
                                 best = (score / (2 * len(item)), c + at)
                 if best[0] >= threshold:
-                    rows.append((doc, item_id, best[0], max(0, best[1] - len(item)), min(len(item), best[1])))
+                    rows.append((row, doc, item_id, best[0], max(0, best[1] - len(item)), min(len(item), best[1])))
         if rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[ROW, *(c.split()[0] for c in OUT.split(", "))]).astype({"doc_id": "Int64"})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.5, block: int = 5000) -> DataFrame:
     """doc_id, item_id, score, start, n_words for each document and item that it holds a copy of, exact or edited."""
+    return _contaminated(docs.withColumn(ROW, F.monotonically_increasing_id()), benchmark, n, seeds, threshold, block).drop(ROW)
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.5, block: int = 5000) -> DataFrame:
+    """The same with __row, the number of the document's row, in front."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = staged(texts, "items")
     blocks = max(1, -(-items.count() // block))
-    corpus = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    corpus = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     out = []
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b) if blocks > 1 else items
@@ -187,14 +193,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int =
         if not own:
             continue
         every = _Seeds(own, n)
-        near = staged(corpus.mapInPandas(partial(_find, seeds=every), "doc_id long, words array<long>, found array<long>"), "near")
+        near = staged(corpus.mapInPandas(partial(_find, seeds=every), f"{ROW} long, doc_id long, words array<long>, found array<long>"), "near")
         # at most a row for each n-gram of the block
         counts = {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in near.select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("n")).collect()}
-        out.append(near.select("doc_id", "words").mapInPandas(partial(_judge, every=every, counts=counts, seeds=seeds, threshold=threshold), OUT))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], OUT)
+        out.append(near.select(ROW, "doc_id", "words").mapInPandas(partial(_judge, every=every, counts=counts, seeds=seeds, threshold=threshold), f"{ROW} long, {OUT}"))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"{ROW} long, {OUT}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that hold a copy of a test item; rows with a null id go by their content all the same."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows that hold a copy of a test item, each by its own content: null and repeated ids are no reason.
+    `docs` must give the same rows in the same order when read again, as a file scan does."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    bad = staged(_contaminated(rows, benchmark, **how).select(ROW).distinct(), "contaminated")
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
