@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+ROW = "__row"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session (tests) gets a folder of
+    its own, and a cluster an error: there, executors would each write to a disk that the others don't see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return base.rstrip("/")
 
 
@@ -36,10 +40,20 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers get, as some rows hold very long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """__row and doc, the row as a struct (so that no name can clash). The numbers are written with the rows: Spark's own
+    depend on how a scan is split, and another scan may be split otherwise."""
+    return staged(df.select(F.monotonically_increasing_id().alias(ROW), F.struct("*").alias("doc")), name)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
+    """Bound the Arrow batches that Python workers get, in rows and in bytes, as some rows hold very long texts. Spark reads
+    both settings when a plan runs, so the session keeps them; lower bounds of the caller stay, and sizes given with a unit."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import bounded_batches, staged
 
 ROW = "__row"
 OUT = "doc_id long, item_id long, score double, start long, n_words long"
@@ -181,7 +181,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int =
 def _contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.5, block: int = 5000) -> DataFrame:
     """The same with __row, the number of the document's row, in front."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = staged(texts, "items")
     blocks = max(1, -(-items.count() // block))

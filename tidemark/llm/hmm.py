@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, small_batches, staged
+from .common import ascii_lower, new_path, bounded_batches, staged
 
 ROW = "__row"
 DELTA = 0.1
@@ -177,7 +177,7 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, classes: int = 819
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; the log10 of its probability by
     word frequencies and by the model. Training takes the rows that aren't held out."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", held_out.alias("held_out"), words_of(F.col("text")).alias("words"))
     dealt = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(sum(SHARES)))
     share = F.lit(len(SHARES) - 1)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import bounded_batches
 
 # Element names and the words in class, id and role that mark what isn't the article.
 RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|math|canvas|audio|video|title"
@@ -205,7 +205,7 @@ def extract_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

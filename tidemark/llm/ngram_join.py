@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, whole_groups
+from .common import bounded_batches, staged, whole_groups
 from .components import components
 
 ROW = "__row"
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall
     """__row, doc_id, class_id, n_links, kept for every row: the smallest doc_id of its near-duplicate class, the number of
     other texts (sets of shingles) that it links to, and whether the row stands for its class."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     rows = _numbered(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
     signed = staged(_words(rows).mapInPandas(partial(_sign, n=n), f"{ROW} long, doc_id long, key binary, labels binary"), "signed")
     reps = staged(signed.filter("labels is not null").dropDuplicates(["key"]), "classes")

@@ -20,35 +20,40 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import bounded_batches, staged
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(frames: Iterator[pd.DataFrame], vocab: str, end_id: int, size: int) -> Iterator[pd.DataFrame]:
-    end = np.array([end_id], "<u4").tobytes()
-    for pdf in frames:
-        rows = []
-        docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-        for doc, ids in zip(docs, encoder(vocab)(list(pdf["text"]))):
-            ids += end
-            n = len(ids) // 4
-            first = n % size or size
-            cuts = [0, *range(first, n + 1, size)]
-            rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-        yield out.astype({"doc_id": "Int64"})
+def _cut(batches: Iterator[pa.RecordBatch], vocab: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, bounds = encoder(vocab)(batch.column("text"), end_id)
+        n = np.diff(bounds)
+        pieces = -(-n // size)
+        owner = np.repeat(np.arange(len(n)), pieces)
+        piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = n - (pieces - 1) * size  # the first piece takes what the others leave
+        start = np.where(piece > 0, first[owner] + (piece - 1) * size, 0)
+        length = np.where(piece > 0, size, first[owner])
+        raw, at = memoryview(ids.astype("<u4", copy=False).tobytes()), 4 * (bounds[:-1][owner] + start)
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+        columns = (batch.column("doc_id").take(pa.array(owner)), piece.astype("i4"), start, length, crc)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PIECES.split(", ")]
+        )
 
 
 def pieces_of(docs: DataFrame, vocab: str | None = None, end_id: int = 2, size: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32. Documents longer than size are cut; the first piece takes the remainder."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(partial(_cut, vocab=vocab or vocabulary(), end_id=end_id, size=size), PIECES)
+    return rows.mapInArrow(partial(_cut, vocab=vocab or vocabulary(), end_id=end_id, size=size), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], score: str = "norm") -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, small_batches
+from .common import hash_sample, bounded_batches
 
 LEVEL = 3
 
@@ -124,7 +124,7 @@ def _score(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFram
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns in keep, which must not be called score, and score from 0 to 1."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*[c for c in keep if c != "text"], "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInPandas(partial(_score, model=model), f"{kinds + ', ' if kinds else ''}score double")

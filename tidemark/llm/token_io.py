@@ -18,10 +18,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, new_path, small_batches
+from .common import hash_sample, new_path, bounded_batches
 from .tokens import encoder, vocabulary
 
 MAGIC = b"TDMKIDS1"
@@ -85,16 +86,21 @@ def unpack_block(image: bytes, dictionary: bytes, wanted: set | None = None, dec
             yield doc, int(before[k]), raw if wide else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
 
 
+def _encoded(batch: pa.RecordBatch, vocab: str, end_id: int) -> list[bytes]:
+    ids, bounds = encoder(vocab)(batch.column("text"), end_id)
+    raw, at = ids.astype("<u4", copy=False).tobytes(), (4 * bounds).tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def train_dictionary(docs: DataFrame, vocab: str, end_id: int, sample: int = 1000, size: int = 1 << 16) -> bytes:
     """A zstandard dictionary from the id arrays of about `sample` documents; empty where there is too little to train on."""
     import zstandard as zstd
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = np.array([end_id], "<u4").tobytes()
-        for pdf in frames:
-            yield pd.DataFrame({"ids": [_serial(b + end, False) for b in encoder(vocab)(list(pdf["text"]))]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([_serial(b, False) for b in _encoded(batch, vocab, end_id)], pa.binary())})
 
-    rows = hash_sample(docs.select("doc_id", "text"), F.col("doc_id"), sample).mapInPandas(run, "ids binary").collect()
+    rows = hash_sample(docs.select("doc_id", "text"), F.col("doc_id"), sample).mapInArrow(run, "ids binary").collect()
     arrays = sorted(bytes(r.ids) for r in rows)
     if len(arrays) < 8:
         return b""
@@ -104,25 +110,25 @@ def train_dictionary(docs: DataFrame, vocab: str, end_id: int, sample: int = 100
         return b""
 
 
-def _write_part(frames: Iterator[pd.DataFrame], vocab: str, end_id: int, dictionary: bytes) -> Iterator[pd.DataFrame]:
+def _write_part(batches: Iterator[pa.RecordBatch], vocab: str, end_id: int, dictionary: bytes) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, end, compressor = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes(), _codec(dictionary)[0]
+    part, compressor = TaskContext.get().partitionId(), _codec(dictionary)[0]
     block, start, held, size = 0, 0, [], 0
 
-    def close() -> pd.DataFrame:
+    def close() -> pa.RecordBatch:
         nonlocal block, start, held, size
         tokens, ids = sum(len(b) for _, b in held) // 4, [d for d, _ in held if d is not None]
         row = (part, block, min(ids, default=None), max(ids, default=None), start, len(held), tokens, pack_block(held, dictionary, compressor))
         block, start, held, size = block + 1, start + tokens, [], 0
-        out = pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return out.astype({"first_doc_id": "Int64", "last_doc_id": "Int64"})
-
-    for pdf in frames:
-        docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]
-        for doc, ids in zip(docs, encoder(vocab)(list(pdf["text"]))):
-            held.append((doc, ids + end))
-            size += len(ids) + 4
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        columns = (c.split() for c in SCHEMA.split(", "))
+        return pa.RecordBatch.from_pydict({name: pa.array([v], kinds[kind]) for (name, kind), v in zip(columns, row)})
+
+    for batch in batches:
+        for doc, ids in zip(batch.column("doc_id").to_pylist(), _encoded(batch, vocab, end_id)):
+            held.append((doc, ids))
+            size += len(ids)
             if len(held) >= BLOCK_DOCS or size >= BLOCK_BYTES:
                 yield close()
     if held:
@@ -132,12 +138,12 @@ def _write_part(frames: Iterator[pd.DataFrame], vocab: str, end_id: int, diction
 def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int = 0, sample: int = 1000) -> None:
     """Encode every document and write path/blocks and path/dictionary."""
     spark, vocab = docs.sparkSession, vocab or vocabulary()
-    small_batches(spark)
+    bounded_batches(spark)
     dictionary = train_dictionary(docs, vocab, end_id, sample)
     spark.createDataFrame([(f"{dictionary_hash(dictionary):016x}", bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInPandas(partial(_write_part, vocab=vocab, end_id=end_id, dictionary=dictionary), SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    rows.mapInArrow(partial(_write_part, vocab=vocab, end_id=end_id, dictionary=dictionary), SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _read_part(frames: Iterator[pd.DataFrame], dictionary: bytes, wanted: frozenset | None, digest: bool) -> Iterator[pd.DataFrame]:

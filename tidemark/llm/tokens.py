@@ -4,28 +4,28 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOADED: dict[str, "Encoder"] = {}
 
-#: White space other than the space and the line feed.
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
-
-
-def _must_be_whole(t: str) -> bool:
-    """White space runs, white space at the end, or any but single spaces and line feeds."""
-    return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[-1:] in (" ", "\n") or OTHER_SPACE(t) is not None
+#: White space runs, white space at an end, or any but single spaces and line feeds.
+ODD_SPACE = "[ \\n][ \\n]|[ \\n]\\z|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
+#: Pieces encoded as one text.
+TOGETHER = 5000
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes.
+    """The ids of whole texts, many at a time.
 
     The byte-level pre-tokenizer never joins what stands before a single space or line feed to what follows it. So texts
-    are cut there, each different piece is encoded once in a worker, and the bytes are joined; texts with other white
-    space are encoded whole. Both give the ids of the whole text. The pieces kept are bounded: past `keep`, those met
-    first (the frequent ones) stay.
+    are cut there, column by column in Arrow; each different piece is encoded once in a worker, and the ids of a text are
+    taken from those of its pieces. Texts with other white space, or that hold an added token such as <|endoftext|>, are
+    encoded whole. Both give the ids that the library gives for the whole text. The pieces kept are bounded: past `keep`,
+    those met first (the frequent ones) stay.
     """
 
     def __init__(self, path: str, keep: int = 1_000_000):
@@ -33,68 +33,94 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([ODD_SPACE, *(re.escape(t) for t in added if t)])
         self.keep = keep
         # in a byte-level vocabulary each character of a token stands for one byte
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.n_bytes[i] = len(token)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces that each start with their space or line feed: encoded as one text, which is cut between them again."""
-        ids = np.frombuffer(self._encode(["".join(pieces)])[0], "<u4")
-        sizes = np.fromiter((len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in pieces), np.int64, len(pieces))
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes)) + 1
-        raw, out, a = ids.tobytes(), [], 0
-        for b in (4 * ends).tolist():
-            out.append(raw[a:b])
-            a = b
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        texts = ["" if t is None else t for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        whole, later, missing = [], [], set()
+        # piece -> its number; a piece at the start of a text has a space before it, which no other piece has
+        self.known: dict[str, int] = {"": 0}
+        self.pool = np.empty(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 12, np.int64)  # the end of piece k in the pool at k, its start at k - 1
+        self.used = 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, end = len(self.known), self.used + len(ids)
+        while end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while first + len(keys) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.pool[self.used : end] = ids
+        self.ends[first : first + len(keys)] = self.used + np.cumsum(sizes)
+        self.known.update(zip(keys, range(first, first + len(keys))))
+        self.used = end
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that stand after a space, or start with a line feed: encoded as one text, which is cut between them again."""
+        for k in range(0, len(pieces), TOGETHER):
+            part = [p if p[0] == "\n" else " " + p for p in pieces[k : k + TOGETHER]]
+            ids = self._encode(["".join(part)])[0]
+            ends = np.cumsum(pc.binary_length(pa.array(part)).to_numpy())
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            self._keep(pieces[k : k + TOGETHER], ids, np.diff(cuts, prepend=0))
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        starts = lists.offsets.to_numpy()[:-1]
+        different = lists.values.dictionary_encode()
+        codes, pieces = different.indices.to_numpy(), different.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.keep:
             self.known = dict(islice(self.known.items(), self.keep // 2))
-        get = self.known.get
-        for i, t in enumerate(texts):
-            if _must_be_whole(t):
-                whole.append(i)
-                continue
-            first, *rest = t.replace("\n", " \n").split(" ")
-            parts = list(map(get, rest))
-            if None in parts:
-                missing.update(p for p, b in zip(rest, parts) if b is None)
-                later.append((i, first, rest))
-            else:
-                out[i] = self._first(first) + b"".join(parts)
-        if missing:
-            pieces = list(missing)
-            for k in range(0, len(pieces), 5000):
-                part = pieces[k : k + 5000]
-                self.known.update(zip(part, self._encode_pieces([p if p[0] == "\n" else " " + p for p in part])))
-        for i, first, rest in later:
-            out[i] = self._first(first) + b"".join(map(get, rest))
-        for k in range(0, len(whole), 64):
-            part = whole[k : k + 64]
-            for i, b in zip(part, self._encode([texts[i] for i in part])):
-                out[i] = b
-        return out
-
-    def _first(self, piece: str) -> bytes:
-        """A piece at the start of a text, kept under a key that no other piece has."""
-        if not piece:
-            return b""
-        key = " " + piece
-        found = self.known.get(key)
-        if found is None:
-            found = self.known[key] = self._encode([piece])[0]
-        return found
+            self.used = int(self.ends[len(self.known) - 1])
+        later = np.ones(len(codes), bool)
+        later[starts] = False
+        asked = np.zeros(len(pieces), bool)
+        asked[codes[later]] = True
+        numbers = self._numbers(pieces)
+        unknown = np.flatnonzero(asked & (numbers < 0)).tolist()
+        if unknown:
+            new, first = [pieces[i] for i in unknown], len(self.known)
+            self._learn(new)
+            numbers[unknown] = np.arange(first, first + len(new))
+        heads = [" " + p if p else p for p in map(pieces.__getitem__, codes[starts].tolist())]
+        unknown = list(dict.fromkeys(h for h in heads if h not in self.known))
+        for k in range(0, len(unknown), 256):
+            each = self._encode([h[1:] for h in unknown[k : k + 256]])
+            self._keep(unknown[k : k + 256], np.concatenate(each), np.array(list(map(len, each))))
+        at = numbers[codes]
+        at[starts] = self._numbers(heads)
+        ends = self.ends[at]
+        begins = np.where(at > 0, self.ends[at - 1], 0)
+        sizes = ends - begins
+        take = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        return self.pool[take], np.add.reduceat(sizes, starts) if len(starts) else sizes
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by end_id, and where each starts, with the end of the last one."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        ids, sizes = self._by_pieces(texts.filter(pa.array(~whole)))
+        sizes_of = np.zeros(len(texts), np.int64)
+        sizes_of[~whole] = sizes
+        others, rows = [], np.flatnonzero(whole)
+        for k in range(0, len(rows), 64):
+            others += self._encode(texts.take(pa.array(rows[k : k + 64])).to_pylist())
+        sizes_of[rows] = list(map(len, others))
+        bounds = np.concatenate([[0], np.cumsum(sizes_of + 1)])
+        out = np.full(int(bounds[-1]), end_id, np.uint32)
+        out[np.repeat(bounds[:-1][~whole] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
+        for row, own in zip(rows.tolist(), others):
+            out[bounds[row] : bounds[row] + len(own)] = own
+        return out, bounds
 
 
 def encoder(path: str) -> Encoder:
