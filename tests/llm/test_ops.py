@@ -5,12 +5,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, hmm, html_extract, line_dedup, ngram_join, packing, quality, token_io, topk, url_filter
 from tidemark.llm.common import new_path
-from tidemark.llm.tokens import encoder, vocabulary
+from tidemark.llm.tokens import Encoder, vocabulary
 
 DOCS = "doc_id long, text string, extra string, class_id string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -92,9 +93,35 @@ def test_html():
     assert html_extract.extract_text("<div><p>cut off, here <!-- x").startswith("cut off")
 
 
+def plain():
+    """The library alone, as it comes from the vocabulary file."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary())
+
+
+ODD_TEXTS = [None, "", " ", "\n", "a", "a b", "a\nb", "\na", " a", "a  b", "a <|endoftext|> b", "<|endoftext|>", "a <|endoftext|>b", "x\n\ny ", "é ü\tz", "don't  stop'll", "a\xa0 b",
+             "a\u3000b", "\U0001f600 ok\n", "ab" * 5000, "q\x00 w", "a\x85 b", "x \u200b y", "\ufffd \U00010000"]
+
+
+def test_ids_equal_the_plain_library():
+    rng = np.random.default_rng(3)
+    parts = ["a", "b", "1", "'", ",", ".", " ", " ", "\n", "\t", "é", "\xa0", " the", "<|endoftext|>", "'s", "\u2003", "\u6f22", "\U0001f600"]
+    texts = ODD_TEXTS + ["".join(rng.choice(parts, int(rng.integers(0, 12)))) for _ in range(20000)]
+    for keep in (1_000_000, 50):  # a small cache forgets pieces between batches
+        own = Encoder(vocabulary(), keep)
+        for k in range(0, len(texts), 5000):
+            some = texts[k : k + 5000]
+            ids, bounds = own(pa.array(some, pa.string()), 7)
+            for t, a, b, e in zip(some, bounds, bounds[1:], plain().encode_batch([t or "" for t in some], add_special_tokens=False)):
+                assert ids[a:b].tolist() == [*e.ids, 7], t
+    ids, bounds = own(pa.array([], pa.string()), 7)
+    assert len(ids) == 0 and bounds.tolist() == [0]
+
+
 def test_tokens_and_round_trip(spark, docs):
-    rows = docs + ODD
-    tok = encoder(vocabulary()).tokenizer
+    rows = docs + ODD + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)]
+    tok = plain()
     want = {}
     for d, t in rows:
         ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
@@ -129,14 +156,21 @@ def test_topk_brute_force(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def edited(rng, words, edits, name):
+    words = list(words)
+    for k in rng.choice(len(words), edits, replace=False):
+        words[k] = f"{name}{k}"
+    return " ".join(words)
+
+
 def test_near_duplicates_brute_force(spark, docs):
     rng = np.random.default_rng(4)
-    base = text(rng, 150).split()
+    base, other = text(rng, 150).split(), text(rng, 150).split()
     rows = list(docs) + ODD
-    for i in range(40):  # a group of edited copies, larger than a block
-        w = list(base)
-        w[int(rng.integers(150))] = f"new{i}"
-        rows.append((200 + i, " ".join(w)))
+    for i in range(40):  # groups of edited copies, larger than a block: tight, and at any distance up to the threshold
+        rows.append((200 + i, edited(rng, base, 1, f"new{i}x")))
+    for i in range(60):
+        rows.append((400 + i, edited(rng, other, int(rng.integers(0, 8)), f"new{i % 20}x")))
     rows += [(300, rows[0][1]), (301, rows[0][1])]
     got = {}
     for r in ngram_join.near_duplicates(frame(spark, rows), block=16).collect():
@@ -166,12 +200,73 @@ def test_near_duplicates_brute_force(spark, docs):
     assert ngram_join.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_forest_recall_near_the_threshold(spark):
+    """Links of 0.8 to 0.9 alone, measured against all pairs."""
+    rng = np.random.default_rng(5)
+    rows, sets = [], []
+    for i in range(400):
+        words = text(rng, 240).split()
+        for name in ("a", "b"):
+            rows.append((len(rows), edited(rng, words, int(rng.integers(1, 4)), f"{name}{i}x")))
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    same = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    want = {2 * i for i, s in enumerate(same) if s >= 0.8} | {2 * i + 1 for i, s in enumerate(same) if s >= 0.8}
+    got = {r.doc_id for r in ngram_join.near_duplicates(frame(spark, rows)).collect() if r.n_links}
+    assert sum(0.8 <= s < 0.9 for s in same) > 150 and got <= want and len(got) >= 0.995 * len(want)
+
+
+def test_missed_links_are_estimated():
+    rng = np.random.default_rng(6)
+    true = rng.uniform(0.8, 0.95, 20000)  # similarities of links; each tree's common prefix has length geometric in them
+    for depth in (8, 5, 4):
+        trees = rng.random((20000, ngram_join.TREES)) < true[:, None] ** depth
+        k = np.rint(true * ngram_join.VALUES).astype(int)
+        links, lost = ngram_join.missed(np.bincount(k, trees.sum(1), ngram_join.VALUES + 1), depth, 0.79)
+        assert abs(links / 20000 - 1) < 0.05 and abs(lost - (~trees.any(1)).sum()) < 0.01 * 20000
+
+
+def test_a_large_family_stays_linear(spark):
+    rng = np.random.default_rng(7)
+    base = text(rng, 100).split()
+    rows = [(i, edited(rng, base, 1, f"n{i}x")) for i in range(3000)]
+    docs = frame(spark, rows)
+    got = ngram_join.near_duplicates(docs, block=64).collect()
+    # each text differs from the others in one word: up to ten of 96 shingles, fewer at the ends
+    assert {r.class_id for r in got} == {0} and all(r.n_links == 2999 for r in got)
+
+
+def test_row_numbers_do_not_depend_on_the_scan(spark, tmp_path):
+    """The same rows are kept when the parallelism, and so the split of the files, changes between two scans."""
+    rng = np.random.default_rng(8)
+    words = text(rng, 80).split()
+    rows = [(i, edited(rng, words, 1, f"n{i}x") if i % 3 == 0 else text(rng, 60)) for i in range(300)]
+    frame(spark, rows).repartition(6).write.parquet(f"{tmp_path}/docs")
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    first = ngram_join.keep_one(docs)
+    lines = line_dedup.dedup_lines(docs)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        assert {r.doc_id for r in first.collect()} == {0} | {i for i in range(300) if i % 3}
+        assert {r.doc_id: r.text for r in lines.collect()} == dict(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_packing(spark, docs):
     rows = docs + ODD
+    rows = rows + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)]
     got = packing.pack_documents(frame(spark, rows), size=256).collect()
-    tok = encoder(vocabulary()).tokenizer
-    want = sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
-    assert sum(r.length for r in got) == want
+    tok, pieces, want = plain(), [], 0
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 256 or 256, len(ids) + 1, 256)]
+        pieces += [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        want += len(ids)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(pieces, key=str)
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append(r)
@@ -181,7 +276,7 @@ def test_packing(spark, docs):
             assert r.offset == at
             at += r.length
         assert at <= 256
-    assert len(bins) <= want / 256 * 1.1 + 2
+    assert len(bins) <= -(-want // 256) + 2
     sizes = np.sort(np.random.default_rng(0).integers(1, 100, 500))[::-1]
     for how in ("norm", "dot"):
         where, _ = packing.best_fit(sizes, (100, 3, 6000), (1.0, 0.1, 0.1), how)

@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (large) or smaller neighbours are tied to the smallest of its neighbours and itself."""
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = ways.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    met = ways.join(least, "a")
+    # a key besides the node makes Spark deal both sides for the join, so that a node of very many edges can be split over tasks
+    met = ways.withColumn("k", F.xxhash64("a")).join(least.withColumn("k", F.xxhash64("a")), ["a", "k"]).drop("k")
     if large:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -2,45 +2,58 @@
 
 Texts are compared by their sets of five-word shingles (words: lower case, cut at white space; a shorter text is one
 shingle). Texts with the same set form a class, which one row stands for. Each class has 128 MinHash values in 16 trees;
-a tree's eight values are its label, and the labels of a tree, sorted by prefix, are its trie. Prefixes are matched from
-the full depth upwards and shortened, a value at a time, until a pair at the similarity threshold meets in some tree with
-the target recall, 1 - (1 - s^depth)^trees. Classes that meet are estimated from all 128 values (five standard errors of
-room) and tied into candidate groups; then the exact sets of each group are compared.
-
-No pair becomes a row: groups and prefix buckets above `block` members are split into blocks, every two blocks meet in a
-row group of their own, and a task gives back counts of links by class and a spanning forest of them. So each link counts
-once, and rows grow with members times blocks. The components of the forest are the near-duplicate classes.
+a tree's eight values are its label, and a tree's labels by prefix are its trie.
+
+Prefixes are matched from the full depth upwards. At each depth, the trie nodes that join two or more branches are met:
+pairs of different branches whose 128 values agree well enough (five standard errors of room) are tied; nodes above
+`block` members are tied whole, to their smallest member. How alike the pairs met are, as a histogram, tells how many
+links the forest has missed so far: a pair of similarity s has a common prefix of depth d in a tree with probability s^d,
+so c pairs met stand for c / (trees s^d), and each is missed with (1 - s^d)^trees. Prefixes are shortened by a value until
+the links missed are at most 1 - recall of all, and a pair at the threshold is met with 0.99 at least. Tied classes form
+candidate groups, whose exact sets are compared.
+
+Groups up to `block` members are compared in one go. A larger group gets a core, the shingles that more than half of its
+members have; a member is then only its differences from the core. Two members whose differences have nothing in common
+are linked by their sizes alone, so most links are counted from a histogram of sizes. Only members far from the core are
+met with the others, in blocks of differences: work grows with members times far members, and no pair becomes a row. Each
+link counts once, spanning forests of the links are returned, and their components are the near-duplicate classes.
 
 Edge cases: null and empty texts, and those of white space only, have no shingle: they are copies of each other and link
 to nothing; repeated rows are copies; a null doc_id can belong to a class but names it only where there is no other;
-other columns are ignored. `docs` must give the same rows in the same order when read again, as a file scan does.
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from fractions import Fraction
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, whole_groups
+from .common import ROW, bounded_batches, numbered, staged, whole_groups
 from .components import components
 
-ROW = "__row"
-TREES, DEPTH = 16, 8
+TREES, DEPTH, VALUES = 16, 8, 128
 SPACE = r"[ \t\n\x0B\f\r]+"
 MIX, PRIME = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def depth_for(similarity: float, recall: float, trees: int = TREES, deepest: int = DEPTH) -> int:
-    """The longest prefix with which a pair of this similarity meets in some tree with at least this probability."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def met(similarity, depth: int, trees: int = TREES):
+    """The probability that a pair of this similarity has a common prefix of this depth in some tree."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
+def missed(alike: np.ndarray, depth: int, similarity: float) -> tuple[float, float]:
+    """Links, and those among them that no tree has met: estimated from the number of pairs (in each tree) that met with k
+    of all values equal, alike[k]."""
+    s = np.arange(VALUES + 1) / VALUES
+    own = s >= similarity
+    links = alike[own] / (TREES * s[own] ** depth)
+    return float(links.sum()), float((links * (1 - met(s[own], depth))).sum())
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -58,13 +71,9 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE), lambda w: w != "")
-    return docs.select(ROW, "doc_id", F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+def _words(text: Column) -> Column:
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -122,34 +131,74 @@ def _runs(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(pdf)))
 
 
-GROUP = ["tree", "bucket", "i", "j"]
+GROUP = ["tree", "node"]
+TIES = "a binary, b binary, alike int, n long"
 
 
 def _tie(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Candidate edges a-b among those that share a prefix and are similar enough by estimate: a forest of each group."""
+    """Members of different branches of a node that are similar enough by estimate: a forest of them (a, b), and how many
+    pairs have how many values in common (alike, n)."""
     for pdf in whole_groups(frames, GROUP):
         labels = np.frombuffer(b"".join(pdf["labels"]), "<u2").reshape(len(pdf), -1)
-        keys = pdf["key"].to_numpy()
+        keys, branch = pdf["key"].to_numpy(), pdf["branch"].to_numpy()
         starts, sizes = _runs(pdf, GROUP)
-        a, b = [], []
+        a, b, alike = [], [], np.zeros(VALUES + 1, np.int64)
         for m in np.unique(sizes):
-            if m < 2:
-                continue
             own = starts[sizes == m]
             step = max(1, 2_000_000 // (int(m) * int(m) * labels.shape[1]))
             for c in range(0, len(own), step):
                 at = own[c : c + step, None] + np.arange(m)
-                x = labels[at]
-                if m <= 128:
-                    near = np.stack([(x == x[:, k : k + 1]).mean(2) >= least for k in range(m)], 1)
-                else:
-                    near = np.stack([(x[:, r : r + 1] == x).mean(2)[0] >= least for r in range(m)], 0)[None]
-                label = _forest(near)
+                x, ways = labels[at], branch[at]
+                same = np.stack([(x == x[:, k : k + 1]).sum(2) for k in range(m)], 1)
+                other = ways[:, :, None] != ways[:, None, :]
+                alike += np.bincount(same[other & np.triu(np.ones((m, m), bool), 1)], minlength=VALUES + 1)
+                label = _forest(other & (same >= least * VALUES))
                 g, k = np.nonzero(label != np.arange(m))
                 a.append(keys[at[g, k]])
                 b.append(keys[at[g, label[g, k]]])
         if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            a, b, seen = np.concatenate(a), np.concatenate(b), np.flatnonzero(alike)
+            none = [None] * len(seen)
+            yield pd.DataFrame({"a": [*a, *none], "b": [*b, *none], "alike": pd.array([None] * len(a) + seen.tolist(), "Int32"), "n": pd.array([None] * len(a) + alike[seen].tolist(), "Int64")})
+
+
+def _prefix(depth: int) -> Column:
+    return F.xxhash64("tree", F.substring("label", 1, 2 * depth))
+
+
+def _ties_at(leaves: DataFrame, reps: DataFrame, depth: int, least: float, block: int) -> DataFrame:
+    """What meets at this depth and not deeper, as TIES."""
+    own = leaves.select("key", "tree", _prefix(depth).alias("node"), (F.xxhash64("key") if depth == DEPTH else _prefix(depth + 1)).alias("branch"))
+    nodes = own.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("key").alias("first"), F.min("branch").alias("lo"), F.max("branch").alias("hi"))
+    members = staged(own.join(staged(nodes.filter("members > 1 and lo <> hi").drop("lo", "hi"), "nodes"), GROUP), "members")
+    large = members.filter((F.col("members") > block) & (F.col("key") != F.col("first"))).select(
+        F.col("key").alias("a"), F.col("first").alias("b"), F.lit(None).cast("int").alias("alike"), F.lit(None).cast("long").alias("n")
+    )
+    small = members.filter(F.col("members") <= block).select(*GROUP, "branch", "key").join(reps.select("key", "labels"), "key")
+    dealt = small.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return staged(large.unionByName(dealt.select(*GROUP, "branch", "key", "labels").mapInPandas(partial(_tie, least=least), TIES)), "ties")
+
+
+def candidates(reps: DataFrame, similarity: float, recall: float, block: int) -> tuple[DataFrame, list[tuple[int, float, float]]]:
+    """Edges a, b between classes that may be linked, and for each depth the links there seem to be and those missed so far."""
+    leaves = reps.select("key", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    leaves = leaves.select("key", "tree", F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))
+    least = similarity - 5 * (similarity * (1 - similarity) / VALUES) ** 0.5
+    ties, seen, alike, active, floor = [], [], np.zeros(VALUES + 1), None, DEPTH // 2
+    for depth in range(DEPTH, 0, -1):
+        if active is None or depth < floor:  # leaves alone at the floor's depth are alone at all larger ones
+            floor = min(floor, depth)
+            own = leaves.withColumn("node", _prefix(floor))
+            company = own.groupBy(*GROUP).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+            active = staged(own.join(staged(company, "company"), GROUP).drop("node"), "leaves")
+        found = _ties_at(active, reps, depth, least, block)
+        for r in found.filter("a is null").groupBy("alike").agg(F.sum("n").alias("n")).collect():  # at most VALUES + 1 rows
+            alike[r.alike] += r.n
+        ties.append(found.filter("a is not null").select("a", "b"))
+        seen.append((depth, *missed(alike, depth, similarity)))
+        if seen[-1][2] <= (1 - recall) * seen[-1][1] and met(similarity, depth) >= 0.99:
+            break
+    return reduce(DataFrame.unionByName, ties), seen
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,88 +227,142 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
+LINKS = "a binary, b binary, n long"
+
+
+def _links(keys: np.ndarray, count: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Rows of LINKS: counts (a, n) and a forest (a, b)."""
+    some, tied = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(keys)))
+    return pd.DataFrame({
+        "a": [*keys[some], *keys[tied]], "b": [*[None] * len(some), *keys[label[tied]]], "n": [*count[some].tolist(), *[0] * len(tied)],
+    })
+
+
 def _verify(frames: Iterator[pd.DataFrame], n: int, similarity: float) -> Iterator[pd.DataFrame]:
-    """By class: its links inside this group (a, n), and a forest of the links (a, b)."""
-    for pdf in whole_groups(frames, ["root", "i", "j"]):
-        starts, sizes = _runs(pdf, ["root", "i", "j"])
-        keys, blocks = pdf["key"].to_numpy(), pdf["own"].to_numpy()
-        ones, twos, ns = [], [], []
+    """By class: its links inside its group, and a forest of the links."""
+    for pdf in whole_groups(frames, ["root"]):
+        starts, sizes = _runs(pdf, ["root"])
+        keys, out = pdf["key"].to_numpy(), []
         for s, m in zip(starts.tolist(), sizes.tolist()):
-            at = sorted({keys[r]: r for r in range(s, s + m)}.values())
-            if len(at) < 2:
-                continue
-            sets = [shingles(np.asarray(pdf["words"].iat[r], np.int64), n) for r in at]
+            sets = [shingles(np.asarray(w, np.int64), n) for w in pdf["words"].iloc[s : s + m]]
             size = np.array([len(x) for x in sets])
             inter = _overlaps(sets)
             link = inter / np.maximum(1, size[:, None] + size[None, :] - inter) >= similarity
             np.fill_diagonal(link, False)
-            if pdf["i"].iat[s] != pdf["j"].iat[s]:  # two blocks: only links between them, those inside are counted elsewhere
-                link &= blocks[at][:, None] != blocks[at][None, :]
-            count = link.sum(1)
-            for k in np.flatnonzero(count):
-                ones.append(keys[at[k]])
-                twos.append(None)
-                ns.append(int(count[k]))
-            label = _forest(link[None])[0]
-            for k in np.flatnonzero(label != np.arange(len(at))):
-                ones.append(keys[at[k]])
-                twos.append(keys[at[label[k]]])
-                ns.append(0)
-        if ones:
-            yield pd.DataFrame({"a": ones, "b": twos, "n": ns})
-
-
-def _blocked(rows: DataFrame, count: str, block: int, *group: str) -> DataFrame:
-    """Rows with i, j and own: a row for every two blocks that its own block takes part in. Groups up to block are one."""
-    n = F.greatest(F.lit(1), F.ceil(F.col(count) / block)).cast("int")
-    own = rows.withColumn("own", F.pmod(F.xxhash64("key"), n).cast("int"))
-    with_other = own.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return with_other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
-
-
-def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.999, block: int = 256) -> DataFrame:
-    """__row, doc_id, class_id, n_links, kept for every row: the smallest doc_id of its near-duplicate class, the number of
-    other texts (sets of shingles) that it links to, and whether the row stands for its class."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = _numbered(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    signed = staged(_words(rows).mapInPandas(partial(_sign, n=n), f"{ROW} long, doc_id long, key binary, labels binary"), "signed")
-    reps = staged(signed.filter("labels is not null").dropDuplicates(["key"]), "classes")
+            if link.any():
+                out.append(_links(keys[s : s + m], link.sum(1), _forest(link[None])[0]))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+
+def _sets(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        sets = [shingles(np.asarray(w, np.int64), n).view(np.int64) for w in pdf["words"]]
+        yield pd.DataFrame({"key": pdf["key"], "root": pdf["root"], "members": pdf["members"], "shingles": sets})
 
-    depth = depth_for(similarity, recall)
-    prefix = F.xxhash64("tree", F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * depth)))
-    leaves = reps.select("key", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).withColumn("bucket", prefix)
-    leaves = leaves.select("key", "tree", "bucket")
-    met = leaves.groupBy("tree", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = staged(leaves.join(met, ["tree", "bucket"]), "members").join(reps.select("key", "labels"), "key")
-    room = 5 * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5
-    dealt = _blocked(members, "members", block).repartition(*GROUP).sortWithinPartitions(*GROUP)
-    ties = dealt.select(*GROUP, "key", "labels").mapInPandas(partial(_tie, least=similarity - room), "a binary, b binary")
-    groups = staged(components(ties), "groups")
 
+def _differ(frames: Iterator[pd.DataFrame], p: int, q: int) -> Iterator[pd.DataFrame]:
+    """Each member as its differences from the core: the weight of their numbers, and themselves."""
+    for pdf in frames:
+        rows = []
+        for own, core in zip(pdf["shingles"], pdf["core"]):
+            own, core = np.asarray(own, np.int64), np.asarray([] if core is None else core, np.int64)
+            less, more = np.setdiff1d(core, own, assume_unique=True), np.setdiff1d(own, core, assume_unique=True)
+            rows.append((p * len(more) + q * len(less), (q - p) * len(core), np.concatenate([less, more])))
+        yield pd.DataFrame({"key": pdf["key"], "root": pdf["root"], "members": pdf["members"]}).join(pd.DataFrame(rows, columns=["weight", "room", "other"], index=pdf.index))
+
+
+def _cross(frames: Iterator[pd.DataFrame], both: int) -> Iterator[pd.DataFrame]:
+    """Members far from the core against others: links that need differences in common."""
+    for pdf in whole_groups(frames, ["root", "i", "j"]):
+        starts, sizes = _runs(pdf, ["root", "i", "j"])
+        for s, m in zip(starts.tolist(), sizes.tolist()):
+            part = pdf.iloc[s : s + m]
+            side, far, weight, keys = (part[c].to_numpy() for c in ("side", "far", "weight", "key"))
+            common = _overlaps([np.asarray(x, np.int64).view(np.uint64) for x in part["other"]])
+            need = weight[:, None] + weight[None, :] - part["room"].iat[0]
+            link = (side[:, None] == 0) & (side[None, :] == 1) & (keys[:, None] != keys[None, :]) & (need > 0) & (both * common >= need)
+            if link.any():
+                # a pair of two far members is met twice, and counts for one of them each time
+                count = link.sum(1) + np.where(far, 0, link.sum(0))
+                names, at = np.unique(np.array([bytes(k) for k in keys], object), return_inverse=True)
+                tied = np.zeros((len(names), len(names)), bool)
+                x, y = np.nonzero(link)
+                tied[at[x], at[y]] = tied[at[y], at[x]] = True
+                total = np.zeros(len(names), np.int64)
+                np.add.at(total, at, count)
+                yield _links(names, total, _forest(tied[None])[0])
+
+
+def _core_links(big: DataFrame, n: int, similarity: float, block: int) -> DataFrame:
+    """LINKS of the groups with more than block members. A link is inter / union >= p / q. With a core of c shingles, members
+    that lack m and add a of them, and x differences in common, that is (p + q) x >= p (a + a') + q (m + m') - (q - p) c."""
+    ratio = Fraction(similarity).limit_denominator(10_000)
+    p, q = ratio.numerator, ratio.denominator
+    sets = staged(big.mapInPandas(partial(_sets, n=n), "key binary, root binary, members long, shingles array<long>"), "sets")
+    shared = sets.select("root", "members", F.explode("shingles").alias("e")).groupBy("root", "members", "e").agg(F.count("*").alias("n"))
+    cores = staged(shared.filter("2 * n > members").groupBy("root").agg(F.sort_array(F.collect_list("e")).alias("core")), "cores")
+    rows = sets.join(cores, "root", "left").select("key", "root", "members", "shingles", "core")
+    rows = staged(rows.mapInPandas(partial(_differ, p=p, q=q), "key binary, root binary, members long, weight long, room long, other array<long>"), "differences")
+    # how many members have a weight up to room - weight: running sums over the different weights of a group
+    sizes = rows.groupBy("root", "weight").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("room").alias("room"))
+    points = sizes.select("root", F.col("weight").alias("at"), F.lit(0).alias("asks"), "n", "weight")
+    asks = sizes.select("root", (F.col("room") - F.col("weight")).alias("at"), F.lit(1).alias("asks"), F.lit(0).alias("n"), "weight")
+    up_to = Window.partitionBy("root").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    within = points.unionByName(asks).withColumn("near", F.sum("n").over(up_to)).filter("asks = 1").select("root", "weight", "near")
+    least = sizes.groupBy("root").agg(F.min(F.struct("weight", "first")).alias("least"))
+    near = rows.select("key", "root", "weight", "room").join(staged(within.join(least, "root"), "near"), ["root", "weight"])
+    own = F.when(2 * F.col("weight") <= F.col("room"), 1).otherwise(0)
+    counts = near.select(F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), (F.col("near") - own).alias("n"))
+    stars = near.filter((F.col("weight") + F.col("least.weight") <= F.col("room")) & (F.col("key") != F.col("least.first"))).select(
+        F.col("key").alias("a"), F.col("least.first").alias("b"), F.lit(0).cast("long").alias("n")
+    )
+    rows = rows.withColumn("far", 2 * F.col("weight") > F.col("room"))
+    parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+    far = staged(rows.filter("far").groupBy("root").agg(F.count("*").alias("n_far")), "far")
+    met_by = rows.join(far, "root").withColumn("hash", F.xxhash64("key"))
+    one = met_by.filter("far").select("*", F.lit(0).alias("side"), F.pmod("hash", parts("n_far")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), parts("members") - 1)).alias("j"))
+    two = met_by.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("n_far") - 1)).alias("i"), F.pmod("hash", parts("members")).cast("int").alias("j"))
+    dealt = one.unionByName(two).select("root", "i", "j", "side", "key", "far", "weight", "room", "other").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return counts.unionByName(stars).unionByName(dealt.mapInPandas(partial(_cross, both=p + q), LINKS))
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id, n_links for every row: the smallest doc_id of its near-duplicate class, and the number of other
+    texts (sets of shingles) that it links to."""
+    return _classes(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts"), **how).select("doc_id", "class_id", "n_links")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each near-duplicate class, that of the smallest doc_id."""
+    rows = numbered(docs, "texts")
+    return rows.join(staged(_classes(rows, **how).filter("kept").select(ROW), "kept"), ROW, "left_semi").select("doc.*")
+
+
+def _classes(rows: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, block: int = 256) -> DataFrame:
+    """__row, doc_id, class_id, n_links and kept, whether the row stands for its class, for numbered rows."""
+    bounded_batches(rows.sparkSession)
+    words = rows.select(ROW, F.col("doc.doc_id").cast("long").alias("doc_id"), _words(F.col("doc.text")).alias("words"))
+    signed = staged(words.mapInPandas(partial(_sign, n=n), f"{ROW} long, doc_id long, key binary, labels binary"), "signed")
+    reps = staged(signed.filter("labels is not null").dropDuplicates(["key"]), "classes")
+    groups = staged(components(candidates(reps, similarity, recall, block)[0]), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = groups.join(sizes, "root").join(reps.select(F.col("key").alias("a"), ROW), "a").select(ROW, F.col("a").alias("key"), "root", "members")
-
-    texts = rows.select(ROW, "doc_id", "text").join(wanted, ROW)
-    placed = _blocked(
-        texts.select("key", "root", "members", F.transform(F.filter(F.split(F.lower("text"), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words")),
-        "members", block,
-    ).select("key", "root", "i", "j", "own", "words")
-    dealt = placed.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = staged(dealt.mapInPandas(partial(_verify, n=n, similarity=similarity), "a binary, b binary, n long"), "links")
+    wanted = groups.join(staged(sizes, "sizes"), "root").join(reps.select(F.col("key").alias("a"), ROW), "a")
+    wanted = staged(wanted.select(ROW, F.col("a").alias("key"), "root", "members"), "wanted")
+    texts = rows.select(ROW, F.col("doc.text").alias("text")).join(wanted, ROW).select("key", "root", "members", _words(F.col("text")).alias("words"))
+    dealt = texts.filter(F.col("members") <= block).repartition("root").sortWithinPartitions("root")
+    found = dealt.mapInPandas(partial(_verify, n=n, similarity=similarity), LINKS)
+    big = wanted.filter(F.col("members") > block)
+    if not big.isEmpty():
+        found = found.unionByName(_core_links(texts.filter(F.col("members") > block), n, similarity, block))
+    found = staged(found, "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     linked = components(found.filter("b is not null").select("a", "b")).select(F.col("a").alias("key"), "root")
-    classes = counts.join(linked, "key", "full")
+    classes = staged(counts.join(linked, "key", "full"), "classes")
 
     placed = signed.join(classes, "key", "left").select(ROW, "doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", ROW)).alias("first"))
-    return placed.join(first, "root").select(
+    return placed.join(staged(first, "firsts"), "root").select(
         ROW, "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col(ROW) == F.col(f"first.{ROW}")).alias("kept")
     )
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each near-duplicate class, that of the smallest doc_id."""
-    kept = near_duplicates(docs, **how).filter("kept").select(ROW)
-    return _numbered(docs).join(kept, ROW, "left_semi").drop(ROW)
