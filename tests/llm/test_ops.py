@@ -397,7 +397,7 @@ def test_training_steps_take_every_share():
 
 def test_lm_score(spark, docs):
     rows = docs + ODD
-    got = hmm.score(frame(spark, rows), F.coalesce(F.col("doc_id"), F.lit(0)) % 10 == 0, classes=64).collect()
+    got = hmm.score(frame(spark, rows), F.coalesce(F.col("doc_id"), F.lit(0)) % 10 == 0, own=50, endings=16, hot=120).collect()
     low = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
     train = [w for d, t in rows if (d or 0) % 10 != 0 for w in low(t)]
     count = {w: train.count(w) for w in set(train)}
@@ -408,6 +408,39 @@ def test_lm_score(spark, docs):
     assert hmm.score(frame(spark, rows).limit(0), F.lit(False)).count() == 0
 
 
+def test_lm_score_brute_force(spark, docs, monkeypatch):
+    """score by hand, from the trained model: plain forward sums over all words."""
+    kept, train = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a, **k: kept.append(train(*a, **k)) or kept[-1])
+    rows, own, endings = docs + ODD, 30, 16
+    got = hmm.score(frame(spark, rows), F.coalesce(F.col("doc_id"), F.lit(0)) % 10 == 0, own=own, endings=endings, hot=60).collect()
+    m = kept[0]
+    assert len(m.history) >= 1 and all(b > a - 1e-6 for a, b in zip(m.history, m.history[1:]))
+    low = lambda t: [w for w in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or "")) if w]
+    count = {}
+    for d, t in rows:
+        if (d or 0) % 10:
+            for w in low(t):
+                count[w] = count.get(w, 0) + 1
+    first = sorted(count, key=lambda w: (-count[w], w.encode()))[:own]
+    kind = lambda w: first.index(w) if w in first else own + zlib.crc32(w[-2:].encode()) % endings
+    rest = [w for w in count if w not in first]
+    want = []
+    for d, t in rows:
+        words = low(t)
+        log, row = 0.0, m.start
+        for k in [*map(kind, words), own + endings]:
+            row = row * m.emit[k]
+            log += np.log10(row.sum())
+            row = (row / row.sum()) @ m.move
+        for w in words:
+            if w not in first:
+                same = [count[x] for x in rest if kind(x) == kind(w)]
+                log += np.log10((count.get(w, 0) + 0.1) / (sum(same) + 0.1 * (len(same) + 1)))
+        want.append((str(d), round(log, 5)))
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == sorted(want)
+
+
 def test_pipeline_keeps_clean_rows(spark):
     import corpus_pipeline as p
 

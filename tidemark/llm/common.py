@@ -40,6 +40,13 @@ def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def splittable_join(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """rows with the columns of groups, which are sums of rows by keys. A key besides makes Spark deal both sides for the join
+    and not reuse the sums' partitions; only then can it split a key that has very many rows over tasks."""
+    k = F.xxhash64(*keys, F.lit(1))
+    return rows.withColumn("__k", k).join(groups.withColumn("__k", k), [*keys, "__k"]).drop("__k")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """__row and doc, the row as a struct (so that no name can clash). The numbers are written with the rows: Spark's own
     depend on how a scan is split, and another scan may be split otherwise."""

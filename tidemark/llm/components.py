@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import splittable_join, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (large) or smaller neighbours are tied to the smallest of its neighbours and itself."""
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = ways.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    # a key besides the node makes Spark deal both sides for the join, so that a node of very many edges can be split over tasks
-    met = ways.withColumn("k", F.xxhash64("a")).join(least.withColumn("k", F.xxhash64("a")), ["a", "k"]).drop("k")
+    met = splittable_join(ways, least, "a")
     if large:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -32,6 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(n) == before or n[0] == 0:
             break
         before = tuple(n)
-        now = staged(_star(staged(_star(now, True), "edges"), False), "edges")
+        now = staged(_star(_star(now, True), False), "edges")
     roots = now.select("a", F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("a"), "root").distinct())

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, bounded_batches, numbered, staged, whole_groups
+from .common import ROW, bounded_batches, numbered, splittable_join, staged, whole_groups
 from .components import components
 
 TREES, DEPTH, VALUES = 16, 8, 128
@@ -170,7 +170,7 @@ def _ties_at(leaves: DataFrame, reps: DataFrame, depth: int, least: float, block
     """What meets at this depth and not deeper, as TIES."""
     own = leaves.select("key", "tree", _prefix(depth).alias("node"), (F.xxhash64("key") if depth == DEPTH else _prefix(depth + 1)).alias("branch"))
     nodes = own.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("key").alias("first"), F.min("branch").alias("lo"), F.max("branch").alias("hi"))
-    members = staged(own.join(staged(nodes.filter("members > 1 and lo <> hi").drop("lo", "hi"), "nodes"), GROUP), "members")
+    members = staged(splittable_join(own, nodes.filter("members > 1 and lo <> hi").drop("lo", "hi"), *GROUP), "members")
     large = members.filter((F.col("members") > block) & (F.col("key") != F.col("first"))).select(
         F.col("key").alias("a"), F.col("first").alias("b"), F.lit(None).cast("int").alias("alike"), F.lit(None).cast("long").alias("n")
     )
@@ -190,7 +190,7 @@ def candidates(reps: DataFrame, similarity: float, recall: float, block: int) ->
             floor = min(floor, depth)
             own = leaves.withColumn("node", _prefix(floor))
             company = own.groupBy(*GROUP).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-            active = staged(own.join(staged(company, "company"), GROUP).drop("node"), "leaves")
+            active = staged(splittable_join(own, company, *GROUP).drop("node"), "leaves")
         found = _ties_at(active, reps, depth, least, block)
         for r in found.filter("a is null").groupBy("alike").agg(F.sum("n").alias("n")).collect():  # at most VALUES + 1 rows
             alike[r.alike] += r.n
@@ -347,7 +347,7 @@ def _classes(rows: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
     reps = staged(signed.filter("labels is not null").dropDuplicates(["key"]), "classes")
     groups = staged(components(candidates(reps, similarity, recall, block)[0]), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = groups.join(staged(sizes, "sizes"), "root").join(reps.select(F.col("key").alias("a"), ROW), "a")
+    wanted = splittable_join(groups, sizes, "root").join(reps.select(F.col("key").alias("a"), ROW), "a")
     wanted = staged(wanted.select(ROW, F.col("a").alias("key"), "root", "members"), "wanted")
     texts = rows.select(ROW, F.col("doc.text").alias("text")).join(wanted, ROW).select("key", "root", "members", _words(F.col("text")).alias("words"))
     dealt = texts.filter(F.col("members") <= block).repartition("root").sortWithinPartitions("root")
@@ -363,6 +363,6 @@ def _classes(rows: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
     placed = signed.join(classes, "key", "left").select(ROW, "doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", ROW)).alias("first"))
-    return placed.join(staged(first, "firsts"), "root").select(
+    return splittable_join(placed, first, "root").select(
         ROW, "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col(ROW) == F.col(f"first.{ROW}")).alias("kept")
     )
