@@ -316,9 +316,13 @@ def test_decontamination(spark, docs):
     for k in (4, 13, 22):
         edited[k] = "other"
     rows = docs + ODD + [(500, text(rng, 50) + " " + " ".join(item).upper() + "! " + text(rng, 20)), (501, " ".join(edited)), (502, " ".join(item[:8]))]
-    bench = spark.createDataFrame([(1, " ".join(item), "s"), (2, None, "s"), (3, "", "s"), (4, "lone", "s")], "item_id long, text string, score string")
+    bench = spark.createDataFrame([(1, " ".join(item), "s"), (2, None, "s"), (3, "", "s"), (4, "beta", "s"), (None, "q0 nothing else here", "s")], "item_id long, text string, score string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), bench).collect()}
     assert got == {(500, 1), (501, 1)}
+    places = {r.doc_id: (r.start, r.n_words) for r in decontam.contaminated(frame(spark, rows), bench).collect()}
+    assert places == {500: (50, 30), 501: (0, 30)}
+    in_blocks = decontam.contaminated(frame(spark, rows), bench.unionByName(bench), block=1).collect()
+    assert sorted((r.doc_id, r.item_id) for r in in_blocks) == [(500, 1)] * 2 + [(501, 1)] * 2
     left = {r.doc_id for r in decontam.decontaminate(frame(spark, rows), bench).collect()}
     assert left == {d for d, _ in rows} - {500, 501}
     assert decontam.contaminated(frame(spark, rows), bench.limit(0)).count() == 0
@@ -357,6 +361,10 @@ def test_decontamination_goes_by_rows(spark):
     left = decontam.decontaminate(frame(spark, rows), bench)
     assert sorted(r.text for r in left.collect()) == sorted(t for _, t in rows if t != item)
     assert left.columns == ["doc_id", "text", "extra", "class_id"]
+    clash = spark.createDataFrame([(1, item, 5), (2, "clean", 6)], "doc_id long, text string, __one int")
+    assert [tuple(r) for r in decontam.decontaminate(clash, bench).collect()] == [(2, "clean", 6)]
+    none = spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert {r.item_id for r in decontam.contaminated(clash, none).collect()} == {None}
 
 
 def test_alignment_brute_force():

@@ -1,16 +1,20 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. A first pass over the documents finds which word n-grams of the test
-items occur where, and counts them; only documents with such an n-gram are kept. Of the n-grams that an item and a
-document share, the `seeds` that are rarest in the corpus (counted over all documents) are the pair's seeds. Around them
-the text is aligned to the item (match 2, mismatch -1, gap -1), then around the other shared n-grams; the best score
-divided by that of the whole item is the passage's score. A passage is left out only if it can't reach the threshold, or
-the best score so far, whatever its order: its score is at most the share of the item's words that it holds. Items are
-handled in blocks of a fixed number of items, each sent to all tasks.
-
-Edge cases: null and empty texts, and items without words, match nothing; items shorter than n words are one seed each;
-repeated items and rows match each; very common passages are found too, as rarity only ranks the n-grams of one item;
-other columns are ignored.
+Words are runs of letters and digits in lower case. One pass over the documents keeps those that have n-grams of test
+items, by a bitmap of fixed size over the items' n-gram hashes, with the n-grams that hit. These are exploded, counted
+over all documents and joined to the seeds table, the items' n-grams; so each document meets the items that share an
+n-gram with it, in blocks of a fixed number of items, and only those.
+
+Of the n-grams that an item and a document share, the `seeds` that are rarest in the corpus come first: around them the
+text is aligned to the item (match 2, mismatch -1, gap -1), then around the other shared n-grams; the best score divided
+by that of the whole item is the passage's score, and its span is traced from the alignment. A passage is left out only if
+it can't reach the threshold, or the best score so far, whatever its order: its score is at most the share of the item's
+words that it holds.
+
+Edge cases: null and empty texts match nothing; items of fewer than n words have no n-gram and match nothing (a word or
+two would mark every text that has them); a null item_id comes back null; repeated items and rows match each; very common
+passages are found too, as rarity only orders the n-grams; documents go by their content, so null and repeated ids are no
+reason to remove one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import ROW, bounded_batches, staged
 
-ROW = "__row"
 OUT = "doc_id long, item_id long, score double, start long, n_words long"
+#: The bitmap has a place for each value of so many leading bits of a hash.
+BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,24 +54,22 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 class _Seeds:
     """n-grams of a block of items: hash to the items and places that have it."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], n: int):
         self.items, self.n = items, n
-        where: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.where: dict[int, list[tuple[int, int]]] = {}
         for k, (_, words) in enumerate(items):
-            m = min(n, len(words))
-            if m:
-                for at, h in enumerate(grams(words, m).tolist()):
-                    where.setdefault((m, h), []).append((k, at))
-        self.where = where
-        self.sizes = sorted({m for m, _ in where})
-        self.sorted = {m: np.array(sorted(h for s, h in where if s == m), np.uint64) for m in self.sizes}
-        self.bits = {}
-        for m, hs in self.sorted.items():
-            self.bits[m] = np.zeros(1 << 20, bool)
-            self.bits[m][(hs >> np.uint64(44)).astype(np.int64)] = True
+            for at, h in enumerate(grams(words, n).tolist()):
+                self.where.setdefault(h, []).append((k, at))
+        self.sorted = np.array(sorted(self.where), np.uint64)
+        self.bits = np.zeros(1 << BITS, bool)
+        self.bits[_place(self.sorted)] = True
         self.vocabulary = np.unique(np.concatenate([words for _, words in items]))
         self.numbers = [np.searchsorted(self.vocabulary, words) for _, words in items]
 
@@ -75,17 +78,13 @@ class _Seeds:
         k = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[k] == words, k, len(self.vocabulary))
 
-    def hits(self, words: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the n-grams of size m that items have."""
-        g = grams(words, m)
-        at = np.flatnonzero(self.bits[m][(g >> np.uint64(44)).astype(np.int64)])
-        if len(at):
-            hs = self.sorted[m]
-            got = g[at]
-            k = np.minimum(np.searchsorted(hs, got), len(hs) - 1)
-            ok = hs[k] == got
-            return at[ok], got[ok]
-        return at, g[:0]
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the n-grams that items have."""
+        g = grams(words, self.n)
+        at = np.flatnonzero(self.bits[_place(g)])
+        k = np.minimum(np.searchsorted(self.sorted, g[at]), len(self.sorted) - 1)
+        at = at[self.sorted[k] == g[at]]
+        return at, g[at]
 
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
@@ -104,16 +103,40 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, mismatch: int = -1
     return best, end
 
 
-def _find(frames: Iterator[pd.DataFrame], seeds: _Seeds) -> Iterator[pd.DataFrame]:
+def span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """The best local score, and where the shortest alignment that has it and ends there first starts and ends."""
+    best, end = align(item, text)
+    return best, end - align(item[::-1], text[:end][::-1])[1], end
+
+
+def _grams(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for pdf in frames:
-        rows = []
-        for row, doc, words in zip(pdf[ROW], pdf["doc_id"], pdf["words"]):
-            words = np.asarray(words, np.int64)
-            found = [h for m in seeds.sizes for h in np.unique(seeds.hits(words, m)[1]).view(np.int64).tolist()]
-            if found:
-                rows.append((row, doc, words, found))
-        if rows:
-            yield pd.DataFrame(rows, columns=[ROW, "doc_id", "words", "found"]).astype({"doc_id": "Int64"})
+        for block, words in zip(pdf["block"], pdf["words"]):
+            h = np.unique(grams(np.asarray(words, np.int64), n))
+            yield pd.DataFrame({"block": np.full(len(h), block, "i4"), "h": h.view(np.int64)})
+
+
+def _bitmap(seeds: DataFrame) -> bytes:
+    """A bit for each place that some seed has; Spark builds it in pieces of 32,768 bits."""
+    place = F.shiftrightunsigned("h", 64 - BITS) + 1
+    parts = seeds.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = bytearray(1 << BITS - 3)
+    for r in parts.collect():
+        out[(r.part - 1) * 4096 : r.part * 4096] = r.bits
+    return bytes(out)
+
+
+def _find(frames: Iterator[pd.DataFrame], bitmap: bytes, n: int) -> Iterator[pd.DataFrame]:
+    """Documents with n-grams whose place the bitmap has, and these n-grams."""
+    bits = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+    for pdf in frames:
+        found: list = []
+        for words in pdf["words"]:
+            g = grams(np.asarray(words, np.int64), n)
+            found.append(np.unique(g[bits[_place(g)]]).view(np.int64))
+        keep = np.array([len(x) > 0 for x in found], bool)
+        if keep.any():
+            yield pdf[keep].assign(found=[x for x in found if len(x)], doc_id=pdf["doc_id"][keep].astype("Int64"))
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -143,19 +166,18 @@ def _judge(frames: Iterator[pd.DataFrame], every: _Seeds, counts: dict[int, int]
             words = np.asarray(words, np.int64)
             numbers = every.numbered(words)
             spans: dict[int, dict[int, list[tuple[int, int]]] | None] = {}
-            for m in every.sizes:
-                for at, h in zip(*(x.tolist() for x in every.hits(words, m))):
-                    for k, place in every.where[m, h]:
-                        if k not in spans:
-                            spans[k] = {} if most(k, numbers) >= threshold else None
-                        if spans[k] is not None:
-                            n = len(every.items[k][1])
-                            spans[k].setdefault(h, []).append((max(0, at - place - n // 2 - 2), min(len(words), at - place + n + n // 2 + 2)))
+            for at, h in zip(*(x.tolist() for x in every.hits(words))):
+                for k, place in every.where[h]:
+                    if k not in spans:
+                        spans[k] = {} if most(k, numbers) >= threshold else None
+                    if spans[k] is not None:
+                        n = len(every.items[k][1])
+                        spans[k].setdefault(h, []).append((max(0, at - place - n // 2 - 2), min(len(words), at - place + n + n // 2 + 2)))
             for k, own in spans.items():
                 if own is None:
                     continue
                 item_id, item = every.items[k]
-                best = (0.0, 0)
+                best = (0.0, 0, 0)
                 ranked = sorted(own, key=lambda h: (counts[h], h))
                 for hs in (ranked[:seeds], ranked[seeds:]):
                     for a, b in _merged([span for h in hs for span in own[h]]):
@@ -164,45 +186,58 @@ def _judge(frames: Iterator[pd.DataFrame], every: _Seeds, counts: dict[int, int]
                             reach = most(k, numbers[c:end])
                             if reach < threshold or reach <= best[0]:
                                 continue
-                            score, at = align(item, words[c:end])
+                            score, _ = align(item, words[c:end])
                             if score / (2 * len(item)) > best[0]:
-                                best = (score / (2 * len(item)), c + at)
+                                best = (score / (2 * len(item)), c, end)
                 if best[0] >= threshold:
-                    rows.append((row, doc, item_id, best[0], max(0, best[1] - len(item)), min(len(item), best[1])))
+                    _, first, last = span(item, words[best[1] : best[2]])
+                    rows.append((row, doc, item_id, best[0], best[1] + first, last - first))
         if rows:
-            yield pd.DataFrame(rows, columns=[ROW, *(c.split()[0] for c in OUT.split(", "))]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[ROW, *(c.split()[0] for c in OUT.split(", "))]).astype({"doc_id": "Int64", "item_id": "Int64"})
+
+
+def _content(text: Column) -> tuple[Column, Column]:
+    """Two hashes that stand for a text."""
+    return F.xxhash64(text), F.xxhash64(text, F.lit("two"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.5, block: int = 5000) -> DataFrame:
-    """doc_id, item_id, score, start, n_words for each document and item that it holds a copy of, exact or edited."""
-    return _contaminated(docs.withColumn(ROW, F.monotonically_increasing_id()), benchmark, n, seeds, threshold, block).drop(ROW)
+def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, score, start, n_words for each document and item that it holds a copy of, exact or edited: the passage
+    is n_words long and starts at word `start`."""
+    return _contaminated(docs, benchmark, **how)[0].drop(ROW)
 
 
-def _contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.5, block: int = 5000) -> DataFrame:
-    """The same with __row, the number of the document's row, in front."""
+def _contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, seeds: int = 16, threshold: float = 0.5, block: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """The same with __row, and the documents met: __row with two hashes of the text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = staged(texts, "items")
-    blocks = max(1, -(-items.count() // block))
-    corpus = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
+    texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).filter(F.size("words") >= n)
+    blocks = max(1, -(-texts.count() // block))
+    items = staged(texts.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int")), "items")
+    table = staged(items.select("block", "words").mapInPandas(partial(_grams, n=n), "block int, h long").distinct(), "seeds")
+    one, two = _content(F.col("text"))
+    corpus = docs.select(F.monotonically_increasing_id().alias(ROW), F.col("doc_id").cast("long").alias("doc_id"), one.alias("__one"), two.alias("__two"), words_of(F.col("text")).alias("words"))
+    near = staged(corpus.mapInPandas(partial(_find, bitmap=_bitmap(table), n=n), f"{ROW} long, doc_id long, __one long, __two long, words array<long>, found array<long>"), "near")
+    hits = near.select(ROW, F.explode("found").alias("h"))
+    rare = staged(hits.groupBy("h").agg(F.count("*").alias("n")).join(table, "h"), "rarity")
+    routes = staged(hits.join(rare, "h").select(ROW, "block").distinct(), "routes") if blocks > 1 else None
     out = []
     for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b) if blocks > 1 else items
-        own = sorted(((r.item_id if r.item_id is not None else -1, np.array(r.words, np.int64)) for r in part.collect()), key=lambda x: (x[0], x[1].tolist()))
+        part = items.filter(F.col("block") == b)
+        own = sorted(((r.item_id, np.array(r.words, np.int64)) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1].tolist()))  # a block
         if not own:
             continue
-        every = _Seeds(own, n)
-        near = staged(corpus.mapInPandas(partial(_find, seeds=every), f"{ROW} long, doc_id long, words array<long>, found array<long>"), "near")
-        # at most a row for each n-gram of the block
-        counts = {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in near.select(F.explode("found").alias("h")).groupBy("h").agg(F.count("*").alias("n")).collect()}
-        out.append(near.select(ROW, "doc_id", "words").mapInPandas(partial(_judge, every=every, counts=counts, seeds=seeds, threshold=threshold), f"{ROW} long, {OUT}"))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"{ROW} long, {OUT}")
+        counts = {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in rare.filter(F.col("block") == b).collect()}  # at most a row for each n-gram of the block
+        mine = near if routes is None else near.join(routes.filter(F.col("block") == b).select(ROW), ROW, "left_semi")
+        judged = mine.select(ROW, "doc_id", "words").mapInPandas(partial(_judge, every=_Seeds(own, n), counts=counts, seeds=seeds, threshold=threshold), f"{ROW} long, {OUT}")
+        out.append(staged(judged, "judged"))
+    found = reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"{ROW} long, {OUT}")
+    return found, near.select(ROW, "__one", "__two")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the rows that hold a copy of a test item, each by its own content: null and repeated ids are no reason.
-    `docs` must give the same rows in the same order when read again, as a file scan does."""
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    bad = staged(_contaminated(rows, benchmark, **how).select(ROW).distinct(), "contaminated")
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    """docs without the rows that hold a copy of a test item, each by its own content."""
+    found, met = _contaminated(docs, benchmark, **how)
+    bad = staged(found.select(ROW).distinct().join(met, ROW).select("__one", "__two").distinct(), "contaminated")
+    one, two = _content(docs["text"])
+    return docs.join(bad, (one == bad["__one"]) & (two == bad["__two"]), "left_anti")
