@@ -135,10 +135,12 @@ from sets s join ids i on s.s = i.s join roots r on r.a = i.rep left join n_link
 OP7_SQL = r"""
 with l as (select doc_id, text, case when text is null then null else string_split(text, chr(10)) end as x from documents),
 w as (
-  select doc_id, p - 1 as pos, trim(x[p]) as a, trim(x[p + 1]) as b, trim(x[p + 2]) as c
-  from (select doc_id, x, unnest(range(1, len(x) - 1)) as p from l where len(x) >= 3)),
-n as (select doc_id, pos, row_number() over (partition by a, b, c order by doc_id, pos) as k from w where not (a = '' and b = '' and c = '')),
-gone as (select distinct doc_id, pos + d as pos from n, (values (0), (1), (2)) t(d) where k > 1),
+  select doc_id, len, p - 1 as pos, trim(x[p]) as a, trim(x[p + 1]) as b, trim(x[p + 2]) as c
+  from (select doc_id, x, len(x) as len, unnest(range(1, greatest(len(x) - 1, 2))) as p from l where x is not null)),
+n as (
+  select doc_id, len, pos, row_number() over (partition by a, b, c order by doc_id, pos) as k from w
+  where not (a = '' and coalesce(b, '') = '' and coalesce(c, '') = '')),
+gone as (select distinct doc_id, pos + d as pos from n, (values (0), (1), (2)) t(d) where k > 1 and pos + d < len),
 per as (select doc_id, list(pos) as g from gone group by doc_id)
 select l.doc_id, coalesce(len(x), 0)::bigint as n_lines, coalesce(len(g), 0)::bigint as n_removed,
   case when g is null then text else array_to_string(list_filter(x, lambda v, i: not list_contains(g, i - 1)), chr(10)) end as text
