@@ -154,6 +154,8 @@ def test_topk_brute_force(spark):
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=3).collect()}
     assert got == want
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(twice, F.col("vec_id") == 0).collect()) == [(0, 1, 1, 131072), (0, 2, 1, 131072)]
 
 
 def edited(rng, words, edits, name):
@@ -318,10 +320,24 @@ def test_quality_held_out(spark):
     scores = {r.doc_id: r.score for r in quality.score(df, model, "doc_id").collect()}
     held = [(scores[d] >= 0.7) == (q == 1) for d, _, q in rows if d % 4 == 2]
     assert np.mean(held) > 0.95 and all(0 <= s <= 1 for s in scores.values())
+    plain = quality.fit(df, labels, F.col("doc_id") % 4 != 2, placed=False)
+    assert len(plain.weights) == 1 + len(quality.DIFFERENCE)
     assert quality.fit(df, labels.filter("quality = 1"), F.lit(True)).constant == 1.0
     assert quality.fit(df, labels.limit(0), F.lit(True)).constant == 1.0
 
 
+def test_quality_figures_on_held_out_documents(spark):
+    """The query on sf0.01: ranking and decisions on the fold that the fit has not seen."""
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [(r.score, labels[r.doc_id], r.predicted) for r in queries.op8_quality(spark, sf).filter("held_out").collect() if r.doc_id in labels]
+    good, bad = [s for s, q, _ in rows if q == 1], [s for s, q, _ in rows if q == 0]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.85
+    assert np.mean([p == q for _, q, p in rows]) > 0.9 and np.mean([p for _, q, p in rows if q == 1]) > 0.95
+
+
 def test_decontamination(spark, docs):
     rng = np.random.default_rng(8)
     item = [f"q{i}" for i in range(30)]

@@ -1,12 +1,14 @@
 """Compression classifier for text quality.
 
 Two zstandard dictionaries are trained, on good and on bad labelled texts. A text that is like the good ones gets shorter
-with the first. The difference of its two compressed sizes, normalised by size and by length, with its plain compression
-ratio and length to place it, is turned into a probability by a logistic calibration on other labelled texts.
+with the first. The difference of its two compressed sizes, normalised by size and by length, is turned into a probability
+by a logistic calibration on other labelled texts. The calibration also knows the sizes themselves, the plain compression
+ratio and the length, as a difference means more in some texts than in others (placed=False leaves these out).
 
-Fit: at most about `per_class` labelled documents of each class, picked by a hash of the id, are read whole; half of them
-train the dictionaries, half the calibration, which weights the classes as they occur. Scoring covers every document in
-one pass without a shuffle; the model sent to the tasks is two dictionaries of `size` bytes and a few numbers.
+Fit: a hash of the id deals the labelled documents to two halves. About `per_class` texts of each class of one half are
+read whole and train the dictionaries; about `calibrate` rows of each class of the other half are compressed where they
+lie, and only their numbers are collected. Classes are weighted as they occur. Scoring covers every document in one pass
+without a shuffle; the model sent to the tasks is two dictionaries of `size` bytes and a few numbers.
 
 Edge cases: null and empty texts are scored as empty; labels that are null, or given twice with different values, don't
 count; with labels of one class only the score is 1 or 0, and without labels 1; other columns are ignored.
@@ -35,6 +37,7 @@ class Model:
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
+    columns: list[int] = field(default_factory=list)
     constant: float | None = None
 
 
@@ -58,6 +61,10 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b"\n".join(texts)[-size:]
 
 
+#: Of the features, those that are the difference and its own normalisations.
+DIFFERENCE = [0, 1, 2, 7]
+
+
 def features(texts: list[bytes], good, bad, plain) -> np.ndarray:
     rows = []
     for t in texts:
@@ -82,32 +89,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 4000, size: int = 1 << 16) -> Model:
-    """train: which labelled doc_id may be learned from."""
-    import xxhash
+def _bytes(texts) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def _measure(frames: Iterator[pd.DataFrame], good: bytes, bad: bytes) -> Iterator[pd.DataFrame]:
+    tools = _compressor(good), _compressor(bad), _compressor(None)
+    for pdf in frames:
+        yield pd.DataFrame({"quality": pdf["quality"], "x": features(_bytes(pdf["text"]), *tools).tolist()})
+
 
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1000, calibrate: int = 10_000, size: int = 1 << 16, placed: bool = True) -> Model:
+    """train: which labelled doc_id may be learned from."""
+    bounded_batches(docs.sparkSession)
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other")
-    ).filter("quality = other").select("doc_id", "quality")
-    totals = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    ).filter("quality = other").select("doc_id", "quality", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
+    labelled = docs.select("doc_id", "text").join(usable, "doc_id")
+    found = {(r.quality, r.half): r.n for r in labelled.groupBy("quality", "half").agg(F.count("*").alias("n")).collect()}
+    totals = {q: sum(n for (k, _), n in found.items() if k == q) for q in {q for q, _ in found}}
     if len(totals) < 2:
         return Model(constant=0.0 if 0 in totals else 1.0)
-    some = hash_sample(usable.filter("quality = 1"), F.col("doc_id"), per_class).unionByName(hash_sample(usable.filter("quality = 0"), F.col("doc_id"), per_class))
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # about 2 * per_class rows, whatever the tables' size
-    rows = sorted(((xxhash.xxh64(str(r.doc_id)).intdigest(), r.quality, (r.text or "").encode()) for r in picked.select("doc_id", "text", "quality").collect()))
-    if len({q for _, q, _ in rows}) < 2:
-        return Model(constant=float(rows[0][1]) if rows else 1.0)
-    halves: dict[tuple[int, int], list[bytes]] = {}
-    for i, (_, q, t) in enumerate(sorted(rows, key=lambda r: r[1])):
-        halves.setdefault((q, i % 2), []).append(t)
-    good, bad = (_dictionary(halves.get((q, 0)) or halves[q, 1], size) for q in (1, 0))
-    held = [(t, q) for q in (0, 1) for t in halves.get((q, 1)) or halves[q, 0]]
-    x = features([t for t, _ in held], _compressor(good), _compressor(bad), _compressor(None))
-    y = np.array([q for _, q in held], float)
+
+    def some(rows: DataFrame, q: int, half: int, n: int) -> DataFrame:
+        """About n rows of a class and half (of both halves, if there is none)."""
+        own = rows.filter((F.col("quality") == q) & (F.col("half") == half if (q, half) in found else F.lit(True)))
+        return hash_sample(own, F.col("doc_id"), n)
+
+    texts = {q: [t for _, t in sorted((r.doc_id, r.text) for r in some(labelled, q, 0, per_class).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())] for q in (0, 1)}
+    good, bad = (_dictionary(_bytes(texts[q]), size) for q in (1, 0))
+    others = some(labelled, 1, 1, calibrate).unionByName(some(labelled, 0, 1, calibrate)).select("quality", "text")
+    rows = sorted((r.quality, list(r.x)) for r in others.mapInPandas(partial(_measure, good=good, bad=bad), "quality int, x array<double>").collect())
+    columns = list(range(9)) if placed else DIFFERENCE
+    x, y = np.array([v for _, v in rows]).reshape(len(rows), 9)[:, columns], np.array([q for q, _ in rows], float)
     share = {q: totals[q] / sum(totals.values()) / max(1, (y == q).sum()) * len(y) for q in (0, 1)}
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - mean) / scale, y, np.where(y == 1, share[1], share[0]))
-    return Model(good, bad, mean.tolist(), scale.tolist(), w.tolist())
+    return Model(good, bad, mean.tolist(), scale.tolist(), w.tolist(), columns)
 
 
 def _score(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
@@ -116,7 +134,7 @@ def _score(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFram
         if tools is None:
             s = np.full(len(pdf), model.constant)
         else:
-            x = features([(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]], *tools)
+            x = features(_bytes(pdf["text"]), *tools)[:, model.columns]
             z = ((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights[1:]) + model.weights[0]
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         yield pdf.drop(columns="text").assign(score=s)

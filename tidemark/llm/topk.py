@@ -9,13 +9,14 @@ whole product. The best k of each task are merged by query.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take no part; vectors of another dimension than
 the query's are no candidates of it; a row with the query's id is never its candidate; ties go to the smaller id; fewer
-than k candidates give as many rows as there are; repeated rows are candidates each.
+than k candidates give as many rows as there are; repeated rows are candidates each, but not of a query with their id;
+query rows that share an id share one ranking over all their products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -122,13 +123,14 @@ def _found(ids, vecs, q_ids, queries, k) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).groupby("query_id").head(k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score. Queries are handled in blocks of `block` rows, each sent to all tasks: a block of 64
-    dimensions is 2 MB, whatever the number of queries."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 32_768) -> DataFrame:
+    """query_id, rank, vec_id, score. Queries are handled in blocks of about `block` rows, each sent to all tasks: a block of
+    64 dimensions is 16 MB, whatever the number of queries. A block's best are written before the next is read, so the driver
+    holds one block, and the candidates are read once for each."""
     spark = vectors.sparkSession
     rows = staged(quantized(vectors, scale), "vectors")
     queries = staged(rows.filter(is_query).select(F.col("vec_id").alias("q"), "v", F.size("v").alias("dim")).distinct(), "queries")
-    found = None
+    found = []
     for dim in sorted(r.dim for r in queries.select("dim").distinct().collect()):
         own = queries.filter(F.col("dim") == dim)
         blocks = -(-own.count() // block)
@@ -137,9 +139,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
             part = dealt.filter(F.col("b") == b).select("q", "v").collect()
             if part:
                 q_ids, q_vecs = np.array([r.q for r in part], np.int64), np.array([r.v for r in part], np.int64).reshape(len(part), dim)
-                some = rows.mapInPandas(partial(_task, q_ids=q_ids, queries=q_vecs, k=k), OUT)
-                found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = spark.createDataFrame([], OUT)
+                found.append(staged(rows.mapInPandas(partial(_task, q_ids=q_ids, queries=q_vecs, k=k), OUT), "best"))
+    found = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], OUT)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
