@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 READS = """
 select sample_name, contig_name, read_id, qname, flag, pos, mapq,
@@ -105,8 +108,23 @@ def oracle(name: str) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or our own where that is unset."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    folder of its own, and a cluster an error: there, executors would each write to a disk that the others don't see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session share, as a dataset is built once and asked often: written to the shared
+    folder when it is first asked for, and read from there. A session sees the tables in sf_dir as they were then."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        df, path = make(), shared_path(spark, name)
+        df.write.parquet(path)
+        _STORED[key] = path, df.schema
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)

@@ -29,12 +29,20 @@ def query_length(ops: Column) -> Column:
 
 
 def cigar_offsets(ops: Column, pos: Column) -> Column:
-    """Each operation with where it starts: ref_start (0-based), query_start and mcol_start (match columns before it)."""
-    before = lambda i, kinds: span(F.slice(ops, F.lit(1), i), kinds)
-    return F.transform(ops, lambda o, i: F.struct(
-        o.op.alias("op"), o.len.alias("len"), (pos + before(i, "MDN=X")).alias("ref_start"),
-        before(i, "MIS=X").alias("query_start"), before(i, "M=X").alias("mcol_start"),
-    ))
+    """Each operation with where it starts: ref_start (0-based), query_start and mcol_start (match columns before it). One pass
+    with running sums, as long reads have thousands of operations."""
+    out = "array<struct<op:string,len:int,ref_start:int,query_start:int,mcol_start:int>>"
+    takes = lambda o, kinds: F.when(F.instr(F.lit(kinds), o.op) > 0, o.len).otherwise(0)
+
+    def step(acc: Column, o: Column) -> Column:
+        placed = F.struct(o.op.alias("op"), o.len.alias("len"), acc.r.alias("ref_start"), acc.q.alias("query_start"), acc.m.alias("mcol_start"))
+        return F.struct(
+            (acc.r + takes(o, "MDN=X")).alias("r"), (acc.q + takes(o, "MIS=X")).alias("q"), (acc.m + takes(o, "M=X")).alias("m"),
+            F.concat(acc.out, F.array(placed)).cast(out).alias("out"),
+        )
+
+    first = F.struct(F.coalesce(pos.cast("int"), F.lit(0)).alias("r"), F.lit(0).alias("q"), F.lit(0).alias("m"), F.array().cast(out).alias("out"))
+    return F.aggregate(ops, first, step, lambda acc: acc.out)
 
 
 def parse_md(md: Column) -> Column:
@@ -44,14 +52,19 @@ def parse_md(md: Column) -> Column:
 
 def md_mismatches(offsets: Column, md: Column, seq: Column) -> Column:
     """array<struct<ref_pos, ref_base, base>> of the mismatches: the k-th match column lies in the operation that holds it.
-    Positions come from the CIGAR; deletions in MD take no match column."""
-    tokens = parse_md(md)
+    Positions come from the CIGAR; deletions in MD take no match column. One pass over the tokens."""
+    out = "array<struct<t:string,k:int>>"
     width = lambda t: F.when(t.rlike(r"^\d+$"), t.cast("int")).when(t.startswith("^"), 0).otherwise(1)
-    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), F.aggregate(F.slice(tokens, F.lit(1), i), F.lit(0), lambda a, x: a + width(x)).alias("k")))
-    own = F.filter(placed, lambda p: p.t.rlike("^[A-Z]$"))
+
+    def step(acc: Column, t: Column) -> Column:
+        own = F.array(F.struct(t.alias("t"), acc.k.alias("k"))).cast(out)
+        return F.struct((acc.k + width(t)).alias("k"), F.when(t.rlike("^[A-Z]$"), F.concat(acc.out, own)).otherwise(acc.out).alias("out"))
+
+    own = F.aggregate(parse_md(md), F.struct(F.lit(0).alias("k"), F.array().cast(out).alias("out")), step, lambda acc: acc.out)
+    columns = F.filter(offsets, lambda o: o.op.isin("M", "=", "X"))
 
     def place(p: Column) -> Column:
-        hit = F.get(F.filter(offsets, lambda o: o.op.isin("M", "=", "X") & (o.mcol_start <= p.k) & (p.k < o.mcol_start + o.len)), F.lit(0))
+        hit = F.get(F.filter(columns, lambda o: (o.mcol_start <= p.k) & (p.k < o.mcol_start + o.len)), F.lit(0))
         return F.struct((hit.ref_start + p.k - hit.mcol_start).alias("ref_pos"), p.t.alias("ref_base"), F.substring(seq, hit.query_start + p.k - hit.mcol_start + 1, F.lit(1)).alias("base"))
 
     return F.filter(F.transform(own, place), lambda m: m.ref_pos.isNotNull())

@@ -27,14 +27,14 @@ def spliced_offset(pos: Column, segments: Column, strand: Column) -> Column:
     return F.when(strand == -1, whole - 1 - forward).otherwise(forward)
 
 
-def codon_effect(points: DataFrame, cds: DataFrame, bucket: int = 4096) -> DataFrame:
+def codon_effect(points: DataFrame, cds: DataFrame) -> DataFrame:
     """Changed bases with category (Synonymous, Non-synonymous, Intergenic), codon and amino_acid.
 
     points: point_id, contig_name, pos, base. cds: id, contig_name, start, end, strand, segments, seq (spliced, in reading
     direction). Of several regions over a point the one that starts last counts. Points between segments, in a last codon
     that isn't whole or in one with other letters are left out. Codons are joined one by one: no row carries a sequence.
     """
-    of = covering_latest(points.select("point_id", "contig_name", "pos"), cds.select("contig_name", "start", "end", "id"), ["contig_name"], bucket)
+    of = covering_latest(points.select("point_id", "contig_name", "pos"), cds.select("contig_name", "start", "end", "id"), ["contig_name"])
     outside = points.join(of, "point_id", "left_anti").select("point_id", F.lit("Intergenic").alias("category"), F.lit("").alias("codon"), F.lit("").alias("amino_acid"))
     placed = points.join(of, "point_id").join(cds.select("id", "strand", "segments"), "id").withColumn("offset", spliced_offset(F.col("pos"), F.col("segments"), F.col("strand"))).filter("offset is not null")
     own = F.when(F.col("strand") == -1, F.translate("base", "ACGT", "TGCA")).otherwise(F.col("base"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from .kernels import interval_union, overlap_join, sweep
+from .kernels import best_over, interval_union, overlap_join, sweep
 
 
 def windows(sequences: DataFrame, size: int) -> DataFrame:
@@ -61,16 +61,15 @@ def repeat_count_runs(repeats: DataFrame) -> DataFrame:
     return sweep(rows, ["contig_name"], {"direct": F.col("d"), "inverted": 1 - F.col("d")})
 
 
-def repeat_identity_segments(repeats: DataFrame, bucket: int = 1000) -> DataFrame:
+def repeat_identity_segments(repeats: DataFrame) -> DataFrame:
     """Segments between breakpoints with the best identity over them and where its partner starts; ties go to the smallest."""
     rows = repeats.select("contig_name", F.least("p1", "p2").alias("start"), F.greatest("p1", "p2").alias("end"), "pident", F.least("p1x", "p2x").alias("partner"))
-    marks = rows.select("contig_name", F.explode(F.array("start", F.col("end") + 1)).alias("at")).distinct()
-    after = F.lead("at").over(Window.partitionBy("contig_name").orderBy("at"))
-    segments = marks.select("contig_name", F.col("at").alias("start"), (after - 1).alias("end")).filter("end is not null")
-    met = overlap_join(segments, rows, ["contig_name"], bucket)
-    return met.groupBy("contig_name", "start", "end").agg(F.max(F.struct("pident", (-F.col("partner")).alias("p"))).alias("b")).select(
-        "contig_name", "start", "end", "b.pident", (-F.col("b.p")).alias("partner")
-    )
+    marks = rows.select("contig_name", F.explode(F.array("start", F.col("end") + 1)).alias("pos")).distinct()
+    after = F.lead("pos").over(Window.partitionBy("contig_name").orderBy("pos"))
+    segments = marks.select("contig_name", "pos", (after - 1).alias("end")).filter("end is not null")
+    # the intervals over a segment's first base are those over all of it
+    best = best_over(segments, rows, ["contig_name"], F.struct("pident", (-F.col("partner")).alias("p")))
+    return segments.join(best, ["contig_name", "pos"]).select("contig_name", F.col("pos").alias("start"), "end", "best.pident", (-F.col("best.p")).alias("partner"))
 
 
 def terminal_repeats(repeats: DataFrame, contigs: DataFrame, edge: int = 100, identity: float = 90.0) -> DataFrame:
@@ -126,11 +125,10 @@ def to_mag_coords(df: DataFrame, members: DataFrame, *columns: str) -> DataFrame
     return rows.withColumns({c: F.col(c) + F.col("offset") for c in columns}).drop("offset")
 
 
-def covering_latest(points: DataFrame, intervals: DataFrame, keys: list[str], bucket: int = 1000) -> DataFrame:
+def covering_latest(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
     """For each point, of the intervals over it the one that starts last (then the largest id): point_id, id."""
-    spans = points.withColumns({"start": F.col("pos"), "end": F.col("pos")})
-    met = overlap_join(spans, intervals.select(*keys, "start", "end", "id"), keys, bucket)
-    return met.groupBy("point_id").agg(F.max(F.struct("r_start", "id")).alias("b")).select("point_id", F.col("b.id").alias("id"))
+    best = best_over(points, intervals.select(*keys, "start", "end", "id"), keys, F.struct("start", "id"))
+    return points.join(best, [*keys, "pos"]).select("point_id", F.col("best.id").alias("id"))
 
 
 def nearest_distance(points: DataFrame, genes: DataFrame) -> DataFrame:

@@ -16,40 +16,46 @@ CHUNK = 65_536
 def sweep(intervals: DataFrame, keys: list[str], weights: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
     """Sums of weights over overlapping intervals as runs: keys, start, end and a column for each weight.
 
-    Each interval adds its weights at start and takes them off after end. Events are summed by position first (map-side
-    too), running sums stay inside a chunk, and what earlier chunks leave open is carried in from a table of chunk totals.
-    Runs end at chunk borders; runs where all sums are 0 are left out.
+    Intervals are cut at chunk borders; each piece adds its weights at its start and takes them off after its end, unless
+    that is the chunk's. Events are summed by position first (map-side too), and running sums stay inside a chunk: one pass
+    over the input, and no chunk needs another. Runs end at chunk borders; runs where all sums are 0 are left out.
     """
     names = list(weights)
-    rows = intervals.filter("start <= end").select(*keys, "start", "end", *[w.alias(n) for n, w in weights.items()])
+    rows = intervals.filter("start <= end").select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *[w.alias(n) for n, w in weights.items()])
+    cut = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor(F.col("end") / chunk))))
+    first, after = F.col("chunk") * chunk, (F.col("chunk") + 1) * chunk
     event = lambda at, sign: F.struct(at.alias("pos"), *[(sign * F.col(n)).alias(n) for n in names])
-    events = rows.select(*keys, F.explode(F.array(event(F.col("start").cast("long"), 1), event(F.col("end").cast("long") + 1, -1))).alias("e")).select(*keys, "e.*")
-    events = events.groupBy(*keys, "pos").agg(*[F.sum(n).alias(n) for n in names])
-    events = events.withColumn("chunk", F.floor(F.col("pos") / chunk))
-    totals = events.groupBy(*keys, "chunk").agg(*[F.sum(n).alias(n) for n in names])
-    spans = totals.groupBy(*keys).agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
-    every = spans.select(*keys, F.explode(F.sequence("lo", "hi")).alias("chunk"))
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = every.join(totals, [*keys, "chunk"], "left").select(
-        *keys, "chunk", *[F.coalesce(F.sum(F.coalesce(n, F.lit(0))).over(before), F.lit(0)).alias(f"carry_{n}") for n in names]
-    )
-    marks = carry.select(*keys, (F.col("chunk") * chunk).alias("pos"), *[F.col(f"carry_{n}").alias(n) for n in names], "chunk")
-    points = events.unionByName(marks).groupBy(*keys, "chunk", "pos").agg(*[F.sum(n).alias(n) for n in names])
+    events = F.array_compact(F.array(event(F.greatest("start", first), 1), F.when(F.col("end") + 1 < after, event(F.col("end") + 1, -1))))
+    points = cut.select(*keys, "chunk", F.explode(events).alias("e")).select(*keys, "chunk", "e.*").groupBy(*keys, "chunk", "pos").agg(*[F.sum(n).alias(n) for n in names])
     inside = Window.partitionBy(*keys, "chunk").orderBy("pos")
     runs = points.select(
-        *keys, F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(inside), (F.col("chunk") + 1) * chunk) - 1).alias("end"),
-        *[F.sum(n).over(inside).alias(n) for n in names],
+        *keys, F.col("pos").alias("start"), (F.coalesce(F.lead("pos").over(inside), after) - 1).alias("end"), *[F.sum(n).over(inside).alias(n) for n in names],
     )
     return runs.filter(reduce(Column.__or__, [F.col(n) != 0 for n in names]))
 
 
-def rle(runs: DataFrame, keys: list[str], *values: str) -> DataFrame:
-    """Join runs that touch and have equal values."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    same = reduce(Column.__and__, [F.lag(v).over(order).eqNullSafe(F.col(v)) for v in values], F.lag("end").over(order) + 1 == F.col("start"))
-    marked = runs.withColumn("island", F.coalesce(~same, F.lit(True)).cast("int"))
-    marked = marked.withColumn("island", F.sum("island").over(order))
-    return marked.groupBy(*keys, "island", *values).agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", *values)
+def rle(runs: DataFrame, keys: list[str], *values: str, chunk: int = CHUNK) -> DataFrame:
+    """Join runs that touch and have equal values. Runs are compared inside chunks; a chunk's first run meets the last one
+    before it by a table that has a row for each chunk."""
+    # runs that start in a chunk, with where their island starts, as far as the chunk knows
+    rows = runs.select(*keys, "start", "end", *values).withColumn("chunk", F.floor(F.col("start") / chunk))
+    order = Window.partitionBy(*keys, "chunk").orderBy("start")
+    equal = lambda a, b: reduce(Column.__and__, [F.col(f"{a}.{v}").eqNullSafe(F.col(f"{b}.{v}") if b else F.col(v)) for v in values])
+    own = rows.withColumn("before", F.lag(F.struct("end", *values)).over(order))
+    new = F.col("before").isNotNull() & ~(equal("before", "") & (F.col("before.end") + 1 == F.col("start")))
+    own = own.withColumn("since", F.max(F.when(new, F.col("start"))).over(order))
+    edges = own.groupBy(*keys, "chunk").agg(
+        F.min_by(F.struct("start", *values), "start").alias("first"), F.max_by(F.struct("end", *values), "start").alias("last"), F.max("since").alias("since")
+    )
+    across = Window.partitionBy(*keys).orderBy("chunk")
+    edges = edges.withColumn("before", F.lag("last").over(across))
+    opens = F.col("before").isNull() | ~(equal("before", "first") & (F.col("before.end") + 1 == F.col("first.start")))
+    edges = edges.withColumn("opened", F.when(opens, F.col("first.start")))
+    # the island that a chunk's first run belongs to: opened here, or the latest one that an earlier chunk opened
+    earlier = F.last(F.coalesce("since", "opened"), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    carried = edges.select(*keys, "chunk", F.coalesce("opened", earlier).alias("carried"))
+    met = own.join(carried, [*keys, "chunk"]).withColumn("island", F.coalesce("since", "carried"))
+    return met.groupBy(*keys, "island", *values).agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", *values)
 
 
 def interval_union(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,6 +89,38 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: int
     return met.filter(F.floor(F.greatest("start", "r_start") / bucket) == F.col("__cell")).drop("__cell")
 
 
+def _size(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
+
+
+def nodes_over(start: Column, end: Column, levels: int = 40) -> Column:
+    """The fewest aligned blocks of 1, 2, 4, ... positions that make up an interval, as array<struct<level, node>>: at most two
+    of each size, so a long interval takes a few dozen."""
+    def at(k: Column) -> Column:
+        size = _size(k)
+        lo, hi = F.floor((start + size - 1) / size), F.floor((end + 1) / size)
+        take = lambda when, node: F.when((lo < hi) & when, F.struct(k.alias("level"), node.alias("node")))
+        return F.array(take(lo % 2 == 1, lo), take(hi % 2 == 1, hi - 1))
+
+    top = F.least(F.lit(levels), F.floor(F.log2(end - start + 1)).cast("int") + 1)
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), at)))
+
+
+def best_over(points: DataFrame, intervals: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """keys, pos and best: the largest value of the intervals over each different position of points, where there is one.
+
+    An interval goes to the few blocks that make it up, and each block keeps its largest value; a position looks into the
+    blocks that hold it, one of each size that occurs. No pair of a position and an interval is made.
+    """
+    rows = intervals.filter("start <= end").select(*keys, F.explode(nodes_over(F.col("start").cast("long"), F.col("end").cast("long"))).alias("n"), value.alias("value"))
+    blocks = rows.groupBy(*keys, "n.level", "n.node").agg(F.max("value").alias("value"))
+    top = F.floor(F.log2(F.max(F.col("end") - F.col("start") + 1))).cast("int")  # no block is larger than the longest interval
+    levels = intervals.filter("start <= end").agg(F.coalesce(top, F.lit(0)).alias("top"))
+    asked = points.select(*keys, F.col("pos").cast("long").alias("pos")).distinct().crossJoin(levels)  # one row
+    asked = asked.withColumn("level", F.explode(F.sequence(F.lit(0), "top"))).withColumn("node", F.floor(F.col("pos") / _size(F.col("level"))))
+    return asked.join(blocks, [*keys, "level", "node"]).groupBy(*keys, "pos").agg(F.max("value").alias("best"))
+
+
 def overlap_length() -> Column:
     """Bases that a pair from overlap_join shares."""
     return F.least("end", "r_end") - F.greatest("start", "r_start") + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..driver import derived, oracle
+from ..driver import derived, oracle, stored
 from ..operators import circular as C
 from ..operators import genome as G
 from ..operators import kernels as K
@@ -20,6 +20,7 @@ from ..sources.files import metrics_wide
 from .genome import rounded
 from .signals import PRELUDE, depth_src, positions, reads, runs_sql
 from .signals import SQL as SIGNAL_SQL
+from .signals import depth_runs as chunk_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +39,7 @@ def half_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def depth_runs(spark: SparkSession, d: str) -> DataFrame:
-    return K.rle(S.depth(S.mapped(reads(spark, d))), S.PAIR, "value").select(*S.PAIR, "start", "end", F.col("value").cast("long").alias("value"))
+    return stored(spark, d, "joined-depth-runs", lambda: K.rle(chunk_runs(spark, d), S.PAIR, "value").select(*S.PAIR, "start", "end", F.col("value").cast("long").alias("value")))
 
 
 SQL["normalize_circular"] = f"""with raw as materialized ({oracle('reads')}), c as (select contig_name from ({oracle('contigs')})), known as (select raw.*, a.contig_name is not null as k, b.contig_name is not null as m from raw left join c a using (contig_name) left join c b on b.contig_name = raw.mate_contig),
@@ -102,7 +103,7 @@ select mag_name, sample_name, round(sum(mismatch_count) * 100000.0 / any_value(s
 
 
 def mag_burden(spark: SparkSession, d: str) -> DataFrame:
-    counts = M.variant_burden(positions(reads(spark, d)), 0.1)
+    counts = M.variant_burden(positions(spark, d), 0.1)
     return rounded(N.mag_burden(counts, bins(spark, d), ["mismatch_count", "bases"]), "mismatch_count_per_100kbp", "bases_per_100kbp", digits=4)
 
 

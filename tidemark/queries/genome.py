@@ -78,7 +78,7 @@ select contig_name, min(p) as "start", max(p) as "end", direct, inverted from m
 query("repeat_identity_segments", f"""with {base('repeats')}, r as (select contig_name, least(p1, p2) as s, greatest(p1, p2) as e, pident, least(p1x, p2x) as partner from repeats),
 k as (select contig_name, s as x from r union select contig_name, e + 1 from r), g as (select contig_name, x as s, lead(x) over (partition by contig_name order by x) - 1 as e from k),
 j as (select g.contig_name, g.s, g.e, r.pident, r.partner, row_number() over (partition by g.contig_name, g.s order by r.pident desc, r.partner) as n from g join r on r.contig_name = g.contig_name and g.s <= r.e and r.s <= g.e where g.e is not null)
-select contig_name, s as "start", e as "end", pident, partner from j where n = 1""")(lambda spark, d: G.repeat_identity_segments(derived(spark, d, "repeats"), 64))
+select contig_name, s as "start", e as "end", pident, partner from j where n = 1""")(lambda spark, d: G.repeat_identity_segments(derived(spark, d, "repeats")))
 query("terminal_repeats", f"with {base('repeats')}, {base('contigs')} select contig_name, p1, p2, p1x, p2x, pident from repeats join contigs using (contig_name) where least(p1, p2, p1x, p2x) <= 150 and greatest(p1, p2, p1x, p2x) > contig_length - 300 and pident >= 82")(
     lambda spark, d: G.terminal_repeats(derived(spark, d, "repeats"), derived(spark, d, "contigs").withColumn("contig_length", F.col("contig_length") - 150), 150, 82.0).select("contig_name", "p1", "p2", "p1x", "p2x", "pident"))
 CANON = "canon as (select distinct case when contig_1 > contig_2 then contig_2 else contig_1 end as contig_1, case when contig_1 > contig_2 then contig_1 else contig_2 end as contig_2, case when contig_1 > contig_2 then p1x else p1 end as p1, case when contig_1 > contig_2 then p2x else p2 end as p2, case when contig_1 > contig_2 then p1 else p1x end as p1x, case when contig_1 > contig_2 then p2 else p2x end as p2x, pident from hits)"
@@ -110,7 +110,7 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("covering_cds", f"with {base('annotations')}, {GENES}, {POINTS}, j as (select point_id, id, row_number() over (partition by point_id order by s desc, id desc) as k from points join genes using (contig_name) where pos between s and e) select point_id, id from j where k = 1")(
-    lambda spark, d: G.covering_latest(points(spark, d), genes(spark, d), ["contig_name"], 100))
+    lambda spark, d: G.covering_latest(points(spark, d), genes(spark, d), ["contig_name"]))
 query("nearest_gene", f"with {base('annotations')}, {GENES}, {POINTS} select point_id, min(case when pos < s then s - pos when pos > e then pos - e else 0 end)::bigint as distance from points join genes using (contig_name) group by all")(
     lambda spark, d: G.nearest_distance(points(spark, d), genes(spark, d)))
 
@@ -119,10 +119,7 @@ query("nearest_gene", f"with {base('annotations')}, {GENES}, {POINTS} select poi
 select id, sample_name, count(*) filter (depth > 0)::bigint as covered, sum(depth)::bigint as total, round(sum(depth) / any_value(e - s + 1), 6) as mean from genes join cov on cov.contig_name = genes.contig_name and cov.pos between s and e group by id, sample_name""")
 def gene_interval_stats(spark: SparkSession, d: str) -> DataFrame:
     """Covered bases and mean depth of each gene in each sample, from runs."""
-    from ..operators.signals import prepare, signal
-
-    runs = signal(prepare(derived(spark, d, "reads")), "primary_reads")
-    return rounded(G.interval_stats(genes(spark, d), runs, ["contig_name"], 100), "mean").select("id", "sample_name", F.col("covered").cast("long").alias("covered"), F.col("total").cast("long").alias("total"), "mean")
+    return rounded(G.interval_stats(genes(spark, d), S.depth_runs(spark, d), ["contig_name"], 100), "mean").select("id", "sample_name", F.col("covered").cast("long").alias("covered"), F.col("total").cast("long").alias("total"), "mean")
 
 
 query("annotated_types", f"with {base('annotations')}, n as (select type, count(*)::bigint as n from annotations group by all) select type, n, row_number() over (order by n desc, type)::int as rank from n")(lambda spark, d: G.annotated_types(derived(spark, d, "annotations")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..driver import derived, oracle
+from ..driver import derived, oracle, stored
 from ..functions import cigar as C
 from ..operators import kernels as K
 from ..operators import metrics as M
@@ -97,7 +97,13 @@ def query(name: str, sql: str | None = None):
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prepare(derived(spark, sf_dir, "reads"))
+    """The prepared reads, parsed once in a session."""
+    return stored(spark, sf_dir, "prepared-reads", lambda: S.prepare(derived(spark, sf_dir, "reads")))
+
+
+def depth_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the depth of primary reads, swept once in a session."""
+    return stored(spark, sf_dir, "depth-runs", lambda: S.signal(reads(spark, sf_dir), "primary_reads"))
 
 
 for _name, _src in SIGNALS.items():
@@ -137,10 +143,6 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
-def depth_of(r: DataFrame) -> DataFrame:
-    return S.signal(r, "primary_reads")
-
-
 query("insertions", f"with {PRELUDE} select sample_name, contig_name, ref_start as pos, {STATS} from reads r join ops o using (read_id) where op = 'I' and klass = 'primary' group by all")(
     lambda spark, d: longs(rounded(S.insertions(reads(spark, d)), "mean_len", "std_len"), "pos", "median_len"))
 query("deletion_lengths", f"with {PRELUDE} select sample_name, contig_name, ref_start + 1 as pos, {STATS} from reads r join ops o using (read_id) where op = 'D' and klass = 'primary' group by all")(
@@ -151,15 +153,15 @@ query("mismatches", f"with {PRELUDE}, {MISMATCH} select * from mmc")(lambda spar
 query("dominant_base", f"""with {PRELUDE}, {DEPTH}, {MISMATCH},
 best as (select *, list_max([{{'n': n_a, 'base': 'A'}}, {{'n': n_c, 'base': 'C'}}, {{'n': n_g, 'base': 'G'}}, {{'n': n_t, 'base': 'T'}}]) as b from mmc)
 select sample_name, contig_name, pos, b.base as base, b.n as n, round(b.n / depth, 6) as prevalence from best join cov using (sample_name, contig_name, pos) where b.n > 0 and b.n * 100 >= depth * 10.0""")(
-    lambda spark, d: (lambda r: longs(rounded(S.dominant_base(S.mismatches(r), depth_of(r)), "prevalence"), "pos"))(reads(spark, d)))
+    lambda spark, d: (lambda r: longs(rounded(S.dominant_base(S.mismatches(r), depth_runs(spark, d)), "prevalence"), "pos"))(reads(spark, d)))
 query("dominant_clip_sequence", f"""with {PRELUDE}, {DEPTH}, {CLIPS},
 c as (select sample_name, contig_name, side, pos, sequence, count(*)::bigint as k from clips where sequence <> '' group by all),
 b as (select *, row_number() over (partition by sample_name, contig_name, side, pos order by k desc, sequence desc) as r from c)
 select sample_name, contig_name, side, pos, sequence, k as n, round(k / depth, 6) as prevalence from b join cov using (sample_name, contig_name, pos) where r = 1 and k * 100 >= depth * 10.0""")(
-    lambda spark, d: (lambda r: longs(rounded(S.dominant_sequence(S.clip_events(r), depth_of(r), ("side",)), "prevalence"), "pos"))(reads(spark, d)))
+    lambda spark, d: (lambda r: longs(rounded(S.dominant_sequence(S.clip_events(r), depth_runs(spark, d), ("side",)), "prevalence"), "pos"))(reads(spark, d)))
 query("significant_clips", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, c as (select sample_name, contig_name, side, pos, count(*)::bigint as n from clips group by all)
 select sample_name, contig_name, side, pos, n, depth, round(n / depth, 6) as prevalence from c join cov using (sample_name, contig_name, pos) where n >= 2 and n * 100 >= depth * 10.0""")(
-    lambda spark, d: (lambda r: longs(rounded(S.significant_events(S.clippings(r).select(*PAIR, "side", "pos", "n"), depth_of(r)), "prevalence"), "pos", "depth"))(reads(spark, d)))
+    lambda spark, d: (lambda r: longs(rounded(S.significant_events(S.clippings(r).select(*PAIR, "side", "pos", "n"), depth_runs(spark, d)), "prevalence"), "pos", "depth"))(reads(spark, d)))
 query("read_termini", f"""with {PRELUDE}, t as (
   select sample_name, contig_name, 'reads_starts' as kind, s as pos, begin_event as ev from edges where not reverse and begin_event is not null
   union all select sample_name, contig_name, 'reads_ends', e, finish_event from edges where reverse and finish_event is not null)
@@ -179,14 +181,14 @@ covm as materialized (select sample_name, contig_name, contig_length, 100.0 * co
   from ranked group by sample_name, contig_name, contig_length)"""
 
 
-def coverage(r: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    return M.coverage_metrics(depth_of(r), derived(spark, d, "contigs"))
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    return M.coverage_metrics(depth_runs(spark, d), derived(spark, d, "contigs"))
 
 
 query("coverage_metrics", f"""with {PRELUDE}, {DEPTH}, {COVERAGE}
 select sample_name, contig_name, contig_length, round(aligned_fraction, 6) as aligned_fraction, round(100 * (1 - exp(-0.883 * coverage_mean)), 6) as expected_fraction, round(coverage_mean, 6) as coverage_mean,
  coverage_median::bigint as coverage_median, round(coverage_trimmed, 6) as coverage_trimmed, round(coverage_cv, 6) as coverage_cv, round(coverage_roughness, 6) as coverage_roughness from covm""")(
-    lambda spark, d: rounded(coverage(reads(spark, d), spark, d), "aligned_fraction", "expected_fraction", "coverage_mean", "coverage_trimmed", "coverage_cv", "coverage_roughness").withColumn("coverage_median", F.col("coverage_median").cast("long")))
+    lambda spark, d: rounded(coverage(spark, d), "aligned_fraction", "expected_fraction", "coverage_mean", "coverage_trimmed", "coverage_cv", "coverage_roughness").withColumn("coverage_median", F.col("coverage_median").cast("long")))
 
 
 @query("abundance", f"""with {PRELUDE}, {DEPTH}, {COVERAGE},
@@ -200,7 +202,7 @@ def abundance(spark: SparkSession, d: str) -> DataFrame:
     """Alignments to depth, presence, RPKM and TPM: the flagship."""
     r = reads(spark, d)
     contigs = derived(spark, d, "contigs")
-    present = M.present_pairs(M.coverage_metrics(depth_of(r), contigs))
+    present = M.present_pairs(M.coverage_metrics(depth_runs(spark, d), contigs))
     counts = M.read_counts(r).join(present, PAIR, "left_semi")
     totals = counts.groupBy("sample_name").agg(F.sum("read_count").alias("n_mapped"))
     return rounded(M.rpkm_tpm(counts, contigs, totals), "rpkm", "tpm", digits=4).orderBy(F.col("tpm").desc(), *PAIR)
@@ -234,8 +236,9 @@ burden as (select sample_name, contig_name, count(*) filter (kind = 'mismatch'):
   count(*) filter (kind = 'clipping')::bigint as clipping_count, sum(case when kind = 'mismatch' then 1 else median_len end)::bigint as bases from positions where prevalence >= 0.1 group by all)"""
 
 
-def positions(r: DataFrame) -> DataFrame:
+def positions(spark: SparkSession, d: str) -> DataFrame:
     """Per-position variants of all kinds with their share of the depth; left and right clips at a base count together."""
+    r = reads(spark, d)
     kinds = [
         S.mismatches(r).select(*PAIR, F.lit("mismatch").alias("kind"), "pos", "n", F.lit(1).alias("median_len")),
         S.insertions(r).select(*PAIR, F.lit("insertion").alias("kind"), "pos", "n", "median_len"),
@@ -245,26 +248,27 @@ def positions(r: DataFrame) -> DataFrame:
     rows = kinds[0]
     for k in kinds[1:]:
         rows = rows.unionByName(k)
-    return S.depth_at(rows, depth_of(r)).withColumn("prevalence", F.col("n") / F.col("depth"))
+    return S.depth_at(rows, depth_runs(spark, d)).withColumn("prevalence", F.col("n") / F.col("depth"))
 
 
-query("microdiversity", f"with {PRELUDE}, {DEPTH}, {MISMATCH}, {CLIPS}, {POSITIONS} select * from burden")(lambda spark, d: M.variant_burden(positions(reads(spark, d)), 0.1))
+query("microdiversity", f"with {PRELUDE}, {DEPTH}, {MISMATCH}, {CLIPS}, {POSITIONS} select * from burden")(lambda spark, d: M.variant_burden(positions(spark, d), 0.1))
 query("microdiversity_per_100kbp", f"with {PRELUDE}, {DEPTH}, {MISMATCH}, {CLIPS}, {POSITIONS} select sample_name, contig_name, round(mismatch_count * 100000.0 / contig_length, 4) as mismatch_count_per_100kbp, round(bases * 100000.0 / contig_length, 4) as bases_per_100kbp from burden join contigs using (contig_name)")(
-    lambda spark, d: rounded(M.per_100kbp(M.variant_burden(positions(reads(spark, d)), 0.1), derived(spark, d, "contigs"), ["mismatch_count", "bases"]), "mismatch_count_per_100kbp", "bases_per_100kbp", digits=4))
+    lambda spark, d: rounded(M.per_100kbp(M.variant_burden(positions(spark, d), 0.1), derived(spark, d, "contigs"), ["mismatch_count", "bases"]), "mismatch_count_per_100kbp", "bases_per_100kbp", digits=4))
 CLIP_PREV = """cp as (select sample_name, contig_name, side, pos, n / depth as prevalence, median_len from (select sample_name, contig_name, side, pos, count(*) as n, list_sort(list(len))[count(*) // 2 + 1] as median_len from clips group by all) join cov using (sample_name, contig_name, pos))"""
 
 
-def clip_prevalence(r: DataFrame) -> DataFrame:
-    return S.depth_at(S.clippings(r), depth_of(r)).withColumn("prevalence", F.col("n") / F.col("depth"))
+def clip_prevalence(spark: SparkSession, d: str) -> DataFrame:
+    r = reads(spark, d)
+    return S.depth_at(S.clippings(r), depth_runs(spark, d)).withColumn("prevalence", F.col("n") / F.col("depth"))
 
 
 query("paired_clip_span", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, {CLIP_PREV}, l as (select *, lead(side) over w as ns, lead(pos) over w as np, lead(prevalence) over w as nv from cp window w as (partition by sample_name, contig_name order by pos, case when side = 'right' then 0 else 1 end))
 select sample_name, contig_name, sum(np - pos)::bigint as span from l where side = 'right' and ns = 'left' and prevalence >= 0.1 and nv >= 0.1 group by all""")(
-    lambda spark, d: M.paired_clip_span(clip_prevalence(reads(spark, d)), 0.1))
+    lambda spark, d: M.paired_clip_span(clip_prevalence(spark, d), 0.1))
 query("side_misassembly", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, {CLIP_PREV},
 c as (select * from cp join short_contigs using (contig_name) where prevalence >= 0.05),
 l as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from c where side = 'left' and median_len > pos - 1) where k = 1),
 r as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from c where side = 'right' and median_len > contig_length - pos) where k = 1)
 select coalesce(l.sample_name, r.sample_name) as sample_name, coalesce(l.contig_name, r.contig_name) as contig_name, l.pos::double as left_pos, round(l.prevalence, 6) as left_prevalence, r.pos::double as right_pos, round(r.prevalence, 6) as right_prevalence
 from l full join r on l.sample_name = r.sample_name and l.contig_name = r.contig_name""")(
-    lambda spark, d: rounded(M.side_misassembly(clip_prevalence(reads(spark, d)), derived(spark, d, "short_contigs"), 0.05), "left_prevalence", "right_prevalence").withColumns({c: F.col(c).cast("double") for c in ("left_pos", "right_pos")}))
+    lambda spark, d: rounded(M.side_misassembly(clip_prevalence(spark, d), derived(spark, d, "short_contigs"), 0.05), "left_prevalence", "right_prevalence").withColumns({c: F.col(c).cast("double") for c in ("left_pos", "right_pos")}))

@@ -17,7 +17,7 @@ from ..operators import signals as S
 from ..operators import views as W
 from .dataset import BINS, PIVOT, RULES, bins, depth_runs
 from .genome import CODE, CODONS_SQL, base, t
-from .signals import DEPTH, MISMATCH, PRELUDE, depth_of, depth_src, longs, reads, runs_sql
+from .signals import DEPTH, MISMATCH, PRELUDE, depth_src, longs, reads, runs_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +91,7 @@ SQL["min_frequency"] = f"""with {PRELUDE}, {DEPTH}, {MISMATCH} select sample_nam
 
 def min_frequency(spark: SparkSession, d: str) -> DataFrame:
     r = reads(spark, d)
-    shares = S.depth_at(S.mismatches(r), depth_of(r)).select(*S.PAIR, "pos", (F.col("n") / F.col("depth")).alias("value"))
+    shares = S.depth_at(S.mismatches(r), depth_runs(spark, d)).select(*S.PAIR, "pos", (F.col("n") / F.col("depth")).alias("value"))
     return longs(V.min_frequency(shares, 0.5).withColumn("value", F.round("value", 6)), "pos")
 
 
