@@ -3,8 +3,7 @@
 Three consecutive lines are a window; a document of one or two lines is a window by itself, which equals only such a
 document. Where a window occurs again, in the same or another document, all occurrences but the first are covered, and
 every line that some covered window holds is removed. First means smallest doc_id, then row, then position. Windows are
-compared by two 64-bit hashes; only hashes and positions are shuffled, and the texts only where the rows that lose lines
-are too many to be sent to all tasks (Spark decides by the size of their table).
+compared by two 64-bit hashes; only hashes and positions are shuffled until the texts meet the lines that they lose.
 
 Edge cases: a null text stays null and an empty one empty; windows of blank lines alone don't count; lines are compared
 without the spaces around them and returned with them; repeated rows are rows of their own, the later ones lose what
@@ -57,7 +56,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = numbered(docs.drop("n_lines", "n_removed"), "texts")
     gone = staged(covered_lines(rows), "covered")
     # the lines are cut before the join: above it they are a column, so picking one by its number takes no new cut
-    joined = rows.withColumn("lines", _lines()).join(gone, ROW, "left")
+    # (merged at any size, so that plans for small and for large tables are the same)
+    joined = rows.withColumn("lines", _lines()).join(gone.hint("merge"), ROW, "left")
     all_lines = F.sequence(F.lit(0), F.size("lines") - 1)
     left = F.array_except(all_lines, GONE)
     kept = F.transform(left, lambda i: F.get(F.col("lines"), i))

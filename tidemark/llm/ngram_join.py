@@ -132,7 +132,7 @@ def _runs(pdf: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 GROUP = ["tree", "node"]
-TIES = "a binary, b binary, alike int, n long"
+TIES = "a long, b long, alike int, n long"
 
 
 def _tie(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
@@ -140,7 +140,7 @@ def _tie(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]
     pairs have how many values in common (alike, n)."""
     for pdf in whole_groups(frames, GROUP):
         labels = np.frombuffer(b"".join(pdf["labels"]), "<u2").reshape(len(pdf), -1)
-        keys, branch = pdf["key"].to_numpy(), pdf["branch"].to_numpy()
+        keys, branch = pdf["id"].to_numpy(), pdf["branch"].to_numpy()
         starts, sizes = _runs(pdf, GROUP)
         a, b, alike = [], [], np.zeros(VALUES + 1, np.int64)
         for m in np.unique(sizes):
@@ -159,7 +159,8 @@ def _tie(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]
         if a:
             a, b, seen = np.concatenate(a), np.concatenate(b), np.flatnonzero(alike)
             none = [None] * len(seen)
-            yield pd.DataFrame({"a": [*a, *none], "b": [*b, *none], "alike": pd.array([None] * len(a) + seen.tolist(), "Int32"), "n": pd.array([None] * len(a) + alike[seen].tolist(), "Int64")})
+            columns = {"a": [*a.tolist(), *none], "b": [*b.tolist(), *none], "alike": [None] * len(a) + seen.tolist(), "n": [None] * len(a) + alike[seen].tolist()}
+            yield pd.DataFrame(columns, dtype="Int64").astype({"alike": "Int32"})
 
 
 def _prefix(depth: int) -> Column:
@@ -168,21 +169,21 @@ def _prefix(depth: int) -> Column:
 
 def _ties_at(leaves: DataFrame, reps: DataFrame, depth: int, least: float, block: int) -> DataFrame:
     """What meets at this depth and not deeper, as TIES."""
-    own = leaves.select("key", "tree", _prefix(depth).alias("node"), (F.xxhash64("key") if depth == DEPTH else _prefix(depth + 1)).alias("branch"))
-    nodes = own.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("key").alias("first"), F.min("branch").alias("lo"), F.max("branch").alias("hi"))
+    own = leaves.select("id", "tree", _prefix(depth).alias("node"), (F.xxhash64("id") if depth == DEPTH else _prefix(depth + 1)).alias("branch"))
+    nodes = own.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min("branch").alias("lo"), F.max("branch").alias("hi"))
     members = staged(splittable_join(own, nodes.filter("members > 1 and lo <> hi").drop("lo", "hi"), *GROUP), "members")
-    large = members.filter((F.col("members") > block) & (F.col("key") != F.col("first"))).select(
-        F.col("key").alias("a"), F.col("first").alias("b"), F.lit(None).cast("int").alias("alike"), F.lit(None).cast("long").alias("n")
+    large = members.filter((F.col("members") > block) & (F.col("id") != F.col("first"))).select(
+        F.col("id").alias("a"), F.col("first").alias("b"), F.lit(None).cast("int").alias("alike"), F.lit(None).cast("long").alias("n")
     )
-    small = members.filter(F.col("members") <= block).select(*GROUP, "branch", "key").join(reps.select("key", "labels"), "key")
+    small = members.filter(F.col("members") <= block).select(*GROUP, "branch", "id").join(reps.select("id", "labels"), "id")
     dealt = small.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    return staged(large.unionByName(dealt.select(*GROUP, "branch", "key", "labels").mapInPandas(partial(_tie, least=least), TIES)), "ties")
+    return staged(large.unionByName(dealt.select(*GROUP, "branch", "id", "labels").mapInPandas(partial(_tie, least=least), TIES)), "ties")
 
 
 def candidates(reps: DataFrame, similarity: float, recall: float, block: int) -> tuple[DataFrame, list[tuple[int, float, float]]]:
     """Edges a, b between classes that may be linked, and for each depth the links there seem to be and those missed so far."""
-    leaves = reps.select("key", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    leaves = leaves.select("key", "tree", F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))
+    leaves = reps.select("id", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    leaves = leaves.select("id", "tree", F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))
     least = similarity - 5 * (similarity * (1 - similarity) / VALUES) ** 0.5
     ties, seen, alike, active, floor = [], [], np.zeros(VALUES + 1), None, DEPTH // 2
     for depth in range(DEPTH, 0, -1):
@@ -227,22 +228,21 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-LINKS = "a binary, b binary, n long"
+LINKS = "a long, b long, n long"
 
 
 def _links(keys: np.ndarray, count: np.ndarray, label: np.ndarray) -> pd.DataFrame:
     """Rows of LINKS: counts (a, n) and a forest (a, b)."""
     some, tied = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(keys)))
-    return pd.DataFrame({
-        "a": [*keys[some], *keys[tied]], "b": [*[None] * len(some), *keys[label[tied]]], "n": [*count[some].tolist(), *[0] * len(tied)],
-    })
+    columns = {"a": keys[some].tolist() + keys[tied].tolist(), "b": [None] * len(some) + keys[label[tied]].tolist(), "n": count[some].tolist() + [0] * len(tied)}
+    return pd.DataFrame(columns, dtype="Int64")
 
 
 def _verify(frames: Iterator[pd.DataFrame], n: int, similarity: float) -> Iterator[pd.DataFrame]:
     """By class: its links inside its group, and a forest of the links."""
     for pdf in whole_groups(frames, ["root"]):
         starts, sizes = _runs(pdf, ["root"])
-        keys, out = pdf["key"].to_numpy(), []
+        keys, out = pdf["id"].to_numpy(), []
         for s, m in zip(starts.tolist(), sizes.tolist()):
             sets = [shingles(np.asarray(w, np.int64), n) for w in pdf["words"].iloc[s : s + m]]
             size = np.array([len(x) for x in sets])
@@ -258,7 +258,7 @@ def _verify(frames: Iterator[pd.DataFrame], n: int, similarity: float) -> Iterat
 def _sets(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         sets = [shingles(np.asarray(w, np.int64), n).view(np.int64) for w in pdf["words"]]
-        yield pd.DataFrame({"key": pdf["key"], "root": pdf["root"], "members": pdf["members"], "shingles": sets})
+        yield pd.DataFrame({"id": pdf["id"], "root": pdf["root"], "members": pdf["members"], "shingles": sets})
 
 
 def _differ(frames: Iterator[pd.DataFrame], p: int, q: int) -> Iterator[pd.DataFrame]:
@@ -269,7 +269,7 @@ def _differ(frames: Iterator[pd.DataFrame], p: int, q: int) -> Iterator[pd.DataF
             own, core = np.asarray(own, np.int64), np.asarray([] if core is None else core, np.int64)
             less, more = np.setdiff1d(core, own, assume_unique=True), np.setdiff1d(own, core, assume_unique=True)
             rows.append((p * len(more) + q * len(less), (q - p) * len(core), np.concatenate([less, more])))
-        yield pd.DataFrame({"key": pdf["key"], "root": pdf["root"], "members": pdf["members"]}).join(pd.DataFrame(rows, columns=["weight", "room", "other"], index=pdf.index))
+        yield pd.DataFrame({"id": pdf["id"], "root": pdf["root"], "members": pdf["members"]}).join(pd.DataFrame(rows, columns=["weight", "room", "other"], index=pdf.index))
 
 
 def _cross(frames: Iterator[pd.DataFrame], both: int) -> Iterator[pd.DataFrame]:
@@ -278,14 +278,14 @@ def _cross(frames: Iterator[pd.DataFrame], both: int) -> Iterator[pd.DataFrame]:
         starts, sizes = _runs(pdf, ["root", "i", "j"])
         for s, m in zip(starts.tolist(), sizes.tolist()):
             part = pdf.iloc[s : s + m]
-            side, far, weight, keys = (part[c].to_numpy() for c in ("side", "far", "weight", "key"))
+            side, far, weight, keys = (part[c].to_numpy() for c in ("side", "far", "weight", "id"))
             common = _overlaps([np.asarray(x, np.int64).view(np.uint64) for x in part["other"]])
             need = weight[:, None] + weight[None, :] - part["room"].iat[0]
             link = (side[:, None] == 0) & (side[None, :] == 1) & (keys[:, None] != keys[None, :]) & (need > 0) & (both * common >= need)
             if link.any():
                 # a pair of two far members is met twice, and counts for one of them each time
                 count = link.sum(1) + np.where(far, 0, link.sum(0))
-                names, at = np.unique(np.array([bytes(k) for k in keys], object), return_inverse=True)
+                names, at = np.unique(keys, return_inverse=True)
                 tied = np.zeros((len(names), len(names)), bool)
                 x, y = np.nonzero(link)
                 tied[at[x], at[y]] = tied[at[y], at[x]] = True
@@ -299,31 +299,31 @@ def _core_links(big: DataFrame, n: int, similarity: float, block: int) -> DataFr
     that lack m and add a of them, and x differences in common, that is (p + q) x >= p (a + a') + q (m + m') - (q - p) c."""
     ratio = Fraction(similarity).limit_denominator(10_000)
     p, q = ratio.numerator, ratio.denominator
-    sets = staged(big.mapInPandas(partial(_sets, n=n), "key binary, root binary, members long, shingles array<long>"), "sets")
+    sets = staged(big.mapInPandas(partial(_sets, n=n), "id long, root long, members long, shingles array<long>"), "sets")
     shared = sets.select("root", "members", F.explode("shingles").alias("e")).groupBy("root", "members", "e").agg(F.count("*").alias("n"))
     cores = staged(shared.filter("2 * n > members").groupBy("root").agg(F.sort_array(F.collect_list("e")).alias("core")), "cores")
-    rows = sets.join(cores, "root", "left").select("key", "root", "members", "shingles", "core")
-    rows = staged(rows.mapInPandas(partial(_differ, p=p, q=q), "key binary, root binary, members long, weight long, room long, other array<long>"), "differences")
+    rows = sets.join(cores, "root", "left").select("id", "root", "members", "shingles", "core")
+    rows = staged(rows.mapInPandas(partial(_differ, p=p, q=q), "id long, root long, members long, weight long, room long, other array<long>"), "differences")
     # how many members have a weight up to room - weight: running sums over the different weights of a group
-    sizes = rows.groupBy("root", "weight").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("room").alias("room"))
+    sizes = rows.groupBy("root", "weight").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("room").alias("room"))
     points = sizes.select("root", F.col("weight").alias("at"), F.lit(0).alias("asks"), "n", "weight")
     asks = sizes.select("root", (F.col("room") - F.col("weight")).alias("at"), F.lit(1).alias("asks"), F.lit(0).alias("n"), "weight")
     up_to = Window.partitionBy("root").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
     within = points.unionByName(asks).withColumn("near", F.sum("n").over(up_to)).filter("asks = 1").select("root", "weight", "near")
     least = sizes.groupBy("root").agg(F.min(F.struct("weight", "first")).alias("least"))
-    near = rows.select("key", "root", "weight", "room").join(staged(within.join(least, "root"), "near"), ["root", "weight"])
+    near = rows.select("id", "root", "weight", "room").join(staged(within.join(least, "root"), "near"), ["root", "weight"])
     own = F.when(2 * F.col("weight") <= F.col("room"), 1).otherwise(0)
-    counts = near.select(F.col("key").alias("a"), F.lit(None).cast("binary").alias("b"), (F.col("near") - own).alias("n"))
-    stars = near.filter((F.col("weight") + F.col("least.weight") <= F.col("room")) & (F.col("key") != F.col("least.first"))).select(
-        F.col("key").alias("a"), F.col("least.first").alias("b"), F.lit(0).cast("long").alias("n")
+    counts = near.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("near") - own).alias("n"))
+    stars = near.filter((F.col("weight") + F.col("least.weight") <= F.col("room")) & (F.col("id") != F.col("least.first"))).select(
+        F.col("id").alias("a"), F.col("least.first").alias("b"), F.lit(0).cast("long").alias("n")
     )
     rows = rows.withColumn("far", 2 * F.col("weight") > F.col("room"))
     parts = lambda n: F.ceil(F.col(n) / block).cast("int")
     far = staged(rows.filter("far").groupBy("root").agg(F.count("*").alias("n_far")), "far")
-    met_by = rows.join(far, "root").withColumn("hash", F.xxhash64("key"))
+    met_by = rows.join(far, "root").withColumn("hash", F.xxhash64("id"))
     one = met_by.filter("far").select("*", F.lit(0).alias("side"), F.pmod("hash", parts("n_far")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), parts("members") - 1)).alias("j"))
     two = met_by.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), parts("n_far") - 1)).alias("i"), F.pmod("hash", parts("members")).cast("int").alias("j"))
-    dealt = one.unionByName(two).select("root", "i", "j", "side", "key", "far", "weight", "room", "other").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    dealt = one.unionByName(two).select("root", "i", "j", "side", "id", "far", "weight", "room", "other").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return counts.unionByName(stars).unionByName(dealt.mapInPandas(partial(_cross, both=p + q), LINKS))
 
 
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each near-duplicate class, that of the smallest doc_id."""
     rows = numbered(docs, "texts")
-    return rows.join(staged(_classes(rows, **how).filter("kept").select(ROW), "kept"), ROW, "left_semi").select("doc.*")
+    return rows.join(staged(_classes(rows, **how).filter("kept").select(ROW), "kept").hint("merge"), ROW, "left_semi").select("doc.*")
 
 
 def _classes(rows: DataFrame, n: int = 5, similarity: float = 0.8, recall: float = 0.9999, block: int = 256) -> DataFrame:
@@ -344,23 +344,25 @@ def _classes(rows: DataFrame, n: int = 5, similarity: float = 0.8, recall: float
     bounded_batches(rows.sparkSession)
     words = rows.select(ROW, F.col("doc.doc_id").cast("long").alias("doc_id"), _words(F.col("doc.text")).alias("words"))
     signed = staged(words.mapInPandas(partial(_sign, n=n), f"{ROW} long, doc_id long, key binary, labels binary"), "signed")
-    reps = staged(signed.filter("labels is not null").dropDuplicates(["key"]), "classes")
+    # a class is named by the number of one of its rows
+    reps = staged(signed.filter("labels is not null").groupBy("key").agg(F.min(ROW).alias("id"), F.first("labels").alias("labels")), "classes")
     groups = staged(components(candidates(reps, similarity, recall, block)[0]), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
-    wanted = splittable_join(groups, sizes, "root").join(reps.select(F.col("key").alias("a"), ROW), "a")
-    wanted = staged(wanted.select(ROW, F.col("a").alias("key"), "root", "members"), "wanted")
-    texts = rows.select(ROW, F.col("doc.text").alias("text")).join(wanted, ROW).select("key", "root", "members", _words(F.col("text")).alias("words"))
+    wanted = staged(splittable_join(groups, groups.groupBy("root").agg(F.count("*").alias("members")), "root").withColumnRenamed("a", ROW), "wanted")
+    # merged at any size, so that plans for small and for large tables are the same
+    texts = rows.select(ROW, F.col("doc.text").alias("text")).join(wanted.hint("merge"), ROW)
+    texts = staged(texts.select(F.col(ROW).alias("id"), "root", "members", _words(F.col("text")).alias("words")), "candidates")
     dealt = texts.filter(F.col("members") <= block).repartition("root").sortWithinPartitions("root")
     found = dealt.mapInPandas(partial(_verify, n=n, similarity=similarity), LINKS)
-    big = wanted.filter(F.col("members") > block)
+    big = texts.filter(F.col("members") > block)
     if not big.isEmpty():
-        found = found.unionByName(_core_links(texts.filter(F.col("members") > block), n, similarity, block))
+        found = found.unionByName(_core_links(big, n, similarity, block))
     found = staged(found, "links")
-    counts = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    linked = components(found.filter("b is not null").select("a", "b")).select(F.col("a").alias("key"), "root")
-    classes = staged(counts.join(linked, "key", "full"), "classes")
+    counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
+    linked = components(found.filter("b is not null").select("a", "b")).select(F.col("a").alias("id"), "root")
+    classes = staged(reps.select("key", "id").join(linked, "id", "left").join(counts, "id", "left").select("key", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
-    placed = signed.join(classes, "key", "left").select(ROW, "doc_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # texts without words are one class, which has no row in classes
+    placed = signed.select(ROW, "doc_id", "key").join(classes, "key", "left").select(ROW, "doc_id", F.coalesce("root", F.lit(-1)).alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", ROW)).alias("first"))
     return splittable_join(placed, first, "root").select(
