@@ -95,6 +95,26 @@ def symmetric_hits(hits: DataFrame) -> DataFrame:
     return hits.unionByName(hits.select(F.col("contig_2").alias("contig_1"), F.col("contig_1").alias("contig_2"), F.col("p1x").alias("p1"), F.col("p2x").alias("p2"), F.col("p1").alias("p1x"), F.col("p2").alias("p2x"), "pident"))
 
 
+def mag_hit_features(hits: DataFrame, members: DataFrame) -> DataFrame:
+    """Runs of how many hits to other contigs of its bin lie over each base, with the best identity and the partner that has it
+    (the smallest name of several). hits: contig_1, contig_2, p1, p2, p1x, p2x, pident; members: mag_name, contig_name, contig_length."""
+    own = members.select("mag_name", "contig_name", "contig_length")
+    both = symmetric_hits(canonical_hits(hits)).select(F.col("contig_1").alias("contig_name"), F.col("contig_2").alias("partner"), F.least("p1", "p2").alias("start"), F.greatest("p1", "p2").alias("end"), "pident")
+    both = both.join(own, "contig_name").join(own.select("mag_name", F.col("contig_name").alias("partner")), ["mag_name", "partner"])
+    both = both.withColumns({"start": F.greatest("start", F.lit(1)), "end": F.least("end", F.col("contig_length"))}).filter("start <= end")
+    counts = sweep(both, ["contig_name"], {"hits": F.lit(1)})
+    # a run has one number of hits, but hits may end and start at once inside it: cut it where any hit starts or ends
+    edges = both.select("contig_name", F.explode(F.array("start", F.col("end") + 1)).alias("pos")).union(counts.select("contig_name", "start")).distinct()
+    after = F.lead("pos").over(Window.partitionBy("contig_name").orderBy("pos"))
+    pieces = edges.withColumn("end", after - 1).filter("end is not null")
+    # of equal identities the smallest partner counts: names are compared by a rank that falls
+    ranks = own.withColumn("rank", -F.row_number().over(Window.partitionBy("mag_name").orderBy("contig_name"))).select(F.col("contig_name").alias("partner"), "rank")
+    best = best_over(pieces, both.join(ranks, "partner"), ["contig_name"], F.struct("pident", "rank", "partner"))
+    depth = best_over(pieces, counts, ["contig_name"], F.col("hits")).withColumnRenamed("best", "hits")
+    rows = pieces.join(best, ["contig_name", "pos"]).join(depth, ["contig_name", "pos"])
+    return rows.select("contig_name", F.col("pos").alias("start"), "end", "hits", F.col("best.pident").alias("pident"), F.col("best.partner").alias("partner"))
+
+
 def mag_offsets(members: DataFrame, order_by: Column | None = None) -> DataFrame:
     """mag_name, contig_name, contig_length, offset: bases before each contig, longest first unless told otherwise."""
     order = Window.partitionBy("mag_name").orderBy(order_by if order_by is not None else F.col("contig_length").desc(), "contig_name")

@@ -143,32 +143,91 @@ def paired_clip_span(clips: DataFrame, threshold: float) -> DataFrame:
 
 
 def side_misassembly(clips: DataFrame, contigs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """By pair: the strongest left clip that reaches out of the contig's start, and the right one at its end; ties go to the
-    largest position."""
+    """By pair: the strongest left clip that reaches out of the contig's start, and the right one at its end, with how far from
+    the end it is (expansion) and how long (collapse); ties go to the largest position. clips: median_len, prevalence."""
     rows = clips.filter(F.col("prevalence") >= threshold).join(contigs.select("contig_name", "contig_length"), "contig_name")
     left = (F.col("side") == "left") & (F.col("median_len") > F.col("pos") - 1)
     right = (F.col("side") == "right") & (F.col("median_len") > F.col("contig_length") - F.col("pos"))
     best = lambda cond: F.max(F.when(cond, F.struct("prevalence", "pos", "median_len")))
-    out = rows.groupBy(*PAIR).agg(best(left).alias("l"), best(right).alias("r")).filter("l is not null or r is not null")
-    return out.select(*PAIR, F.col("l.pos").alias("left_pos"), F.col("l.prevalence").alias("left_prevalence"), F.col("r.pos").alias("right_pos"), F.col("r.prevalence").alias("right_prevalence"))
+    out = rows.groupBy(*PAIR, "contig_length").agg(best(left).alias("l"), best(right).alias("r")).filter("l is not null or r is not null")
+    return out.select(
+        *PAIR, F.col("l.pos").alias("left_pos"), F.col("l.prevalence").alias("left_prevalence"), F.col("l.median_len").alias("start_collapse_bp"), (F.col("l.pos") - 1).alias("start_expansion_bp"),
+        F.col("r.pos").alias("right_pos"), F.col("r.prevalence").alias("right_prevalence"), F.col("r.median_len").alias("end_collapse_bp"), (F.col("contig_length") - F.col("r.pos")).alias("end_expansion_bp"),
+    )
+
+
+def edge_depth(runs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """By pair with depth: the depth of the contig's first and last base."""
+    rows = runs.join(contigs.select("contig_name", "contig_length"), "contig_name")
+    over = lambda at: F.max(F.when((F.col("start") <= at) & (F.col("end") >= at), F.col("value")))
+    return rows.groupBy(*PAIR).agg(F.coalesce(over(F.lit(1)), F.lit(0)).alias("first_depth"), F.coalesce(over(F.col("contig_length")), F.lit(0)).alias("last_depth"))
 
 
-def topology(reads: DataFrame, contigs: DataFrame, overlap: int = 20, window: int = 1000) -> DataFrame:
-    """By pair on circular contigs: reads that run past the end, those with `overlap` bases on each side, the median of the
-    shorter side, and pairs that join the two ends."""
+def contig_ends(reads: DataFrame, contigs: DataFrame, circular: bool = False, overlap: int = 20, window: int = 1000) -> DataFrame:
+    """By pair, what the primary reads near the contig's ends tell: mates on another contig, unmapped mates that would lie
+    beyond an end, pairs (counted at their first read) that join the ends, and how the sizes of these differ from those of
+    proper pairs. On circular contigs, also reads over the origin. Linear contigs: only pairs that don't face each other
+    join the ends, over what their template leaves of the contig."""
     rows = reads.filter("klass = 'primary'").join(contigs.select("contig_name", "contig_length"), "contig_name")
-    over, n = F.col("end") - F.col("contig_length"), F.col("contig_length")
-    past = (F.col("start") <= n) & (over > 0)
-    shorter = F.least(over, n - F.col("start") + 1)
-    ends = F.col("first") & (F.col("contig_name") == F.col("mate_contig")) & (
-        (F.col("start") <= window) & (F.col("mate_pos") > n - window) | (F.col("start") > n - window) & (F.col("mate_pos") < window)
-    ) & (n > 2 * window)
+    n, pos, mate, tlen = F.col("contig_length"), F.col("pos"), F.col("mate_pos"), F.abs("tlen")
+    right_from = F.greatest(n - window, F.lit(0))
+    left, right = pos < window, pos >= right_from
+    paired, same, mate_mapped = F.col("paired"), F.col("contig_name") == F.col("mate_contig"), ~F.col("mate_unmapped")
+    proper = paired & C.proper_pair(F.col("contig_name"), F.col("mate_contig"), F.col("reverse"), F.col("mate_reverse"), tlen)
+    facing_away = paired & same & mate_mapped & ~proper
+    joins = paired & F.col("first") & (left & (mate >= right_from) | right & (mate < window)) & ((C.has_flag(2) | same & mate_mapped) if circular else facing_away)
+    size = tlen if circular else F.abs(n - tlen)
+    past = (F.col("end") > n) & (F.col("start") <= n) if circular else F.lit(False)
+    shorter = F.least(F.col("end") - n, n - pos)
     return rows.groupBy(*PAIR).agg(
-        F.count_if(past).alias("circularising_reads"), F.count_if(past & (shorter >= overlap)).alias("confirmed_reads"),
-        F.percentile(F.when(past, shorter), 0.5).alias("median_overlap"), F.count_if(ends).alias("circularising_inserts"),
+        F.count_if(paired & (left | right) & ~same & mate_mapped).alias("misjoint_mates"),
+        F.count_if(paired & ~mate_mapped & (right & ~F.col("reverse") | left & F.col("reverse"))).alias("unmapped_mates"),
+        F.count_if(past).alias("past_reads"), F.coalesce(F.max(F.when(past, shorter)) >= overlap, F.lit(False)).alias("confirmed"),
+        F.floor(F.percentile(F.when(past, shorter), 0.5)).alias("median_overlap"), F.count_if(joins).alias("circularising_inserts"),
+        F.round(F.percentile(F.when(joins, size), 0.5) - F.percentile(F.when(proper & F.col("first"), tlen), 0.5)).cast("long").alias("insert_size_deviation"),
+    )
+
+
+def topology(ends: DataFrame, edges: DataFrame, circular: bool) -> DataFrame:
+    """By pair: reads over the origin, if one has enough bases on both sides, their percent of the depth there, the median of
+    their shorter side, and pairs that join the ends. ends: contig_ends(), edges: edge_depth(). Without confirmation, counts
+    are 0 on circular contigs and null on linear ones."""
+    rows = ends.join(edges, PAIR, "left")
+    sure, none = F.col("confirmed") & (F.col("past_reads") > 0), F.lit(0 if circular else None).cast("long")
+    depth = (F.coalesce("first_depth", F.lit(0)) + F.coalesce("last_depth", F.lit(0))) / 2
+    return rows.select(
+        *PAIR, F.when(sure, F.col("past_reads")).otherwise(none).alias("circularising_reads"),
+        F.when(sure & (depth > 0), F.round(100 * F.col("past_reads") / depth).cast("long")).otherwise(none).alias("circularising_prevalence"),
+        F.when(sure, F.col("median_overlap")).alias("median_overlap"), F.when(F.col("circularising_inserts") > 0, F.col("circularising_inserts")).alias("circularising_inserts"), "insert_size_deviation",
     )
 
 
+def _only_pairs(df: DataFrame, coverage: DataFrame, samples: DataFrame, counts: dict[str, str]) -> DataFrame:
+    """df with counts of mates by their new names, and each of them per 1000 of the mean depth; null but for paired samples."""
+    rows = df.join(samples.select("sample_name", "sequencing_type"), "sample_name").join(coverage.select(*PAIR, "coverage_mean"), PAIR, "left")
+    is_paired, mean = F.col("sequencing_type") == "paired-short", F.col("coverage_mean")
+    out = {}
+    for name, raw in counts.items():
+        number = F.coalesce(F.col(raw), F.lit(0))
+        out[name] = F.when(is_paired, number)
+        out[f"normalized_{name}"] = F.when(is_paired, F.when(mean > 0, number * 1000.0 / mean).otherwise(0.0))
+    return rows.withColumns(out).drop("sequencing_type", "coverage_mean")
+
+
+def explicit_side(side: DataFrame, ends: DataFrame, edges: DataFrame, coverage: DataFrame, samples: DataFrame) -> DataFrame:
+    """The view of side_misassembly: nothing is null but what single reads can't tell."""
+    rows = side.join(ends.select(*PAIR, "misjoint_mates"), PAIR, "full").join(edges, PAIR, "left")
+    zero = [c for c in ("left_prevalence", "start_collapse_bp", "start_expansion_bp", "right_prevalence", "end_collapse_bp", "end_expansion_bp", "first_depth", "last_depth")]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).drop("left_pos", "right_pos")
+    return _only_pairs(rows, coverage, samples, {"end_misjoint_mates": "misjoint_mates"}).drop("misjoint_mates")
+
+
+def explicit_topology(top: DataFrame, coverage: DataFrame, samples: DataFrame) -> DataFrame:
+    """The view of topology: pairs are null where the sample has none, and given per 1000 of the mean depth too."""
+    rows = _only_pairs(top.withColumnRenamed("circularising_inserts", "__n"), coverage, samples, {"circularising_inserts": "__n"}).drop("__n")
+    return rows.withColumn("insert_size_deviation", F.when(F.col("circularising_inserts").isNotNull(), F.coalesce("insert_size_deviation", F.lit(0))))
+
+
 def filter_reads(reads: DataFrame, identity: float, aligned: float) -> DataFrame:
     """Reads with (length - edits) and (length - soft-clipped) of at least these percents of their length."""
     clipped = C.span(F.col("ops"), "S")

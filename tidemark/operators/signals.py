@@ -93,23 +93,39 @@ def coverage_reduced(reads: DataFrame, long_reads: bool = False) -> DataFrame:
     return sweep(spans, PAIR, {"value": F.lit(1)})
 
 
-def read_termini(reads: DataFrame) -> DataFrame:
-    """Counts of clean read starts and ends by position, with the upper median of their event lengths: kind, pos, n, event."""
+def read_termini(reads: DataFrame, long_reads: bool = False) -> DataFrame:
+    """Counts of clean read starts and ends by position, with the upper median of their event lengths: kind, pos, n, event.
+    Short reads count where they begin: starts of the plus strand, ends of the minus strand. Long reads count at each clean
+    end, whatever their strand."""
     rows = clean_edges(reads)
     begin, finish = F.col("begin_event"), F.col("finish_event")
-    starts = rows.filter(~F.col("reverse") & begin.isNotNull()).select(*PAIR, F.lit("reads_starts").alias("kind"), F.col("start").alias("pos"), begin.alias("event"))
-    ends = rows.filter(F.col("reverse") & finish.isNotNull()).select(*PAIR, F.lit("reads_ends").alias("kind"), F.col("end").alias("pos"), finish.alias("event"))
-    return starts.unionByName(ends).groupBy(*PAIR, "kind", "pos").agg(F.count("*").alias("n"), upper_median("event").alias("event"))
-
-
-def upper_median(value: str) -> Column:
-    """The element at n // 2 of the sorted values of a group of events at one position."""
-    own = F.sort_array(F.collect_list(value))
-    return F.element_at(own, (F.floor(F.size(own) / 2) + 1).cast("int"))
-
-
-def length_stats() -> list[Column]:
-    return [F.count("*").alias("n"), F.avg("len").alias("mean_len"), upper_median("len").alias("median_len"), F.stddev_pop("len").alias("std_len")]
+    plus, minus = (F.lit(True), F.lit(True)) if long_reads else (~F.col("reverse"), F.col("reverse"))
+    starts = rows.filter(plus & begin.isNotNull()).select(*PAIR, F.lit("reads_starts").alias("kind"), F.col("start").alias("pos"), begin.alias("len"))
+    ends = rows.filter(minus & finish.isNotNull()).select(*PAIR, F.lit("reads_ends").alias("kind"), F.col("end").alias("pos"), finish.alias("len"))
+    return length_stats(starts.unionByName(ends), "kind", "pos").select(*PAIR, "kind", "pos", "n", F.col("median_len").cast("int").alias("event"))
+
+
+def length_stats(events: DataFrame, *keys: str) -> DataFrame:
+    """n, mean_len, median_len, mid_len and std_len of the lengths (len) of events by pair and keys, from the number of events
+    of each length: a list has different lengths only. median_len is the upper median, mid_len the whole part of the mean of
+    both middle ones."""
+    by = [*PAIR, *keys]
+    each = events.groupBy(*by, F.col("len").cast("long").alias("len")).agg(F.count("*").alias("k"))
+    n, total, squares = F.sum("k"), F.sum(F.col("len") * F.col("k")), F.sum(F.col("len") * F.col("len") * F.col("k"))
+    rows = each.groupBy(*by).agg(n.alias("n"), total.alias("s1"), squares.alias("s2"), F.sort_array(F.collect_list(F.struct("len", "k"))).alias("h"))
+
+    def at(i: Column) -> Column:
+        """The i-th length in order, from 0."""
+        first = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("len"))
+        step = lambda acc, x: F.struct((acc.upto + x.k).alias("upto"), F.when(acc.len.isNull() & (acc.upto + x.k > i), x.len).otherwise(acc.len).alias("len"))
+        return F.aggregate("h", first, step, lambda acc: acc.len)
+
+    upper, lower = at(F.floor(F.col("n") / 2)), at(F.floor((F.col("n") - 1) / 2))
+    mean = F.col("s1") / F.col("n")
+    return rows.select(
+        *by, "n", mean.alias("mean_len"), upper.alias("median_len"), F.floor((upper + lower) / 2).alias("mid_len"),
+        F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)).alias("std_len"),
+    )
 
 
 def insertion_events(reads: DataFrame) -> DataFrame:
@@ -121,13 +137,17 @@ def insertion_events(reads: DataFrame) -> DataFrame:
 
 
 def insertions(reads: DataFrame) -> DataFrame:
-    return insertion_events(reads).groupBy(*PAIR, "pos").agg(*length_stats())
+    return length_stats(insertion_events(reads), "pos").drop("mid_len")
+
+
+def deletion_events(reads: DataFrame) -> DataFrame:
+    """Each deletion of the primary reads by its first base."""
+    return op_spans(mapped(reads), "D").select(*PAIR, F.col("start").alias("pos"), (F.col("end") - F.col("start") + 1).alias("len"))
 
 
 def deletion_lengths(reads: DataFrame) -> DataFrame:
     """Deletions by first base, with their lengths."""
-    own = op_spans(mapped(reads), "D").select(*PAIR, F.col("start").alias("pos"), (F.col("end") - F.col("start") + 1).alias("len"))
-    return own.groupBy(*PAIR, "pos").agg(*length_stats())
+    return length_stats(deletion_events(reads), "pos").drop("mid_len")
 
 
 def clip_events(reads: DataFrame) -> DataFrame:
@@ -142,7 +162,7 @@ def clip_events(reads: DataFrame) -> DataFrame:
 
 
 def clippings(reads: DataFrame) -> DataFrame:
-    return clip_events(reads).groupBy(*PAIR, "side", "pos").agg(*length_stats())
+    return length_stats(clip_events(reads), "side", "pos").drop("mid_len")
 
 
 def mismatch_events(reads: DataFrame) -> DataFrame:

@@ -213,8 +213,8 @@ query("sample_totals", f"with {PRELUDE} select sample_name, count(*) filter (kla
 query("sequencing_type", f"""with {PRELUDE}, o as (select sample_name, case when qlen > 1000 then 'long' when paired then 'paired-short' end as says, row_number() over (partition by sample_name order by read_id) as k from reads where klass <> 'unmapped')
 select sample_name, coalesce(arg_min(says, k) filter (says is not null), 'single-short') as sequencing_type from o where k <= 100 group by all""")(
     lambda spark, d: M.sequencing_type(reads(spark, d)))
-query("missing_md_samples", f"""with {PRELUDE}, o as (select sample_name, md, row_number() over (partition by sample_name order by read_id) as k from reads where klass = 'primary')
-select sample_name from o where k <= 10 group by all having bool_and(coalesce(md, '') = '')""")(lambda spark, d: M.missing_md_samples(reads(spark, d)))
+query("missing_md_samples", f"""with {PRELUDE}, o as (select sample_name, case when sample_name <> 'RF' then md end as md, row_number() over (partition by sample_name order by read_id) as k from reads where klass = 'primary')
+select sample_name from o where k <= 10 group by all having bool_and(coalesce(md, '') = '')""")(lambda spark, d: M.missing_md_samples(reads(spark, d).withColumn("md", F.when(F.col("sample_name") != "RF", F.col("md")))))
 query("contig_sample_counts", f"with {PRELUDE} select contig_name, count(distinct sample_name)::bigint as n_samples from reads where klass = 'primary' group by all")(
     lambda spark, d: M.sample_counts(M.read_counts(reads(spark, d)), "contig_name"))
 query("filter_reads", f"with {PRELUDE} select read_id, sample_name, contig_name from reads where klass <> 'unmapped' and (qlen - nm) * 100 >= 90 * qlen and (qlen - sclen) * 100 >= 92 * qlen")(
@@ -222,16 +222,46 @@ query("filter_reads", f"with {PRELUDE} select read_id, sample_name, contig_name
 query("filter_report", f"""with {PRELUDE} select sample_name, count(*)::bigint as n, count(*) filter ((qlen - nm) * 100 < 90 * qlen)::bigint as low_identity, count(*) filter ((qlen - sclen) * 100 < 92 * qlen)::bigint as low_aligned,
  count(*) filter ((qlen - nm) * 100 < 90 * qlen or (qlen - sclen) * 100 < 92 * qlen)::bigint as excluded from reads where klass <> 'unmapped' group by all""")(
     lambda spark, d: M.filter_report(reads(spark, d).filter("klass <> 'unmapped'"), 90, 92))
-query("topology", f"""with {PRELUDE}, o as (select r.*, contig_length as n, e - contig_length as over_, s <= contig_length and e > contig_length as past, least(e - contig_length, contig_length - s + 1) as shorter from reads r join short_contigs using (contig_name) where klass = 'primary')
-select sample_name, contig_name, count(*) filter (past)::bigint as circularising_reads, count(*) filter (past and shorter >= 20)::bigint as confirmed_reads, median(shorter) filter (past) as median_overlap,
- count(*) filter (first and contig_name = mate_contig and (s <= 100 and mate_pos > n - 100 or s > n - 100 and mate_pos < 100))::bigint as circularising_inserts from o group by all""")(
-    lambda spark, d: M.topology(reads(spark, d), derived(spark, d, "short_contigs"), window=100))
+
+
+def topology_sql(circular: bool, window: int) -> str:
+    """Every read judged by itself, medians from sorted lists."""
+    other = "(flag & 2 <> 0 or same and not mate_unmapped)" if circular else "(paired and same and not mate_unmapped and not proper)"
+    past = "(e > n and s <= n)" if circular else "false"
+    none = "0" if circular else "null"
+    median = lambda x: f"(list_sort({x})[(len({x}) - 1) // 2 + 1] + list_sort({x})[len({x}) // 2 + 1]) / 2.0"
+    return f"""
+with {PRELUDE}, {DEPTH},
+o as (select r.*, contig_length as n, abs(tlen) as t, contig_name = mate_contig as same, least(e - contig_length, contig_length - pos) as shorter,
+    paired and contig_name = mate_contig and reverse <> mate_reverse and abs(tlen) between 1 and 9999 as proper, greatest(contig_length - {window}, 0) as edge
+  from reads r join short_contigs using (contig_name) where klass = 'primary'),
+j as (select *, {past} as past, paired and first and (pos < {window} and mate_pos >= edge or pos >= edge and mate_pos < {window}) and {other} as joins from o),
+g as (select sample_name, contig_name, count(*) filter (past) as k, coalesce(bool_or(past and shorter >= 20), false) as sure, list(shorter) filter (past) as sides,
+    count(*) filter (joins)::bigint as inserts, list({"t" if circular else "abs(n - t)"}) filter (joins) as sizes, list(t) filter (proper and first) as usual from j group by all),
+first_d as (select sample_name, contig_name, depth as fd from cov where pos = 1),
+last_d as (select sample_name, contig_name, depth as ld from cov join short_contigs using (contig_name) where pos = contig_length),
+d as (select g.*, (coalesce(fd, 0) + coalesce(ld, 0)) / 2.0 as depth from g left join first_d using (sample_name, contig_name) left join last_d using (sample_name, contig_name))
+select sample_name, contig_name, (case when sure then k else {none} end)::double as circularising_reads,
+  (case when sure and depth > 0 then round(100 * k / depth) else {none} end)::double as circularising_prevalence,
+  (case when sure then floor({median("sides")}) end)::double as median_overlap, (case when inserts > 0 then inserts end)::double as circularising_inserts,
+  round({median("sizes")} - {median("usual")})::double as insert_size_deviation
+from d"""
+
+
+def topology(spark: SparkSession, d: str, circular: bool, window: int) -> DataFrame:
+    contigs = derived(spark, d, "short_contigs")
+    out = M.topology(M.contig_ends(reads(spark, d), contigs, circular, window=window), M.edge_depth(depth_runs(spark, d), contigs), circular)
+    return out.withColumns({c: F.col(c).cast("double") for c in out.columns if c not in PAIR})
+
+
+query("topology", topology_sql(True, 100))(lambda spark, d: topology(spark, d, True, 100))
+query("topology_linear", topology_sql(False, 400))(lambda spark, d: topology(spark, d, False, 400))
 
 POSITIONS = """positions as (
   select sample_name, contig_name, 'mismatch' as kind, pos, n / depth as prevalence, 1 as median_len from mmc join cov using (sample_name, contig_name, pos)
-  union all select sample_name, contig_name, 'insertion', pos, n / depth, median_len from (select sample_name, contig_name, ref_start as pos, count(*) as n, list_sort(list(len))[count(*) // 2 + 1] as median_len from reads r join ops o using (read_id) where op = 'I' and klass = 'primary' group by all) join cov using (sample_name, contig_name, pos)
-  union all select sample_name, contig_name, 'deletion', pos, n / depth, median_len from (select sample_name, contig_name, ref_start + 1 as pos, count(*) as n, list_sort(list(len))[count(*) // 2 + 1] as median_len from reads r join ops o using (read_id) where op = 'D' and klass = 'primary' group by all) join cov using (sample_name, contig_name, pos)
-  union all select sample_name, contig_name, 'clipping', pos, n / depth, median_len from (select sample_name, contig_name, pos, count(*) as n, list_sort(list(len))[count(*) // 2 + 1] as median_len from clips group by all) join cov using (sample_name, contig_name, pos)),
+  union all select sample_name, contig_name, 'insertion', pos, n / depth, median_len from (select sample_name, contig_name, ref_start as pos, count(*) as n, (list_sort(list(len))[(count(*) - 1) // 2 + 1] + list_sort(list(len))[count(*) // 2 + 1]) // 2 as median_len from reads r join ops o using (read_id) where op = 'I' and klass = 'primary' group by all) join cov using (sample_name, contig_name, pos)
+  union all select sample_name, contig_name, 'deletion', pos, n / depth, median_len from (select sample_name, contig_name, ref_start + 1 as pos, count(*) as n, (list_sort(list(len))[(count(*) - 1) // 2 + 1] + list_sort(list(len))[count(*) // 2 + 1]) // 2 as median_len from reads r join ops o using (read_id) where op = 'D' and klass = 'primary' group by all) join cov using (sample_name, contig_name, pos)
+  union all select sample_name, contig_name, 'clipping', pos, n / depth, median_len from (select sample_name, contig_name, pos, count(*) as n, (list_sort(list(len))[(count(*) - 1) // 2 + 1] + list_sort(list(len))[count(*) // 2 + 1]) // 2 as median_len from clips group by all) join cov using (sample_name, contig_name, pos)),
 burden as (select sample_name, contig_name, count(*) filter (kind = 'mismatch')::bigint as mismatch_count, count(*) filter (kind = 'deletion')::bigint as deletion_count, count(*) filter (kind = 'insertion')::bigint as insertion_count,
   count(*) filter (kind = 'clipping')::bigint as clipping_count, sum(case when kind = 'mismatch' then 1 else median_len end)::bigint as bases from positions where prevalence >= 0.1 group by all)"""
 
@@ -241,9 +271,8 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
     r = reads(spark, d)
     kinds = [
         S.mismatches(r).select(*PAIR, F.lit("mismatch").alias("kind"), "pos", "n", F.lit(1).alias("median_len")),
-        S.insertions(r).select(*PAIR, F.lit("insertion").alias("kind"), "pos", "n", "median_len"),
-        S.deletion_lengths(r).select(*PAIR, F.lit("deletion").alias("kind"), "pos", "n", "median_len"),
-        S.clip_events(r).groupBy(*PAIR, "pos").agg(*S.length_stats()).select(*PAIR, F.lit("clipping").alias("kind"), "pos", "n", "median_len"),
+        *[S.length_stats(events, "pos").select(*PAIR, F.lit(kind).alias("kind"), "pos", "n", F.col("mid_len").alias("median_len"))
+          for kind, events in (("insertion", S.insertion_events(r)), ("deletion", S.deletion_events(r)), ("clipping", S.clip_events(r)))],
     ]
     rows = kinds[0]
     for k in kinds[1:]:
@@ -254,21 +283,50 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
 query("microdiversity", f"with {PRELUDE}, {DEPTH}, {MISMATCH}, {CLIPS}, {POSITIONS} select * from burden")(lambda spark, d: M.variant_burden(positions(spark, d), 0.1))
 query("microdiversity_per_100kbp", f"with {PRELUDE}, {DEPTH}, {MISMATCH}, {CLIPS}, {POSITIONS} select sample_name, contig_name, round(mismatch_count * 100000.0 / contig_length, 4) as mismatch_count_per_100kbp, round(bases * 100000.0 / contig_length, 4) as bases_per_100kbp from burden join contigs using (contig_name)")(
     lambda spark, d: rounded(M.per_100kbp(M.variant_burden(positions(spark, d), 0.1), derived(spark, d, "contigs"), ["mismatch_count", "bases"]), "mismatch_count_per_100kbp", "bases_per_100kbp", digits=4))
-CLIP_PREV = """cp as (select sample_name, contig_name, side, pos, n / depth as prevalence, median_len from (select sample_name, contig_name, side, pos, count(*) as n, list_sort(list(len))[count(*) // 2 + 1] as median_len from clips group by all) join cov using (sample_name, contig_name, pos))"""
+CLIP_PREV = """cp as (select sample_name, contig_name, side, pos, n / depth as prevalence, median_len from (select sample_name, contig_name, side, pos, count(*) as n, (list_sort(list(len))[(count(*) - 1) // 2 + 1] + list_sort(list(len))[count(*) // 2 + 1]) // 2 as median_len from clips group by all) join cov using (sample_name, contig_name, pos))"""
+
+
+#: Right clips are on secondary and supplementary reads only; with all mapped reads there are clips on both sides.
+ALL_CLIPS = CLIPS.replace("klass = 'primary'", "klass <> 'unmapped'")
 
 
 def clip_prevalence(spark: SparkSession, d: str) -> DataFrame:
-    r = reads(spark, d)
-    return S.depth_at(S.clippings(r), depth_runs(spark, d)).withColumn("prevalence", F.col("n") / F.col("depth"))
-
-
-query("paired_clip_span", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, {CLIP_PREV}, l as (select *, lead(side) over w as ns, lead(pos) over w as np, lead(prevalence) over w as nv from cp window w as (partition by sample_name, contig_name order by pos, case when side = 'right' then 0 else 1 end))
-select sample_name, contig_name, sum(np - pos)::bigint as span from l where side = 'right' and ns = 'left' and prevalence >= 0.1 and nv >= 0.1 group by all""")(
-    lambda spark, d: M.paired_clip_span(clip_prevalence(spark, d), 0.1))
-query("side_misassembly", f"""with {PRELUDE}, {DEPTH}, {CLIPS}, {CLIP_PREV},
-c as (select * from cp join short_contigs using (contig_name) where prevalence >= 0.05),
-l as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from c where side = 'left' and median_len > pos - 1) where k = 1),
-r as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from c where side = 'right' and median_len > contig_length - pos) where k = 1)
-select coalesce(l.sample_name, r.sample_name) as sample_name, coalesce(l.contig_name, r.contig_name) as contig_name, l.pos::double as left_pos, round(l.prevalence, 6) as left_prevalence, r.pos::double as right_pos, round(r.prevalence, 6) as right_prevalence
-from l full join r on l.sample_name = r.sample_name and l.contig_name = r.contig_name""")(
-    lambda spark, d: rounded(M.side_misassembly(clip_prevalence(spark, d), derived(spark, d, "short_contigs"), 0.05), "left_prevalence", "right_prevalence").withColumns({c: F.col(c).cast("double") for c in ("left_pos", "right_pos")}))
+    """Clips of all mapped reads, with their share of the depth of primary ones."""
+    r = reads(spark, d).withColumn("klass", F.when(F.col("klass") == "unmapped", "unmapped").otherwise("primary"))
+    clips = S.length_stats(S.clip_events(r), "side", "pos").drop("median_len").withColumnRenamed("mid_len", "median_len")
+    return S.depth_at(clips, depth_runs(spark, d)).withColumn("prevalence", F.col("n") / F.col("depth"))
+
+
+query("paired_clip_span", f"""with {PRELUDE}, {DEPTH}, {ALL_CLIPS}, {CLIP_PREV}, l as (select *, lead(side) over w as ns, lead(pos) over w as np, lead(prevalence) over w as nv from cp window w as (partition by sample_name, contig_name order by pos, case when side = 'right' then 0 else 1 end))
+select sample_name, contig_name, sum(np - pos)::bigint as span from l where side = 'right' and ns = 'left' and prevalence >= 0.04 and nv >= 0.04 group by all""")(
+    lambda spark, d: M.paired_clip_span(clip_prevalence(spark, d), 0.04))
+SIDE = f"""{CLIP_PREV},
+sc as (select * from cp join short_contigs using (contig_name) where prevalence >= 0.05),
+sl as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from sc where side = 'left' and median_len > pos - 1) where k = 1),
+sr as (select * from (select *, row_number() over (partition by sample_name, contig_name order by prevalence desc, pos desc) as k from sc where side = 'right' and median_len > contig_length - pos) where k = 1),
+sides as (select coalesce(l.sample_name, r.sample_name) as sample_name, coalesce(l.contig_name, r.contig_name) as contig_name,
+    l.pos::double as left_pos, l.prevalence as left_prevalence, l.median_len::double as start_collapse_bp, (l.pos - 1)::double as start_expansion_bp,
+    r.pos::double as right_pos, r.prevalence as right_prevalence, r.median_len::double as end_collapse_bp, (r.contig_length - r.pos)::double as end_expansion_bp
+  from sl l full join sr r on l.sample_name = r.sample_name and l.contig_name = r.contig_name)"""
+SIDE_COLUMNS = ("left_pos", "start_collapse_bp", "start_expansion_bp", "right_pos", "end_collapse_bp", "end_expansion_bp")
+
+
+def side_misassembly(spark: SparkSession, d: str) -> DataFrame:
+    out = M.side_misassembly(clip_prevalence(spark, d), derived(spark, d, "short_contigs"), 0.05)
+    return out.withColumns({c: F.col(c).cast("double") for c in SIDE_COLUMNS})
+
+
+query("side_misassembly", f"""with {PRELUDE}, {DEPTH}, {ALL_CLIPS}, {SIDE}
+select * replace (round(left_prevalence, 6) as left_prevalence, round(right_prevalence, 6) as right_prevalence) from sides""")(
+    lambda spark, d: rounded(side_misassembly(spark, d), "left_prevalence", "right_prevalence"))
+query("read_termini_long", f"""with {PRELUDE}, t as (
+  select sample_name, contig_name, 'reads_starts' as kind, s as pos, begin_event as ev from edges where begin_event is not null
+  union all select sample_name, contig_name, 'reads_ends', e, finish_event from edges where finish_event is not null)
+select sample_name, contig_name, kind, pos, count(*)::bigint as n, list_sort(list(ev))[count(*) // 2 + 1]::int as event from t group by all""")(
+    lambda spark, d: longs(S.read_termini(reads(spark, d), long_reads=True), "pos"))
+query("coverage_reduced_long", runs_sql("""select sample_name, contig_name, case when begin_event is not null then s else (s + e) // 2 end as s,
+    case when finish_event is not null then e else (s + e) // 2 end as e, 1 as w from edges where begin_event is not null or finish_event is not null"""))(
+    lambda spark, d: K.rle(S.coverage_reduced(reads(spark, d), long_reads=True), PAIR, "value").select(*PAIR, "start", "end", F.col("value").cast("long").alias("value")))
+query("clipped_ratio_long", f"""with {PRELUDE}, c as (select sample_name, contig_name, count(*)::bigint as n_primary, sum((begin_event is not null)::int + (finish_event is not null)::int)::bigint as n_clean from edges where e >= s group by all)
+select *, round(case when n_clean = 0 then 1.0 else greatest(0.0, (2 * n_primary - n_clean) / n_clean) end, 6) as clipped_ratio from c""")(
+    lambda spark, d: rounded(S.clipped_ratio(reads(spark, d), long_reads=True), "clipped_ratio"))
