@@ -167,7 +167,7 @@ def _prefix(depth: int) -> Column:
     return F.xxhash64("tree", F.substring("label", 1, 2 * depth))
 
 
-def _ties_at(leaves: DataFrame, reps: DataFrame, depth: int, least: float, block: int) -> DataFrame:
+def _ties_at(leaves: DataFrame, labels: DataFrame, depth: int, least: float, block: int) -> DataFrame:
     """What meets at this depth and not deeper, as TIES."""
     own = leaves.select("id", "tree", _prefix(depth).alias("node"), (F.xxhash64("id") if depth == DEPTH else _prefix(depth + 1)).alias("branch"))
     nodes = own.groupBy(*GROUP).agg(F.count("*").alias("members"), F.min("id").alias("first"), F.min("branch").alias("lo"), F.max("branch").alias("hi"))
@@ -175,7 +175,7 @@ def _ties_at(leaves: DataFrame, reps: DataFrame, depth: int, least: float, block
     large = members.filter((F.col("members") > block) & (F.col("id") != F.col("first"))).select(
         F.col("id").alias("a"), F.col("first").alias("b"), F.lit(None).cast("int").alias("alike"), F.lit(None).cast("long").alias("n")
     )
-    small = members.filter(F.col("members") <= block).select(*GROUP, "branch", "id").join(reps.select("id", "labels"), "id")
+    small = members.filter(F.col("members") <= block).select(*GROUP, "branch", "id").join(labels.hint("merge"), "id")  # merged at any size, see below
     dealt = small.repartition(*GROUP).sortWithinPartitions(*GROUP)
     return staged(large.unionByName(dealt.select(*GROUP, "branch", "id", "labels").mapInPandas(partial(_tie, least=least), TIES)), "ties")
 
@@ -185,14 +185,15 @@ def candidates(reps: DataFrame, similarity: float, recall: float, block: int) ->
     leaves = reps.select("id", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     leaves = leaves.select("id", "tree", F.substring("labels", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("label"))
     least = similarity - 5 * (similarity * (1 - similarity) / VALUES) ** 0.5
-    ties, seen, alike, active, floor = [], [], np.zeros(VALUES + 1), None, DEPTH // 2
+    ties, seen, alike, active, own_labels, floor = [], [], np.zeros(VALUES + 1), None, None, DEPTH // 2
     for depth in range(DEPTH, 0, -1):
         if active is None or depth < floor:  # leaves alone at the floor's depth are alone at all larger ones
             floor = min(floor, depth)
             own = leaves.withColumn("node", _prefix(floor))
             company = own.groupBy(*GROUP).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
             active = staged(splittable_join(own, company, *GROUP).drop("node"), "leaves")
-        found = _ties_at(active, reps, depth, least, block)
+            own_labels = staged(reps.select("id", "labels").join(active.select("id").distinct().hint("merge"), "id", "left_semi"), "labels")
+        found = _ties_at(active, own_labels, depth, least, block)
         for r in found.filter("a is null").groupBy("alike").agg(F.sum("n").alias("n")).collect():  # at most VALUES + 1 rows
             alike[r.alike] += r.n
         ties.append(found.filter("a is not null").select("a", "b"))
