@@ -83,6 +83,30 @@ def test_spread_settles_on_chains_and_cycles(spark):
     assert {h for h in at if verdicts[site(h)] == "block"} == {h for h, i in at.items() if want[i] > 0.5} and verdicts["c1.net"] == "block"
 
 
+def test_url_filter_agrees_with_its_sql_on_a_graph(spark, tmp_path):
+    """Chains, cycles, dead ends and several links between two hosts, through rules and both spreads."""
+    import duckdb
+
+    from tidemark.llm import queries
+
+    rng = np.random.default_rng(11)
+    kinds = ["http://s{}.org/x", "http://b{}.com/de/a", "http://m{}.com/fr/b", "http://n{}.net/p"]
+    urls = [kinds[int(rng.integers(4))].format(i) for i in range(60)] + [None, "no scheme", "HTTP://N1.NET?q"]
+    hosts = [u.split("/")[2] for u in urls[:60]]
+    html = ["".join(f'<p><A class="q" HREF=//{h.upper()}/z>x</a>' for h in rng.choice(hosts, int(rng.integers(0, 5)))) for _ in urls]
+    html[3], html[4] = None, "<a href='http://n7.net/'>x</a>" * 20000
+    pages = spark.createDataFrame([(i, u, h, "clash") for i, (u, h) in enumerate(zip(urls, html))], "page_id long, url string, html string, host string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op1_url_filter(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(queries.oracle_sql()["op1_url_filter"]).fetchdf()
+    order = lambda df: sorted(map(str, df[["page_id", "host", "path", "rule", "verdict"]].astype(object).where(df.notna(), None).values.tolist()))
+    assert order(got) == order(want)
+    spread = got[got.rule.isna()].verdict.value_counts()
+    assert spread["block"] >= 3 and spread["allow"] > 3
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><header>site</header><nav><a href=x>menu</a></nav><div class="cookie-notice">Accept</div>
       <article><h1>Head &amp; line</h1><p>First,\n para <b>bold</b>.<p>Second &lt;one&gt;<br>goes on</article>
@@ -104,6 +128,41 @@ ODD_TEXTS = [None, "", " ", "\n", "a", "a b", "a\nb", "\na", " a", "a  b", "a <|
              "a\u3000b", "\U0001f600 ok\n", "ab" * 5000, "q\x00 w", "a\x85 b", "x \u200b y", "\ufffd \U00010000"]
 
 
+def test_html_of_labelled_pages(spark):
+    """Pages around a known article: its blocks come back whole, and nothing of what surrounds them."""
+    rng = np.random.default_rng(13)
+    around = ['<nav><ul><li><a href="/a">Home</a><li><a href="/b">News</a></ul></nav>', "<header><h2>Site name</h2></header>", '<aside class="sidebar"><p>Read more, here, and there</p></aside>',
+              '<div class="cookie-consent"><p>We use cookies, sorry.</p></div>', "<footer><p>Imprint, contact</p></footer>", '<section id="comments"><p>First, nice, really nice, indeed</p></section>',
+              "<script>var p = '<p>not, text</p>';</script>", "<style>p { color: red }</style>", '<form><p>Sign up, now</p><input value="x"></form>', '<div class="ad-banner"><p>Buy, buy, buy</p></div>', "<!-- <p>hidden, text</p> -->"]
+    rows, want = [], {}
+    for i in range(120):
+        blocks = [", ".join(text(rng, 6) for _ in range(int(rng.integers(2, 6)))) + "." for _ in range(int(rng.integers(2, 7)))]
+        article = "".join(f"<p>{b.replace(' ', chr(10) if k % 2 else ' ')} &amp; <b>more</b></p>" for k, b in enumerate(blocks))
+        parts = [str(x) for x in rng.choice(around, 5, replace=False)]
+        k = int(rng.integers(0, 6))
+        rows.append((i, f"http://x/{i}", "<html><body>" + "".join(parts[:k]) + f"<article><h1>Title {i}</h1>{article}</article>" + "".join(parts[k:]) + "</body></html>", 1))
+        want[i] = " ".join([f"Title {i}", *(f"{b} & more" for b in blocks)])
+    rows += [(200, None, None, 1), (201, "u", "", 1), (202, "u", "<p>\U0001f600, e\u0301 &#x1F600; &nbsp; a</p>", 1), (202, "u", "<p>\U0001f600, e\u0301 &#x1F600; &nbsp; a</p>", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = html_extract.extract(pages).collect()
+    assert {r.page_id: r.text for r in got if r.page_id < 200} == want and all(r.n_chars == len(r.text) for r in got)
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in got if r.page_id > 200) == [(201, "u", "", 0)] + [(202, "u", "\U0001f600, e\u0301 \U0001f600 a", 9)] * 2
+    assert [(r.url, r.text) for r in got if r.page_id == 200] == [(None, "")]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_html_work_is_linear_in_depth():
+    import time
+
+    for page in ("<div>x, y", "<i>", "<p>z", "<a href=x>y", "<b></div>", "<td><tr>q"):
+        took = []
+        for n in (5_000, 40_000):
+            began = time.perf_counter()
+            html_extract.extract_text(page * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * took[0] + 1, page
+
+
 def test_ids_equal_the_plain_library():
     rng = np.random.default_rng(3)
     parts = ["a", "b", "1", "'", ",", ".", " ", " ", "\n", "\t", "é", "\xa0", " the", "<|endoftext|>", "'s", "\u2003", "\u6f22", "\U0001f600"]

@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 Every block of text passes points (1, 1 for each comma, up to 3 for length) to its container, half to the next ancestor,
-and less to those above. A container's points are discounted by the share of its text that is links. The best container,
+and less to each of ten above. A container's points are discounted by the share of its text that is links. The best container,
 and siblings that do well beside it, are kept. Parts that a page marks as something else (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments) take no part.
 
@@ -38,6 +38,12 @@ NOT_MAIN = frozenset(
 )
 PARAGRAPH = frozenset("p pre blockquote td li dd div section article main body h1 h2 h3 h4 h5 h6".split())
 
+#: Blocks whose points go to what holds them, and those that can be menus.
+LEAF = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table div section".split())
+#: What the container gets of a block's points, then the ancestors above it; higher ones get none.
+SHARES = (1.0, 0.5, *(1.0 / (3 * level) for level in range(2, 12)))
+
 PART = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
@@ -71,12 +77,14 @@ def extract_text(page: str | None) -> str:
     """The main text of one page: its blocks in page order, joined by one space."""
     if not page:
         return ""
-    # a node: parent, tag, own weight, points, characters, characters in links, links, position among siblings
+    # a node: parent, tag, own weight, points, characters, characters in links, links; children follow their parents
     nodes: list[list] = [[-1, "#", 0.0, 0.0, 0, 0, 0]]
     stack: list[int] = [0]
+    open_blocks: list[int] = []  # places in the stack
+    open_tags: dict[str, list[int]] = {}  # places in the stack by name
     blocks: list[tuple[int, str]] = []
     buffer: list[str] = []
-    at, dropped, links, linked, articles = 0, 0, 0, 0, 0  # dropped: depth in the stack from which all is dropped
+    at, dropped, linked = 0, 0, 0  # dropped: depth in the stack from which all is dropped
 
     def flush() -> None:
         nonlocal linked
@@ -84,34 +92,28 @@ def extract_text(page: str | None) -> str:
             text = SPACE.sub(" ", "".join(buffer)).strip()
             buffer.clear()
             if text:
-                node = next(i for i in reversed(stack) if nodes[i][1] in BLOCK or i == 0)
+                node = stack[open_blocks[-1]] if open_blocks else 0
+                tag = nodes[node][1]
                 blocks.append((node, text))
-                own = node if nodes[node][1] not in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6") else nodes[node][0]
-                if nodes[node][1] in PARAGRAPH or node == 0:
-                    points, share = 1.0 + text.count(",") + min(len(text) / 100, 3.0), 1.0
-                    if nodes[node][1] == "li" or nodes[node][1][:1] == "h":
+                nodes[node][4] += len(text)
+                nodes[node][5] += min(linked, len(text))
+                if tag in PARAGRAPH or node == 0:
+                    points, own = 1.0 + text.count(",") + min(len(text) / 100, 3.0), nodes[node][0] if tag in LEAF else node
+                    if tag == "li" or tag[:1] == "h":
                         points *= 0.25
-                    level = 0
-                    while own >= 0:
+                    for share in SHARES:
+                        if own < 0:
+                            break
                         nodes[own][3] += points * share
-                        level += 1
-                        share = 1.0 if level == 0 else 0.5 if level == 1 else 1.0 / (level * 3)
                         own = nodes[own][0]
-                n, size, inside = node, len(text), min(linked, len(text))
-                while n >= 0:
-                    nodes[n][4] += size
-                    nodes[n][5] += inside
-                    n = nodes[n][0]
         linked = 0
 
     def pop_to(k: int) -> None:
-        nonlocal dropped, links, articles
+        nonlocal dropped
         while len(stack) > k:
-            tag = nodes[stack.pop()][1]
-            if tag == "a":
-                links = max(0, links - 1)
-            elif tag == "article":
-                articles = max(0, articles - 1)
+            open_tags[nodes[stack.pop()][1]].pop()
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
         if dropped and len(stack) < dropped:
             dropped = 0
 
@@ -122,7 +124,7 @@ def extract_text(page: str | None) -> str:
             if "&" in text:
                 text = entities.unescape(text)
             buffer.append(text)
-            if links:
+            if open_tags.get("a"):
                 linked += len(text)
 
     for m in PART.finditer(page):
@@ -134,23 +136,15 @@ def extract_text(page: str | None) -> str:
         if m["end"] or m["end2"]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]][1] == tag:
-                    pop_to(k)
-                    break
-                if tag not in BLOCK and nodes[stack[k]][1] in BLOCK:
-                    break
+            places = open_tags.get(tag)
+            if places and (tag in BLOCK or not open_blocks or places[-1] > open_blocks[-1]):
+                pop_to(places[-1])
             continue
         if tag in BLOCK:
             flush()
             closes = {"p"} if tag not in ("li", "td", "th", "tr", "dt", "dd") else {"p", tag} if tag != "tr" else {"p", "td", "th", "tr"}
-            for k in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[k]][1]
-                if name in closes:
-                    pop_to(k)
-                    break
-                if name in BLOCK and not (name == "p" or name in closes or tag == "tr" and name in ("td", "th")):
-                    break
+            if open_blocks and nodes[stack[open_blocks[-1]]][1] in closes:
+                pop_to(open_blocks[-1])
         if tag == "br":
             if not dropped:
                 buffer.append(" ")
@@ -160,47 +154,37 @@ def extract_text(page: str | None) -> str:
         attrs = m["attrs"] or m["attrs2"] or ""
         if attrs.endswith("/") and tag not in BLOCK and tag != "a":
             continue
-        drop, weight = (False, 0.0) if dropped else _weight(tag, attrs, articles > 0)
-        nodes.append([stack[-1], tag, weight, 0.0, 0, 0, 0])
+        drop, weight = (False, 0.0) if dropped else _weight(tag, attrs, bool(open_tags.get("article")))
+        nodes.append([stack[-1], tag, weight, 0.0, 0, 0, int(tag == "a" and not dropped)])
+        open_tags.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            open_blocks.append(len(stack))
         stack.append(len(nodes) - 1)
         if drop and not dropped:
             dropped = len(stack)
             if tag not in BLOCK and buffer:
                 buffer.append(" ")
-        if tag == "a":
-            links += 1
-            if not dropped:
-                n = stack[-1]
-                while n >= 0:
-                    nodes[n][6] += 1
-                    n = nodes[n][0]
-        elif tag == "article":
-            articles += 1
     text_to(len(page))
     flush()
     if not blocks:
         return ""
-
-    def score(i: int) -> float:
-        _, _, weight, points, size, inside, _ = nodes[i]
-        return (points + weight) * (1.0 - inside / size) if size else 0.0
-
-    scores = {i: score(i) for i in range(len(nodes)) if nodes[i][3] > 0}
+    for parent, _, _, _, size, inside, links in reversed(nodes[1:]):
+        above = nodes[parent]
+        above[4] += size
+        above[5] += inside
+        above[6] += links
+    scores = {i: (points + weight) * (1.0 - inside / size) if size else 0.0 for i, (_, _, weight, points, size, inside, _) in enumerate(nodes) if points > 0}
     if not scores:
         return " ".join(t for _, t in blocks)
     best = max(scores, key=lambda i: (scores[i], -i))
     floor = max(10.0, 0.2 * scores[best])
-    kept = {best} | {i for i in range(1, len(nodes)) if nodes[i][0] == nodes[best][0] and i != best and (scores.get(i, 0.0) >= floor or nodes[i][1] in ("p", "h1", "h2") and nodes[i][4] > 0 and nodes[i][5] < 0.25 * nodes[i][4])}
-    menus = {i for i in range(1, len(nodes)) if nodes[i][1] in ("ul", "ol", "dl", "table", "div", "section") and nodes[i][6] >= 3 and nodes[i][5] > 0.66 * nodes[i][4]}
-    out = []
-    for node, text in blocks:
-        n, inside = node, False
-        while n >= 0 and n not in menus:
-            inside = inside or n in kept
-            n = nodes[n][0]
-        if inside and n < 0:
-            out.append(text)
-    return " ".join(out)
+    # for each node: if it or what holds it is kept, and if it is in a menu, from the top down
+    kept, menu = [False] * len(nodes), [False] * len(nodes)
+    for i, (parent, tag, _, _, size, inside, links) in enumerate(nodes):
+        beside = i > 0 and parent == nodes[best][0] and (scores.get(i, 0.0) >= floor or tag in ("p", "h1", "h2") and size > 0 and inside < 0.25 * size)
+        kept[i] = i == best or beside or i > 0 and kept[parent]
+        menu[i] = i > 0 and (menu[parent] or tag in LISTS and links >= 3 and inside > 0.66 * size)
+    return " ".join(text for node, text in blocks if kept[node] and not menu[node])
 
 
 def extract(pages: DataFrame) -> DataFrame:

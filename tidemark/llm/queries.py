@@ -63,8 +63,8 @@ def queries() -> dict:
     )}
 
 
-def _op1_sql(rounds: int = 10) -> str:
-    """The spread of op1 with its rounds written out; it may stop earlier, when what moves is below the tolerance."""
+def _op1_sql() -> str:
+    """The spread of op1: one recursion step for each link, until less than a millionth of a host's seed moves anywhere."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
 
     def case(what) -> str:
@@ -75,14 +75,8 @@ def _op1_sql(rounds: int = 10) -> str:
         return "case " + " ".join(out) + " end"
 
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    steps = [
-        f"""m{k} as materialized (select w.kind, w.b as host, 0.85 * sum(m.r * w.w) as r from m{k - 1} m
-        join ways w on w.kind = m.kind and w.a = m.host group by w.kind, w.b)"""
-        for k in range(1, rounds + 1)
-    ]
-    everything = " union all ".join(f"select * from m{k}" for k in range(rounds + 1))
     return f"""
-with rest as (select page_id, html, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+with recursive rest as (select page_id, html, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
 parts as (select page_id, html, {lower.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
 judged as materialized (select page_id, host, path, {case(lambda k, t: t)} as rule, {case(lambda k, t: k)} as ruled from parts),
 links as (select host as src, {lower.format("unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?\\s*(?:https?:)?//([^/?#\"''\\s>]+)', 1))")} as dst from parts),
@@ -92,10 +86,13 @@ ways as materialized (
   union all select 'distrust', dst, src, n / sum(n) over (partition by dst) from edges),
 seeds as (select host, avg(case when ruled = 'allow' then 1.0 else 0.0 end) as trust, avg(case when ruled = 'block' then 1.0 else 0.0 end) as distrust
   from judged where host <> '' group by host),
-m0 as materialized (select 'trust' as kind, host, trust::double as r from seeds where trust > 0
-  union all select 'distrust', host, distrust::double from seeds where distrust > 0),
-{", ".join(steps)},
-mass as ({everything}),
+mass as (
+  select 0 as k, 'trust' as kind, host, trust::double as r from seeds where trust > 0
+  union all select 0, 'distrust', host, distrust::double from seeds where distrust > 0
+  union all
+  select k, kind, host, sum(r) from (
+    select m.k + 1 as k, w.kind, w.b as host, 0.85 * m.r * w.w as r from mass m join ways w on w.kind = m.kind and w.a = m.host where m.k < 500)
+  group by k, kind, host having sum(r) > 1e-9),
 blocked as (select host from mass group by host having sum(case when kind = 'distrust' then r else -r end) > 0.5)
 select j.page_id, j.host, j.path, j.rule, coalesce(j.ruled, case when b.host is not null then 'block' end, 'allow') as verdict
 from judged j left join blocked b on j.host = b.host

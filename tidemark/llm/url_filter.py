@@ -2,7 +2,7 @@
 
 Only DataFrame functions are used. Rules give seeds: the share of a host's pages that rules allow (trust) or block
 (distrust). Trust follows links forward as personalised PageRank; distrust follows them backward, to hosts that link
-to blocked ones. A host is blocked if its distrust exceeds its trust by more than a threshold; seeds of 1 are the unit.
+to blocked ones. What reaches a host without links on its way stays there and goes no further. A host is blocked if its distrust exceeds its trust by more than a threshold; seeds of 1 are the unit.
 
 Edge cases: a null url, or one without "://", has an empty host and path, no rule, and the verdict "allow"; a null html
 has no links; repeated rows count again as pages but a host pair is one edge with a weight; an empty table gives no rows.
