@@ -11,34 +11,35 @@ from ..driver import derived, oracle
 from ..functions import sequence as Q
 from ..operators import coding as D
 from .dataset import depth_runs
-from .genome import CODE, genes, rounded
+from .genome import CODE_TABLE, genes, rounded
 from .signals import CLIPS, DEPTH, MISMATCH, POSITIONS, PRELUDE, positions, reads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-NAMES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in D.NAMES.items()) + "}"
-SQL["codon_effect"] = f"""with q as materialized (select *, substr(contig_name, 4)::bigint as id, length(seq) as n from ({oracle('sequences')})),
+NAMES = "names as (select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in D.NAMES.items()) + ") t(amino, name))"
+SQL["codon_effect"] = f"""with {CODE_TABLE}, {NAMES}, q as materialized (select *, substr(contig_name, 4)::bigint as id, length(seq) as n from ({oracle('sequences')})),
 g as materialized (select contig_name, id, 1 + id % 3 as s, n // 3 as m, n // 3 + 11 as t, n - 5 as e, id % 2 = 1 as minus, seq from q where n >= 60),
 cut as materialized (select *, (m - s + 1) + (e - t + 1) as size, case when minus then reverse(translate(regexp_replace(substr(seq, s, (m - s + 1)::int) || substr(seq, t, (e - t + 1)::int), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) else substr(seq, s, (m - s + 1)::int) || substr(seq, t, (e - t + 1)::int) end as code from g),
-p as (select contig_name, id, unnest(range(1, n + 1, 13)) as pos from q),
+p as (select contig_name, id, unnest(range(1, n + 1)) as pos from q),
 o as (select p.*, p.id * 1000000 + p.pos as point_id, substr('ACGT', (p.pos % 4 + 1)::int, 1) as base, cut.id is not null and p.pos between s and e as inside, minus, size,
   case when p.pos between s and m then p.pos - s when p.pos between t and e then m - s + 1 + p.pos - t end as fwd from p left join cut using (contig_name)),
 f as (select o.*, case when minus then size - 1 - fwd else fwd end as off, case when minus then translate(base, 'ACGT', 'TGCA') else base end as b from o),
 k as (select f.*, substr(code, (off // 3 * 3 + 1)::int, 3) as was from f join cut using (contig_name) where inside and off is not null),
 c as (select *, substr(was, 1, (off % 3)::int) || b || substr(was, (off % 3)::int + 2) as codon from k where length(was) = 3)
-select point_id, case when {CODE}[was] = {CODE}[codon] then 'Synonymous' else 'Non-synonymous' end as category, codon, concat({CODE}[codon], ' (', {NAMES}[{CODE}[codon]], ')') as amino_acid from c where {CODE}[was] is not null and {CODE}[codon] is not null
+select point_id, case when a.amino = b.amino then 'Synonymous' else 'Non-synonymous' end as category, c.codon, concat(b.amino, ' (', name, ')') as amino_acid
+from c join code a on a.codon = was join code b on b.codon = c.codon join names on names.amino = b.amino
 union all select point_id, 'Intergenic', '', '' from f where not inside"""
 
 
 def codon_effect(spark: SparkSession, d: str) -> DataFrame:
-    """A changed base at every 13th place of all sequences; regions have two segments, every other one is reversed."""
+    """A changed base at every place of all sequences; regions have two segments, every other one is reversed."""
     q = derived(spark, d, "sequences").withColumns({"id": F.substring("contig_name", 4, 30).cast("long"), "n": F.length("seq")})
     third = F.floor(F.col("n") / 3)
     span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
     cds = q.filter("n >= 60").withColumns({"segments": F.array(span(1 + F.col("id") % 3, third), span(third + 11, F.col("n") - 5)), "strand": F.when(F.col("id") % 2 == 1, -1).otherwise(1)})
     cds = cds.select("id", "contig_name", F.array_min("segments.start").alias("start"), F.array_max("segments.end").alias("end"), "strand", "segments", Q.splice(F.col("seq"), F.col("segments"), F.col("strand")).alias("seq"))
-    points = q.select("contig_name", "id", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(13))).alias("pos"))
+    points = q.select("contig_name", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"))
     points = points.select((F.col("id") * 1_000_000 + F.col("pos")).alias("point_id"), "contig_name", F.col("pos").cast("long").alias("pos"), F.substring(F.lit("ACGT"), F.col("pos") % 4 + 1, F.lit(1)).alias("base"))
     return D.codon_effect(points, cds)
 

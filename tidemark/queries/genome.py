@@ -57,13 +57,20 @@ query("nucleotides", f"with {base('sequences')} select contig_name, substr(seq,
     lambda spark, d: G.nucleotides(G.chunked(derived(spark, d, "sequences"), 100), 150, 849, 100).filter("seq <> ''"))
 query("revcomp", f"with {base('sequences')} select contig_name, reverse(translate(regexp_replace(upper(seq), '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA')) as rc from sequences")(
     lambda spark, d: derived(spark, d, "sequences").select("contig_name", Q.revcomp(F.col("seq")).alias("rc")))
-CODE = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in Q.CODONS.items()) + "}"
-SITES = "map {" + ", ".join(f"'{k}': {Q.codon_sites(k)[0]}" for k in Q.CODONS) + "}"
-SENSE = "map {" + ", ".join(f"'{k}': {sum(Q.codon_sites(k))}" for k in Q.CODONS) + "}"
+#: The twins have a genetic code of their own: fixed values, the codons of each amino acid.
+BY_AMINO = {
+    "F": "TTT TTC", "L": "TTA TTG CTT CTC CTA CTG", "I": "ATT ATC ATA", "M": "ATG", "V": "GTT GTC GTA GTG", "S": "TCT TCC TCA TCG AGT AGC", "P": "CCT CCC CCA CCG",
+    "T": "ACT ACC ACA ACG", "A": "GCT GCC GCA GCG", "Y": "TAT TAC", "*": "TAA TAG TGA", "H": "CAT CAC", "Q": "CAA CAG", "N": "AAT AAC", "K": "AAA AAG", "D": "GAT GAC",
+    "E": "GAA GAG", "C": "TGT TGC", "W": "TGG", "R": "CGT CGC CGA CGG AGA AGG", "G": "GGT GGC GGA GGG",
+}
+CODE_TABLE = "code as materialized (select * from (values " + ", ".join(f"('{c}', '{a}')" for a, cs in BY_AMINO.items() for c in cs.split()) + ") t(codon, amino))"
+SITES_TABLE = """site_counts as materialized (
+  select a.codon, count(*) filter (b.amino = a.amino) as same, count(*) filter (b.amino <> a.amino) as other from code a
+  join code b on (a.codon[1] <> b.codon[1])::int + (a.codon[2] <> b.codon[2])::int + (a.codon[3] <> b.codon[3])::int = 1 where a.amino <> '*' group by a.codon)"""
 CODONS_SQL = "cod as (select contig_name, i, upper(substr(seq, (i * 3 + 1)::int, 3)) as c from (select contig_name, seq, unnest(range(0, length(seq) // 3)) as i from sequences))"
-query("translate_cds", f"with {base('sequences')}, {CODONS_SQL} select contig_name, string_agg(coalesce({CODE}[c], 'X'), '' order by i) as protein from cod group by all")(
+query("translate_cds", f"with {base('sequences')}, {CODE_TABLE}, {CODONS_SQL} select contig_name, string_agg(coalesce(amino, 'X'), '' order by i) as protein from cod left join code on codon = c group by all")(
     lambda spark, d: derived(spark, d, "sequences").filter("length(seq) >= 3").select("contig_name", Q.translate(F.col("seq")).alias("protein")))
-query("sn_sites", f"with {base('sequences')}, {CODONS_SQL} select contig_name, sum(coalesce({SITES}[c], 0))::bigint as s_sites, sum(coalesce({SENSE}[c], 0) - coalesce({SITES}[c], 0))::bigint as n_sites from cod group by all")(
+query("sn_sites", f"with {base('sequences')}, {CODE_TABLE}, {SITES_TABLE}, {CODONS_SQL} select contig_name, sum(coalesce(same, 0))::bigint as s_sites, sum(coalesce(other, 0))::bigint as n_sites from cod left join site_counts on codon = c group by all")(
     lambda spark, d: derived(spark, d, "sequences").filter("length(seq) >= 3").select("contig_name", Q.sn_sites(F.col("seq")).alias("x")).select("contig_name", F.col("x.s").cast("long").alias("s_sites"), F.col("x.n").cast("long").alias("n_sites")))
 
 COPIES = "copies as (select contig_name, least(p1, p2) as s, greatest(p1, p2) as e from repeats union all select contig_name, least(p1x, p2x), greatest(p1x, p2x) from repeats)"
@@ -159,7 +166,7 @@ query("histogram_log", "with s as (select min(log10(o_totalprice)) lo, max(log10
 query("value_counts", "select p_brand, count(*)::bigint as n from part group by all")(lambda spark, d: V.value_counts(t(spark, d, "part"), "p_brand"))
 query("distinct_values", "select distinct p_type from part where p_type is not null")(lambda spark, d: V.distinct_values(t(spark, d, "part"), "p_type"))
 query("null_stats", f"with {base('annotations')} select count(locus_tag)::bigint as n_values, count(*)::bigint as n_rows from annotations")(lambda spark, d: V.null_stats(derived(spark, d, "annotations"), "locus_tag"))
-SAMPLES = ["AF", "NF", "NO", "RF"]
+SAMPLES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 query("metric_matrix", f"with {PAIR_SQL} select contig_name, " + ", ".join(f"coalesce(sum(value) filter (sample_name = '{s}'), 0)::bigint as \"{s}\"" for s in SAMPLES) + " from metric group by all")(
     lambda spark, d: V.metric_matrix(metric(spark, d), metric(spark, d).select("contig_name"), "contig_name", "value", SAMPLES))
 query("dense_grid", f"with {PAIR_SQL} select c.contig_name, s.sample_name, coalesce(value, 0)::bigint as value from (select distinct contig_name from cov) c cross join (select distinct sample_name from cov) s left join (select * from metric where value > 1000) m on m.contig_name = c.contig_name and m.sample_name = s.sample_name")(

@@ -16,7 +16,7 @@ from ..operators import query as V
 from ..operators import signals as S
 from ..operators import views as W
 from .dataset import BINS, PIVOT, RULES, bins, depth_runs
-from .genome import CODE, CODONS_SQL, base, t
+from .genome import CODE_TABLE, CODONS_SQL, base, t
 from .signals import DEPTH, MISMATCH, PRELUDE, depth_src, longs, reads, runs_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def mag_dots(spark: SparkSession, d: str) -> DataFrame:
     return longs(W.mag_dots(derived(spark, d, "annotations").drop("product"), derived(spark, d, "qualifiers"), bins(spark, d), RULES), "mid")
 
 
-SQL["translations"] = f"""with {base('sequences')}, {CODONS_SQL}, p as (select contig_name, string_agg(coalesce({CODE}[c], 'X'), '' order by i) as protein from cod group by all),
+SQL["translations"] = f"""with {base('sequences')}, {CODE_TABLE}, {CODONS_SQL}, p as (select contig_name, string_agg(coalesce(amino, 'X'), '' order by i) as protein from cod left join code on codon = c group by all),
 c as (select substr(contig_name, 4)::bigint as annotation_id, contig_name, 1 + substr(contig_name, 4)::bigint * 37 % 5000 as "start", length(seq) as n from sequences where length(seq) >= 3)
 select annotation_id, "start", "start" + n - 1 as "end", protein from c join p using (contig_name) where "start" + n - 1 >= 2000 and "start" <= 3000"""
 
