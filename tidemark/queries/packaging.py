@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..driver import derived
+from ..driver import derived, oracle, stored
+from ..operators import genome as G
 from ..operators import packaging as P
 from ..operators import signals as S
 from .genome import rounded
-from .signals import PRELUDE, SIGNALS, longs, reads
+from .signals import ALL_CLIPS, PRELUDE, SIGNALS, longs, reads, stored_termini
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,19 +49,60 @@ tested as (select *, area_depth * all_ends / all_depth as expected, count(*) ove
 valued as (select *, least(1.0, k * greatest(0.0, 1 - list_sum(list_transform(range(0, spc), lambda i: exp(i * ln(expected) - expected - lgamma(i + 1)))))) as p from tested)
 """
 SQL["poisson_test"] = POISSON + "select sample_name, contig_name, kind, center, round(expected, 6) as expected, round(p, 6) as p_value, p <= 0.05 as significant from valued"
-SQL["packaging_mechanisms"] = POISSON + """, sums as (select sample_name, contig_name, contig_length, circular, count(*) filter (kind = 'reads_starts') as starts, count(*) filter (kind = 'reads_ends') as ends,
-  min(center) filter (kind = 'reads_starts') as a, min(center) filter (kind = 'reads_ends') as b, string_agg(center::varchar, ',' order by center) filter (kind = 'reads_starts') as sl, string_agg(center::varchar, ',' order by center) filter (kind = 'reads_ends') as el, sum(peaks)::bigint as total_peaks
-  from valued where p <= 0.05 group by all),
-far as (select *, case when starts = 1 and ends = 1 then case when circular then least(abs(b - a), contig_length - abs(b - a)) else abs(b - a) end end as distance from sums)
-select sample_name, contig_name, case when distance < 2 then 'COS' when distance is not null then
-  (case when distance <= 20 then 'COS' when distance <= 1000 then 'DTR_short' when distance <= floor(contig_length * 0.1) then 'DTR_long' else 'DTR_outlier' end)
-  || case when (case when circular then (b - a + contig_length) % contig_length <> distance else b < a end) then '_3''' else '_5''' end
-  when starts + ends = 1 then 'PAC' else 'Unknown_packaging' end as mechanism, distance::double as distance, coalesce(sl, '') as start_centers, coalesce(el, '') as end_centers, total_peaks from far"""
+# Each area with the clips around it, the event lengths inside it, and the repeats it lies in.
+TESTED = POISSON + """,
+spots as (select distinct contig_name, least(p1, p2) > least(p1x, p2x) as swap, is_direct, least(p1, p2) as a1, greatest(p1, p2) as a2, least(p1x, p2x) as b1, greatest(p1x, p2x) as b2
+  from ({REPEATS}) join rings using (contig_name) where least(p1, p2, p1x, p2x) <= 100 and greatest(p1, p2, p1x, p2x) > contig_length - 100 and pident >= 87),
+copies as materialized (select distinct contig_name, case when swap then b1 else a1 end as fs, case when swap then b2 else a2 end as fe, case when swap then a1 else b1 end as ss, case when swap then a2 else b2 end as se, is_direct from spots),
+{CLIPS},
+clip_n as materialized (select sample_name, contig_name, case side when 'left' then 'reads_starts' else 'reads_ends' end as kind, pos, count(*) as n from clips where len >= 2 group by all),
+clip_in as (select n.*, row_number() over (partition by sample_name, contig_name, kind, pos order by fs, fe, ss, se) as i, case when pos between fs and fe then pos - fs + ss else pos - ss + fs end as partner
+  from clip_n n join copies using (contig_name) where is_direct and (pos between fs and fe or pos between ss and se)),
+alone as (select * from clip_in c where i = 1 and not exists (select 1 from clip_n o where o.sample_name = c.sample_name and o.contig_name = c.contig_name and o.kind = c.kind and o.pos = c.partner)),
+strong as (select n.* from clip_n n join cov using (sample_name, contig_name, pos) where n.n >= 2 and n.n >= floor(depth * 0.1)
+  and not exists (select 1 from alone a where a.sample_name = n.sample_name and a.contig_name = n.contig_name and a.kind = n.kind and a.pos = n.pos)),
+near_clips as (select v.sample_name, v.contig_name, v.kind, v.center, sum(c.n) as clips from valued v join strong c on c.sample_name = v.sample_name and c.contig_name = v.contig_name and c.kind = v.kind
+  and case when "start" > "end" then pos >= "start" - 20 or pos <= "end" + 20
+    when circular then pos between "start" - 20 and "end" + 20 or pos >= "start" - 20 + contig_length or pos <= "end" + 20 - contig_length else pos between "start" - 20 and "end" + 20 end and pos <= contig_length group by all),
+events as (select sample_name, contig_name, case when reverse then 'reads_ends' else 'reads_starts' end as kind, case when reverse then e else s end as pos, list(case when reverse then finish_event else begin_event end) as l
+  from edges where (case when reverse then finish_event else begin_event end) is not null group by all),
+clip_mid as (select v.sample_name, v.contig_name, v.kind, v.center, median(list_sort(l)[len(l) // 2 + 1]) as median_clip from valued v join events c on c.sample_name = v.sample_name and c.contig_name = v.contig_name and c.kind = v.kind
+  and case when "start" > "end" then pos >= "start" or pos <= "end" else pos between "start" and "end" end group by all),
+share as (select sample_name, contig_name, count(*) as reads_, sum(case when case when reverse then finish_event else begin_event end is not null then 1 else 0 end) as clean from edges where e >= s group by all),
+judged as materialized (select v.*, coalesce(clips, 0) as clips, coalesce(median_clip, 0) as median_clip, (case when clean = 0 then 1.0 else greatest(0.0, (reads_ - clean) / clean) end) * spc as wanted
+  from valued v left join near_clips using (sample_name, contig_name, kind, center) left join clip_mid using (sample_name, contig_name, kind, center) left join share using (sample_name, contig_name)),
+marked2 as materialized (select *, clips <= wanted or (wanted > 0 and (clips - wanted) / sqrt(wanted) <= 1.6448536) as clip_ok from judged)
+""".replace("{REPEATS}", oracle("repeats")).replace("{CLIPS}", ALL_CLIPS)
+SQL["area_tests"] = TESTED + "select sample_name, contig_name, kind, center, clips::bigint as clips, clip_ok, median_clip::double as median_clip from marked2"
+SQL["packaging_mechanisms"] = TESTED.replace("with ", "with recursive ", 1) + """,
+good as materialized (select * from marked2 where p <= 0.05 and clip_ok),
+inside_copy as (select sample_name, contig_name, kind, center, arg_min(is_direct, {'a': fs, 'b': fe, 'c': ss, 'd': se, 'e': is_direct}) as direct from good join copies using (contig_name) where center between fs and fe or center between ss and se group by all),
+moved as (select sample_name, contig_name, kind, center, arg_min(center - ss + fs, {'a': fs, 'b': fe, 'c': ss, 'd': se}) as place from good join copies using (contig_name) where is_direct and center between ss and se group by all),
+lined as materialized (select *, row_number() over (partition by sample_name, contig_name, kind order by place, center) as i
+  from (select g.*, coalesce(place, center) as place, direct from good g left join moved using (sample_name, contig_name, kind, center) left join inside_copy using (sample_name, contig_name, kind, center))),
+walk as (
+  select sample_name, contig_name, kind, i, place as last, true as keep from lined where i = 1
+  union all select l.sample_name, l.contig_name, l.kind, l.i, case when l.place - w.last > 20 then l.place else w.last end, l.place - w.last > 20
+  from walk w join lined l on l.sample_name = w.sample_name and l.contig_name = w.contig_name and l.kind = w.kind and l.i = w.i + 1),
+kept as materialized (select l.* from lined l join walk w using (sample_name, contig_name, kind, i) where keep),
+sums as (select sample_name, contig_name, contig_length, circular, count(*) filter (kind = 'reads_starts') as starts, count(*) filter (kind = 'reads_ends') as ends,
+  min(center) filter (kind = 'reads_starts') as a, min(center) filter (kind = 'reads_ends') as b, bool_and(coalesce(direct, false)) as dtr, bool_and(coalesce(not direct, false)) as itr from kept group by all),
+far as (select *, case when starts = 1 and ends = 1 then case when circular then least(abs(b - a), contig_length - abs(b - a)) else abs(b - a) end end as distance from sums),
+facing as (select sample_name, contig_name, arg_min(fe - fs + 1, {'a': fs, 'b': fe, 'c': ss, 'd': se}) as size from far join copies using (contig_name)
+  where not is_direct and (a between fs and fe and b between ss and se or a between ss and se and b between fs and fe) group by all),
+sided as (select far.*, f.size, case when (case when circular then (b - a + contig_length) % contig_length <> distance else b < a end) then '_3''' else '_5''' end as side from far left join facing f using (sample_name, contig_name)),
+centers as (select sample_name, contig_name, coalesce(string_agg(center::varchar, ',' order by center) filter (kind = 'reads_starts'), '') as start_centers,
+  coalesce(string_agg(center::varchar, ',' order by center) filter (kind = 'reads_ends'), '') as end_centers, sum(peaks)::bigint as total_peaks from good group by all)
+select sample_name, contig_name, case when distance <= 20 and size is not null then 'ITR_' || case when size <= 1000 then 'short' when size <= floor(contig_length * 0.1) then 'long' else 'outlier' end || side
+  when distance < 2 then 'COS' when distance <= 20 then 'COS' || side
+  when distance is not null then 'DTR_' || case when distance <= 1000 then 'short' when distance <= floor(contig_length * 0.1) then 'long' else 'outlier' end || side
+  when starts + ends = 1 then 'PAC' else 'Unknown_packaging' end as mechanism, distance::double as distance, case when dtr then 'DTR' when itr then 'ITR' end as duplication, start_centers, end_centers, total_peaks
+from sided join centers using (sample_name, contig_name)"""
 
 
 def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = reads(spark, d)
-    termini, reduced = S.read_termini(r), S.coverage_reduced(r)
+    termini, reduced = stored_termini(spark, d), stored(spark, d, "reduced-runs", lambda: S.coverage_reduced(r))
     return termini, reduced, P.terminus_candidates(termini, reduced, least=LEAST)
 
 
@@ -81,11 +123,32 @@ def poisson_test(spark: SparkSession, d: str) -> DataFrame:
     return longs(rounded(tested(spark, d).select(*P.SIDE, "center", "expected", "p_value", "significant"), "expected", "p_value"), "center")
 
 
+def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Areas with both tests and the median clip, and the terminal repeats. Clips of all mapped reads are used, as only those
+    lie on both sides; thresholds fit the thin derived reads."""
+    r = reads(spark, d)
+    termini, reduced, _ = candidates(spark, d)
+    terminal = G.terminal_repeats(derived(spark, d, "repeats"), rings(spark, d), 100, 87.0)
+    regions = P.repeat_regions(terminal)
+    every = r.withColumn("klass", F.when(F.col("klass") == "unmapped", "unmapped").otherwise("primary"))
+    clips = S.clip_events(every).withColumn("kind", F.when(F.col("side") == "left", "reads_starts").otherwise("reads_ends"))
+    sure = P.confirm_dtr_clips(clips.filter("len >= 2").select(*P.SIDE, "pos").distinct(), regions)
+    clips = clips.join(sure, [*P.SIDE, "pos"], "left_semi").drop("kind")
+    areas = P.area_clippings(tested(spark, d), clips, reduced, least=2, length=2)
+    return P.area_median_clip(P.clipping_test(areas, S.clipped_ratio(r)), termini), regions
+
+
+def area_tests(spark: SparkSession, d: str) -> DataFrame:
+    out = judged(spark, d)[0].select(*P.SIDE, "center", "clips", "clip_ok", F.col("median_clip").cast("double").alias("median_clip"))
+    return longs(out, "center", "clips")
+
+
 def packaging_mechanisms(spark: SparkSession, d: str) -> DataFrame:
-    """Mechanisms from the areas that pass, on contigs without terminal repeats."""
-    kept = tested(spark, d).filter("significant")
-    none = P.repeat_regions(derived(spark, d, "repeats").filter("false"))
-    return P.explicit_mechanisms(kept, P.classify_packaging(P.dedupe_dtr_areas(kept, none, gap=0))).withColumn("distance", F.col("distance").cast("double")).drop("duplication")
+    """Mechanisms from the areas that pass both tests, each place in a direct repeat once."""
+    areas, regions = judged(spark, d)
+    kept = areas.filter("significant and clip_ok")
+    unique = P.dedupe_dtr_areas(kept, regions, gap=20)
+    return P.explicit_mechanisms(kept, P.classify_packaging(unique)).withColumn("distance", F.col("distance").cast("double"))
 
 
-QUERIES |= {f.__name__: f for f in (terminus_candidates, peak_areas, poisson_test, packaging_mechanisms)}
+QUERIES |= {f.__name__: f for f in (terminus_candidates, peak_areas, poisson_test, area_tests, packaging_mechanisms)}

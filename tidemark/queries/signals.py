@@ -135,6 +135,11 @@ mmc as materialized (select sample_name, contig_name, pos, count(*)::bigint as n
   count(*) filter (base = 'G')::bigint as n_g, count(*) filter (base = 'T')::bigint as n_t from mm group by all)"""
 
 
+def stored_termini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean read ends by position, counted once in a session."""
+    return stored(spark, sf_dir, "read-termini", lambda: S.read_termini(reads(spark, sf_dir)))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
