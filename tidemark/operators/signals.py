@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
-from .kernels import sweep
+from .kernels import sweep, wrap_circular
 
 PAIR = ["sample_name", "contig_name"]
 
@@ -28,16 +28,31 @@ def mapped(reads: DataFrame, klass: str = "primary") -> DataFrame:
 
 def op_spans(reads: DataFrame, kind: str) -> DataFrame:
     """The reference spans of one kind of operation."""
+    reads = reads.filter(F.instr("cigar", kind) > 0)
     own = reads.withColumn("o", F.explode(F.filter("places", lambda o: o.op == kind)))
     return own.select(*PAIR, (F.col("o.ref_start") + 1).alias("start"), (F.col("o.ref_start") + F.col("o.len")).alias("end"))
 
 
-def depth(reads: DataFrame) -> DataFrame:
-    """Runs of the depth of these reads, without the bases they skip (N): sample_name, contig_name, start, end, value."""
-    spans = reads.select(*PAIR, "start", "end", F.lit(1).alias("w")).unionByName(op_spans(reads, "N").withColumn("w", F.lit(-1)))
+def depth(reads: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """Runs of the depth of these reads, without the bases they skip (N): sample_name, contig_name, start, end, value.
+
+    With contigs (contig_name, contig_length, circular), what runs past the end of a circular contig goes on from its first
+    base, as often as it takes, and linear ones are cut at their ends."""
+    skips = op_spans(reads, "N")
+    spans = reads.select(*PAIR, "start", "end", F.lit(1).alias("w")).unionByName(skips.withColumn("w", F.lit(-1)))
+    if contigs is not None:
+        spans = wrap_circular(spans.join(contigs.select("contig_name", "contig_length", "circular"), "contig_name"), weight="w")
     return sweep(spans, PAIR, {"value": F.col("w")})
 
 
+def on_circle(events: DataFrame, contigs: DataFrame, *columns: str) -> DataFrame:
+    """Events with their positions (from 1) brought back onto circular contigs; on linear ones, those past the end go."""
+    rows = events.join(contigs.select("contig_name", F.col("contig_length").alias("__n"), F.col("circular").alias("__c")), "contig_name")
+    for c in columns:
+        rows = rows.filter(F.col("__c") | F.col(c).between(0, F.col("__n"))).withColumn(c, F.when(F.col("__c"), F.pmod(F.col(c) - 1, F.col("__n")) + 1).otherwise(F.col(c)))
+    return rows.select(*events.columns)
+
+
 def signal(reads: DataFrame, name: str) -> DataFrame:
     """Runs of a depth signal by its name."""
     primary = mapped(reads)

@@ -42,6 +42,56 @@ def depth_runs(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "joined-depth-runs", lambda: K.rle(chunk_runs(spark, d), S.PAIR, "value").select(*S.PAIR, "start", "end", F.col("value").cast("long").alias("value")))
 
 
+CIRCLES = f"circles as (select contig_name, {HALF // 20}::bigint as n, substr(contig_name, 4)::int % 2 = 0 as circular from ({oracle('contigs')}))"
+
+
+def circles(spark: SparkSession, d: str) -> DataFrame:
+    """Contigs shorter than many reads, every other one circular."""
+    return derived(spark, d, "contigs").select("contig_name", F.lit(HALF // 20).cast("long").alias("contig_length"), (F.substring("contig_name", 4, 9).cast("int") % 2 == 0).alias("circular"))
+
+
+def near_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Primary reads moved onto these contigs, so that many run past the end, some by several laps."""
+    move = lambda c: F.pmod(c - 1, F.lit(HALF // 20)) + 1
+    r = S.mapped(reads(spark, d)).withColumn("back", F.col("start") - move(F.col("start")))
+    back = F.col("back")
+    ops = F.transform("places", lambda o: F.struct(o.op.alias("op"), o.len.alias("len"), (o.ref_start - back).cast("int").alias("ref_start"), o.query_start.alias("query_start"), o.mcol_start.alias("mcol_start")))
+    return r.withColumns({"places": ops, "end": F.col("end") - back, "start": F.col("start") - back}).drop("back")
+
+
+NEAR = f"""near as (select r.*, s - ((s - 1) % {HALF // 20} + 1) as back, n, circular from reads r join circles using (contig_name) where klass = 'primary' and e >= s)"""
+SQL["circular_depth"] = f"""with {PRELUDE}, {CIRCLES}, {NEAR},
+src as (select sample_name, contig_name, n, circular, s - back as s, e - back as e, 1 as w from near union all
+  select sample_name, contig_name, n, circular, o.ref_start + 1 - back, o.ref_start + o.len - back, -1 from near join ops o using (read_id) where o.op = 'N'),
+bases as (select sample_name, contig_name, n, circular, w, unnest(range(s, e + 1)) as p from src where s <= e),
+depth as (select sample_name, contig_name, case when circular then (p - 1) % n + 1 else p end as p, sum(w)::bigint as value from bases where circular or p <= n group by all having sum(w) <> 0),
+marked as (select *, p - row_number() over (partition by sample_name, contig_name, value order by p) as g from depth)
+select sample_name, contig_name, min(p)::bigint as "start", max(p)::bigint as "end", value from marked group by sample_name, contig_name, value, g"""
+
+
+def circular_depth(spark: SparkSession, d: str) -> DataFrame:
+    out = K.rle(S.depth(near_reads(spark, d), circles(spark, d)), S.PAIR, "value")
+    return out.select(*S.PAIR, *[F.col(c).cast("long").alias(c) for c in ("start", "end", "value")])
+
+
+SQL["circular_events"] = f"""with {PRELUDE}, {CIRCLES}, {NEAR},
+x as (select sample_name, contig_name, 'deletion' as kind, o.ref_start + 1 - back as pos, n, circular from near join ops o using (read_id) where o.op = 'D'
+  union all select sample_name, contig_name, 'insertion', o.ref_start - back, n, circular from near join ops o using (read_id) where o.op = 'I'
+  union all select sample_name, contig_name, 'clip', s - back, n, circular from near where kinds[1] in ('S', 'H'))
+select sample_name, contig_name, kind, (case when circular then (pos - 1) % n + 1 else pos end)::bigint as pos, count(*)::bigint as n from x where circular or pos between 0 and n group by all"""
+
+
+def circular_events(spark: SparkSession, d: str) -> DataFrame:
+    """Deletions, insertions and clips counted on the circle."""
+    r = near_reads(spark, d)
+    kinds = {"deletion": S.deletion_events(r), "insertion": S.insertion_events(r), "clip": S.clip_events(r).filter("side = 'left'")}
+    rows = None
+    for kind, events in kinds.items():
+        own = events.select(*S.PAIR, F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"))
+        rows = own if rows is None else rows.unionByName(own)
+    return S.on_circle(rows, circles(spark, d), "pos").groupBy(*S.PAIR, "kind", "pos").agg(F.count("*").alias("n"))
+
+
 SQL["normalize_circular"] = f"""with raw as materialized ({oracle('reads')}), c as (select contig_name from ({oracle('contigs')})), known as (select raw.*, a.contig_name is not null as k, b.contig_name is not null as m from raw left join c a using (contig_name) left join c b on b.contig_name = raw.mate_contig),
 moved as (select read_id, sample_name, contig_name, mate_contig, flag, tlen, k, case when k and pos >= {HALF} then pos - {HALF} else pos end as pos, case when m and flag & 8 = 0 and mate_pos >= {HALF} then mate_pos - {HALF} else mate_pos end as mate_pos from known)
 select read_id, sample_name, contig_name, pos::bigint as pos, mate_pos::bigint as mate_pos, (case when k and flag & 8 = 0 and contig_name = mate_contig then least(abs(pos - mate_pos), {HALF} - abs(pos - mate_pos)) * case when pos <= mate_pos then 1 else -1 end else tlen end)::bigint as tlen from moved"""
@@ -175,4 +225,4 @@ def mag_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "aligned_fraction", "coverage_mean", "coverage_trimmed", "coverage_cv", "coverage_roughness", digits=4)
 
 
-QUERIES |= {f.__name__: f for f in (normalize_circular, drop_ghosts, smooth_runs, adaptive_rle, stitch_mag, inspect_window, mag_burden, mag_rpkm_tpm, mag_coverage, visible_members, gene_map, check_feature)} | {"metrics_wide": metrics_wide_report}
+QUERIES |= {f.__name__: f for f in (circular_depth, circular_events, normalize_circular, drop_ghosts, smooth_runs, adaptive_rle, stitch_mag, inspect_window, mag_burden, mag_rpkm_tpm, mag_coverage, visible_members, gene_map, check_feature)} | {"metrics_wide": metrics_wide_report}
