@@ -537,6 +537,73 @@ def test_lm_score_brute_force(spark, docs, monkeypatch):
     assert sorted((str(r.doc_id), round(r.score, 5)) for r in got) == sorted(want)
 
 
+def test_pipeline_stages_brute_force(spark, docs, tmp_path):
+    """Each stage on rows with null and repeated ids, null and empty texts and repeated rows, against plain Python."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(21)
+    item = [f"q{i}" for i in range(30)]
+    lines = ["one line", "two lines", "three lines"]
+    texts = [(d, t) for d, t in docs] + ODD + [(None, " ".join(item)), (None, "clean and null"), (7, "again " + " ".join(item)), (300, "\n".join([*lines, "a"])), (301, "\n".join(["b", *lines])), (302, docs[0][1])]
+    texts += [(400 + i, edited(rng, docs[5][1].split() * 3, 1, f"n{i}x")) for i in range(4)] + [(500 + i, "$$$ ### " * 30 + text(rng, 3)) for i in range(60)]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in texts]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame(rows, kinds)
+    labels = [(d, 1) for d, _ in docs] + [(500 + i, 0) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda k, df: sorted((tuple(r) for r in p.STAGES[k][1](spark, df, str(tmp_path)).collect()), key=str)
+
+    model = quality.fit(table, spark.createDataFrame(labels, "doc_id long, quality int"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2)
+    x = quality.features([(r[1] or "").encode() for r in rows], *map(quality._compressor, (model.good, model.bad, None)))[:, model.columns]
+    z = (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights[1:]) + model.weights[0]
+    assert run(0, table) == sorted((r for r, v in zip(rows, z) if 1 / (1 + np.exp(-np.clip(v, -30, 30))) >= 0.7), key=str)
+
+    seen, want = set(), []
+    for d, t, *rest in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        parts, gone = [] if t is None else t.split("\n"), set()
+        for k in range(max(1, len(parts) - 2) if parts else 0):
+            w = tuple(v.strip(" ") for v in parts[k : k + 3])
+            if any(w):
+                gone.update(range(k, min(k + 3, len(parts))) if w in seen else ())
+                seen.add(w)
+        left = t if not gone else "\n".join(v for i, v in enumerate(parts) if i not in gone)
+        if not gone or left.strip(" "):
+            want.append((d, left, *rest[:2], rest[2] if not gone else len(left)))
+    assert run(1, table) == sorted(want, key=str)
+
+    def shingle(t):
+        w = [v for v in re.split(r"[ \t\n\x0b\f\r]+", (t or "").lower()) if v]
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else [])
+
+    left, kept = [(r, shingle(r[1])) for r in rows], []
+    while left:  # a class at a time
+        todo, own = [left.pop()], []
+        while todo:
+            r, s = todo.pop()
+            own.append(r)
+            near = [(q, u) for q, u in left if s == u or s and u and len(s & u) / len(s | u) >= 0.8]
+            left = [x for x in left if x not in near]
+            todo += near
+        kept.append(min((r for r in own if r[0] is not None), default=None, key=lambda r: r[0]))
+    got = run(2, table)
+    assert len(got) == len(kept) and {r[0] for r in got if r[0] is not None} == {r[0] for r in kept if r is not None}
+
+    code = {w: i for i, w in enumerate({w for r in rows for w in re.findall(r"[a-z0-9é]+", (r[1] or "").lower())} | set(item))}
+    numbers = lambda t: np.array([code[w] for w in re.findall(r"[a-z0-9é]+", (t or "").lower())], np.int64)
+    clean = [r for r in rows if decontam.align(numbers(" ".join(item)), numbers(r[1]))[0] < 30]
+    assert len(clean) == len(rows) - 2 and run(3, table) == sorted(((r[0], r[1], *r[2:]) for r in clean), key=str)
+
+    tok, pieces = plain(), []
+    for d, t, *_ in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        pieces += [(d, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((r[:5] for r in run(4, table)), key=str) == sorted(pieces, key=str)
+    for k in range(5):
+        assert run(k, table.limit(0)) == []
+
+
 def test_pipeline_keeps_clean_rows(spark):
     import corpus_pipeline as p
 
