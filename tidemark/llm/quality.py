@@ -105,21 +105,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1000
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other")
     ).filter("quality = other").select("doc_id", "quality", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"))
-    labelled = docs.select("doc_id", "text").join(usable, "doc_id")
-    found = {(r.quality, r.half): r.n for r in labelled.groupBy("quality", "half").agg(F.count("*").alias("n")).collect()}
+    found = {(r.quality, r.half): r.n for r in usable.groupBy("quality", "half").agg(F.count("*").alias("n")).collect()}
     totals = {q: sum(n for (k, _), n in found.items() if k == q) for q in {q for q, _ in found}}
     if len(totals) < 2:
         return Model(constant=0.0 if 0 in totals else 1.0)
 
-    def some(rows: DataFrame, q: int, half: int, n: int) -> DataFrame:
-        """About n rows of a class and half (of both halves, if there is none)."""
-        own = rows.filter((F.col("quality") == q) & (F.col("half") == half if (q, half) in found else F.lit(True)))
-        return hash_sample(own, F.col("doc_id"), n)
-
-    texts = {q: [t for _, t in sorted((r.doc_id, r.text) for r in some(labelled, q, 0, per_class).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())] for q in (0, 1)}
+    def some(half: int, n: int) -> DataFrame:
+        """doc_id, quality and text of about n rows of each class of a half (of both halves, if a class has none there)."""
+        own = [usable.filter((F.col("quality") == q) & (F.col("half") == half if (q, half) in found else F.lit(True))) for q in (0, 1)]
+        ids = hash_sample(own[0], F.col("doc_id"), n).unionByName(hash_sample(own[1], F.col("doc_id"), n)).drop("half")
+        return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # about 2 * n short rows, whatever the tables' size
+
+    texts: dict[int, list] = {0: [], 1: []}
+    for r in sorted(some(0, per_class).select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).collect()):
+        texts[r.quality].append(r.text)
+    if not texts[0] or not texts[1]:  # labels without documents
+        return Model(constant=float(bool(texts[1] or not texts[0])))
     good, bad = (_dictionary(_bytes(texts[q]), size) for q in (1, 0))
-    others = some(labelled, 1, 1, calibrate).unionByName(some(labelled, 0, 1, calibrate)).select("quality", "text")
-    rows = sorted((r.quality, list(r.x)) for r in others.mapInPandas(partial(_measure, good=good, bad=bad), "quality int, x array<double>").collect())
+    others = some(1, calibrate).select("quality", "text").mapInPandas(partial(_measure, good=good, bad=bad), "quality int, x array<double>")
+    rows = sorted((r.quality, list(r.x)) for r in others.collect())
+    if len({q for q, _ in rows}) < 2:  # nothing to calibrate on but the texts of the dictionaries
+        rows = [(q, v) for q in (0, 1) for v in features(_bytes(texts[q]), _compressor(good), _compressor(bad), _compressor(None)).tolist()]
     columns = list(range(9)) if placed else DIFFERENCE
     x, y = np.array([v for _, v in rows]).reshape(len(rows), 9)[:, columns], np.array([q for q, _ in rows], float)
     share = {q: totals[q] / sum(totals.values()) / max(1, (y == q).sum()) * len(y) for q in (0, 1)}
