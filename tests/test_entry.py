@@ -8,9 +8,7 @@ import pytest
 from tidemark import queries as engine
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["signal_primary_reads", "mean_mapq", "mismatches", "coverage_metrics", "gc_windows", "duplication_pct", "mag_offsets", "covering_cds", "nearest_gene", "filter_pairs", "histogram", "metric_matrix", "zoom_dense",
-         "sam_scan", "gff3_scan", "blast6_scan", "metadata_scan", "peak_areas", "packaging_mechanisms", "normalize_circular", "drop_ghosts", "stitch_mag", "inspect_window", "mag_burden", "gene_map", "check_feature",
-         "all_samples", "mag_dots", "summary_report", "slice_with_anchors", "bars_filter", "cds_parents", "add_metadata"]
+NAMES = sorted(engine.oracle_sql())
 
 
 def rows(frame):
@@ -37,3 +35,4 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(engine.queries()) - set(engine.oracle_sql()) == {"smooth_runs", "adaptive_rle"}  # tested against a plain walk
