@@ -199,13 +199,23 @@ def gene_names(cds: DataFrame, prefix: str = "tm") -> DataFrame:
     return cds.withColumn("gene", F.concat_ws("_", "contig_name", F.lit(prefix), k.cast("string")))
 
 
-def enrich_annotations(annotations: DataFrame, rows: DataFrame, match_by: list[str], values: list[str], policy: str = "first") -> DataFrame:
-    """annotations with values from rows that agree on match_by. Of several: "first" keeps the smallest, "multiple" joins them
-    by ^ in order. A ^ inside a value becomes _, blanks count as missing."""
+def enrich_annotations(annotations: DataFrame, rows: DataFrame, match_by: list[str], values: list[str], policy: str = "first", prefix: str = "") -> DataFrame:
+    """annotations with values from rows that agree on match_by, as columns named prefix + value. Of several values: "first" and
+    "force" keep the smallest, "multiple" joins them by ^ in order. Where annotations have the column, "force" replaces what
+    they have by what rows have, "multiple" puts it in front, and "first" keeps it. A ^ inside a value becomes _, blanks count
+    as missing."""
     clean = lambda c: F.nullif(F.trim(F.replace(F.col(c).cast("string"), F.lit("^"), F.lit("_"))), F.lit(""))
-    each = {"first": lambda c: F.min(clean(c)), "multiple": lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(clean(c))), "^"), F.lit(""))}[policy]
-    table = rows.groupBy(*match_by).agg(*[each(c).alias(c) for c in values])
-    return annotations.join(table, match_by, "left")
+    least = lambda c: F.min(clean(c))
+    each = {"first": least, "force": least, "multiple": lambda c: F.nullif(F.array_join(F.array_sort(F.collect_set(clean(c))), "^"), F.lit(""))}[policy]
+    table = rows.groupBy(*match_by).agg(*[each(c).alias(f"__{c}") for c in values])
+    out = annotations.join(table, match_by, "left")
+    for c in values:
+        new, name = F.col(f"__{c}"), prefix + c
+        if name in annotations.columns:
+            old = F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
+            new = {"first": F.coalesce(old, new), "force": F.coalesce(new, old), "multiple": F.nullif(F.concat_ws("^", old, new), F.lit(""))}[policy]
+        out = out.withColumn(name, new)
+    return out.drop(*[f"__{c}" for c in values])
 
 
 def cds_annotations(cds: DataFrame, qualifiers: DataFrame, keys: list[str]) -> DataFrame:

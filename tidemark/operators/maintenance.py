@@ -18,6 +18,11 @@ def add_metadata(table: DataFrame, rows: DataFrame, key: str, force: bool = Fals
     return table.drop(*clash).join(own, key, "left"), own.join(table, key, "left_anti").select(key)
 
 
+def list_metadata(table: DataFrame, built_in: list[str]) -> list[str]:
+    """The columns that users added; from the schema, without a scan."""
+    return [c for c in table.columns if c not in built_in]
+
+
 def drop_metadata(table: DataFrame, column: str, built_in: list[str]) -> DataFrame:
     if column in built_in or column not in table.columns:
         raise ValueError(f"{column} is built in or unknown")
@@ -67,6 +72,11 @@ def drop_unused(variables: DataFrame, values: DataFrame) -> DataFrame:
     return variables.join(values, "variable", "left_semi")
 
 
+def drop_empty(tables: dict[str, DataFrame], metrics: list[str]) -> dict[str, DataFrame]:
+    """All tables but those of metrics that have no row."""
+    return {n: df for n, df in tables.items() if n not in metrics or not df.isEmpty()}
+
+
 def mag_burden(counts: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
     """By bin and sample: counts of its contigs per 100,000 bases of the whole bin."""
     size = members.groupBy("mag_name").agg(F.sum("contig_length").alias("size"))

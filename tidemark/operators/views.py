@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rule_color
@@ -63,9 +63,14 @@ def pivoted(qualifiers: DataFrame) -> DataFrame:
     return joined.groupBy("annotation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("qualifiers"))
 
 
-def gene_map(annotations: DataFrame, qualifiers: DataFrame, start: int, end: int, rules: list[dict]) -> DataFrame:
-    """Annotations that overlap a window with their qualifiers and the colour of the first rule that fits."""
+def gene_map(annotations: DataFrame, qualifiers: DataFrame, start: int, end: int, rules: list[dict], types: list[str] | None = None, main_only: bool = False) -> DataFrame:
+    """Annotations that overlap a window with their qualifiers and the colour of the first rule that fits; of some types, or main
+    isoforms only, if asked."""
     own = annotations.filter((F.col("end") >= start) & (F.col("start") <= end))
+    if types is not None:
+        own = own.filter(F.col("type").isin(types))
+    if main_only:
+        own = own.filter("main_isoform")
     rows = own.join(pivoted(qualifiers.join(own.select("annotation_id"), "annotation_id", "left_semi")), "annotation_id", "left")
     return rows.withColumn("color", rule_color(F.col("qualifiers"), rules))
 
@@ -75,10 +80,15 @@ def translations(cds: DataFrame, proteins: DataFrame, start: int, end: int) -> D
     return cds.filter((F.col("end") >= start) & (F.col("start") <= end)).join(proteins, "annotation_id")
 
 
-def mag_dots(annotations: DataFrame, qualifiers: DataFrame, members: DataFrame, rules: list[dict]) -> DataFrame:
-    """Midpoints, in the bin, of annotations that a rule fits, with its colour; the first rule wins."""
+def mag_dots(annotations: DataFrame, qualifiers: DataFrame, members: DataFrame, rules: list[dict], most: int | None = None) -> DataFrame:
+    """Midpoints, in the bin, of annotations that a rule fits, with its colour; the first rule wins. most: only so many of each
+    bin, in order of place and id."""
     rows = annotations.join(pivoted(qualifiers), "annotation_id").withColumn("color", rule_color(F.col("qualifiers"), rules)).filter("color is not null")
-    return to_mag_coords(rows.withColumn("mid", F.floor((F.col("start") + F.col("end")) / 2)), members, "mid").select("mag_name", "annotation_id", "mid", "color")
+    dots = to_mag_coords(rows.withColumn("mid", F.floor((F.col("start") + F.col("end")) / 2)), members, "mid").select("mag_name", "annotation_id", "mid", "color")
+    if most is None:
+        return dots
+    order = Window.partitionBy("mag_name").orderBy("mid", "annotation_id")
+    return dots.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= most).drop("__k")
 
 
 def summary_report(contigs: DataFrame, metrics: dict[str, DataFrame], members: DataFrame, contig: str) -> dict[str, DataFrame]:

@@ -12,7 +12,8 @@ from ..operators import genome as G
 from ..operators import metrics as M
 from ..operators import query as V
 from ..operators import selection as L
-from .dataset import BINS, bins, mag_coverage
+from ..operators import views as W
+from .dataset import BINS, RULES, bins, mag_coverage
 from .dataset import SQL as DATASET_SQL
 from .genome import base, metric, rounded, t
 from .signals import ALL_CLIPS, COVERAGE, DEPTH, PAIR, PRELUDE, SIDE, SIDE_COLUMNS, coverage, depth_runs, reads, side_misassembly, topology, topology_sql
@@ -239,7 +240,44 @@ def explicit_topology(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.explicit_topology(topology(spark, d, True, 100), coverage(spark, d), _samples(spark, d)), "normalized_circularising_inserts", digits=4)
 
 
+# --- annotations -----------------------------------------------------------------------------------------------------------
+
+SQL["enrich_force"] = f"""with {base('annotations')}, v as (select concat('loc', c_custkey::varchar) as locus_tag, case when c_custkey % 3 = 0 then '  ' when c_custkey % 3 = 1 then 'a^' || c_mktsegment else c_mktsegment end as product from customer),
+w as (select locus_tag, min(replace(trim(product), '^', '_')) as product from v where trim(product) <> '' group by all)
+select annotation_id, coalesce(w.product, annotations.product) as product from annotations left join w using (locus_tag)"""
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    name = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit("a^"), "c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    return t(spark, d, "customer").select(F.concat(F.lit("loc"), F.col("c_custkey").cast("string")).alias("locus_tag"), name.alias("product"))
+
+
+def enrich_force(spark: SparkSession, d: str) -> DataFrame:
+    return G.enrich_annotations(derived(spark, d, "annotations"), _segments(spark, d), ["locus_tag"], ["product"], "force").select("annotation_id", "product")
+
+
+SQL["enrich_multiple"] = f"""with {base('annotations')}, v as (select concat('loc', (c_custkey % 50)::varchar) as locus_tag, c_mktsegment as segment from customer),
+w as (select locus_tag, string_agg(distinct segment, '^' order by segment) as segment from v group by all)
+select annotation_id, segment as x_segment from annotations left join w using (locus_tag)"""
+
+
+def enrich_multiple(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "customer").select(F.concat(F.lit("loc"), (F.col("c_custkey") % 50).cast("string")).alias("locus_tag"), F.col("c_mktsegment").alias("segment"))
+    return G.enrich_annotations(derived(spark, d, "annotations"), rows, ["locus_tag"], ["segment"], "multiple", "x_").select("annotation_id", "x_segment")
+
+
+SQL["gene_map_main"] = f"""with {base('annotations')},
+m as (select *, locus_tag is null or row_number() over (partition by contig_name, type, locus_tag order by "start", annotation_id) = 1 as main_isoform from annotations)
+select annotation_id, contig_name, type from m where main_isoform and type in ('CDS', 'tRNA') and "end" >= 300 and "start" <= 700"""
+
+
+def gene_map_main(spark: SparkSession, d: str) -> DataFrame:
+    notes = G.main_isoform(derived(spark, d, "annotations")).drop("product")
+    return W.gene_map(notes, derived(spark, d, "qualifiers"), 300, 700, RULES, ["CDS", "tRNA"], True).select("annotation_id", "contig_name", "type")
+
+
 QUERIES |= {f.__name__: f for f in (
-    resolve_contigs, present_mags, filter_families, filter_without_coverage, filter_counts_by_bin, mag_region, order_members, mag_hit_features,
+    enrich_force, enrich_multiple, gene_map_main, resolve_contigs, present_mags, filter_families, filter_without_coverage, filter_counts_by_bin, mag_region, order_members, mag_hit_features,
     sort_alignments, normalize_segments, remove_feature, explicit_side, explicit_topology,
 )}

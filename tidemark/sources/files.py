@@ -179,7 +179,9 @@ def write_dataset(tables: dict[str, DataFrame], path: str) -> None:
     """All tables under one folder; those by sample get a partition each, and a sample written again replaces only its own."""
     for name, df in tables.items():
         if "sample_name" in df.columns:
-            df.repartition("sample_name", F.floor(F.rand(7) * 8)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_name").parquet(f"{path}/{name}")
+            # dealt by what a row holds, so that a task run again deals its rows as before
+            whole = [f.name for f in df.schema if "map" not in f.dataType.simpleString()]
+            df.repartition("sample_name", F.pmod(F.xxhash64(*whole), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_name").parquet(f"{path}/{name}")
         else:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
