@@ -68,3 +68,16 @@ def test_selection(spark):
     assert L.remove_feature(table, "mine", ["primary_reads"])["runs"].count() == 0
     ordered = L.sort_alignments(spark.createDataFrame([(3, "b", 1), (1, "a", 5), (2, "a", 4), (4, None, None)], "read_id int, contig_name string, pos int"))
     assert [r.read_id for r in ordered.collect()] == [2, 1, 3, 4]
+
+
+def test_nearest_gene_and_union_over_chunk_borders(spark):
+    rng = np.random.default_rng(5)
+    genes = [("c%d" % (i % 2), int(s), int(s + rng.integers(0, 40))) for i, s in enumerate(rng.integers(1, 900, 25))]
+    points = [(i, "c%d" % (i % 3), int(p)) for i, p in enumerate(rng.integers(1, 1200, 200))]
+    g, p = spark.createDataFrame(genes, "contig_name string, start long, end long"), spark.createDataFrame(points, "point_id long, contig_name string, pos long")
+    want = {i: min(max(s - x, x - e, 0) for k, s, e in genes if k == c) for i, c, x in points if c != "c2"}
+    assert {r.point_id: r.distance for r in G.nearest_distance(p, g, chunk=32).collect()} == want
+    covered = {(k, x) for k, s, e in genes for x in range(s, e + 1)}
+    union = K.interval_union(g, ["contig_name"]).collect()
+    assert {(r.contig_name, x) for r in union for x in range(r.start, r.end + 1)} == covered
+    assert all((r.contig_name, r.start - 1) not in covered and (r.contig_name, r.end + 1) not in covered for r in union)

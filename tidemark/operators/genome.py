@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from .kernels import best_over, interval_union, overlap_join, sweep
+from .kernels import CHUNK, best_over, interval_union, overlap_join, sweep
 
 
 def windows(sequences: DataFrame, size: int) -> DataFrame:
@@ -151,16 +151,22 @@ def covering_latest(points: DataFrame, intervals: DataFrame, keys: list[str]) ->
     return points.join(best, [*keys, "pos"]).select("point_id", F.col("best.id").alias("id"))
 
 
-def nearest_distance(points: DataFrame, genes: DataFrame) -> DataFrame:
-    """point_id and the distance to the closest gene of its contig; 0 inside one. Points and genes are swept in one order:
-    the furthest end of the genes that start before a point, and the first start after it, decide."""
-    marks = points.select("contig_name", "pos", "point_id", F.lit(None).cast("long").alias("gene_end")).unionByName(
+def nearest_distance(points: DataFrame, genes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """point_id and the distance to the closest gene of its contig; 0 inside one. The furthest end of the genes that start
+    before a point, and the first start after it, decide. Both are found inside chunks; what lies before and after a chunk
+    comes from a table that has a row for each chunk."""
+    marks = points.select("contig_name", F.col("pos").cast("long").alias("pos"), "point_id", F.lit(None).cast("long").alias("gene_end")).unionByName(
         genes.select("contig_name", F.col("start").cast("long").alias("pos"), F.lit(None).cast("long").alias("point_id"), F.col("end").cast("long").alias("gene_end")))
-    by = Window.partitionBy("contig_name")
-    before = by.orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
-    after = by.orderBy("pos").rangeBetween(0, Window.unboundedFollowing)
-    rows = marks.withColumns({"e": F.max("gene_end").over(before), "s": F.min(F.when(F.col("gene_end").isNotNull(), F.col("pos"))).over(after)}).filter("point_id is not null")
-    rows = rows.filter("e is not null or s is not null")
+    marks = marks.withColumn("chunk", F.floor(F.col("pos") / chunk))
+    starts = F.when(F.col("gene_end").isNotNull(), F.col("pos"))
+    across = Window.partitionBy("contig_name").orderBy("chunk")
+    table = marks.groupBy("contig_name", "chunk").agg(F.max("gene_end").alias("e"), F.min(starts).alias("s")).select(
+        "contig_name", "chunk", F.max("e").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("e_before"), F.min("s").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("s_after"),
+    )
+    by = Window.partitionBy("contig_name", "chunk").orderBy("pos")
+    rows = marks.withColumns({"e": F.max("gene_end").over(by.rangeBetween(Window.unboundedPreceding, 0)), "s": F.min(starts).over(by.rangeBetween(0, Window.unboundedFollowing))})
+    rows = rows.filter("point_id is not null").join(table, ["contig_name", "chunk"])
+    rows = rows.withColumns({"e": F.greatest("e", "e_before"), "s": F.coalesce("s", "s_after")}).filter("e is not null or s is not null")
     return rows.select("point_id", F.when(F.col("e") >= F.col("pos"), 0).otherwise(F.least(F.col("pos") - F.col("e"), F.col("s") - F.col("pos"))).alias("distance"))
 
 

@@ -59,12 +59,9 @@ def rle(runs: DataFrame, keys: list[str], *values: str, chunk: int = CHUNK) -> D
 
 
 def interval_union(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals joined where they overlap or touch."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select(*keys, "start", "end").withColumn("new", F.coalesce(F.col("start") > reach + 1, F.lit(True)).cast("int"))
-    marked = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    """Intervals joined where they overlap or touch: the runs that anything covers."""
+    covered = sweep(intervals, keys, {"n": F.lit(1)}).withColumn("n", F.lit(True))
+    return rle(covered, keys, "n").drop("n")
 
 
 def islands(points: DataFrame, keys: list[str], pos: str, gap: int) -> DataFrame:

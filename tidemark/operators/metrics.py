@@ -65,14 +65,13 @@ def mag_coverage(runs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def roughness_sum(runs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Sum of squared differences of neighbouring bases: they are at run edges only."""
-    order = Window.partitionBy(*PAIR).orderBy("start")
-    rows = runs.join(contigs.select("contig_name", "contig_length"), "contig_name").withColumns({"before": F.lag("value").over(order), "before_end": F.lag("end").over(order), "after": F.lead("start").over(order)})
-    touching = F.col("before_end") + 1 == F.col("start")
-    square = lambda c: c * c
-    left = F.when(F.col("start") == 1, 0).when(F.coalesce(touching, F.lit(False)), square(F.col("value") - F.col("before"))).otherwise(square(F.col("value")))
-    right = F.when((F.col("end") >= F.col("contig_length")) | F.coalesce(F.col("after") == F.col("end") + 1, F.lit(False)), 0).otherwise(square(F.col("value")))
-    return rows.groupBy(*PAIR).agg(F.sum(left + right).alias("steps"))
+    """Sum of squared differences of neighbouring bases. They differ at run edges only: a run adds its value at its first base
+    and takes it off after its last one, and what is left at a base is its difference from the one before."""
+    edge = lambda pos, value: F.struct(pos.cast("long").alias("pos"), value.alias("d"))
+    edges = runs.select(*PAIR, F.explode(F.array(edge(F.col("start"), F.col("value")), edge(F.col("end") + 1, -F.col("value")))).alias("e"))
+    steps = edges.groupBy(*PAIR, "e.pos").agg(F.sum("e.d").alias("d")).join(contigs.select("contig_name", "contig_length"), "contig_name")
+    inside = F.col("pos").between(2, F.col("contig_length"))
+    return steps.groupBy(*PAIR).agg(F.sum(F.when(inside, F.col("d") * F.col("d")).otherwise(0)).alias("steps"))
 
 
 def present_pairs(coverage: DataFrame, aligned: float = 50.0, depth: float = 0.0) -> DataFrame:
