@@ -53,7 +53,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return staged(df.select(F.monotonically_increasing_id().alias(ROW), F.struct("*").alias("doc")), name)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4000, size: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes, as some rows hold very long texts. Spark reads
     both settings when a plan runs, so the session keeps them; lower bounds of the caller stay, and sizes given with a unit."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
