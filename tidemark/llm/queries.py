@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm, html_extract, line_dedup, ngram_join, packing, quality, token_io, topk, url_filter
+from . import alignment, decontam, divergence, hmm, html_extract, line_dedup, ngram_join, packing, prefix_counts, quality, token_io, topk, url_filter
 from .common import crc32_mod
 
 
@@ -56,10 +56,23 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 10) == 0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), digest=True)[0].withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = prefix_counts.prefix_table(_table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_url_filter, op2_html_extract, op3_token_ids, op4_topk, op5_ngram_join, op6_packing, op7_line_dedup, op8_quality,
-        op9_decontamination, op10_lm_score,
+        op9_decontamination, op10_lm_score, op11_alignment, op12_token_counts, op13_divergence,
     )}
 
 
@@ -145,5 +158,31 @@ from l left join per on per.doc_id = l.doc_id
 """
 
 
+OP13_SQL = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as materialized (select id, lang, source, term, count(*) as c from (select id, lang, source, unnest(w) as term from d) group by all),
+kept as materialized (select lang, term, sum(c) as n from t group by lang, term having count(distinct id) >= 10),
+langs as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+groups as (select distinct lang, source from d),
+c as materialized (select lang, source, term, sum(c) as c from t semi join kept using (lang, term) group by lang, source, term),
+totals as (select lang, source, sum(c) as total from c group by lang, source),
+dense as materialized (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c,
+    (1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (coalesce(o.total, 0) + 2 * l.v))::bigint as p,
+    (1 + (1000000000::hugeint * (k.n + 2)) // (l.total + 2 * l.v))::bigint as q
+  from groups g join kept k on k.lang = g.lang join langs l on l.lang = g.lang
+    left join totals o on o.lang = g.lang and o.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+gaps as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(g.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join gaps g on g.lang = a.lang and g.source = a.source and g.item = b.source
+  union all select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from dense where c > 0 and p > q),
+ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from found)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op4_topk": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_url_filter": _op1_sql(), "op4_topk": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_line_dedup": OP7_SQL, "op13_divergence": OP13_SQL}

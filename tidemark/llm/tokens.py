@@ -18,6 +18,13 @@ ODD_SPACE = "[ \\n][ \\n]|[ \\n]\\z|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -  
 TOGETHER = 5000
 
 
+def letters() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible, the others from 256 up."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Encoder:
     """The ids of whole texts, many at a time.
 
