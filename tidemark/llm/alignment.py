@@ -248,8 +248,10 @@ def merged(runs: list[bytes], width: int = 3) -> Iterator[tuple[np.ndarray, ...]
                 n = int(np.searchsorted(o[0], bound, side="right"))
                 parts.append([c[:n] for c in o])
                 opened[i] = [c[n:] for c in o]
+        used = []
         while heap and heap[0][0] == bound:
-            _, i = heapq.heappop(heap)
+            used.append(heapq.heappop(heap)[1])
+        for i in used:  # a pair can go on in the next block, which is not read yet
             opened[i] = next(streams[i], None)
             if opened[i] is not None:
                 heapq.heappush(heap, (int(opened[i][0][-1]), i))
