@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches
 
 # Element names and the words in class, id and role that mark what isn't the article.
-RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|math|canvas|audio|video|title"
+RAW = frozenset("script style noscript template textarea select svg iframe object math canvas audio video title".split())
+#: Of these, those that run to the page's end where nothing closes them, as their content is no markup, and those that can close
+#: themselves. A tag of another that nothing closes is passed over, and what follows it stays.
+NO_MARKUP, FOREIGN = frozenset("script style textarea title iframe noscript".split()), frozenset("svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body main article section div p pre blockquote h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -45,11 +48,12 @@ LISTS = frozenset("ul ol dl table div section".split())
 SHARES = (1.0, 0.5, *(1.0 / (3 * level) for level in range(2, 12)))
 
 PART = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.I | re.S,
 )
+CLOSED = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|</{tag}\Z", re.I) for tag in RAW}
 MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
@@ -85,6 +89,7 @@ def extract_text(page: str | None) -> str:
     blocks: list[tuple[int, str]] = []
     buffer: list[str] = []
     at, dropped, linked = 0, 0, 0  # dropped: depth in the stack from which all is dropped
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -127,12 +132,22 @@ def extract_text(page: str | None) -> str:
             if open_tags.get("a"):
                 linked += len(text)
 
-    for m in PART.finditer(page):
+    while m := PART.search(page, at):
         text_to(m.start())
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
+        if tag in RAW and not (m["end"] or m["end2"]):
+            if tag in FOREIGN and (m["attrs"] or m["attrs2"] or "").endswith("/"):
+                continue
+            closed = None if tag in unclosed else CLOSED[tag].search(page, at)
+            if closed:
+                at = closed.end()
+            else:
+                unclosed.add(tag)
+                at = len(page) if tag in NO_MARKUP else at
+            continue
         if m["end"] or m["end2"]:
             if tag in BLOCK:
                 flush()
