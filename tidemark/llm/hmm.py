@@ -11,7 +11,8 @@ Training is Baum-Welch: each task runs forward and backward over its texts and s
 the sums are added over partitions by class, and only that table (states x classes, of fixed size) reaches the driver,
 which forms the next model. The first updates take growing shares of the training texts (a hash deals them: 1/32 up to
 1/2), so that the states settle early. All later ones take every training text, until an update adds less than `tol`
-(base e, a token) to the likelihood, or `full_steps` are done; Model.history has the likelihood before each.
+(base e, a token) to the likelihood; Model.history has the likelihood before each. A very long text is cut into blocks,
+whose steps are taken side by side between rows and columns from products of their step matrices: exact, with bounded memory.
 
 Word counts cover all training texts. The `hot` most frequent words of at most 64 bytes (a list of fixed size) are counted
 where the text is read; the others leave it as a row for each text and different word, which meet their counts by a
@@ -27,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, partial
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -132,31 +134,72 @@ def _code(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.Rec
 
 
 def _batches(frames: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Row numbers and sequences of about `most` tokens together, longest first: the steps of a batch are as many as its
-    longest text has tokens, so large batches share them among many texts. One longer text is a batch of its own."""
+    """Row numbers and sequences of about `most` tokens together: large batches share their steps among many texts."""
     rows: list = []
     arrays: list[np.ndarray] = []
     size = 0
-
-    def ordered():
-        order = sorted(range(len(arrays)), key=lambda i: -len(arrays[i]))
-        return [rows[i] for i in order], [arrays[i] for i in order]
-
     for pdf in frames:
         for row, classes in zip(pdf[ROW], pdf["classes"]):
             rows.append(row)
             arrays.append(np.asarray(classes, np.int64))
             size += len(arrays[-1])
             if size >= most:
-                yield ordered()
+                yield rows, arrays
                 rows, arrays, size = [], [], 0
     if rows:
-        yield ordered()
+        yield rows, arrays
+
+
+#: Sequences longer than LONG are cut into blocks of CUT, whose steps are taken side by side.
+LONG, CUT = 32_768, 2048
+
+
+def _cut(model: Model, a: np.ndarray) -> list[tuple]:
+    """A long sequence as blocks: their classes, the scaled forward row before each (none before the first), and the backward
+    column after each. The product of the scaled step matrices of a block is found for all blocks at once; two walks over these
+    products give rows and columns, so that the blocks' own recursions are those of the whole sequence."""
+    n, states = -(-len(a) // CUT), len(model.start)
+    last = len(a) - (n - 1) * CUT
+    product = np.repeat(np.eye(states)[None], n, 0)
+    for t in range(CUT):
+        live = n if t < last else n - 1
+        at = model.emit[a[t::CUT][:live]]
+        moved = product[:live] @ model.move
+        if t == 0:
+            moved[0] = np.eye(states)  # the first block starts without a move
+        moved *= at[:, None, :]
+        product[:live] = moved / moved.sum((1, 2), keepdims=True)
+    rows, columns = [model.start], [np.ones(states)]
+    for m in product:
+        row = rows[-1] @ m
+        rows.append(row / row.sum())
+    for m in product[:0:-1]:
+        column = m @ columns[-1]
+        columns.append(column / column.max())
+    columns.reverse()
+    return [(a[k * CUT : (k + 1) * CUT], None if k == 0 else rows[k], columns[k] / (rows[k + 1] @ columns[k]) if k < n - 1 else None) for k in range(n)]
+
+
+def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None, most: int = 1_000_000) -> np.ndarray:
+    """The log (base e) of each sequence's probability, by the scaled forward recursion. With counts (start, move, emit), the
+    expected counts are added there. Memory is that of the steps of about `most` tokens, however long a sequence is."""
+    total = np.zeros(len(arrays))
+    parts = [(r, *part) for r, a in enumerate(arrays) for part in (_cut(model, a) if len(a) > LONG else [(a, None, None)])]
+    parts.sort(key=lambda p: -len(p[1]))
+    ends, size = [], 0
+    for i, p in enumerate(parts):
+        size += len(p[1])
+        if size >= most or i == len(parts) - 1:
+            ends.append(i + 1)
+            size = 0
+    for s, e in zip([0, *ends], ends):
+        np.add.at(total, [p[0] for p in parts[s:e]], _steps(model, parts[s:e], counts))
+    return total
 
 
-def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None) -> np.ndarray:
-    """The log (base e) of each sequence's probability, by the scaled forward recursion; longest sequence first. With
-    counts (start, move, emit), the expected counts are added there."""
+def _steps(model: Model, parts: list[tuple], counts: tuple | None) -> np.ndarray:
+    """The recursions over sequences and blocks of sequences, longest first, all side by side."""
+    arrays = [p[1] for p in parts]
     n, states = len(arrays), len(model.start)
     sizes = np.array([len(a) for a in arrays])
     steps = int(sizes[0])
@@ -167,10 +210,13 @@ def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None)
         flat[firsts[: len(a)] + r] = a
     emit = model.emit[flat]
     alpha, norm = (np.empty_like(emit) if counts is not None else None), np.empty(firsts[-1])
+    inner = np.array([p[2] is not None for p in parts])  # blocks that go on from another
+    before = np.array([model.start if p[2] is None else p[2] for p in parts])
+    first = np.where(inner[:, None], before @ model.move, before)
     total, row = np.zeros(n), None
     for t in range(steps):
         lo, hi = firsts[t], firsts[t + 1]
-        row = (model.start if t == 0 else row[: hi - lo] @ model.move) * emit[lo:hi]
+        row = (first if t == 0 else row[: hi - lo] @ model.move) * emit[lo:hi]
         c = row.sum(1)
         row = row / c[:, None]
         norm[lo:hi] = c
@@ -182,17 +228,21 @@ def forward(model: Model, arrays: list[np.ndarray], counts: tuple | None = None)
     if counts is None:
         return total
     start, move, emitted = counts
-    beta = np.ones((live[-1], states))  # alpha becomes alpha * beta on the way back
+    after = np.array([np.ones(states) if p[3] is None else p[3] for p in parts])
+    beta = after[: live[-1]]  # alpha becomes alpha * beta on the way back
+    alpha[firsts[steps - 1] :] *= beta
     moved = np.zeros((states, states))
     for t in range(steps - 2, -1, -1):
         lo, mid, hi = firsts[t], firsts[t + 1], firsts[t + 2]
         ahead = emit[mid:hi] * beta / norm[mid:hi, None]
         moved += alpha[lo : lo + hi - mid].T @ ahead
-        beta = np.ones((mid - lo, states))
+        beta = after[: mid - lo].copy()
         beta[: hi - mid] = ahead @ model.move.T
-        alpha[lo : lo + hi - mid] *= beta[: hi - mid]
+        alpha[lo:mid] *= beta
+    if inner.any():  # the moves into blocks
+        moved += before[inner].T @ (emit[: live[0]] * beta / norm[: live[0], None])[inner]
     move += moved * model.move
-    start += alpha[: live[0]].sum(0)
+    start += alpha[: live[0]][~inner].sum(0)
     for k in range(states):
         emitted[:, k] += np.bincount(flat, alpha[:, k], len(emitted))
     return total
@@ -211,9 +261,9 @@ def _expect(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFra
     yield pd.DataFrame({"class": ids} | {f"s{k}": values[:, k] for k in range(states)})
 
 
-def _updated(sums: DataFrame, states: int, prior: np.ndarray, weight: float) -> tuple[Model, float]:
+def _updated(sums: DataFrame, states: int, prior: np.ndarray, weight: float) -> tuple[Model, float, float]:
     """The next model from the summed counts, pulled towards the training texts' class frequencies where counts are few, and
-    the log likelihood of a token under the model before."""
+    the log likelihood of a token under the model before, and the tokens."""
     start, move, emit = np.full(states, 0.1), np.full((states, states), 0.1), weight * np.repeat(prior[:, None], states, 1)
     log, tokens = 0.0, 0.0
     for r in sums.collect():  # at most classes + states + 3 rows
@@ -226,11 +276,12 @@ def _updated(sums: DataFrame, states: int, prior: np.ndarray, weight: float) ->
             log += r[1]
         else:
             move[-2 - r[0]] += r[1:]
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), log / max(1.0, tokens)
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), log / max(1.0, tokens), tokens
 
 
-def train(rows: DataFrame, prior: np.ndarray, states: int, full_steps: int, tol: float = 1e-3, seed: int = 7, weight: float = 20.0) -> Model:
-    """rows: __row, share, classes. Baum-Welch over shares of the rows, then over all until the likelihood settles."""
+def train(rows: DataFrame, prior: np.ndarray, states: int, tol: float = 1e-3, seed: int = 7, weight: float = 20.0) -> Model:
+    """rows: __row, share, classes. Baum-Welch over shares of the rows, then over all until an update adds less than tol to the
+    log likelihood of a token. It is below 0 and each update but the last adds tol, which bounds their number."""
     rng = np.random.default_rng(seed)
     emit = prior[:, None] * np.exp(rng.normal(0, 1.0, (len(prior), states)))
     model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)), emit / emit.sum(0))
@@ -238,16 +289,19 @@ def train(rows: DataFrame, prior: np.ndarray, states: int, full_steps: int, tol:
     model.move /= model.move.sum(1, keepdims=True)
     schema = "class int, " + ", ".join(f"s{k} double" for k in range(states))
     tasks, history = rows.rdd.getNumPartitions(), []
-    for share in (*STEPS, *[None] * full_steps):
+    for share in chain(STEPS, repeat(None)):
         part = rows.select(ROW, "classes")
         if share is not None:  # as much for each task as in a full step
             part = rows.filter(F.col("share") == share).select(ROW, "classes").coalesce(max(1, tasks * SHARES[share] // sum(SHARES)))
         sums = part.mapInPandas(partial(_expect, model=model), schema).groupBy("class").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
-        model, log = _updated(sums, states, prior, weight)
+        new, log, tokens = _updated(sums, states, prior, weight)
+        model = new if tokens else model  # a share without texts says nothing
         if share is None:
             history.append(log)
             if len(history) > 1 and history[-1] - history[-2] < tol:
                 break
+            if len(history) > 2 - history[0] / tol:
+                raise RuntimeError("the likelihood rises past its bound")
     model.history = history
     return model
 
@@ -264,7 +318,7 @@ def _share(key: Column) -> Column:
     return share
 
 
-def score(docs: DataFrame, held_out: Column, states: int = 8, own: int = 12_000, endings: int = 4096, hot: int = 50_000, full_steps: int = 4) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, states: int = 8, own: int = 12_000, endings: int = 4096, hot: int = 50_000, tol: float = 1e-3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; the log10 of its probability by
     word frequencies and by the model. Training takes the rows that aren't held out."""
     spark = docs.sparkSession
@@ -294,7 +348,7 @@ def score(docs: DataFrame, held_out: Column, states: int = 8, own: int = 12_000,
     path = new_path(spark, "classes")
     rows.mapInArrow(partial(_code, voc=voc), CODED).write.option("compression", "zstd").partitionBy("share").parquet(path)
     coded = spark.read.schema(CODED).parquet(path)
-    model = train(coded.filter("not held_out"), mass / mass.sum(), states, full_steps)
+    model = train(coded.filter("not held_out"), mass / mass.sum(), states, tol)
     paths = coded.select(ROW, "classes").mapInPandas(partial(_likelihood, model=model), f"{ROW} long, path double")
 
     within = F.broadcast(spark.createDataFrame([(k, float(m)) for k, m in enumerate(rest_mass)], "class int, mass double"))
