@@ -4,7 +4,7 @@ A sequence has three capacities: tokens, documents and attention cost (the sum o
 falling length into the open sequence that fits under every capacity and scores best: by the weighted dot product of the
 piece with what the sequence has left ("dot"), or by the smallest weighted norm of what would be left ("norm").
 
-Tokenized pieces (numbers only) are dealt by a hash of doc_id into shards of about `per_shard` pieces, which are packed
+Tokenized pieces (numbers only) are dealt by a hash of a row number written with them into shards of about `per_shard` pieces, which are packed
 side by side; each shard can leave a few sequences that aren't full, well under 1 % of its own. Memory is that of a shard's
 numbers. Deals and ties are by value, so a recomputed task gives the same result.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import ROW, bounded_batches, staged
 from .tokens import encoder, vocabulary
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -107,12 +107,13 @@ def pack(pieces: DataFrame, tokens: int = 1024, documents: int = 1024, attention
          weights: tuple[float, float, float] = (1.0, 0.01, 0.01), score: str = "norm", per_shard: int = 4000) -> DataFrame:
     """pieces with sequence_id and offset. A piece longer than `tokens` is an error; attention defaults to tokens squared,
     which never binds by itself, and documents to one for each token."""
-    pieces = staged(pieces, "pieces")
+    pieces = staged(pieces.withColumn(ROW, F.monotonically_increasing_id()), "pieces")
     n = pieces.count()
     shards = max(1, -(-n // per_shard))
     if n and pieces.agg(F.max("length")).first()[0] > tokens:
         raise ValueError("a piece is longer than a sequence")
-    dealt = pieces.repartition(shards, F.xxhash64("doc_id", "piece"))
+    # by the number written with the row: many rows may have one id, or none
+    dealt = pieces.repartition(shards, F.xxhash64(ROW)).drop(ROW)
     capacity = (tokens, documents, attention or tokens * tokens)
     return dealt.mapInPandas(partial(_pack, capacity=capacity, weights=weights, score=score), f"{PIECES}, sequence_id long, offset long")
 

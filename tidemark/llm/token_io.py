@@ -1,13 +1,13 @@
 """Token-id files: each document compressed by itself with one shared zstandard dictionary.
 
-The dictionary is trained on the serialized id arrays of a bounded sample of documents (fit only; `sample` documents,
-picked by a hash of the id). Documents are range-partitioned and sorted by doc_id and written as blocks. A block is a
+The dictionary is trained on the serialized id arrays of a bounded sample of documents (fit only; about `sample` documents of
+at most 32 kB each, picked by a hash of text and id). Documents are range-partitioned and sorted by doc_id and written as blocks. A block is a
 self-contained image: a header with the dictionary's hash, an index (ids, token counts, offsets) and one zstandard frame
 for each document, so one short document is read without its neighbours. Spark's Parquet writer holds the images, which
 makes the output atomic and safe against lost executors; first_doc_id and last_doc_id let a reader skip files.
 
 Edge cases: a null or empty text is the end id alone; a null doc_id sorts first and comes back null; repeated rows are
-kept, in any order among themselves (their content decides, so `start` is the same in every run); other columns are ignored.
+kept, in the order of a hash of their texts (so `start` is the same in every run); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, new_path, bounded_batches
+from .common import ROW, bounded_batches, hash_sample, new_path
 from .tokens import encoder, vocabulary
 
 MAGIC = b"TDMKIDS1"
@@ -92,15 +92,16 @@ def _encoded(batch: pa.RecordBatch, vocab: str, end_id: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
-def train_dictionary(docs: DataFrame, vocab: str, end_id: int, sample: int = 1000, size: int = 1 << 16) -> bytes:
-    """A zstandard dictionary from the id arrays of about `sample` documents; empty where there is too little to train on."""
+def train_dictionary(docs: DataFrame, vocab: str, end_id: int, sample: int = 1000, size: int = 1 << 16, longest: int = 1 << 15) -> bytes:
+    """A zstandard dictionary from the id arrays of about `sample` documents of at most `longest` bytes, which bounds what
+    reaches the driver; empty where there is too little to train on."""
     import zstandard as zstd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"ids": pa.array([_serial(b, False) for b in _encoded(batch, vocab, end_id)], pa.binary())})
 
-    rows = hash_sample(docs.select("doc_id", "text"), F.col("doc_id"), sample).mapInArrow(run, "ids binary").collect()
+    rows = hash_sample(docs.select("doc_id", "text").filter(F.octet_length("text") <= longest), F.xxhash64("doc_id", "text"), sample).mapInArrow(run, "ids binary").collect()
     arrays = sorted(bytes(r.ids) for r in rows)
     if len(arrays) < 8:
         return b""
@@ -141,8 +142,10 @@ def write_ids(docs: DataFrame, path: str, vocab: str | None = None, end_id: int
     bounded_batches(spark)
     dictionary = train_dictionary(docs, vocab, end_id, sample)
     spark.createDataFrame([(f"{dictionary_hash(dictionary):016x}", bytearray(dictionary))], "hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # ids that many rows share, or null ones, are told apart by their texts, and copies of a row by their place in the table
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias(ROW))
+    order = [F.col("doc_id").asc_nulls_first(), "h", ROW]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(partial(_write_part, vocab=vocab, end_id=end_id, dictionary=dictionary), SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
