@@ -10,11 +10,12 @@ whole product. The best k of each task are merged by query.
 Edge cases: vectors that are null, or hold null or non-finite components, take no part; vectors of another dimension than
 the query's are no candidates of it; a row with the query's id is never its candidate; ties go to the smaller id; fewer
 than k candidates give as many rows as there are; repeated rows are candidates each, but not of a query with their id;
-query rows that share an id share one ranking over all their products.
+query rows that share an id share one ranking over all their products; a score beyond 64 bits is an error.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -37,15 +38,14 @@ def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
-def search_bucketed(ids: np.ndarray, vecs: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, bucket: int = 512, focus: int = 16):
-    """The best k (query row, id, score) among these candidates, by norm buckets. Ties go to the smaller id."""
+def search_bucketed(ids: np.ndarray, vecs: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int, best: np.ndarray, owner: np.ndarray, bucket: int = 512, focus: int = 16) -> None:
+    """Put these candidates, by norm buckets, to the best k of each query: best has their scores (-inf: none yet), owner their
+    ids. Ties go to the smaller id."""
     norms = np.sqrt((vecs * vecs).sum(1))
     order = np.lexsort((ids, -norms))
     ids, vecs, norms = ids[order], vecs[order], norms[order]
     q_norms = np.sqrt((queries * queries).sum(1))
     nq = len(queries)
-    best = np.full((nq, k), -np.inf)
-    owner = np.full((nq, k), np.iinfo(np.int64).max)
     live = np.arange(nq)
     by_size = np.argsort(-np.abs(queries), axis=1)[:, :focus]
     for a in range(0, len(ids), bucket):
@@ -75,9 +75,6 @@ def search_bucketed(ids: np.ndarray, vecs: np.ndarray, q_ids: np.ndarray, querie
             for c in range(0, len(rows), 1024):
                 part = rows[c : c + 1024]
                 _offer(best, owner, part, queries[part] @ block[:n].T, names[:n], q_ids, k)
-    hit = np.isfinite(best)
-    q, _ = np.nonzero(hit)
-    return q, owner[hit], best[hit]
 
 
 def _offer(best, owner, rows, scores, names, q_ids, k) -> None:
@@ -94,33 +91,47 @@ def _offer(best, owner, rows, scores, names, q_ids, k) -> None:
         best[r], owner[r] = s[top], o[top]
 
 
-def _task(frames: Iterator[pd.DataFrame], q_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    ids, vecs = [], []
+def _task(frames: Iterator[pd.DataFrame], q_ids: np.ndarray, queries: np.ndarray, k: int, together: int = 100_000) -> Iterator[pd.DataFrame]:
+    """The best k of each query among a task's candidates. They come in groups of `together`; thresholds go on from one to the
+    next, and only the last best leave the task."""
+    best, owner = np.full((len(queries), k), -np.inf), np.full((len(queries), k), np.iinfo(np.int64).max)
+    floats, reach = queries.astype(float), float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+    ids, vecs, odd = [], [], []
+
+    def search() -> None:
+        names, own = np.concatenate(ids), np.concatenate(vecs)
+        exact = np.abs(own).max(1, initial=0) * reach < EXACT  # products of whole numbers are exact in doubles
+        search_bucketed(names[exact], own[exact].astype(float), q_ids, floats, k, best, owner)
+        if not exact.all():
+            odd.append(_large(names[~exact], own[~exact], q_ids, queries, k))
+        ids.clear()
+        vecs.clear()
+
     for pdf in frames:
         same = [i for i, v in enumerate(pdf["v"]) if len(v) == queries.shape[1]]
         if same:
             ids.append(pdf["vec_id"].to_numpy()[same])
             vecs.append(np.stack([np.asarray(pdf["v"].iloc[i], np.int64) for i in same]))
-        if sum(map(len, ids)) > 100_000:
-            yield _found(ids, vecs, q_ids, queries, k)
-            ids, vecs = [], []
+        if sum(map(len, ids)) >= together:
+            search()
+        yield from odd
+        odd.clear()
     if ids:
-        yield _found(ids, vecs, q_ids, queries, k)
-
-
-def _found(ids, vecs, q_ids, queries, k) -> pd.DataFrame:
-    names, own = np.concatenate(ids), np.concatenate(vecs)
-    bound = float(np.abs(own).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
-    if bound < EXACT:  # products of whole numbers are exact in doubles
-        q, o, s = search_bucketed(names, own.astype(float), q_ids, queries.astype(float), k)
-        return pd.DataFrame({"query_id": q_ids[q], "vec_id": o, "score": s.astype(np.int64)})
-    rows = []
-    for name, query in zip(q_ids, queries):
-        s = own @ query
-        for i in np.lexsort((names, -s))[: k + int((names == name).sum())]:
-            if names[i] != name:
-                rows.append((name, names[i], s[i]))
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).groupby("query_id").head(k)
+        search()
+    yield from odd
+    hit = np.isfinite(best)
+    yield pd.DataFrame({"query_id": q_ids[np.nonzero(hit)[0]], "vec_id": owner[hit], "score": best[hit].astype(np.int64)})
+
+
+def _large(names: np.ndarray, own: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    """The best k of each query among vectors whose products are beyond doubles, in whole numbers of any size."""
+    rows, vecs = [], own.astype(object)
+    for name, query in zip(q_ids.tolist(), queries.astype(object)):
+        scores = [(-s, i) for s, i in zip((vecs @ query).tolist(), names.tolist()) if i != name]
+        rows += [(name, i, -s) for s, i in heapq.nsmallest(k, scores)]
+    if any(abs(s) >> 63 for _, _, s in rows):
+        raise OverflowError("a score does not fit in 64 bits: use a smaller scale")
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 32_768) -> DataFrame:
