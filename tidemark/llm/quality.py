@@ -1,14 +1,16 @@
 """Compression classifier for text quality.
 
-Two zstandard dictionaries are trained, on good and on bad labelled texts. A text that is like the good ones gets shorter
-with the first. The difference of its two compressed sizes, normalised by size and by length, is turned into a probability
-by a logistic calibration on other labelled texts. The calibration also knows the sizes themselves, the plain compression
-ratio and the length, as a difference means more in some texts than in others (placed=False leaves these out).
+Zstandard dictionaries are trained on good and on bad labelled texts, `pairs` of each on different texts, as a dictionary holds
+what its few samples happen to have. A text that is like the good ones gets shorter with theirs. The difference of its mean
+compressed sizes, normalised by size, by length and by its logarithm, is turned into
+a probability by a logistic calibration on other labelled texts. A difference means more in some texts than in others, so
+each of the three also counts with the logarithm of the length; all inputs of the calibration are 0 where the sizes agree.
 
 Fit: a hash of the id deals the labelled documents to two halves. About `per_class` texts of each class of one half are
-read whole and train the dictionaries; about `calibrate` rows of each class of the other half are compressed where they
+read whole and train the dictionaries (texts of at most `longest` bytes, which bounds what reaches the driver; where a class
+has none, its shortest; lines that several of them have are left out); about `calibrate` rows of each class of the other half are compressed where they
 lie, and only their numbers are collected. Classes are weighted as they occur. Scoring covers every document in one pass
-without a shuffle; the model sent to the tasks is two dictionaries of `size` bytes and a few numbers.
+without a shuffle; the model sent to the tasks is 2 * `pairs` dictionaries of `size` bytes and a few numbers.
 
 Edge cases: null and empty texts are scored as empty; labels that are null, or given twice with different values, don't
 count; with labels of one class only the score is 1 or 0, and without labels 1; other columns are ignored.
@@ -16,6 +18,7 @@ count; with labels of one class only the score is 1 or 0, and without labels 1;
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -32,20 +35,17 @@ LEVEL = 3
 
 @dataclass
 class Model:
-    good: bytes = b""
-    bad: bytes = b""
+    good: list[bytes] = field(default_factory=list)
+    bad: list[bytes] = field(default_factory=list)
     mean: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
-    columns: list[int] = field(default_factory=list)
     constant: float | None = None
 
 
-def _compressor(dictionary: bytes | None):
+def _compressor(dictionary: bytes):
     import zstandard as zstd
 
-    if not dictionary:
-        return zstd.ZstdCompressor(level=LEVEL)
     trained = dictionary[:4] == b"\x37\xa4\x30\xec"
     d = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_FULLDICT if trained else zstd.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
@@ -56,27 +56,27 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
     import zstandard as zstd
 
     try:
-        return zstd.train_dictionary(size, texts).as_bytes()
-    except (zstd.ZstdError, ValueError):  # too few to train on: their own bytes serve
-        return b"\n".join(texts)[-size:]
+        trained = zstd.train_dictionary(size, texts).as_bytes()
+    except (zstd.ZstdError, ValueError):
+        trained = b""
+    return trained or b"\n".join(texts)[-size:]  # too few to train on: their own bytes serve
 
 
-#: Of the features, those that are the difference and its own normalisations.
-DIFFERENCE = [0, 1, 2, 7]
+def tools(model: Model) -> list[tuple]:
+    return [(_compressor(g), _compressor(b)) for g, b in zip(model.good, model.bad)]
 
 
-def features(texts: list[bytes], good, bad, plain) -> np.ndarray:
-    rows = []
-    for t in texts:
-        n = max(1, len(t))
-        a, b, z = len(good.compress(t)), len(bad.compress(t)), len(plain.compress(t))
-        d = b - a
-        x = d / max(a, b)
-        rows.append((x, d / n, np.sign(d) * np.log1p(abs(d)), z / n, np.log(n), a / n, b / n, x * x, x * np.log(n)))
-    return np.array(rows).reshape(len(rows), 9)
+def features(texts: list[bytes], pairs: list[tuple]) -> np.ndarray:
+    """pairs: compressors for good and for bad texts."""
+    mean = lambda side: np.array([sum(len(p[side].compress(t)) for p in pairs) / len(pairs) for t in texts])
+    n, good, bad = np.maximum(1.0, np.array(list(map(len, texts)))), mean(0), mean(1)
+    d = bad - good
+    x = d / np.maximum(good, bad)
+    own = np.c_[x, d / n, np.sign(d) * np.log1p(np.abs(d))]
+    return np.c_[own, own * np.log(n)[:, None], x * x, np.minimum(x, 0.0)]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     z = np.c_[np.ones(len(x)), x]
     w, penalty = np.zeros(z.shape[1]), ridge * np.eye(z.shape[1])
     penalty[0, 0] = 1e-6
@@ -89,17 +89,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
+def _own_lines(texts: dict[int, list[str]]) -> dict[int, list[str]]:
+    """The texts without lines that several of them have: a line that went round says nothing of the texts it is in."""
+    seen = Counter(line for own in texts.values() for t in own for line in set(t.split("\n")))
+    return {q: ["\n".join(x for x in t.split("\n") if seen[x] < 2) for t in own] for q, own in texts.items()}
+
+
 def _bytes(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _measure(frames: Iterator[pd.DataFrame], good: bytes, bad: bytes) -> Iterator[pd.DataFrame]:
-    tools = _compressor(good), _compressor(bad), _compressor(None)
+def _measure(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
+    own = tools(model)
     for pdf in frames:
-        yield pd.DataFrame({"quality": pdf["quality"], "x": features(_bytes(pdf["text"]), *tools).tolist()})
+        yield pd.DataFrame({"quality": pdf["quality"], "x": features(_bytes(pdf["text"]), own).tolist()})
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1000, calibrate: int = 10_000, size: int = 1 << 16, placed: bool = True) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2000, calibrate: int = 10_000, size: int = 1 << 16, longest: int = 1 << 15, pairs: int = 4) -> Model:
     """train: which labelled doc_id may be learned from."""
     bounded_batches(docs.sparkSession)
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(
@@ -117,30 +123,36 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1000
         return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # about 2 * n short rows, whatever the tables' size
 
     texts: dict[int, list] = {0: [], 1: []}
-    for r in sorted(some(0, per_class).select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text")).collect()):
+    half = some(0, per_class).select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    for r in sorted(half.filter(F.octet_length("text") <= longest).collect()):
         texts[r.quality].append(r.text)
+    for q in (0, 1):
+        if not any(texts[q]):
+            texts[q] = [r.text for r in half.filter(F.col("quality") == q).orderBy(F.octet_length("text"), "doc_id").limit(8).collect()]
     if not texts[0] or not texts[1]:  # labels without documents
         return Model(constant=float(bool(texts[1] or not texts[0])))
-    good, bad = (_dictionary(_bytes(texts[q]), size) for q in (1, 0))
-    others = some(1, calibrate).select("quality", "text").mapInPandas(partial(_measure, good=good, bad=bad), "quality int, x array<double>")
+    pairs = max(1, min(pairs, *(len(texts[q]) // 50 for q in (0, 1))))  # a dictionary needs about 50 texts
+    texts = _own_lines(texts)
+    good, bad = ([_dictionary(_bytes(texts[q][k::pairs]), size) for k in range(pairs)] for q in (1, 0))
+    model = Model(good, bad)
+    others = some(1, calibrate).select("quality", "text").mapInPandas(partial(_measure, model=model), "quality int, x array<double>")
     rows = sorted((r.quality, list(r.x)) for r in others.collect())
     if len({q for q, _ in rows}) < 2:  # nothing to calibrate on but the texts of the dictionaries
-        rows = [(q, v) for q in (0, 1) for v in features(_bytes(texts[q]), _compressor(good), _compressor(bad), _compressor(None)).tolist()]
-    columns = list(range(9)) if placed else DIFFERENCE
-    x, y = np.array([v for _, v in rows]).reshape(len(rows), 9)[:, columns], np.array([q for q, _ in rows], float)
+        rows = [(q, v) for q in (0, 1) for v in features(_bytes(texts[q]), tools(model)).tolist()]
+    x, y = np.array([v for _, v in rows]), np.array([q for q, _ in rows], float)
     share = {q: totals[q] / sum(totals.values()) / max(1, (y == q).sum()) * len(y) for q in (0, 1)}
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = _logistic((x - mean) / scale, y, np.where(y == 1, share[1], share[0]))
-    return Model(good, bad, mean.tolist(), scale.tolist(), w.tolist(), columns)
+    return Model(good, bad, mean.tolist(), scale.tolist(), w.tolist())
 
 
 def _score(frames: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFrame]:
-    tools = None if model.constant is not None else (_compressor(model.good), _compressor(model.bad), _compressor(None))
+    own = [] if model.constant is not None else tools(model)
     for pdf in frames:
-        if tools is None:
+        if model.constant is not None:
             s = np.full(len(pdf), model.constant)
         else:
-            x = features(_bytes(pdf["text"]), *tools)[:, model.columns]
+            x = features(_bytes(pdf["text"]), own)
             z = ((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights[1:]) + model.weights[0]
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         yield pdf.drop(columns="text").assign(score=s)
