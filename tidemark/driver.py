@@ -10,10 +10,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, StructType, str]] = {}
 
 READS = """
 select sample_name, contig_name, read_id, qname, flag, pos, mapq,
@@ -118,13 +119,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def fingerprint(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
+    """What tells whether the files of some tables are still the same: their paths, sizes and times, summed up by Spark. No
+    content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{sf_dir}/{t}.parquet" for t in tables])
+    row = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{row[0]}/{row[1]}"
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], tables: tuple[str, ...] = ("lineitem",)) -> DataFrame:
     """A table that several queries of a session share, as a dataset is built once and asked often: written to the shared
-    folder when it is first asked for, and read from there. A session sees the tables in sf_dir as they were then."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
+    folder when it is first asked for, and read from there as long as the files of the tables it is made of stay the same."""
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), fingerprint(spark, sf_dir, tables)
+    if key not in _STORED or _STORED[key][2] != now:
         df, path = make(), shared_path(spark, name)
         df.write.parquet(path)
-        _STORED[key] = path, df.schema
-    path, schema = _STORED[key]
+        _STORED[key] = path, df.schema, now
+    path, schema, _ = _STORED[key]
     return spark.read.schema(schema).parquet(path)

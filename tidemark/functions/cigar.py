@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,21 +30,26 @@ def query_length(ops: Column) -> Column:
     return span(ops, "MIS=X")
 
 
-def cigar_offsets(ops: Column, pos: Column) -> Column:
-    """Each operation with where it starts: ref_start (0-based), query_start and mcol_start (match columns before it). One pass
-    with running sums, as long reads have thousands of operations."""
-    out = "array<struct<op:string,len:int,ref_start:int,query_start:int,mcol_start:int>>"
-    takes = lambda o, kinds: F.when(F.instr(F.lit(kinds), o.op) > 0, o.len).otherwise(0)
+def running(items: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, it and all before it put together. Round k adds what stands 2^k places before, so n elements
+    take log2(n) rounds, each of n steps; no array grows step by step, as long reads have thousands of operations."""
+    def summed(a: Column) -> Column:
+        rounds = F.when(F.size(a) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        before = lambda k: F.call_function("shiftleft", F.lit(1), k)
+        return F.aggregate(rounds, a, lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= before(k), add(F.get(acc, i - before(k)), x)).otherwise(x)))
 
-    def step(acc: Column, o: Column) -> Column:
-        placed = F.struct(o.op.alias("op"), o.len.alias("len"), acc.r.alias("ref_start"), acc.q.alias("query_start"), acc.m.alias("mcol_start"))
-        return F.struct(
-            (acc.r + takes(o, "MDN=X")).alias("r"), (acc.q + takes(o, "MIS=X")).alias("q"), (acc.m + takes(o, "M=X")).alias("m"),
-            F.concat(acc.out, F.array(placed)).cast(out).alias("out"),
-        )
+    return F.element_at(F.transform(F.array(items), summed), 1)  # a lambda's variable is worked out once
 
-    first = F.struct(F.coalesce(pos.cast("int"), F.lit(0)).alias("r"), F.lit(0).alias("q"), F.lit(0).alias("m"), F.array().cast(out).alias("out"))
-    return F.aggregate(ops, first, step, lambda acc: acc.out)
+
+def cigar_offsets(ops: Column, pos: Column) -> Column:
+    """Each operation with where it starts: ref_start (0-based), query_start and mcol_start (match columns before it)."""
+    takes = lambda o, kinds: F.when(F.instr(F.lit(kinds), o.op) > 0, o.len).otherwise(0)
+    own = F.transform(ops, lambda o: F.struct(o.op.alias("op"), o.len.alias("len"), takes(o, "MDN=X").alias("r"), takes(o, "MIS=X").alias("q"), takes(o, "M=X").alias("m")))
+    add = lambda a, b: F.struct(b.op.alias("op"), b.len.alias("len"), (a.r + b.r).alias("r"), (a.q + b.q).alias("q"), (a.m + b.m).alias("m"))
+    first = F.coalesce(pos.cast("int"), F.lit(0))
+    return F.transform(running(own, add), lambda o: F.struct(
+        o.op.alias("op"), o.len.alias("len"), (first + o.r - takes(o, "MDN=X")).alias("ref_start"), (o.q - takes(o, "MIS=X")).alias("query_start"), (o.m - takes(o, "M=X")).alias("mcol_start"),
+    ))
 
 
 def parse_md(md: Column) -> Column:
@@ -52,22 +59,21 @@ def parse_md(md: Column) -> Column:
 
 def md_mismatches(offsets: Column, md: Column, seq: Column) -> Column:
     """array<struct<ref_pos, ref_base, base>> of the mismatches: the k-th match column lies in the operation that holds it.
-    Positions come from the CIGAR; deletions in MD take no match column. One pass over the tokens."""
-    out = "array<struct<t:string,k:int>>"
-    width = lambda t: F.when(t.rlike(r"^\d+$"), t.cast("int")).when(t.startswith("^"), 0).otherwise(1)
-
-    def step(acc: Column, t: Column) -> Column:
-        own = F.array(F.struct(t.alias("t"), acc.k.alias("k"))).cast(out)
-        return F.struct((acc.k + width(t)).alias("k"), F.when(t.rlike("^[A-Z]$"), F.concat(acc.out, own)).otherwise(acc.out).alias("out"))
-
-    own = F.aggregate(parse_md(md), F.struct(F.lit(0).alias("k"), F.array().cast(out).alias("out")), step, lambda acc: acc.out)
+    Positions come from the CIGAR; deletions in MD take no match column. Operations and mismatches are put in one order, and
+    each mismatch takes the operation that started last."""
+    none = F.lit(None).cast("int")
+    width = lambda t: F.when(t.rlike("^[0-9]"), t.cast("int")).when(t.startswith("^"), 0).otherwise(1)
+    tokens = F.transform(parse_md(md), lambda t: F.struct(t.alias("t"), width(t).alias("n")))
+    ends = running(tokens, lambda a, b: F.struct(b.t.alias("t"), (a.n + b.n).alias("n")))
+    own = F.filter(ends, lambda t: t.t.rlike("^[A-Z]"))
     columns = F.filter(offsets, lambda o: o.op.isin("M", "=", "X"))
-
-    def place(p: Column) -> Column:
-        hit = F.get(F.filter(columns, lambda o: (o.mcol_start <= p.k) & (p.k < o.mcol_start + o.len)), F.lit(0))
-        return F.struct((hit.ref_start + p.k - hit.mcol_start).alias("ref_pos"), p.t.alias("ref_base"), F.substring(seq, hit.query_start + p.k - hit.mcol_start + 1, F.lit(1)).alias("base"))
-
-    return F.filter(F.transform(own, place), lambda m: m.ref_pos.isNotNull())
+    item = lambda k, kind, r, q, end, base: F.struct(k.alias("k"), kind.alias("kind"), r.alias("r"), q.alias("q"), end.alias("end"), base.alias("base"))
+    starts = F.transform(columns, lambda o: item(o.mcol_start, F.lit(0), o.ref_start - o.mcol_start, o.query_start - o.mcol_start, o.mcol_start + o.len, F.lit(None).cast("string")))
+    both = F.array_sort(F.concat(starts, F.transform(own, lambda t: item(t.n - 1, F.lit(1), none, none, none, t.t))))  # at one column, the operation comes first
+    met = running(both, lambda a, b: item(b.k, b.kind, F.coalesce(b.r, a.r), F.coalesce(b.q, a.q), F.coalesce(b.end, a.end), b.base))
+    hits = F.filter(met, lambda m: (m.kind == 1) & (m.k < m.end))
+    placed = F.transform(hits, lambda m: F.struct((m.r + m.k).alias("ref_pos"), m.base.alias("ref_base"), F.substring(seq, m.q + m.k + 1, F.lit(1)).alias("base")))
+    return F.when(F.coalesce(md, F.lit("")).rlike("[0-9][A-Z]|^[A-Z]"), placed).otherwise(F.array().cast("array<struct<ref_pos:int,ref_base:string,base:string>>"))
 
 
 def edge_match(cigar: Column, md: Column, side: str) -> Column:

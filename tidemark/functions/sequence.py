@@ -27,6 +27,11 @@ def _of_codon(codon: Column, letters: str) -> Column:
     return F.when(known, F.substring(F.lit(letters), (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], F.lit(1)))
 
 
+def pieces(seq: Column, size: int) -> Column:
+    """A text cut into pieces of `size` characters in one pass; the last may be shorter, and an empty text has none."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def revcomp(seq: Column) -> Column:
     """Reverse complement; letters other than ACGT become N."""
     return F.reverse(F.translate(F.regexp_replace(F.upper(seq), "[^ACGT]", "N"), "ACGT", "TGCA"))
@@ -50,7 +55,7 @@ def sn_sites(seq: Column) -> Column:
 
 
 def base_count(seq: Column, letters: str) -> Column:
-    return F.length(F.regexp_replace(seq, f"[^{letters}]", ""))
+    return F.length(seq) - F.length(F.translate(seq, letters, ""))
 
 
 def gc_percent(seq: Column) -> Column:

@@ -11,9 +11,7 @@ from .kernels import CHUNK, best_over, interval_union, overlap_join, sweep
 
 def windows(sequences: DataFrame, size: int) -> DataFrame:
     """contig_name, window (from 0) and seq for each `size` bases; the last may be shorter. sequences: contig_name, seq."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    rows = sequences.filter(F.length("seq") > 0).withColumn("window", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.select("contig_name", "window", F.substring("seq", (F.col("window") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+    return sequences.select("contig_name", F.posexplode(S.pieces(F.col("seq"), size)).alias("window", "seq"))
 
 
 def gc_windows(sequences: DataFrame, size: int = 500) -> DataFrame:

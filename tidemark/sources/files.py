@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import pieces
 from ..functions.text import gff_escape, gff_unescape, rename_keys
 
 #: The columns of the formats, in order.
@@ -230,8 +231,7 @@ def write_gff3(annotations: DataFrame, path: str) -> None:
 
 def chunks_of_files(spark: SparkSession, path, size: int = 65_536) -> DataFrame:
     """FASTA sequences in pieces: contig_name, chunk_idx from 0, seq."""
-    rows = read_fasta(spark, path).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))))
-    return rows.select("contig_name", F.col("i").alias("chunk_idx"), F.substring(F.col("seq"), F.col("i") * size + 1, F.lit(size)).alias("seq"))
+    return read_fasta(spark, path).select("contig_name", F.posexplode(pieces(F.col("seq"), size)).alias("chunk_idx", "seq"))
 
 
 def duplicate_names(contigs: DataFrame) -> DataFrame:
