@@ -35,4 +35,4 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert set(engine.queries()) - set(engine.oracle_sql()) == {"smooth_runs", "adaptive_rle"}  # tested against a plain walk
+    assert set(engine.queries()) == set(engine.oracle_sql())

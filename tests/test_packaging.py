@@ -90,5 +90,22 @@ def test_smoothing_agrees_with_one_walk(spark, seed):
         return [(g[0][0], g[-1][1], pytest.approx(value(g))) for g in out]
 
     rows = lambda df: [(r.start, r.end, r.value) for r in df.orderBy("start").collect()]
-    assert rows(W.smooth_runs(frame, ["name"], 50)) == plain(lambda lo, hi: hi - lo <= 0.5 * max(1.0, lo), lambda g: int((min(r[2] for r in g) + max(r[2] for r in g)) / 2))
-    assert rows(W.adaptive_rle(frame, ["name"], 0.5)) == plain(lambda lo, hi: hi - lo <= 0.5 * lo, lambda g: sum(r[2] * (r[1] - r[0] + 1) for r in g) / sum(r[1] - r[0] + 1 for r in g))
+    for chunk in (W.CHUNK, 40, 7):
+        assert rows(W.smooth_runs(frame, ["name"], 50, chunk)) == plain(lambda lo, hi: hi - lo <= 0.5 * max(1.0, lo), lambda g: int((min(r[2] for r in g) + max(r[2] for r in g)) / 2))
+        assert rows(W.adaptive_rle(frame, ["name"], 0.5, chunk)) == plain(lambda lo, hi: hi - lo <= 0.5 * lo, lambda g: sum(r[2] * (r[1] - r[0] + 1) for r in g) / sum(r[1] - r[0] + 1 for r in g))
+
+
+def test_smoothing_of_a_million_alike_runs(spark):
+    """One walk over 16 chunks: no task sees more than a chunk, and what is open goes on over all of them."""
+    n = 1_000_000
+    frame = spark.range(n, numPartitions=8).select(F.lit("k").alias("name"), (F.col("id") + 1).alias("start"), (F.col("id") + 1).alias("end"), (100 + F.col("id") % 7 + F.when(F.col("id") == 700_000, 500).otherwise(0)).alias("value"))
+    got = [(r.start, r.end, r.value) for r in W.smooth_runs(frame, ["name"], 50).orderBy("start").collect()]
+    assert got == [(1, 700_000, 103.0), (700_001, 700_001, 100 + 700_000 % 7 + 500), (700_002, n, 103.0)]
+    rising = frame.select("name", "start", "end", F.col("start").alias("value"))  # each value is a new largest
+    got = W.adaptive_rle(rising, ["name"], 0.5).orderBy("start").limit(30).collect()
+    at, want = 1, []
+    while at <= n:
+        last = min(n, int(at * 1.5))
+        want.append((at, last, (at + last) / 2))
+        at = last + 1
+    assert [(r.start, r.end, r.value) for r in got] == want[:30]

@@ -114,8 +114,28 @@ def drop_ghosts(spark: SparkSession, d: str) -> DataFrame:
     return C.drop_ghosts(reads(spark, d), half_contigs(spark, d)).select("read_id", F.col("mapq").cast("long").alias("mapq"))
 
 
+def _greedy(fits: str, value: str) -> str:
+    """One walk over the runs of each pair, a step a run."""
+    fit = fits.format(lo="least(w.lo, n.value)", hi="greatest(w.hi, n.value)")
+    return f"""with recursive runs as materialized ({runs_sql(depth_src("klass = 'primary'"))}),
+n as materialized (select sample_name, contig_name, "start", "end", value::double as value, row_number() over (partition by sample_name, contig_name order by "start") as k from runs),
+walk as (
+  select sample_name, contig_name, k, 1 as id, "start" as s, "end" as e, value as lo, value as hi, value * ("end" - "start" + 1) as total from n where k = 1
+  union all
+  select n.sample_name, n.contig_name, n.k, w.id + case when joins then 0 else 1 end, case when joins then w.s else n."start" end, n."end",
+    case when joins then least(w.lo, n.value) else n.value end, case when joins then greatest(w.hi, n.value) else n.value end,
+    case when joins then w.total else 0 end + n.value * (n."end" - n."start" + 1)
+  from walk w join n on n.sample_name = w.sample_name and n.contig_name = w.contig_name and n.k = w.k + 1, lateral (select w.e + 1 = n."start" and {fit} as joins)),
+closed as (select sample_name, contig_name, id, arg_max(s, k) as "start", max(e) as "end", arg_max(lo, k) as lo, arg_max(hi, k) as hi, arg_max(total, k) as total from walk group by sample_name, contig_name, id)
+select sample_name, contig_name, "start", "end", {value} as value from closed"""
+
+
+SQL["smooth_runs"] = _greedy("{hi} - {lo} <= 0.5 * greatest(1.0, {lo})", "trunc((lo + hi) / 2)")
+SQL["adaptive_rle"] = _greedy("{hi} - {lo} <= 0.5 * {lo}", 'round(total / ("end" - "start" + 1), 6)')
+
+
 def smooth_runs(spark: SparkSession, d: str) -> DataFrame:
-    return W.smooth_runs(depth_runs(spark, d), S.PAIR, 50)
+    return W.smooth_runs(depth_runs(spark, d), S.PAIR, 50, chunk=256)  # contigs here are short: chunks of a few hundred bases
 
 
 def adaptive_rle(spark: SparkSession, d: str) -> DataFrame:
