@@ -89,16 +89,46 @@ def reads(spark, sample, n):
     return spark.range(n).withColumnRenamed("id", "read_id").join(one).select(F.lit(sample).alias("sample_name"), F.lit("c1").alias("contig_name"), "read_id", F.lit("q").alias("qname"), "flag", "pos", "mapq", "cigar", "mate_contig", "mate_pos", "tlen", "seq", "md", "nm")
 
 
+def state(spark, dataset):
+    """All tables of a dataset but for the batch numbers."""
+    return {n: sorted(tuple(r) for r in I.table(spark, dataset, n).drop("batch").collect()) for n in I.SCHEMAS} | {
+        "alignments": sorted((r.sample_name, r.read_id) for r in spark.read.parquet(f"{dataset}/alignments").collect())}
+
+
+def sample(spark, name, *contigs):
+    """One read on each of these contigs."""
+    rows = reads(spark, name, len(contigs))
+    return rows.withColumn("contig_name", F.element_at(F.array(*map(F.lit, contigs)), (F.col("read_id") % len(contigs) + 1).cast("int")))
+
+
 def test_streaming_ingest(spark, tmp_path):
+    """Two ingests are one recomputation, a batch that runs twice changes nothing, and one that breaks a rule adds nothing."""
+    contigs = spark.createDataFrame([(f"c{i}", 100 * i) for i in range(1, 6)], "contig_name string, contig_length long")
+    members = spark.createDataFrame([("m1", "c1"), ("m1", "c2"), ("m2", "c3")], "mag_name string, contig_name string")
     where = [str(tmp_path / x) for x in ("incoming", "dataset", "checkpoint")]
-    reads(spark, "s1", 3).coalesce(1).write.parquet(where[0])
-    for sample, n in (("s2", 5), ("s1", 9), (None, 0)):
-        I.ingest(spark, *where).awaitTermination()
-        if sample:
-            reads(spark, sample, n).coalesce(1).write.mode("append").parquet(where[0])
-    got = spark.read.parquet(f"{where[1]}/alignments").groupBy("sample_name").count().collect()
-    assert {tuple(r) for r in got} == {("s1", 3), ("s2", 5)}
-    assert {(r.sample_name, r.n_mapped) for r in spark.read.parquet(f"{where[1]}/samples").collect()} == {("s1", 3), ("s2", 5)}
+    first, second, third = sample(spark, "s1", "c1", "c2", "c3"), sample(spark, "s2", "c2", "c5"), sample(spark, "s3", "c1", "c1")
+    first.coalesce(1).write.parquet(where[0])
+    I.ingest(spark, *where, contigs, members).awaitTermination()
+    second.coalesce(1).write.mode("append").parquet(where[0])
+    third.coalesce(1).write.mode("append").parquet(where[0])
+    I.ingest(spark, *where, contigs, members).awaitTermination()
+    I.ingest(spark, *where, contigs, members).awaitTermination()  # nothing new
+    now = state(spark, where[1])
+    assert dict(r[:2] for r in now["contig_counts"]) == {"c1": 2, "c2": 2, "c3": 1, "c5": 1} and dict(r[:2] for r in now["bin_counts"]) == {"m1": 3, "m2": 1}
+    whole = str(tmp_path / "whole")
+    I.add_batch(first.unionByName(second).unionByName(third), 0, whole, contigs, members)
+    assert state(spark, whole) == now
+    I.add_batch(first.unionByName(second).unionByName(third), 0, whole, contigs, members)  # as after a failure
+    assert state(spark, whole) == now
+    for bad, own, says in ((sample(spark, "s1", "c4"), members, "sample exists: s1"), (sample(spark, "s9", "c9"), members, "unknown contig: c9"),
+                           (sample(spark, "s9", "c4"), members.unionByName(spark.createDataFrame([("m2", "c4")], members.schema)), "new contig in a bin: c4")):
+        with pytest.raises(ValueError, match=says):
+            I.add_batch(bad, 7, whole, contigs, own)
+    assert state(spark, whole) == now
+    sample(spark, "s1", "c4").coalesce(1).write.mode("append").parquet(where[0])
+    with pytest.raises(Exception, match="sample exists: s1"):
+        I.ingest(spark, *where, contigs, members).awaitTermination()
+    assert state(spark, where[1]) == now
 
 
 def test_check_new(spark):
