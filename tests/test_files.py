@@ -152,3 +152,30 @@ def test_maintenance(spark):
     tables = {"t": table, "u": spark.createDataFrame([("s1", 1)], "sample_name string, n int")}
     assert N.remove(tables, "name", "a")["t"].count() == 1 and set(N.purge_mapping(tables)) == {"t"}
     assert [r.name for r in N.names(tables, "name").collect()] == ["a", "b"]
+
+
+def test_removal_cascades(spark):
+    """Rows go with what they hang on, over several tables; refusals and circles are told."""
+    make = spark.createDataFrame
+    tables = {
+        "contigs": make([("c1",), ("c2",), ("c3",)], "contig_name string"), "samples": make([("s1", 9), ("s2", 5)], "sample_name string, n_mapped long"),
+        "packaging": make([(1, "s1", "c1"), (2, "s1", "c2"), (3, "s2", "c1")], "packaging_id int, sample_name string, contig_name string"),
+        "termini": make([(1, 10), (1, 20), (2, 30), (3, 40)], "packaging_id int, pos int"), "hits": make([("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("c3", "c2")], "contig_1 string, contig_2 string"),
+        "read_counts": make([("s1", "c1", 4), ("s1", "c2", 5), ("s2", "c1", 5)], "sample_name string, contig_name string, read_count long"),
+        "contig_counts": make([("c1", 2), ("c2", 1)], "contig_name string, n_samples long"), "notes": make([("x",)], "note string"),
+    }
+    left = lambda out, name: sorted(tuple(r) for r in out[name].collect())
+    out = N.remove_contigs(tables, make([("c1",)], "contig_name string"))
+    assert left(out, "termini") == [(2, 30)] and left(out, "hits") == [("c2", "c3"), ("c3", "c2")] and left(out, "samples") == [("s1", 5), ("s2", 0)]
+    assert left(out, "contig_counts") == [("c2", 1)] and left(out, "notes") == [("x",)] and left(out, "contigs") == [("c2",), ("c3",)]
+    out = N.remove_samples(tables, make([("s1",)], "sample_name string"))
+    assert left(out, "termini") == [(3, 40)] and left(out, "contig_counts") == [("c1", 1), ("c2", 0)] and left(out, "samples") == [("s2", 5)] and len(left(out, "hits")) == 4
+    binned = tables | {"bins": make([("m1",), ("m2",)], "mag_name string"), "members": make([("m1", "c1"), ("m1", "c2"), ("m2", "c3")], "mag_name string, contig_name string"), "bin_counts": make([("m1", 2)], "mag_name string, n_samples long")}
+    out = N.remove_bins(binned, make([("m1",)], "mag_name string"))
+    assert left(out, "contigs") == [("c3",)] and left(out, "read_counts") == left(out, "bin_counts") == left(out, "hits") == [] and left(out, "members") == [("m2", "c3")]
+    with pytest.raises(ValueError, match="in bin mode: c1"):
+        N.remove_contigs(binned, make([("c1",)], "contig_name string"))
+    with pytest.raises(ValueError, match="unknown contig: c7"):
+        N.remove_contigs(tables, make([("c7",)], "contig_name string"))
+    with pytest.raises(ValueError, match="not a dataset of bins"):
+        N.remove_bins(tables, make([("m1",)], "mag_name string"))

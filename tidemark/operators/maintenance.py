@@ -52,6 +52,101 @@ def remove(tables: dict[str, DataFrame], column: str, name: str) -> dict[str, Da
     return {n: df.filter(~F.col(column).eqNullSafe(F.lit(name))) if column in df.columns else df for n, df in tables.items()}
 
 
+#: What rows of a table hang on: its column, the owner and the owner's column. Tables that are not listed hang on the contig,
+#: sample and bin that their columns name.
+OWNERS = {
+    "contigs": [], "samples": [], "bins": [], "qualifiers": [("annotation_id", "annotations", "annotation_id")],
+    "hits": [("contig_1", "contigs", "contig_name"), ("contig_2", "contigs", "contig_name")], "termini": [("packaging_id", "packaging", "packaging_id")],
+}
+BY_NAME = (("contig_name", "contigs"), ("sample_name", "samples"), ("mag_name", "bins"))
+
+
+def owners(table: str, columns: list[str]) -> list[tuple[str, str, str]]:
+    return OWNERS.get(table, [(c, owner, c) for c, owner in BY_NAME if c in columns])
+
+
+def in_order(tables: dict[str, DataFrame]) -> list[str]:
+    """Names of tables, each after those that its rows hang on."""
+    done: list[str] = []
+    while len(done) < len(tables):
+        ready = [n for n in tables if n not in done and all(o in done or o not in tables for _, o, _ in owners(n, tables[n].columns))]
+        if not ready:
+            raise ValueError("tables hang on each other in a circle")
+        done += ready
+    return done
+
+
+def cascade(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """All tables without the rows that hang on what goes, directly or through other rows, and the rows removed of each table that
+    loses any. gone: by owner (contigs, samples, bins), a table of the names that go. A table is read once for each owner."""
+    kept, removed = {}, {}
+    roots = {"contigs": "contig_name", "samples": "sample_name", "bins": "mag_name"}
+    for name in in_order(tables):
+        df, lost = tables[name], None
+        if name in roots and name in gone:
+            ways = [(roots[name], gone[name].select(roots[name]))]
+        else:
+            ways = [(c, (removed[o] if o in removed else gone[o]).select(F.col(k).alias(c))) for c, o, k in owners(name, df.columns) if o in removed or o in gone]
+        for column, keys in ways:
+            keys = keys.distinct()
+            out = df.join(keys, column, "left_semi")
+            lost = out if lost is None else lost.unionByName(out)
+            df = df.join(keys, column, "left_anti")
+        kept[name] = df.select(*tables[name].columns)
+        if lost is not None:
+            removed[name] = lost.select(*tables[name].columns)
+    return kept, removed
+
+
+def recounted(kept: dict[str, DataFrame], removed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """kept with mapped reads of samples, and sample counts of contigs and bins, made anew where read_counts lost rows."""
+    if "read_counts" not in removed:
+        return kept
+    out, lost, left = dict(kept), removed["read_counts"], kept["read_counts"]
+
+    def anew(table: str, key: str, touched: DataFrame, values: DataFrame, column: str) -> DataFrame:
+        own = touched.select(key).distinct().join(values, key, "left").select(key, F.coalesce("__v", F.lit(0)).cast("long").alias("__v"), F.lit(True).alias("__t"))
+        rows = kept[table].join(own, key, "left").withColumn(column, F.when(F.col("__t"), F.col("__v")).otherwise(F.col(column)))
+        return rows.select(*kept[table].columns)
+
+    if "samples" in kept:
+        out["samples"] = anew("samples", "sample_name", lost, left.groupBy("sample_name").agg(F.sum("read_count").alias("__v")), "n_mapped")
+    counted = lambda rows, key: rows.filter("read_count > 0").groupBy(key).agg(F.count_distinct("sample_name").alias("__v"))
+    if "contig_counts" in kept:
+        out["contig_counts"] = anew("contig_counts", "contig_name", lost, counted(left, "contig_name"), "n_samples")
+    if "bin_counts" in kept:
+        members = kept["members"].select("mag_name", "contig_name")
+        out["bin_counts"] = anew("bin_counts", "mag_name", lost.join(members, "contig_name"), counted(left.join(members, "contig_name"), "mag_name"), "n_samples")
+    return out
+
+
+def removal_problems(tables: dict[str, DataFrame], contigs: DataFrame) -> DataFrame:
+    """Contigs that can't be removed by themselves: unknown ones and, in a dataset of bins, all."""
+    known = tables["contigs"].select("contig_name", F.lit(True).alias("__k")).distinct()
+    rows = contigs.select("contig_name").join(known, "contig_name", "left")
+    says = F.when(F.col("__k").isNull(), "unknown contig")
+    return rows.select("contig_name", says.when(F.lit("bins" in tables), "in bin mode").alias("problem")).filter("problem is not null")
+
+
+def remove_contigs(tables: dict[str, DataFrame], contigs: DataFrame) -> dict[str, DataFrame]:
+    """All tables without some contigs, recounted; refused in a dataset of bins and for unknown names."""
+    if found := removal_problems(tables, contigs).limit(3).collect():
+        raise ValueError("; ".join(f"{r.problem}: {r.contig_name}" for r in found))
+    return recounted(*cascade(tables, {"contigs": contigs}))
+
+
+def remove_samples(tables: dict[str, DataFrame], samples: DataFrame) -> dict[str, DataFrame]:
+    return recounted(*cascade(tables, {"samples": samples}))
+
+
+def remove_bins(tables: dict[str, DataFrame], bins: DataFrame) -> dict[str, DataFrame]:
+    """All tables without some bins and their contigs, recounted."""
+    if "bins" not in tables:
+        raise ValueError("not a dataset of bins")
+    contigs = tables["members"].join(bins.select("mag_name"), "mag_name", "left_semi").select("contig_name")
+    return recounted(*cascade(tables, {"bins": bins, "contigs": contigs}))
+
+
 def purge_mapping(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Only the tables on genomes: those that have no sample."""
     return {n: df for n, df in tables.items() if "sample_name" not in df.columns}

@@ -156,4 +156,65 @@ def expand_contigs(spark: SparkSession, d: str) -> DataFrame:
     return V.expand_contigs(contigs, pairs)
 
 
+DATASET = f"""with {PRELUDE}, {BINS}, a as ({oracle('annotations')}), quals as ({oracle('qualifiers')}), reps as ({oracle('repeats')}),
+rc as (select sample_name, contig_name, count(*)::bigint as read_count from reads where klass = 'primary' group by all)"""
+_LEFT = """select 'annotations' as part, 'rows' as name, count(*)::bigint as n from a where contig_name not in (select contig_name from gone)
+union all select 'qualifiers', 'rows', count(*) from quals where annotation_id in (select annotation_id from a where contig_name not in (select contig_name from gone))
+union all select 'repeats', 'rows', count(*) from reps where contig_name not in (select contig_name from gone)
+union all select 'samples', sample_name, sum(case when contig_name in (select contig_name from gone) then 0 else read_count end)::bigint from rc group by sample_name
+union all select 'contig_counts', contig_name, count(distinct sample_name) from rc where contig_name not in (select contig_name from gone) group by contig_name"""
+
+
+def dataset_tables(spark: SparkSession, d: str, with_bins: bool) -> dict[str, DataFrame]:
+    counts = M.read_counts(reads(spark, d))
+    out = {
+        "contigs": derived(spark, d, "contigs"), "annotations": derived(spark, d, "annotations"), "qualifiers": derived(spark, d, "qualifiers"), "repeats": derived(spark, d, "repeats"),
+        "read_counts": counts, "samples": counts.groupBy("sample_name").agg(F.sum("read_count").alias("n_mapped")), "contig_counts": M.sample_counts(counts, "contig_name"),
+    }
+    if with_bins:
+        members = bins(spark, d).select("mag_name", "contig_name")
+        out |= {"bins": members.select("mag_name").distinct(), "members": members, "bin_counts": M.sample_counts(counts.join(members, "contig_name"), "mag_name")}
+    return out
+
+
+def what_is_left(tables: dict[str, DataFrame]) -> DataFrame:
+    rows = lambda name: tables[name].agg(F.lit(name).alias("part"), F.lit("rows").alias("name"), F.count("*").alias("n"))
+    each = lambda name, key, value: tables[name].select(F.lit(name).alias("part"), F.col(key).alias("name"), F.col(value).cast("long").alias("n"))
+    parts = [rows("annotations"), rows("qualifiers"), rows("repeats"), each("samples", "sample_name", "n_mapped"), each("contig_counts", "contig_name", "n_samples")]
+    parts += [each("bin_counts", "mag_name", "n_samples")] if "bin_counts" in tables else []
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+SQL["remove_contigs"] = DATASET + f", gone as (select 'ctg3' as contig_name union all select 'ctg11') {_LEFT}"
+
+
+def remove_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """What hangs on two contigs goes, and mapped reads and sample counts are made anew."""
+    names = derived(spark, d, "contigs").filter("contig_name in ('ctg3', 'ctg11')")
+    return what_is_left(N.remove_contigs(dataset_tables(spark, d, False), names))
+
+
+SQL["remove_bin"] = DATASET + f""", one as (select min(mag_name) as mag_name from bins), gone as (select contig_name from bins where mag_name in (select mag_name from one)) {_LEFT}
+union all select 'bin_counts', mag_name, count(distinct sample_name) from rc join bins using (contig_name) where mag_name not in (select mag_name from one) group by mag_name"""
+
+
+def remove_bin(spark: SparkSession, d: str) -> DataFrame:
+    """The first bin goes with its contigs and all that hangs on them."""
+    tables = dataset_tables(spark, d, True)
+    return what_is_left(N.remove_bins(tables, tables["bins"].agg(F.min("mag_name").alias("mag_name"))))
+
+
+SQL["removal_problems"] = f"with contigs as ({oracle('contigs')}), q as (select distinct concat('ctg', cast(l_partkey % 23 as varchar)) as contig_name from lineitem) select contig_name, case when contig_name in (select contig_name from contigs) then 'in bin mode' else 'unknown contig' end as problem from q"
+
+
+def removal_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Names that can't be removed by themselves from a dataset of bins."""
+    asked = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("ctg"), (F.col("l_partkey") % 23).cast("string")).alias("contig_name")).distinct()
+    return N.removal_problems(dataset_tables(spark, d, True), asked)
+
+
 QUERIES |= {f.__name__: f for f in (all_samples, mag_dots, translations, summary_report, slice_with_anchors, min_frequency, bars_filter, present_pairs, cds_parents, remove_sample, add_metadata, expand_contigs)}
+QUERIES |= {f.__name__: f for f in (remove_contigs, remove_bin, removal_problems)}
