@@ -109,3 +109,21 @@ def test_smoothing_of_a_million_alike_runs(spark):
         want.append((at, last, (at + last) / 2))
         at = last + 1
     assert [(r.start, r.end, r.value) for r in got] == want[:30]
+
+
+def test_terminase_distances_on_circles(spark):
+    """Against all pairs of a terminus and a gene."""
+    rng = random.Random(3)
+    contigs = [("a", 1000, True), ("b", 1000, False), ("c", 1000, True)]
+    genes = [(c, s, s + rng.randint(0, 60)) for c in "ab" for s in (rng.randint(1, 900) for _ in range(3))]
+    centers = [("s", c, "reads_starts", rng.randint(1, 1000)) for c in "abc" for _ in range(4)]
+    want = {}
+    for _, c, _, p in centers:
+        for g, s, e in genes:
+            if g == c:
+                d = max(s - p, p - e, 0)
+                want[c] = min(want.get(c, 10**9), min(d, 1000 - d) if d and c == "a" else d)
+    areas = spark.createDataFrame(centers, KEY + ", center long")
+    out = P.terminase_distances(areas, spark.createDataFrame(genes, "contig_name string, start long, `end` long"), spark.createDataFrame(contigs, "contig_name string, contig_length long, circular boolean"))
+    assert {r.contig_name: r.terminase_distance for r in out.collect()} == want and set(want) == {"a", "b"}
+    assert {r.terminase_percentage for r in out.collect()} == {int(v / 10 + 0.5) for v in want.values()}

@@ -154,7 +154,7 @@ def nearest_distance(points: DataFrame, genes: DataFrame, chunk: int = CHUNK) ->
     before a point, and the first start after it, decide. Both are found inside chunks; what lies before and after a chunk
     comes from a table that has a row for each chunk."""
     marks = points.select("contig_name", F.col("pos").cast("long").alias("pos"), "point_id", F.lit(None).cast("long").alias("gene_end")).unionByName(
-        genes.select("contig_name", F.col("start").cast("long").alias("pos"), F.lit(None).cast("long").alias("point_id"), F.col("end").cast("long").alias("gene_end")))
+        genes.select("contig_name", F.col("start").cast("long").alias("pos"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.col("end").cast("long").alias("gene_end")))
     marks = marks.withColumn("chunk", F.floor(F.col("pos") / chunk))
     starts = F.when(F.col("gene_end").isNotNull(), F.col("pos"))
     across = Window.partitionBy("contig_name").orderBy("chunk")
@@ -168,6 +168,17 @@ def nearest_distance(points: DataFrame, genes: DataFrame, chunk: int = CHUNK) ->
     return rows.select("point_id", F.when(F.col("e") >= F.col("pos"), 0).otherwise(F.least(F.col("pos") - F.col("e"), F.col("s") - F.col("pos"))).alias("distance"))
 
 
+def circular_distance(points: DataFrame, genes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """point_id and the distance to the closest gene of its contig. On a circular contig a gene that is d away is length - d
+    away the other way round, so the gene that is furthest counts too: it starts last, or ends first."""
+    ends = genes.groupBy("contig_name").agg(F.max("start").alias("last_start"), F.min("end").alias("first_end"))
+    near = nearest_distance(points, genes)
+    rows = points.select("point_id", "contig_name", "pos").join(near, "point_id").join(ends, "contig_name").join(contigs.select("contig_name", "contig_length", "circular"), "contig_name")
+    far = F.greatest(F.col("last_start") - F.col("pos"), F.col("pos") - F.col("first_end"))
+    around = F.when(F.col("circular") & (F.col("distance") > 0), F.least(F.col("distance"), F.col("contig_length") - far)).otherwise(F.col("distance"))
+    return rows.select("point_id", around.alias("distance"))
+
+
 def interval_stats(genes: DataFrame, runs: DataFrame, keys: list[str], bucket: int = 1000) -> DataFrame:
     """By gene and sample: covered bases, sum and length-weighted mean of a signal. genes: id, keys, start, end."""
     from .kernels import overlap_length

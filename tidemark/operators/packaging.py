@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .genome import circular_distance
 from .kernels import islands, overlap_join
 from .signals import PAIR, depth_at
 
@@ -209,3 +210,19 @@ def explicit_mechanisms(areas: DataFrame, pairs: DataFrame) -> DataFrame:
     listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("center")))), lambda x: x.cast("string")), ",")
     found = areas.groupBy(*PAIR).agg(listed("reads_starts").alias("start_centers"), listed("reads_ends").alias("end_centers"), F.sum("peaks").alias("total_peaks"))
     return pairs.select(*PAIR, "mechanism", "distance", "duplication").join(found, PAIR)
+
+
+def terminase_distances(areas: DataFrame, genes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """By pair, how near the terminus that is nearest to one lies to a terminase gene, in bases and in whole percent of the
+    contig. genes: contig_name, start, end of those whose product names a terminase."""
+    points = areas.select(*PAIR, F.col("center").alias("pos")).distinct().withColumn("point_id", F.struct(*PAIR, "pos"))
+    near = circular_distance(points, genes.select("contig_name", "start", "end"), contigs)
+    best = near.groupBy("point_id.sample_name", "point_id.contig_name").agg(F.min("distance").alias("terminase_distance"))
+    percent = F.round(F.col("terminase_distance") / F.col("contig_length") * 100).cast("int")
+    return best.join(contigs.select("contig_name", "contig_length"), "contig_name").select(*PAIR, "terminase_distance", F.when(F.col("contig_length") > 0, percent).alias("terminase_percentage"))
+
+
+def termini_view(areas: DataFrame, mechanisms: DataFrame, terminase: DataFrame) -> DataFrame:
+    """Every area of the pairs that have a mechanism, with what its pair has: mechanism, duplication and terminase columns."""
+    own = mechanisms.select(*PAIR, "mechanism", "duplication").join(terminase, PAIR, "left")
+    return areas.join(own, PAIR)

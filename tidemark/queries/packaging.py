@@ -151,4 +151,35 @@ def packaging_mechanisms(spark: SparkSession, d: str) -> DataFrame:
     return P.explicit_mechanisms(kept, P.classify_packaging(unique)).withColumn("distance", F.col("distance").cast("double"))
 
 
-QUERIES |= {f.__name__: f for f in (terminus_candidates, peak_areas, poisson_test, area_tests, packaging_mechanisms)}
+GENES = f"""genes as (select contig_name, "start", "end" from ({oracle('annotations')}) where product like '%URGENT%'),
+near as (select g2.sample_name, g2.contig_name, min(case when circular and d > 0 then least(d, contig_length - d) else d end) as terminase_distance
+  from (select k.*, greatest(g."start" - center, center - g."end", 0) as d from good k join genes g using (contig_name)) g2 group by all)"""
+_MECHANISMS = SQL["packaging_mechanisms"].rpartition("\nselect sample_name, contig_name, case")
+SQL["terminase_distances"] = _MECHANISMS[0] + f""",
+{GENES}
+select sample_name, contig_name, terminase_distance::bigint as terminase_distance, round(terminase_distance / contig_length * 100)::int as terminase_percentage from near join sums using (sample_name, contig_name)"""
+SQL["termini_view"] = _MECHANISMS[0] + f""",
+{GENES}, mech as (select sample_name, contig_name, case{_MECHANISMS[2]})
+select m.sample_name, m.contig_name, m.kind, m."start"::bigint as "start", m."end"::bigint as "end", m.center::bigint as center, m.clips::bigint as clips, m.clip_ok, m.p <= 0.05 as significant, mechanism, duplication, terminase_distance::bigint as terminase_distance
+from marked2 m join mech using (sample_name, contig_name) left join near using (sample_name, contig_name)"""
+
+
+def mechanisms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Areas with their tests, the mechanisms, and the distances to terminases: genes whose product is URGENT stand for these."""
+    areas, regions = judged(spark, d)
+    kept = areas.filter("significant and clip_ok")
+    unique = P.dedupe_dtr_areas(kept, regions, gap=20)
+    genes = derived(spark, d, "annotations").filter(F.contains("product", F.lit("URGENT")))
+    return areas, P.explicit_mechanisms(kept, P.classify_packaging(unique)), P.terminase_distances(kept, genes, rings(spark, d))
+
+
+def terminase_distances(spark: SparkSession, d: str) -> DataFrame:
+    return longs(mechanisms(spark, d)[2], "terminase_distance")
+
+
+def termini_view(spark: SparkSession, d: str) -> DataFrame:
+    out = P.termini_view(*mechanisms(spark, d))
+    return longs(out.select(*P.SIDE, "start", "end", "center", "clips", "clip_ok", "significant", "mechanism", "duplication", "terminase_distance"), "start", "end", "center", "clips", "terminase_distance")
+
+
+QUERIES |= {f.__name__: f for f in (terminus_candidates, peak_areas, poisson_test, area_tests, packaging_mechanisms, terminase_distances, termini_view)}
