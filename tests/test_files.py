@@ -66,7 +66,20 @@ def test_gff3(spark, tmp_path):
 def test_genbank(spark, tmp_path):
     rows = X.read_genbank(spark, put(tmp_path, "a.gbk", GENBANK)).collect()
     got = {(r.contig_name, r.contig_length, r.type, r.start, r.end, r.strand, len(r.segments), r.attributes.get("product")) for r in rows}
-    assert got == {("phage1", 1200, "source", 1, 1200, 1, 1, None), ("phage1", 1200, "CDS", 10, 90, -1, 2, "tail fiber"), ("phage1", 1200, "CDS", 100, 400, 1, 1, "capsid"), ("phage2", 20, "tRNA", 3, 9, 1, 1, None)}
+    assert got == {("phage1", 8, "CDS", 10, 90, -1, 2, "tail fiber"), ("phage1", 8, "CDS", 100, 400, 1, 1, "capsid"), ("phage2", 20, "tRNA", 3, 9, 1, 1, None)}
+    path = str(tmp_path / "a.gbk")
+    assert {(r.contig_name, r.contig_length, r.alias, tuple((r.qualifiers or {}).items())) for r in X.genbank_contigs(spark, path).collect()} == {("phage1", 8, None, (("organism", "a phage"),)), ("phage2", 20, None, ())}
+    assert [tuple(r) for r in X.genbank_sequences(spark, path, 5).orderBy("chunk_idx").collect()] == [("phage1", 0, "acgta"), ("phage1", 1, "cgt")]
+
+
+@pytest.mark.parametrize(("place", "segments"), [
+    ("467", [(467, 467, 1)]), ("340..565", [(340, 565, 1)]), ("<345..>500", [(345, 500, 1)]), ("<1", [(1, 1, 1)]),
+    ("join(12..78,134..202)", [(12, 78, 1), (134, 202, 1)]), ("complement(34..126)", [(34, 126, -1)]), ("complement(join(2691..4571,4918..5163))", [(2691, 4571, -1), (4918, 5163, -1)]),
+    ("join(complement(4918..5163),complement(2691..4571))", [(4918, 5163, -1), (2691, 4571, -1)]), ("order(1..5,complement(order(7,9..11)),20)", [(1, 5, 1), (7, 7, -1), (9, 11, -1), (20, 20, 1)]),
+    ("complement(complement(3..9))", [(3, 9, 1)]), ("join(1..100,J00194.1:100..202)", [(1, 100, 1)]), ("123^124", []), ("102.110", []), ("join(one-of(3,5)..9,20..30)", [(20, 30, 1)]), ("join(12..one-of(15,19),20..30)", [(20, 30, 1)]), ("", []), ("join(1..4,gap(10),20..22)", [(1, 4, 1), (20, 22, 1)]),
+])
+def test_genbank_locations(spark, place, segments):
+    assert [tuple(s) for s in spark.range(1).select(X.location_segments(F.lit(place)).alias("s")).first().s] == segments
 
 
 def test_blast_metadata_and_features(spark, tmp_path):

@@ -44,6 +44,32 @@ def gff3_scan(spark: SparkSession, d: str) -> DataFrame:
     return X.read_gff3(spark, path).select("contig_name", "start", "end", "strand", "type", at("ID").alias("id"), at("product").alias("product"), at("locus_tag").alias("locus_tag"))
 
 
+#: How the location of an annotation is written, by its id: each form with the segments that it has.
+FORMS = """case annotation_id % 6 when 0 then concat(s, '..', e) when 1 then concat('complement(', s, '..', e, ')') when 2 then concat('join(', s, ',', n, '..', e, ')')
+  when 3 then concat('complement(order(<', s, '..', s, ',', n, '..>', e, '))') when 4 then concat('join(complement(', s, '..', e, '),X9.1:5..7,', n, ')') else concat('join(', s, '^', n, ',', n, '..', e, ')') end"""
+SQL["genbank_scan"] = f"""with a as ({oracle('annotations')}), k as (select *, annotation_id % 6 as f from a),
+g as (select contig_name, annotation_id::varchar as id, type, locus_tag, case when f in (1, 3) then -1 else 1 end as strand, f, "start" as s, "end" + 10 as n, "end" + 19 as e from k)
+select contig_name, id, type, locus_tag, strand, (case when f = 5 then n else s end)::bigint as "start", (case when f = 4 then greatest(n, e) else e end)::bigint as "end",
+  case f when 2 then s || '-' || s || ':1;' || n || '-' || e || ':1' when 3 then s || '-' || s || ':-1;' || n || '-' || e || ':-1' when 4 then s || '-' || e || ':-1;' || n || '-' || n || ':1'
+    when 5 then n || '-' || e || ':1' when 1 then s || '-' || e || ':-1' else s || '-' || e || ':1' end as segments, 12::bigint as contig_length, 'strain ' || contig_name as strain from g"""
+
+
+def genbank_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every annotation as a GenBank feature, in six forms of location, with a source and bases, written and read back."""
+    path = shared_path(spark, "genbank")
+    rows = derived(spark, d, "annotations").select("*", F.col("start").cast("string").alias("s"), (F.col("end") + 19).cast("string").alias("e"), (F.col("end") + 10).cast("string").alias("n"))
+    line = F.format_string("     %-16s%s\n                     /ID=\"%s\"", "type", F.expr(FORMS), F.col("annotation_id").cast("string"))
+    line = F.concat(line, F.coalesce(F.concat(F.lit("\n                     /locus_tag=\""), "locus_tag", F.lit("\"")), F.lit("")))
+    features = rows.groupBy("contig_name").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("f"))
+    head = F.format_string("LOCUS       %s 12 bp    DNA     linear\nVERSION     %s.1\nFEATURES             Location/Qualifiers\n     source          1..12\n                     /strain=\"strain %s\"\n", "contig_name", "contig_name", "contig_name")
+    features.select(F.concat(head, "f", F.lit("\nORIGIN\n        1 acgtacgtac gt\n//")).alias("value")).write.text(path)
+    at = lambda k: F.try_element_at("attributes", F.lit(k))
+    told = X.genbank_contigs(spark, path).filter(F.col("alias") == F.concat("contig_name", F.lit(".1"))).select("contig_name", F.try_element_at("qualifiers", F.lit("strain")).alias("strain"))
+    segments = F.array_join(F.transform("segments", lambda x: F.format_string("%s-%s:%s", x.start.cast("string"), x.end.cast("string"), x.strand.cast("string"))), ";")
+    out = X.read_genbank(spark, path).join(told, "contig_name")
+    return out.select("contig_name", at("ID").alias("id"), "type", at("locus_tag").alias("locus_tag"), F.col("strand").cast("int").alias("strand"), "start", "end", segments.alias("segments"), "contig_length", "strain")
+
+
 SQL["blast6_scan"] = f"""with h as ({oracle('repeats')}) select contig_name as contig_1, contig_name as contig_2, p1, p2, p1x, p2x, pident, (p2 >= p1) = (p2x >= p1x) as is_direct from h where not (p1 = p1x and p2 = p2x)"""
 
 
@@ -83,4 +109,4 @@ def dataset_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/alignments").groupBy("sample_name", "contig_name").agg(F.count("*").alias("n"), F.sum("pos").alias("pos_sum"))
 
 
-QUERIES |= {f.__name__: f for f in (sam_scan, fasta_scan, gff3_scan, blast6_scan, runs_tsv, metadata_scan, dataset_round_trip)}
+QUERIES |= {f.__name__: f for f in (sam_scan, fasta_scan, gff3_scan, genbank_scan, blast6_scan, runs_tsv, metadata_scan, dataset_round_trip)}

@@ -102,24 +102,72 @@ def gff3_contigs(spark: SparkSession, path) -> DataFrame:
     return said.unionByName(seen).groupBy("contig_name").agg(F.coalesce(F.max("said"), F.max("seen")).alias("contig_length"))
 
 
-def read_genbank(spark: SparkSession, path) -> DataFrame:
-    """Features of GenBank records: contig_name, contig_length, type, start, end, strand, segments, attributes.
+#: A part of a GenBank location: a name with its bracket, a closing one, or a place with the record it is in, if another.
+LOCATION = r"[a-z-]+\(|\)|[.^]+[<>]?\d+|(?:[A-Za-z0-9_.]+:)?[<>]?\d++(?:[.^]+[<>]?\d++)?(?![.^])"
 
-    A record is one row up to its `//` line; features are found by their column, locations by their numbers.
-    """
+
+def location_segments(place: Column) -> Column:
+    """array<struct<start, end, strand>> of a GenBank location (without blanks), in the order of the text. join, order and
+    complement may hold one another; strand is -1 inside an odd number of complements. Single bases and open ends count as they
+    stand; places between two bases (^), one of several (one-of, n.m), gaps and places in other records are no segments."""
+    kind = "array<struct<start:bigint,end:bigint,strand:int>>"
+
+    def step(acc: Column, t: Column) -> Column:
+        opens = F.when(t == "complement(", "c").when(t.isin("join(", "order("), "j").otherwise("x")
+        first, last = (F.regexp_extract(t, r"^[<>]?(\d+)(?:\.\.[<>]?(\d+))?$", i) for i in (1, 2))
+        strand = F.when(F.length(F.replace(acc.stack, F.lit("c"), F.lit(""))) % 2 != F.length(acc.stack) % 2, -1).otherwise(1)
+        own = F.array(F.struct(first.try_cast("bigint").alias("start"), F.coalesce(last.try_cast("bigint"), first.try_cast("bigint")).alias("end"), strand.alias("strand"))).cast(kind)
+        stack = F.when(F.endswith(t, F.lit("(")), F.concat(acc.stack, opens)).when(t == ")", F.substring(acc.stack, F.lit(1), F.greatest(F.length(acc.stack) - 1, F.lit(0)))).otherwise(acc.stack)
+        return F.struct(stack.alias("stack"), F.when((first != "") & (F.instr(acc.stack, "x") == 0), F.concat(acc.out, own)).otherwise(acc.out).alias("out"))
+
+    none = F.struct(F.lit("").alias("stack"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.regexp_extract_all(place, F.lit(LOCATION), F.lit(0)), none, step, lambda acc: acc.out)
+
+
+def _genbank(spark: SparkSession, path) -> DataFrame:
+    """A row for each record, up to its `//` line: contig_name, value."""
     record = spark.read.option("lineSep", "\n//").text(path).filter(F.col("value").contains("LOCUS"))
-    table = F.regexp_extract("value", r"(?s)\nFEATURES[^\n]*\n(.*?)(?:\nORIGIN|\z)", 1)
-    rows = record.select(
-        F.regexp_extract("value", r"LOCUS\s+(\S+)", 1).alias("contig_name"), F.regexp_extract("value", r"LOCUS\s+\S+\s+(\d+)", 1).cast("long").alias("contig_length"),
-        F.explode(F.split(table, r"\n(?= {5}\S)")).alias("block"),
-    )
+    return record.select(F.regexp_extract("value", r"LOCUS\s+(\S+)", 1).alias("contig_name"), "value")
+
+
+def _genbank_features(records: DataFrame) -> DataFrame:
+    """contig_name, type, place and attributes of all features; they are found by their column."""
+    table = F.regexp_extract("value", r"(?s)\nFEATURES[^\n]*\n(.*?)(?:\n(?:ORIGIN|CONTIG|BASE COUNT)|\z)", 1)
+    rows = records.select("contig_name", F.explode(F.split(table, r"\n(?= {5}\S)")).alias("block"))
     place = F.regexp_replace(F.regexp_extract("block", r"(?s)^\s*\S+\s+(.*?)(?=\n\s+/|\z)", 1), r"\s", "")
-    flat = F.regexp_replace("block", r"\n\s{21}(?!/)", " ")
-    keys, values = F.regexp_extract_all(flat, F.lit(r'\n\s+/(\w+)(?:="?([^"\n]*)"?)?'), F.lit(1)), F.regexp_extract_all(flat, F.lit(r'\n\s+/(\w+)(?:="?([^"\n]*)"?)?'), F.lit(2))
-    number = lambda x, i: F.regexp_extract(x, r"(\d+)\D+(\d+)", i).cast("long")
-    spans = F.transform(F.regexp_extract_all(place, F.lit(r"(<?\d+\.\.>?\d+)"), F.lit(1)), lambda x: F.struct(number(x, 1).alias("start"), number(x, 2).alias("end")))
-    out = rows.select("contig_name", "contig_length", F.regexp_extract("block", r"^\s*(\S+)", 1).alias("type"), F.when(place.contains("complement"), -1).otherwise(1).alias("strand"), F.array_sort(spans).alias("segments"), attributes(keys, values).alias("attributes"))
-    return out.filter(F.size("segments") > 0).withColumns({"start": F.array_min("segments.start"), "end": F.array_max("segments.end")})
+    flat, key = F.regexp_replace("block", r"\n\s{21}(?!/)", " "), F.lit(r'\n\s+/(\w+)(?:="?([^"\n]*)"?)?')
+    found = attributes(F.regexp_extract_all(flat, key, F.lit(1)), F.regexp_extract_all(flat, key, F.lit(2)))
+    return rows.select("contig_name", F.regexp_extract("block", r"^\s*(\S+)", 1).alias("type"), place.alias("place"), found.alias("attributes"))
+
+
+def _origin() -> Column:
+    """The bases of a record."""
+    return F.regexp_replace(F.regexp_extract("value", r"(?s)\nORIGIN[^\n]*\n(.*)\z", 1), "[^A-Za-z]", "")
+
+
+def read_genbank(spark: SparkSession, path) -> DataFrame:
+    """Features of GenBank records: contig_name, contig_length, type, start, end, strand, segments (each with its own strand),
+    attributes. strand is -1 where complement is around the whole location; features without a segment on the contig go, and
+    `source` is no feature but tells of the contig."""
+    lengths = genbank_contigs(spark, path).select("contig_name", "contig_length")
+    rows = _genbank_features(_genbank(spark, path)).filter("type <> 'source'").withColumn("segments", location_segments(F.col("place"))).filter(F.size("segments") > 0)
+    rows = rows.withColumns({"strand": F.when(F.startswith("place", F.lit("complement(")), -1).otherwise(1), "start": F.array_min("segments.start"), "end": F.array_max("segments.end")})
+    return rows.join(lengths, "contig_name", "left").select("contig_name", "contig_length", "type", "start", "end", "strand", "segments", "attributes")
+
+
+def genbank_contigs(spark: SparkSession, path) -> DataFrame:
+    """contig_name, contig_length (of its bases, or as the LOCUS line says, if there are none), alias (its version, where that is
+    another name) and qualifiers, those of `source`."""
+    records = _genbank(spark, path)
+    version, said = F.nullif(F.regexp_extract("value", r"\nVERSION\s+(\S+)", 1), F.lit("")), F.regexp_extract("value", r"LOCUS\s+\S+\s+(\d+)", 1).try_cast("long")
+    rows = records.select("contig_name", F.coalesce(F.nullif(F.length(_origin()).cast("long"), F.lit(0)), said).alias("contig_length"), F.nullif(version, F.col("contig_name")).alias("alias"))
+    tells = _genbank_features(records).filter("type = 'source'").groupBy("contig_name").agg(F.first("attributes").alias("qualifiers"))
+    return rows.join(tells, "contig_name", "left")
+
+
+def genbank_sequences(spark: SparkSession, path, size: int = 65_536) -> DataFrame:
+    """The bases of GenBank records in pieces: contig_name, chunk_idx from 0, seq."""
+    return _genbank(spark, path).select("contig_name", F.posexplode(pieces(_origin(), size)).alias("chunk_idx", "seq"))
 
 
 def read_blast6(spark: SparkSession, path) -> DataFrame:
