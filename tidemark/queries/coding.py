@@ -25,15 +25,18 @@ p as (select contig_name, id, unnest(range(1, n + 1)) as pos from q),
 o as (select p.*, p.id * 1000000 + p.pos as point_id, substr('ACGT', (p.pos % 4 + 1)::int, 1) as base, cut.id is not null and p.pos between s and e as inside, minus, size,
   case when p.pos between s and m then p.pos - s when p.pos between t and e then m - s + 1 + p.pos - t end as fwd from p left join cut using (contig_name)),
 f as (select o.*, case when minus then size - 1 - fwd else fwd end as off, case when minus then translate(base, 'ACGT', 'TGCA') else base end as b from o),
-k as (select f.*, substr(code, (off // 3 * 3 + 1)::int, 3) as was from f join cut using (contig_name) where inside and off is not null),
-c as (select *, substr(was, 1, (off % 3)::int) || b || substr(was, (off % 3)::int + 2) as codon from k where length(was) = 3)
-select point_id, case when a.amino = b.amino then 'Synonymous' else 'Non-synonymous' end as category, c.codon, concat(b.amino, ' (', name, ')') as amino_acid
-from c join code a on a.codon = was join code b on b.codon = c.codon join names on names.amino = b.amino
-union all select point_id, 'Intergenic', '', '' from f where not inside"""
+triplets as (select contig_name, unnest(t) as was, unnest(range(0, len(t))) as i from (select contig_name, regexp_extract_all(code, '...') as t from cut)),
+k as (select f.*, was from f join triplets on triplets.contig_name = f.contig_name and i = off // 3 where inside and off is not null),
+c as (select *, substr(was, 1, (off % 3)::int) || b || substr(was, (off % 3)::int + 2) as codon from k where length(was) = 3),
+every as (select point_id, case when a.amino = b.amino then 'Synonymous' else 'Non-synonymous' end as category, c.codon, concat(b.amino, ' (', name, ')') as amino_acid
+  from c join code a on a.codon = was join code b on b.codon = c.codon join names on names.amino = b.amino
+  union all select point_id, 'Intergenic', '', '' from f where not inside)
+select category, codon, amino_acid, count(*)::bigint as n, min(point_id)::bigint as first_point, max(point_id)::bigint as last_point, sum(point_id % 1000003)::bigint as point_sum from every group by all"""
 
 
 def codon_effect(spark: SparkSession, d: str) -> DataFrame:
-    """A changed base at every place of all sequences; regions have two segments, every other one is reversed."""
+    """A changed base at every place of all sequences, counted by what it does and its codon; regions have two segments, every
+    other one is reversed."""
     q = derived(spark, d, "sequences").withColumns({"id": F.substring("contig_name", 4, 30).cast("long"), "n": F.length("seq")})
     third = F.floor(F.col("n") / 3)
     span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
@@ -41,7 +44,10 @@ def codon_effect(spark: SparkSession, d: str) -> DataFrame:
     cds = cds.select("id", "contig_name", F.array_min("segments.start").alias("start"), F.array_max("segments.end").alias("end"), "strand", "segments", Q.splice(F.col("seq"), F.col("segments"), F.col("strand")).alias("seq"))
     points = q.select("contig_name", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"))
     points = points.select((F.col("id") * 1_000_000 + F.col("pos")).alias("point_id"), "contig_name", F.col("pos").cast("long").alias("pos"), F.substring(F.lit("ACGT"), F.col("pos") % 4 + 1, F.lit(1)).alias("base"))
-    return D.codon_effect(points, cds)
+    every = D.codon_effect(points, cds)
+    return every.groupBy("category", "codon", "amino_acid").agg(
+        F.count("*").alias("n"), F.min("point_id").alias("first_point"), F.max("point_id").alias("last_point"), F.sum(F.col("point_id") % 1_000_003).alias("point_sum")
+    )
 
 
 SQL["cds_mapping_patterns"] = f"""with {PRELUDE}, {DEPTH}, {MISMATCH}, {CLIPS}, {POSITIONS},
