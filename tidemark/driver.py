@@ -119,6 +119,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder: its lineage ends there."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
     """What tells whether the files of some tables are still the same: their paths, sizes and times, summed up by Spark. No
     content is read."""

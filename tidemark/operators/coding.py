@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..driver import written
 from ..functions.sequence import codons, translate
 from .genome import covering_latest
 from .kernels import overlap_join
@@ -93,13 +94,69 @@ def resolve_cds_parent(features: DataFrame) -> DataFrame:
     return met.groupBy("annotation_id").agg(F.min("parent_id").alias("parent_id"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
-def fold_gff_children(rows: DataFrame) -> DataFrame:
-    """Transcripts with their exon and CDS segments: each child goes to the first of its Parent list that is a feature.
+#: Types of features that take exons and coding parts in.
+TRANSCRIPTS = ("mRNA", "transcript", "primary_transcript")
 
-    rows: row_no, contig_name, type, start, end, attributes (ID, Parent). Returns row_no of the parent, exons, cds.
+
+def _attribute(name: str) -> Column:
+    return F.try_element_at("attributes", F.lit(name))
+
+
+def _first_of_id(rows: DataFrame) -> DataFrame:
+    """name, parent_no and type of the first row that has an ID."""
+    first = rows.select(_attribute("ID").alias("name"), "row_no", "type").filter("name is not null").groupBy("name").agg(F.min(F.struct("row_no", "type")).alias("r"))
+    return first.select("name", F.col("r.row_no").alias("parent_no"), F.col("r.type").alias("parent_type"))
+
+
+def transcript_of(rows: DataFrame) -> DataFrame:
+    """row_no and parent_no of exons and coding parts: the first of their Parent list that is the ID of a transcript. Names that no
+    row has, and those of other features, are passed over."""
+    children = rows.filter("type in ('exon', 'CDS')").select("row_no", F.posexplode(F.split(_attribute("Parent"), ",")).alias("ord", "name")).withColumn("name", F.trim("name"))
+    met = children.join(_first_of_id(rows).filter(F.col("parent_type").isin(*TRANSCRIPTS)), "name")
+    return met.groupBy("row_no").agg(F.min_by("parent_no", "ord").alias("parent_no"))
+
+
+def fold_gff(rows: DataFrame) -> DataFrame:
+    """Features with exons and coding parts folded into their transcripts: row_no, contig_name, type, start, end, strand,
+    attributes, segments, parent_no.
+
+    A transcript has its exons as segments, in order of place, if they are two or more. Its coding parts become one CDS with the
+    transcript's row number and as parent_no the same: from the least start to the largest end, on the first part's strand, with
+    the transcript's attributes and those of the first part (by row number) that it lacks. Parts without a transcript stay as
+    they are. rows: row_no, contig_name, type, start, end, strand, attributes (ID, Parent).
     """
-    parents = rows.select("contig_name", F.element_at("attributes", F.lit("ID")).alias("name"), F.col("row_no").alias("parent_no")).filter("name is not null").groupBy("contig_name", "name").agg(F.min("parent_no").alias("parent_no"))
-    children = rows.filter("type in ('exon', 'CDS')").select("row_no", "contig_name", "type", "start", "end", F.posexplode(F.split(F.element_at("attributes", F.lit("Parent")), ",")).alias("ord", "name"))
-    first = children.join(parents, ["contig_name", "name"]).groupBy("row_no", "type", "start", "end").agg(F.min(F.struct("ord", "parent_no")).alias("p"))
-    part = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("start", "end"))))
-    return first.groupBy(F.col("p.parent_no").alias("row_no")).agg(part("exon").alias("exons"), part("CDS").alias("cds"))
+    columns = ["row_no", "contig_name", "type", "start", "end", "strand", "attributes"]
+    owned = rows.select(*columns).join(transcript_of(rows), "row_no", "left")
+    span, none = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")), F.array().cast("array<struct<start:bigint,end:bigint>>")
+    parts = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, span)))
+    first = lambda c: F.min_by(F.when(F.col("type") == "CDS", F.col(c)), F.when(F.col("type") == "CDS", F.col("row_no")))
+    children = owned.filter("parent_no is not null").groupBy(F.col("parent_no").alias("row_no")).agg(
+        parts("exon").alias("exons"), parts("CDS").alias("coding"), first("strand").alias("c_strand"), first("attributes").alias("c_attributes")
+    )
+    rest = owned.filter("parent_no is null").drop("parent_no").join(children, "row_no", "left")
+    several = lambda c: F.when(F.size(c) > 1, F.col(c)).otherwise(none)
+    plain = rest.select(*columns, several("exons").alias("segments"), F.lit(None).cast("long").alias("parent_no"))
+    missing = F.map_filter("c_attributes", lambda k, _: ~F.map_contains_key("attributes", k))
+    coding = rest.filter(F.size("coding") > 0).select(
+        "row_no", "contig_name", F.lit("CDS").alias("type"), F.array_min("coding.start").alias("start"), F.array_max("coding.end").alias("end"),
+        F.col("c_strand").alias("strand"), F.map_concat("attributes", missing).alias("attributes"), several("coding").alias("segments"), F.col("row_no").cast("long").alias("parent_no"),
+    )
+    return plain.unionByName(coding)
+
+
+def top_features(rows: DataFrame, rounds: int = 6) -> DataFrame:
+    """row_no, top_no and level of every feature: the row at the upper end of its chain of parents (the first of a Parent list
+    that some row has), and how many steps up it is. Each round doubles the steps that are known. A feature without a known
+    parent is its own top; one on a circle of parents, or more than 2^rounds levels deep, has a null top."""
+    ids = _first_of_id(rows).drop("parent_type")
+    children = rows.select("row_no", F.posexplode(F.split(_attribute("Parent"), ",")).alias("ord", "name")).withColumn("name", F.trim("name"))
+    edges = children.join(ids, "name").groupBy("row_no").agg(F.min_by("parent_no", "ord").alias("up"))
+    edges = written(edges, "parents")
+    # up: a row above, or null at the top; at: the row reached so far
+    known = rows.select("row_no").join(edges, "row_no", "left").select("row_no", F.coalesce("up", "row_no").alias("at"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("level"))
+    for _ in range(rounds):
+        above = known.select(F.col("row_no").alias("at"), F.col("at").alias("next"), F.col("level").alias("more"))
+        known = written(known.join(above, "at").select("row_no", F.col("next").alias("at"), (F.col("level") + F.col("more")).alias("level")), "parents")
+    tops = rows.select(F.col("row_no").alias("at")).join(edges.select(F.col("row_no").alias("at")), "at", "left_anti").withColumn("top_no", F.col("at"))
+    out = known.join(tops, "at", "left")
+    return out.select("row_no", "top_no", F.when(F.col("top_no").isNotNull(), F.col("level")).alias("level"))

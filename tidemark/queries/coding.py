@@ -64,4 +64,48 @@ def cds_mapping_patterns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "aligned_pct", *[f"{k}_prevalence" for k in ("mismatch", "insertion", "deletion", "clipping")], digits=4)
 
 
-QUERIES |= {f.__name__: f for f in (codon_effect, cds_mapping_patterns)}
+#: Genes with transcripts, exons and coding parts, made of the annotations; some parts name no transcript, or none that exists.
+FEATURES = """
+select annotation_id * 10 as row_no, contig_name, 'gene' as type, s, e, strand, concat('g', id) as name, cast(null as varchar(9)) as parent, cast(null as varchar(9)) as note from base
+union all select annotation_id * 10 + 1, contig_name, case when annotation_id % 3 = 0 then 'transcript' else 'mRNA' end, s, e, strand, concat('m', id), concat('g', id), locus_tag from base
+union all select annotation_id * 10 + 2, contig_name, 'exon', s + 60, e, strand, null, concat('zz, m', id), null from base
+union all select annotation_id * 10 + 3, contig_name, 'exon', s, s + 40, strand, null, concat('m', id), null from base where annotation_id % 4 <> 0
+union all select annotation_id * 10 + 4, contig_name, 'CDS', s + 62, s + 70, -strand, concat('c', id), case annotation_id % 7 when 0 then 'none' when 1 then concat('g', id) else concat('g', id, ',m', id) end, 'later' from base
+union all select annotation_id * 10 + 5, contig_name, 'CDS', s + 3, s + 30, strand, concat('c', id), case annotation_id % 7 when 2 then null else concat('m', id) end, 'last' from base"""
+BASE = 'select annotation_id, contig_name, strand, locus_tag, cast(annotation_id as {text}) as id, {start} as s, {start} + 100 as e from '
+_FEATURES = "base as (" + BASE.format(text="varchar", start='"start"') + f"({oracle('annotations')})), f as materialized ({FEATURES})"
+SQL["fold_gff"] = f"""with {_FEATURES},
+p as (select row_no, unnest(string_split(parent, ',')) as name, unnest(range(0, len(string_split(parent, ',')))) as ord from f where type in ('exon', 'CDS')),
+own as materialized (select p.row_no, arg_min(t.row_no, ord) as t from p join f t on t.name = trim(p.name) and t.type in ('mRNA', 'transcript') group by p.row_no),
+c as materialized (select f.*, own.t from f join own using (row_no)),
+segs as (select t, type, count(*) as k, min(s) as s, max(e) as e, string_agg(s || '-' || e, ';' order by s) as text, arg_min(strand, row_no) as strand, arg_min(note, row_no) as note from c group by t, type)
+select f.row_no, f.type, f.s as "start", f.e as "end", f.strand, coalesce(case when x.k > 1 then x.text end, '') as segments, -1::bigint as parent_no, f.name, f.note
+from f left join segs x on x.t = f.row_no and x.type = 'exon' where f.row_no not in (select row_no from own)
+union all select f.row_no, 'CDS', x.s, x.e, x.strand, case when x.k > 1 then x.text else '' end, f.row_no, f.name, coalesce(f.note, x.note) from f join segs x on x.t = f.row_no and x.type = 'CDS'"""
+SQL["top_features"] = f"""with {_FEATURES},
+u as (select row_no, unnest(string_split(parent, ',')) as name, unnest(range(0, len(string_split(parent, ',')))) as ord from f),
+n as (select name, min(row_no) as row_no from f where name is not null group by name),
+up as materialized (select u.row_no, arg_min(n.row_no, ord) as up from u join n on n.name = trim(u.name) group by u.row_no)
+select f.row_no, coalesce(b.up, a.up, f.row_no)::bigint as top_no, case when b.up is not null then 2 when a.up is not null then 1 else 0 end as level
+from f left join up a on a.row_no = f.row_no left join up b on b.row_no = a.up"""
+
+
+def feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    base = BASE.format(text="string", start="`start`") + "{a}"
+    rows = spark.sql("with base as (" + base + ") " + FEATURES, a=derived(spark, d, "annotations"))
+    pairs = F.create_map(F.lit("ID"), F.col("name"), F.lit("Parent"), F.col("parent"), F.lit("note"), F.col("note"))
+    return rows.select("row_no", "contig_name", "type", F.col("s").alias("start"), F.col("e").alias("end"), "strand", F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("attributes"))
+
+
+def fold_gff(spark: SparkSession, d: str) -> DataFrame:
+    out = D.fold_gff(feature_rows(spark, d))
+    at = lambda k: F.try_element_at("attributes", F.lit(k))
+    segments = F.array_join(F.transform("segments", lambda x: F.concat_ws("-", x.start.cast("string"), x.end.cast("string"))), ";")
+    return out.select("row_no", "type", "start", "end", "strand", segments.alias("segments"), F.coalesce("parent_no", F.lit(-1)).cast("long").alias("parent_no"), at("ID").alias("name"), at("note").alias("note"))
+
+
+def top_features(spark: SparkSession, d: str) -> DataFrame:
+    return D.top_features(feature_rows(spark, d))
+
+
+QUERIES |= {f.__name__: f for f in (codon_effect, cds_mapping_patterns, fold_gff, top_features)}
