@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cigar import circ_dist, wrapped_tlen
+from .signals import PAIR
+
 GROUP = ["sample_name", "qname"]
 
 
@@ -48,3 +51,14 @@ def drop_ghosts(reads: DataFrame, contigs: DataFrame) -> DataFrame:
     main = rows.filter("klass not in ('secondary', 'supplementary')").join(only_ghosts, GROUP, "left")
     main = main.withColumn("mapq", F.when(F.col("__fix") & (F.col("klass") == "primary"), 60).otherwise(F.col("mapq")))
     return main.select(*reads.columns).unionByName(kept.select(*reads.columns))
+
+
+def template_lengths(reads: DataFrame, contigs: DataFrame) -> DataFrame:
+    """By pair of sample and contig, of reads whose mate is on the same contig: their number, the sum of their template lengths (on
+    circles, from a read's start forward to its mate's), and the sum of how far apart the two starts are, the shorter way."""
+    rows = reads.filter("paired and not mate_unmapped and contig_name = mate_contig").join(contigs.select("contig_name", "contig_length", "circular"), "contig_name")
+    at, mate, n = F.col("pos") % F.col("contig_length"), F.col("mate_pos") % F.col("contig_length"), F.col("contig_length")
+    apart = F.when(F.col("circular"), circ_dist(at, mate, n)).otherwise(F.abs(F.col("pos") - F.col("mate_pos")))
+    return rows.groupBy(*PAIR).agg(
+        F.count("*").alias("n"), F.sum(wrapped_tlen(F.col("pos"), F.col("mate_pos"), n, F.col("circular"), F.col("tlen"))).alias("template_sum"), F.sum(apart).alias("apart_sum")
+    )

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cigar import circ_dist
 from .genome import circular_distance
 from .kernels import islands, overlap_join
 from .signals import PAIR, depth_at
@@ -192,7 +193,7 @@ def classify_packaging(unique: DataFrame, gap: int = 20) -> DataFrame:
     )
     a, b, n = F.col("a"), F.col("b"), F.col("contig_length")
     one = (F.col("starts") == 1) & (F.col("ends") == 1)
-    rows = rows.withColumn("distance", F.when(one, F.when(F.col("circular"), F.least(F.abs(b - a), n - F.abs(b - a))).otherwise(F.abs(b - a))))
+    rows = rows.withColumn("distance", F.when(one, F.when(F.col("circular"), circ_dist(a, b, n)).otherwise(F.abs(b - a))))
     gone = F.col("distance")
     size = lambda x: F.when(x <= 1000, "short").when(x <= F.floor(n * 0.1), "long").otherwise("outlier")
     side = F.when(F.when(F.col("circular"), F.pmod(b - a, n) != gone).otherwise(b < a), "_3'").otherwise("_5'")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..driver import derived, oracle, stored
+from ..operators import circular as C
 from ..operators import genome as G
 from ..operators import packaging as P
 from ..operators import signals as S
@@ -182,4 +183,14 @@ def termini_view(spark: SparkSession, d: str) -> DataFrame:
     return longs(out.select(*P.SIDE, "start", "end", "center", "clips", "clip_ok", "significant", "mechanism", "duplication", "terminase_distance"), "start", "end", "center", "clips", "terminase_distance")
 
 
-QUERIES |= {f.__name__: f for f in (terminus_candidates, peak_areas, poisson_test, area_tests, packaging_mechanisms, terminase_distances, termini_view)}
+SQL["template_lengths"] = f"""with {PRELUDE}, rings as (select contig_name, contig_length + 50 as n, substr(contig_name, 4)::int % 2 = 0 as circular from short_contigs)
+select sample_name, contig_name, count(*)::bigint as n, sum(case when circular then ((mate_pos - pos) % n + n) % n else abs(tlen) end)::bigint as template_sum,
+  sum(case when circular then least(abs(pos % n - mate_pos % n), n - abs(pos % n - mate_pos % n)) else abs(pos - mate_pos) end)::bigint as apart_sum
+from reads join rings using (contig_name) where paired and not mate_unmapped and contig_name = mate_contig group by all"""
+
+
+def template_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return longs(C.template_lengths(reads(spark, d), rings(spark, d)), "template_sum", "apart_sum")
+
+
+QUERIES |= {f.__name__: f for f in (terminus_candidates, peak_areas, poisson_test, area_tests, packaging_mechanisms, terminase_distances, termini_view, template_lengths)}
