@@ -30,3 +30,31 @@ def test_regions_at_one_place_are_worked_out_once(spark, monkeypatch):
     got = {r.id: tuple(r)[2:] for r in D.cds_mapping_patterns(cds, runs, positions, 8).select("id", "sample_name", "aligned_pct", "median_depth", "mismatch_count", "clipping_count", "mismatch_prevalence").collect()}
     assert seen == [4, 4]
     assert got == {i: [(90.0, 4.0, 1, 1, 0.5), (80.0, 3.0, 1, 0, 0.5)][i % 3] for i in range(300) if i % 3 < 2}
+
+
+def test_codon_effect_shuffles_texts_not_points(spark):
+    """A changed base at every place agrees with points one by one; no shuffle lies above what makes a row a base."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("ACGTACGTACGTN") for _ in range(n))
+    cds = []
+    for i in range(12):
+        at, segments = rng.randint(1, 60), []
+        for _ in range(rng.randint(1, 3)):
+            segments.append((at, at + rng.randint(0, 25)))
+            at = segments[-1][1] + rng.randint(2, 12)
+        cds.append((i, f"c{i % 2}", segments[0][0], segments[-1][1], rng.choice([1, -1]), segments, text(sum(e - s + 1 for s, e in segments))))
+    changed = {c: text(150).replace("N", "G") for c in ("c0", "c1", "c2")}
+    regions = spark.createDataFrame(cds, "id long, contig_name string, start long, `end` long, strand int, segments array<struct<start:long,end:long>>, seq string").cache()
+    points = spark.createDataFrame([(f"{c}:{i + 1}", c, i + 1, b) for c, t in changed.items() for i, b in enumerate(t)], "point_id string, contig_name string, pos long, base string")
+    blocks = spark.createDataFrame([(c, k, t[16 * k : 16 * k + 16]) for c, t in changed.items() for k in range(10)], "contig_name string, block long, bases string")
+    want = {tuple(r) for r in D.codon_effect(points, regions).select("point_id", "category", "codon", "amino_acid").collect()}
+    out = D.codon_effect_of_texts(blocks, regions, 16)
+    got = [(f"{r.contig_name}:{r.pos}", r.category, r.codon, r.amino_acid) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({r[1] for r in want}) == 3
+
+
+def test_codon_effect_has_a_row_a_base(spark):
+    from tests.test_entry import SF
+    from tidemark.queries.coding import SQL, codon_effect
+    assert codon_effect(spark, SF).columns == ["point_id", "category", "codon", "amino_acid"]
+    assert SQL["codon_effect"].endswith("select point_id, category, codon, amino_acid from every")
