@@ -58,3 +58,11 @@ def test_codon_effect_has_a_row_a_base(spark):
     from tidemark.queries.coding import SQL, codon_effect
     assert codon_effect(spark, SF).columns == ["point_id", "category", "codon", "amino_acid"]
     assert SQL["codon_effect"].endswith("select point_id, category, codon, amino_acid from every")
+
+
+def test_clean_ends_parse_no_cigar_again_and_scan_once(spark):
+    from tests.test_entry import SF
+    from tidemark.operators import signals as S
+    from tidemark.queries.signals import reads
+    text = plan(S.read_termini(reads(spark, SF)))
+    assert "regexp_extract_all" not in text and text.count("Relation [") == 1
