@@ -66,3 +66,14 @@ def test_clean_ends_parse_no_cigar_again_and_scan_once(spark):
     from tidemark.queries.signals import reads
     text = plan(S.read_termini(reads(spark, SF)))
     assert "regexp_extract_all" not in text and text.count("Relation [") == 1
+
+
+def test_hits_at_one_place_are_one_row(spark, monkeypatch):
+    """Hits of other bins are left out before anything is shuffled; those at one place are counted, not carried on."""
+    hits = [("a", "b", 1, 10, i, i + 5, 90.0 + i % 3) for i in range(1, 41)] + [("a", "x", 1, 10, i, i + 5, 99.0) for i in range(1, 41)]
+    members = spark.createDataFrame([("m", "a", 100), ("m", "b", 100), ("n", "x", 100)], "mag_name string, contig_name string, contig_length int")
+    sizes, write = {}, G.written
+    monkeypatch.setattr(G, "written", lambda df, name: (lambda out: sizes.update({name: out.count()}) or out)(write(df, name)))
+    out = G.mag_hit_features(spark.createDataFrame(hits, "contig_1 string, contig_2 string, p1 int, p2 int, p1x int, p2x int, pident double"), members)
+    assert [tuple(r)[1:] for r in out.filter("contig_name = 'a'").collect()] == [(1, 10, 40, 92.0, "b")]
+    assert sizes == {"members": 3, "hit-places": 41}
