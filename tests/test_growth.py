@@ -68,6 +68,17 @@ def test_clean_ends_parse_no_cigar_again_and_scan_once(spark):
     assert "regexp_extract_all" not in text and text.count("Relation [") == 1
 
 
+def test_top_features_go_on_with_open_rows_only(spark, monkeypatch):
+    """Chains of two steps are done after two rounds, and tops are in no round."""
+    rows = [(10 * g + k, {"ID": f"{k}-{g}", **({"Parent": f"{max(k - 1, 0)}-{g}"} if k else {})}) for g in range(20) for k in range(3)]
+    frame = spark.createDataFrame([(n, "x", a) for n, a in rows], "row_no long, type string, attributes map<string,string>")
+    sizes, write = [], D.written
+    monkeypatch.setattr(D, "written", lambda df, name: (lambda out: sizes.append(out.count()) or out)(write(df, name)))
+    got = {r.row_no: (r.top_no, r.level) for r in D.top_features(frame).collect()}
+    assert got == {10 * g + k: (10 * g, k) for g in range(20) for k in range(3)}
+    assert len(sizes) <= 3 and max(sizes) == 40
+
+
 def test_hits_at_one_place_are_one_row(spark, monkeypatch):
     """Hits of other bins are left out before anything is shuffled; those at one place are counted, not carried on."""
     hits = [("a", "b", 1, 10, i, i + 5, 90.0 + i % 3) for i in range(1, 41)] + [("a", "x", 1, 10, i, i + 5, 99.0) for i in range(1, 41)]
