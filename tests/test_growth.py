@@ -88,3 +88,13 @@ def test_hits_at_one_place_are_one_row(spark, monkeypatch):
     out = G.mag_hit_features(spark.createDataFrame(hits, "contig_1 string, contig_2 string, p1 int, p2 int, p1x int, p2x int, pident double"), members)
     assert [tuple(r)[1:] for r in out.filter("contig_name = 'a'").collect()] == [(1, 10, 40, 92.0, "b")]
     assert sizes == {"members": 3, "hit-places": 41}
+
+
+def test_attributes_are_worked_out_once(spark, tmp_path):
+    """However many keys are renamed, a row's attributes are split and put together once."""
+    from tidemark.sources import files as X
+    line = "c\t.\tCDS\t1\t9\t.\t-\t.\tID=a;Product=p%3Bq;product=own;locus-tag=l;Locus_tag=L;ID=b;=x;PHROG=7;flag"
+    (tmp_path / "a.gff").write_text(line + "\n")
+    out = X.read_gff3(spark, str(tmp_path))
+    assert out.first().attributes == {"ID": "a", "product": "own", "locus_tag": "L", "phrog": "7", "flag": ""}
+    assert plan(out).count("array_position") == 1
