@@ -98,3 +98,14 @@ def test_attributes_are_worked_out_once(spark, tmp_path):
     out = X.read_gff3(spark, str(tmp_path))
     assert out.first().attributes == {"ID": "a", "product": "own", "locus_tag": "L", "phrog": "7", "flag": ""}
     assert plan(out).count("array_position") == 1
+
+
+def test_queries_do_not_store_reads_that_they_need_little_of(spark, tmp_path):
+    from tests.test_entry import SF
+    from tidemark import driver
+    from tidemark import queries as engine
+    folder = tmp_path / "t"
+    folder.symlink_to(SF)  # no other test has asked for reads by this path
+    for name in ("removal_problems", "signal_splicings", "significant_clips", "paired_clip_span", "inspect_window"):
+        engine.queries()[name](spark, str(folder))
+        assert not [k for k in driver._STORED if k[1:] == (str(folder), "prepared-reads")], name

@@ -17,7 +17,7 @@ from ..operators import signals as S
 from ..operators import views as W
 from .dataset import BINS, PIVOT, RULES, bins, depth_runs
 from .genome import CODE_TABLE, CODONS_SQL, base, t
-from .signals import DEPTH, MISMATCH, PRELUDE, depth_src, longs, reads, runs_sql
+from .signals import DEPTH, MISMATCH, PRELUDE, depth_src, fresh_reads, longs, runs_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,7 +64,7 @@ union all select 'members', contig_name, "offset" from placed where mag_name in
 
 def summary_report(spark: SparkSession, d: str) -> DataFrame:
     """One contig's report as rows: the contig, its reads by sample, its bin and that bin's members."""
-    report = W.summary_report(derived(spark, d, "contigs"), {"reads": M.read_counts(reads(spark, d))}, bins(spark, d), "ctg3")
+    report = W.summary_report(derived(spark, d, "contigs"), {"reads": M.read_counts(fresh_reads(spark, d))}, bins(spark, d), "ctg3")
     part = lambda section, name, value: report[section].select(F.lit(section).alias("section"), F.col(name).alias("name"), value.cast("long").alias("value"))
     rows = part("subject", "contig_name", F.col("contig_length")).unionByName(part("reads", "sample_name", F.col("read_count")))
     return rows.unionByName(part("mag", "mag_name", F.lit(None))).unionByName(part("members", "contig_name", F.col("offset"))).withColumn("value", F.col("value").cast("double"))
@@ -82,7 +82,7 @@ union all select distinct sample_name, contig_name, pos, 0 from (select sample_n
 
 
 def slice_with_anchors(spark: SparkSession, d: str) -> DataFrame:
-    events = S.mismatches(reads(spark, d)).select(*S.PAIR, "pos", F.col("n").alias("value"))
+    events = S.mismatches(fresh_reads(spark, d)).select(*S.PAIR, "pos", F.col("n").alias("value"))
     return longs(V.slice_with_anchors(events, S.PAIR, 300, 400), "pos")
 
 
@@ -90,7 +90,7 @@ SQL["min_frequency"] = f"""with {PRELUDE}, {DEPTH}, {MISMATCH} select sample_nam
 
 
 def min_frequency(spark: SparkSession, d: str) -> DataFrame:
-    r = reads(spark, d)
+    r = fresh_reads(spark, d)
     shares = S.depth_at(S.mismatches(r), depth_runs(spark, d)).select(*S.PAIR, "pos", (F.col("n") / F.col("depth")).alias("value"))
     return longs(V.min_frequency(shares, 0.5).withColumn("value", F.round("value", 6)), "pos")
 
@@ -127,7 +127,7 @@ SQL["remove_sample"] = f"with {PRELUDE} select contig_name, count(distinct sampl
 
 def remove_sample(spark: SparkSession, d: str) -> DataFrame:
     """Samples and reads of each contig, counted anew after one sample is removed from all tables."""
-    left = N.remove({"reads": reads(spark, d).filter("klass <> 'unmapped'")}, "sample_name", "AF")["reads"]
+    left = N.remove({"reads": fresh_reads(spark, d).filter("klass <> 'unmapped'")}, "sample_name", "AF")["reads"]
     pairs = left.groupBy(*S.PAIR).agg(F.count("*").alias("n"))
     return pairs.groupBy("contig_name").agg(F.count("*").alias("n_samples"), F.sum("n").alias("n_reads"))
 
@@ -166,7 +166,7 @@ union all select 'contig_counts', contig_name, count(distinct sample_name) from
 
 
 def dataset_tables(spark: SparkSession, d: str, with_bins: bool) -> dict[str, DataFrame]:
-    counts = M.read_counts(reads(spark, d))
+    counts = M.read_counts(fresh_reads(spark, d))
     out = {
         "contigs": derived(spark, d, "contigs"), "annotations": derived(spark, d, "annotations"), "qualifiers": derived(spark, d, "qualifiers"), "repeats": derived(spark, d, "repeats"),
         "read_counts": counts, "samples": counts.groupBy("sample_name").agg(F.sum("read_count").alias("n_mapped")), "contig_counts": M.sample_counts(counts, "contig_name"),
