@@ -32,6 +32,12 @@ def test_gff_children(spark):
     }
 
 
+def test_gff_children_in_one_pass(spark):
+    """The rows are read for IDs, for parents and once to be folded, not again for each kind of output row."""
+    rows = spark.createDataFrame([(1, "c", "mRNA", 1, 90, 1, {"ID": "t"}), (2, "c", "CDS", 1, 9, 1, {"Parent": "t"})], "row_no long, contig_name string, type string, start long, `end` long, strand int, attributes map<string,string>")
+    assert D.fold_gff(rows)._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
+
+
 def test_top_features(spark):
     """Chains of 40 levels, circles, missing parents and lists of parents."""
     rows = [(i, {"ID": f"n{i}", **({"Parent": f"n{i - 1}"} if i else {})}) for i in range(40)]
