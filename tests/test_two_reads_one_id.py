@@ -112,3 +112,12 @@ def fits(r):
 
 def test_filter_reads(spark, tables):
     check(spark, tables, "filter_reads", ["read_id", "sample_name", "contig_name"], [(r.id, *r.pair) for r in tables[2] if r.klass != "unmapped" and all(fits(r))])
+
+
+def test_filter_report(spark, tables):
+    by = defaultdict(list)
+    for r in tables[2]:
+        if r.klass != "unmapped":
+            by[r.pair[0]].append(fits(r))
+    want = [(s, len(x), sum(not a for a, _ in x), sum(not b for _, b in x), sum(not (a and b) for a, b in x)) for s, x in by.items()]
+    check(spark, tables, "filter_report", ["sample_name", "n", "low_identity", "low_aligned", "excluded"], want)
