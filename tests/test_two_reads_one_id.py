@@ -121,3 +121,14 @@ def test_filter_report(spark, tables):
             by[r.pair[0]].append(fits(r))
     want = [(s, len(x), sum(not a for a, _ in x), sum(not b for _, b in x), sum(not (a and b) for a, b in x)) for s, x in by.items()]
     check(spark, tables, "filter_report", ["sample_name", "n", "low_identity", "low_aligned", "excluded"], want)
+
+
+def test_gene_interval_stats(spark, tables):
+    at, want = depth(tables[2], Read.covered), []
+    for o in range(1500):
+        start, length = o * 17 % 1000 + 1, o * 7 % 100 % 90 + 1
+        for sample in ("AF", "NO") if o % 5 else ():
+            own = [at[(sample, f"ctg{o * 7 % 100 % 20}"), b] for b in range(start, start + length)]
+            if any(own):
+                want.append((o, sample, sum(d > 0 for d in own), sum(own), rounded(sum(own), length)))
+    check(spark, tables, "gene_interval_stats", ["id", "sample_name", "covered", "total", "mean"], want)
