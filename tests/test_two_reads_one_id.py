@@ -132,3 +132,8 @@ def test_gene_interval_stats(spark, tables):
             if any(own):
                 want.append((o, sample, sum(d > 0 for d in own), sum(own), rounded(sum(own), length)))
     check(spark, tables, "gene_interval_stats", ["id", "sample_name", "covered", "total", "mean"], want)
+
+
+def test_insertions(spark, tables):
+    at = Counter((r.pair, r.pos + r.q) for r in tables[2] if r.klass == "primary" and r.k == 3)
+    check(spark, tables, "insertions", ["sample_name", "contig_name", "pos", "n", "mean_len", "median_len", "std_len"], [(*pair, pos, n, 2.0, 2, 0.0) for (pair, pos), n in at.items()])
