@@ -137,3 +137,26 @@ def test_gene_interval_stats(spark, tables):
 def test_insertions(spark, tables):
     at = Counter((r.pair, r.pos + r.q) for r in tables[2] if r.klass == "primary" and r.k == 3)
     check(spark, tables, "insertions", ["sample_name", "contig_name", "pos", "n", "mean_len", "median_len", "std_len"], [(*pair, pos, n, 2.0, 2, 0.0) for (pair, pos), n in at.items()])
+
+
+def mean_lengths(reads):
+    total = Counter()
+    for r in reads:
+        if r.klass == "primary":
+            total.update({(r.pair, b): r.length for b in r.bases})
+    return runs({k: rounded(total[k], n) for k, n in depth(reads).items()})
+
+
+def test_mean_read_lengths(spark, tables):
+    check(spark, tables, "mean_read_lengths", RUNS, mean_lengths(tables[2]))
+
+
+def test_mean_read_lengths_on_a_half(spark, tmp_path):
+    """Means over 640 reads can lie on a half of the sixth digit: it goes up, whatever the double nearest to it is."""
+    rows, con = [(950 * i, 1, 20 * (97 * i + 1), 0, 33 if i < 7 else 32, 0.0, "AF") for i in range(640)], duckdb.connect()
+    written(con, tmp_path, rows)
+    reads = [Read(*r) for r in rows]
+    assert len({r.id for r in reads}) == 640 and {r.klass for r in reads} == {"primary"}
+    want = mean_lengths(reads)
+    assert want[0] == ("AF", "ctg0", 8, 39, 32.010938)  # 20,487 / 640 = 32.0109375
+    check(spark, (str(tmp_path), con, reads), "mean_read_lengths", RUNS, want)
