@@ -160,3 +160,8 @@ def test_mean_read_lengths_on_a_half(spark, tmp_path):
     want = mean_lengths(reads)
     assert want[0] == ("AF", "ctg0", 8, 39, 32.010938)  # 20,487 / 640 = 32.0109375
     check(spark, (str(tmp_path), con, reads), "mean_read_lengths", RUNS, want)
+
+
+def test_signal_coverage_reduced(spark, tables):
+    """Reads whose first base differs don't start cleanly; all of these end cleanly."""
+    check(spark, tables, "signal_coverage_reduced", RUNS, runs(depth(r for r in tables[2] if r.reverse or r.missed != 0)))
