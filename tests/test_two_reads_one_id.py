@@ -165,3 +165,7 @@ def test_mean_read_lengths_on_a_half(spark, tmp_path):
 def test_signal_coverage_reduced(spark, tables):
     """Reads whose first base differs don't start cleanly; all of these end cleanly."""
     check(spark, tables, "signal_coverage_reduced", RUNS, runs(depth(r for r in tables[2] if r.reverse or r.missed != 0)))
+
+
+def test_signal_mate_on_another_contig(spark, tables):
+    check(spark, tables, "signal_mate_on_another_contig", RUNS, runs(depth(r for r in tables[2] if r.mate_elsewhere and not r.mate_unmapped)))
