@@ -169,3 +169,7 @@ def test_signal_coverage_reduced(spark, tables):
 
 def test_signal_mate_on_another_contig(spark, tables):
     check(spark, tables, "signal_mate_on_another_contig", RUNS, runs(depth(r for r in tables[2] if r.mate_elsewhere and not r.mate_unmapped)))
+
+
+def test_signal_non_inward_pairs(spark, tables):
+    check(spark, tables, "signal_non_inward_pairs", RUNS, runs(depth(r for r in tables[2] if not r.mate_elsewhere and not r.mate_unmapped and not r.inward)))
