@@ -173,3 +173,7 @@ def test_signal_mate_on_another_contig(spark, tables):
 
 def test_signal_non_inward_pairs(spark, tables):
     check(spark, tables, "signal_non_inward_pairs", RUNS, runs(depth(r for r in tables[2] if not r.mate_elsewhere and not r.mate_unmapped and not r.inward)))
+
+
+def test_signal_primary_reads(spark, tables):
+    check(spark, tables, "signal_primary_reads", RUNS, runs(depth(tables[2], Read.covered)))
