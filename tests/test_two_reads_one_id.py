@@ -177,3 +177,11 @@ def test_signal_non_inward_pairs(spark, tables):
 
 def test_signal_primary_reads(spark, tables):
     check(spark, tables, "signal_primary_reads", RUNS, runs(depth(tables[2], Read.covered)))
+
+
+def test_mismatches(spark, tables):
+    at = defaultdict(Counter)
+    for r in tables[2]:
+        if r.klass == "primary" and r.missed is not None:
+            at[r.pair, r.pos + r.missed + 1][r.base] += 1
+    check(spark, tables, "mismatches", ["sample_name", "contig_name", "pos", "n", "n_a", "n_c", "n_g", "n_t"], [(*pair, pos, c.total(), *(c[b] for b in "ACGT")) for (pair, pos), c in at.items()])
