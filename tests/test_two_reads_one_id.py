@@ -185,3 +185,7 @@ def test_mismatches(spark, tables):
         if r.klass == "primary" and r.missed is not None:
             at[r.pair, r.pos + r.missed + 1][r.base] += 1
     check(spark, tables, "mismatches", ["sample_name", "contig_name", "pos", "n", "n_a", "n_c", "n_g", "n_t"], [(*pair, pos, c.total(), *(c[b] for b in "ACGT")) for (pair, pos), c in at.items()])
+
+
+def test_signal_deletions(spark, tables):
+    check(spark, tables, "signal_deletions", RUNS, runs(depth((r for r in tables[2] if r.k == 4), lambda r: (r.pos + r.q + 1, r.pos + r.q + 2))))
