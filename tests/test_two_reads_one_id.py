@@ -189,3 +189,25 @@ def test_mismatches(spark, tables):
 
 def test_signal_deletions(spark, tables):
     check(spark, tables, "signal_deletions", RUNS, runs(depth((r for r in tables[2] if r.k == 4), lambda r: (r.pos + r.q + 1, r.pos + r.q + 2))))
+
+
+def test_drop_ghosts(spark, tables):
+    """Of two alignments that share a read_id, one can lie inside a primary one and the other not."""
+    reads = tables[2]
+    primary, extra = defaultdict(list), [r for r in reads if r.klass in ("secondary", "supplementary")]
+    for r in reads:
+        if r.klass == "primary":
+            primary[r.pair, r.name].append(r)
+    ghost = lambda x: any((x.pos - p.pos) % HALF + x.size <= p.size for p in primary[x.pair, x.name])
+    kept, places = [], set()
+    for x in sorted((x for x in extra if not ghost(x)), key=lambda x: (x.id, x.mapq)):
+        place = (x.pair, x.name, x.pos % HALF)
+        if x.klass == "secondary" or place not in places:
+            kept.append(x)
+        if x.klass == "supplementary":
+            places.add(place)
+    split = {x.id for x in extra if ghost(x)} & {x.id for x in kept}
+    assert split
+    only_ghosts = {(x.pair[0], x.name) for x in extra} - {(x.pair[0], x.name) for x in kept}
+    main = [(r.id, 60 if r.klass == "primary" and (r.pair[0], r.name) in only_ghosts else r.mapq) for r in reads if r.klass in ("primary", "unmapped")]
+    check(spark, tables, "drop_ghosts", ["read_id", "mapq"], main + [(x.id, x.mapq) for x in kept])
